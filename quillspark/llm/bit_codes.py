@@ -1,10 +1,11 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Each vector is centred, turned by a random rotation and kept as its sign bits, with its norm, its product with the
+Each vector is centred, turned into a space of at least BITS dimensions by a random rotation and kept as its sign bits, with its norm, its product with the
 centre and the product of its direction with its code. From the bits and these scalars an inner product with a query is
-estimated; its error is at most |query| * |residual| * sqrt(1/f^2 - 1) * BOUND / sqrt(d - 1), f being the product of
-direction and code. In each block the vectors whose upper bound reaches the k-th best lower bound are reranked on the
-original vectors in double precision, so a block's answer is exact but for a bound that fails.
+estimated; its error is at most |query| * |residual| * sqrt(1/f^2 - 1) * BOUND / sqrt(bits - 1), f being the product of
+direction and code. In each block the PROBES vectors of best estimate are scored on the original vectors in double
+precision; the k-th best of them is a floor, and every vector whose upper bound reaches the floor is scored likewise.
+So a block's answer is exact but for a bound that fails.
 
 Defined results: a vector that is null, zero, of another length than most (the smaller length if tied) or holds null or
 non-finite components takes no part as query or candidate. Ties go to the smaller id, repeated ids count as candidates
@@ -24,14 +25,16 @@ from .common import stored, table
 
 #: Half-width of the error bound in standard deviations of the code's error.
 BOUND = 4.0
+#: Length of the codes, and vectors scored first to set the floor.
+BITS, PROBES = 256, 64
 #: Vectors of a candidate block and queries of a query block; a task holds one of each.
 BLOCK, QUERY_BLOCK = 16_384, 1_024
 SEED = 20_231
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix of d x d."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
+    """A random matrix of max(BITS, d) rows and d orthonormal columns."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((max(BITS, d), d)))
     return q * np.sign(np.diag(r))
 
 
@@ -62,7 +65,7 @@ def encode(vectors: DataFrame, d: int, centre: list[float], blocks: int) -> Data
             norm = np.linalg.norm(v - c, axis=1)
             unit = (v - c) / np.where(norm > 0, norm, 1)[:, None] @ p.T
             code = unit >= 0
-            f = np.abs(unit).sum(axis=1) / np.sqrt(d)
+            f = np.abs(unit).sum(axis=1) / np.sqrt(len(p))
             packed = np.packbits(code, axis=1)
             ids = b.column("id")
             block = (np.abs(ids.to_numpy() * 0x9E3779B1) >> 7) % blocks
@@ -73,9 +76,10 @@ def encode(vectors: DataFrame, d: int, centre: list[float], blocks: int) -> Data
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Row by row inner products, summed from the first component to the last."""
+    products = np.ascontiguousarray((q * v).T)
     out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * v[:, j]
+    for row in products:
+        out += row
     return out
 
 
@@ -87,23 +91,33 @@ def _best(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(r)) - first < k]
 
 
+def _score(rows: np.ndarray, at: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    score = np.empty(len(rows))
+    for s in range(0, len(rows), 2048):  # in the processor's cache
+        score[s : s + 2048] = _exact(q[rows[s : s + 2048]], v[at[s : s + 2048]])
+    return score
+
+
 def _search(qid: np.ndarray, q: np.ndarray, index: dict, c: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best of one candidate block for some queries: (query place, candidate place, score)."""
-    d = q.shape[1]
-    signs = np.unpackbits(index["code"], axis=1, count=d).astype(np.float32) * 2 - 1
-    turned = (q @ p.T).astype(np.float32)
-    scale = index["norm"] / np.maximum(index["f"], 1e-9)
-    estimate = turned @ signs.T * (scale / np.sqrt(d)).astype(np.float32) + (q @ c)[:, None].astype(np.float32)
-    wide = np.linalg.norm(q, axis=1)[:, None] * (index["norm"] * np.sqrt(np.maximum(0, 1 / np.maximum(index["f"], 1e-9) ** 2 - 1)) * BOUND / np.sqrt(max(1, d - 1)) + 1e-5 * (1 + index["norm"] + np.linalg.norm(c)))[None, :]
-    wide = wide.astype(np.float32)
-    own = qid[:, None] == index["id"][None, :]
-    low = np.where(own, -np.inf, estimate - wide)
-    n = low.shape[1]
-    floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf, np.float32)
-    rows, at = np.nonzero((estimate + wide >= floor[:, None]) & ~own)
-    score = np.empty(len(rows))
-    for s in range(0, len(rows), 200_000):
-        score[s : s + 200_000] = _exact(q[rows[s : s + 200_000]], index["v"][at[s : s + 200_000]])
+    bits, n = len(p), len(index["id"])
+    estimate = (q @ p.T).astype(np.float32) @ index["signs"]
+    estimate *= (index["norm"] / np.maximum(index["f"], 1e-9) / np.sqrt(bits)).astype(np.float32)
+    estimate += (q @ c)[:, None].astype(np.float32)
+    for row, col in zip(*np.nonzero(np.isin(qid, index["id"])[:, None] & (qid[:, None] == index["id"])), strict=True):
+        estimate[row, col] = -np.inf
+    floor = np.full(len(q), -np.inf)
+    if n > k + PROBES:
+        probes = np.argpartition(estimate, n - PROBES, axis=1)[:, n - PROBES :]
+        exact = _score(np.repeat(np.arange(len(q)), PROBES), probes.ravel(), q, index["v"]).reshape(len(q), PROBES)
+        exact[np.take_along_axis(estimate, probes, 1) == -np.inf] = -np.inf
+        floor = np.sort(exact, axis=1)[:, -k] if k <= PROBES else floor
+    # the bound, and what float32 may lose
+    width = index["norm"] * np.sqrt(np.maximum(0, 1 / np.maximum(index["f"], 1e-9) ** 2 - 1)) * BOUND / np.sqrt(bits - 1) + 1e-5 * (1 + index["norm"] + np.linalg.norm(c))
+    upper = np.multiply.outer(np.linalg.norm(q, axis=1), width).astype(np.float32)
+    upper += estimate
+    rows, at = np.nonzero((upper >= floor[:, None].astype(np.float32)) & (estimate > -np.inf))
+    score = _score(rows, at, q, index["v"])
     keep = _best(rows, index["id"][at], score, k)
     return rows[keep], at[keep], score[keep]
 
@@ -143,7 +157,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
             return empty
         index = {x: cand.column(x).to_numpy() for x in ("id", "norm", "f")}
         index["v"] = _matrix(cand.column("v").combine_chunks(), d)
-        index["code"] = np.frombuffer(b"".join(cand.column("code").to_pylist()), np.uint8).reshape(cand.num_rows, -1)
+        code = np.frombuffer(b"".join(cand.column("code").to_pylist()), np.uint8).reshape(cand.num_rows, -1)
+        index["signs"] = np.unpackbits(code, axis=1, count=len(p)).T.astype(np.float32) * 2 - 1
         qid, q = asks.column("id").to_numpy(), _matrix(asks.column("v").combine_chunks(), d)
         out = []
         for s in range(0, len(q), 128):

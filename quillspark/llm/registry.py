@@ -1,7 +1,7 @@
 """All queries of this folder and their SQL."""
 
-from . import bit_codes, url_rules
+from . import bit_codes, bpe, packing, shards, url_rules
 
-MODULES = [url_rules, bit_codes]
+MODULES = [shards, bit_codes, packing, bpe, url_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
