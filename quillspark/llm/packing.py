@@ -1,11 +1,11 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are token streams in a queue for each source. A window of `window` tokens has window / slice places. Round by
-round (a round is a window) each queue's deficit counter grows by its target share of the places; the queues are visited
-in order and send as many whole slices as their counters hold, keeping the remainder for the next round. In exact integers
-the counters after w rounds are a closed form of w, so any task knows the state at any window without running those
-before it: deficits carry across windows and partitions. When a queue can't fill its share of a round any more, it
-leaves and the others share its places. What is left at the end (less than a window and a slice of each queue, if
+Documents are token streams in a queue for each source. A window of `window` tokens has window / slice places. In each
+round every queue's deficit counter grows by its target share of the places; the queues are visited in order and send as
+many whole slices as their counters hold, keeping the remainder for the next round. What is sent, in order, is cut into
+windows. In exact integers the counters after r rounds are a closed form of r, so any task knows the state at any round
+without running those before it: deficits carry across windows and partitions. When a queue can't fill a share of a round
+any more, it leaves and the others share its places. What is left at the end (less than two slices of each queue, if
 targets follow the corpus) fills the last sequences in a row; the last of all is cut at powers of two, which need no padding.
 
 Defined results: a null or empty text is its end token alone; a null source is a queue of its own; repeated rows and
@@ -32,90 +32,90 @@ WINDOW, SLICE, MAX_QUEUES, END = 4096, 256, 1024, 2
 
 @dataclass
 class Phase:
-    """Rounds with the same queues: `first` window, `rounds`, sum of weights; by queue (weights below it, its weight, slices sent before)."""
+    """Rounds with the same queues. first: slices sent before; gain: weight times places of each queue, in visiting order."""
 
     first: int
     rounds: int
     total: int
-    share: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+    queues: list[int]
+    gain: np.ndarray
+    sent: dict[int, tuple[int, int]] = field(default_factory=dict)  # by queue: its place in the order, its slices sent before
+
+    def after(self, rounds: int) -> np.ndarray:
+        """Slices that each queue has sent after so many rounds."""
+        return rounds * self.gain // self.total
 
 
 class Plan:
     """Where each token of each queue goes."""
 
+    #: Sum of the weights of a phase: shares are kept to one in so many, the rest is left to the next phase.
+    SHARES = 1 << 20
+
     def __init__(self, tokens: list[int], weights: list[int] | None = None, window: int = WINDOW, slice_: int = SLICE):
-        self.window, self.slice, self.places, self.tokens = window, slice_, window // slice_, tokens
+        self.window, self.slice, self.places = window, slice_, window // slice_
         left = {q: t // slice_ for q, t in enumerate(tokens)}
         sent = dict.fromkeys(left, 0)
-        active = {q: (weights[q] if weights else n) for q, n in left.items() if n and (not weights or weights[q] > 0)}
+        active = [q for q, n in left.items() if n and (not weights or weights[q] > 0)]
         self.phases: list[Phase] = []
-        windows = 0
+        first = 0
         while active:
-            total, below = sum(active.values()), 0
-            rounds = min(left[q] * total // (self.places * w) for q, w in active.items())
+            wanted = {q: weights[q] if weights else left[q] for q in active}
+            all_ = sum(wanted.values())
+            gain = np.array([max(1, self.SHARES * wanted[q] // all_) * self.places for q in active], np.int64)
+            total = int(gain.sum()) // self.places
+            rounds = min(left[q] * total // int(g) for q, g in zip(active, gain, strict=True))
             if rounds:
-                phase = Phase(windows, rounds, total)
-                for q, w in active.items():
-                    phase.share[q] = (below, w, sent[q])
-                    n = self.sent(rounds, below + w, total) - self.sent(rounds, below, total)
-                    sent[q], left[q], below = sent[q] + n, left[q] - n, below + w
+                phase = Phase(first, rounds, total, active, gain)
+                if not phase.after(rounds).any():  # shares of a slice are all that is left
+                    break
+                for i, (q, n) in enumerate(zip(active, phase.after(rounds).tolist(), strict=True)):
+                    phase.sent[q] = (i, sent[q])
+                    sent[q], left[q], first = sent[q] + n, left[q] - n, first + n
                 self.phases.append(phase)
-                windows += rounds
-            active = {q: w for q, w in active.items() if left[q] * total // (self.places * w)}
-        self.windows = windows
-        self.of: dict[int, list[Phase]] = {q: [p for p in self.phases if q in p.share] for q in left}
+            active = [q for q, g in zip(active, gain, strict=True) if left[q] * total // int(g)]
+        self.of: dict[int, list[Phase]] = {q: [p for p in self.phases if q in p.sent] for q in left}
         self.head = [sent[q] * slice_ for q in left]
-        rest = [t - h for t, h in zip(tokens, self.head, strict=True)]
-        self.rest_at = np.concatenate([[0], np.cumsum(rest, dtype=np.int64)]).tolist() if tokens else [0]
-        full, odd = divmod(self.rest_at[-1], window)
+        self.rest_at, at = [], first * slice_
+        for t, h in zip(tokens, self.head, strict=True):
+            self.rest_at.append(at - h)
+            at += t - h
+        self.full, odd = divmod(at, window)
         self.last: list[tuple[int, int]] = []  # begin and length of the sequences after the full ones
-        at, bit = full * window, window
+        at, bit = self.full * window, window
         while odd:
             if odd >= bit:
                 self.last.append((at, bit))
                 at, odd = at + bit, odd - bit
             bit //= 2
-        self.full = full
 
-    def sent(self, rounds: int, weight: int, total: int) -> int:
-        """Slices that queues of this weight together have sent after so many rounds."""
-        return rounds * self.places * weight // total
+    def run(self, q: int, phases: list[Phase], at: int) -> tuple[int, int]:
+        """Of token `at` of queue q, within its rounds: place in what all queues send, and the token before which its turn ends."""
+        j = at // self.slice
+        phase = next(p for p in reversed(phases) if p.sent[q][1] <= j)
+        i, before = phase.sent[q]
+        gain = int(phase.gain[i])
+        turn = -(-(j - before + 1) * phase.total // gain) - 1  # the round in which slice j goes
+        now, then = phase.after(turn), phase.after(turn + 1)
+        first = phase.first + int(now.sum()) + int((then[:i] - now[:i]).sum())
+        begin = (before + int(now[i])) * self.slice
+        return first * self.slice + at - begin, (before + int(then[i])) * self.slice
 
     def pieces(self, q: int, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(tokens before it, length, sequence, offset) of n tokens that begin at token `at` of queue q."""
         begin, end = at, at + n
-        phases = self.of[q]
-        i = max((k for k, p in enumerate(phases) if p.share[q][2] * self.slice <= at), default=0)
-        w = -1
-        while at < end and at < self.head[q]:
-            while i + 1 < len(phases) and phases[i + 1].share[q][2] * self.slice <= at:
-                i, w = i + 1, -1
-            p = phases[i]
-            below, weight, before = p.share[q]
-            j = at // self.slice - before
-            if w < 0:
-                w = max(0, j * p.total // (self.places * weight) - 2)
-
-            def own(x: int, below: int = below, weight: int = weight, total: int = p.total) -> int:
-                return self.sent(x, below + weight, total) - self.sent(x, below, total)
-
-            while own(w + 1) <= j:
-                w += 1
-            stop = min(end, (before + own(w + 1)) * self.slice)
-            base = self.sent(w + 1, below, p.total) - self.sent(w, below, p.total)
-            yield at - begin, stop - at, p.first + w, base * self.slice + at - (before + own(w)) * self.slice
-            at = stop
         while at < end:
-            t = self.rest_at[q] + at - self.head[q]
-            if t < self.full * self.window:
-                seq, off = divmod(t, self.window)
+            place, stop = self.run(q, self.of[q], at) if at < self.head[q] else (self.rest_at[q] + at, end)
+            stop = min(stop, end)
+            while at < stop:
+                seq, off = divmod(place, self.window)
                 room = self.window - off
-            else:
-                k = max(k for k, (b, _) in enumerate(self.last) if b <= t)
-                seq, off, room = self.full + k, t - self.last[k][0], sum(self.last[k]) - t
-            n = min(room, end - at)
-            yield at - begin, n, self.windows + seq, off
-            at += n
+                if seq >= self.full:
+                    k = max(k for k, (b, _) in enumerate(self.last) if b <= place)
+                    seq, off, room = self.full + k, place - self.last[k][0], sum(self.last[k]) - place
+                m = min(room, stop - at)
+                yield at - begin, m, seq, off
+                at, place = at + m, place + m
 
 
 def tokenised(docs: DataFrame, path: str, width: str) -> DataFrame:
