@@ -1,7 +1,7 @@
 """All queries of this folder and their SQL."""
 
-from . import bit_codes, bpe, packing, parity_join, shards, url_rules
+from . import bit_codes, bpe, cotraining, packing, parity_join, rule_forest, shards, url_rules
 
-MODULES = [shards, bit_codes, packing, parity_join, bpe, url_rules]
+MODULES = [cotraining, shards, rule_forest, bit_codes, packing, parity_join, bpe, url_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
