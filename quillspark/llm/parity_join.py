@@ -8,9 +8,10 @@ signature in a band. Parts without hashes agree for nothing; a document with mor
 dealt anew by another hash under a common key, so no pair is lost.
 
 Documents that met are compared by parity sketches, bit vectors in which each hash flips a bit: the Hamming distance of
-two never exceeds the sets' difference. Among the pairs that pass, a spanning forest of each meeting is verified on the
-whole sets; where one of its edges fails and the ends are not linked otherwise, all pairs that passed between different
-components are verified. Links then are the verified edges, and equal sets.
+two never exceeds the sets' difference. First each document's largest meeting is taken, and of the pairs that pass there
+a spanning forest is verified on the whole sets. Then, in every meeting of documents that are not in one component yet,
+all passing pairs between different components are verified. So a link is missed only inside a component, which stays
+as it is. Links are the verified edges, and equal sets.
 
 Equal sets are one representative from the start. A meeting of more than BLOCK documents is dealt to a task for each
 pair of hashed blocks, so no task holds more than about two blocks; a task yields fewer pairs than it holds documents.
@@ -69,7 +70,7 @@ class Bands:
             if band >= 0 and (band == own or size <= self.partner(starts[band + 1] - 1)):
                 top = starts[band + 1] - 1
                 d = self.differ(top, self.partner(top))
-                out.append((band, d, 64 << max(0, (d // 8).bit_length())))
+                out.append((band, d, 64 << (d // 4).bit_length()))
         return out
 
 
@@ -77,7 +78,7 @@ def signatures(hashes: np.ndarray, band: int, differ: int) -> np.ndarray:
     """Keys of a set in a band; any partner of the band shares one."""
     spare = 0 if differ < 8 else 2 + differ // 50
     parts = differ + 1 + spare
-    key, out = mixed(np.array([band + 1], U))[0], []
+    key, out = mixed(np.array([band + 1], U)), []
     for deal in range(DEALS):
         where = (mixed(hashes + U(deal * 0x51ED27 + 1)) % U(parts)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -88,7 +89,7 @@ def signatures(hashes: np.ndarray, band: int, differ: int) -> np.ndarray:
             break
         key = mixed(key + U(deal + 77))
     else:
-        out.append(np.array([key], U))
+        out.append(key)
     return np.concatenate(out)
 
 
@@ -245,7 +246,10 @@ def forest(ids: np.ndarray, n: np.ndarray, sketches: list[bytes], label: np.ndar
 
 
 def candidates(members: DataFrame, bands: Bands, spanning: bool) -> DataFrame:
-    """(g1, g2, a, b), a < b, of members (g1, g2, size, id, n, sketch, label)."""
+    """Pairs (a, b), a < b, of members (g1, g2, size, id, n, sketch, label); a task yields a pair once.
+
+    spanning: the pairs of a task form a forest that connects whatever its passing pairs connect.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     m = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -255,19 +259,36 @@ def candidates(members: DataFrame, bands: Bands, spanning: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
+        seen: set[tuple] = set()
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
 
         def close() -> None:
             if len(held) > 1:
                 *_, side, ids, n, sk, label = zip(*held, strict=True)
                 ids = np.array(ids)
                 for i, j in forest(ids, np.array(n), list(sk), np.array(label), np.array(side), bands, spanning).tolist():
-                    out.append((held[0][0], held[0][1], int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                    if spanning:
+                        x, y = find(pair[0]), find(pair[1])
+                        if x == y:
+                            continue
+                        root[max(x, y)] = min(x, y)
+                    elif pair in seen:
+                        continue
+                    elif len(seen) < 1_000_000:
+                        seen.add(pair)
+                    out.append(pair)
             held.clear()
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 4
+            cols = list(zip(*out, strict=True)) or [[]] * 2
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g1", "g2", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "lo", "hi", "side", "id", "n", "sketch", "label")), strict=True):
@@ -279,7 +300,7 @@ def candidates(members: DataFrame, bands: Bands, spanning: bool) -> DataFrame:
         close()
         yield batch()
 
-    return m.mapInArrow(run, "g1 long, g2 long, a long, b long")
+    return m.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -327,7 +348,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, links): links counts the verified links and the copies' links to their first copy.
+    """(id, n_shingles, component_id, links): links counts the verified links, which connect each component, and the copies' links to their first copy.
 
     Texts are read for the sets' digests, for the signatures of one document of each set, and, of documents that met
     another, for sketches and verification.
@@ -347,16 +368,16 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str
     met = stored(members.select("id").distinct())
     texts = docs.join(met, "id", "left_semi").dropDuplicates(["id", "text"])
     sketches = stored(sketched(texts, width, bands))
-    full = members.join(sketches, "id").withColumn("label", F.col("id"))
-    edges = stored(candidates(full, bands, True))
-    checked = stored(verified(edges.select("a", "b").distinct(), texts, width, bands))
+    largest = members.groupBy("id").agg(F.max_by(F.struct("g1", "g2"), F.struct("size", "g1", "g2")).alias("g")).select("g.g1", "g.g2").distinct()
+    full = members.join(largest, ["g1", "g2"], "left_semi").join(sketches, "id").withColumn("label", F.col("id"))
+    checked = stored(verified(stored(candidates(full, bands, True)), texts, width, bands))
     links = checked.where("linked").select("a", "b")
     labels = components(links)
-    # meetings with a failed edge between components: every passing pair that is left
-    open_ = edges.join(checked.where("NOT linked"), ["a", "b"]).join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
-    open_ = open_.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("g1", "g2").distinct()
-    again = members.join(open_, ["g1", "g2"], "left_semi").join(sketches, "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = candidates(again, bands, False).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    # meetings across components: every passing pair that is left
+    marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed_ = marked.groupBy("g1", "g2").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("g1", "g2")
+    again = marked.join(mixed_, ["g1", "g2"], "left_semi").join(sketches, "id")
+    more = stored(candidates(again, bands, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     links = stored(links.unionByName(verified(more, texts, width, bands).where("linked").select("a", "b")))
     copies = sets.join(first.where("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = links.unionByName(copies)
