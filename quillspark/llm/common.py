@@ -63,7 +63,7 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema) -> DataFrame:
     """f over slices of at most BATCH_ROWS rows, so that memory follows the slice and not the session's batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +78,11 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """Rows of df that keep() marks, with all their columns."""
+    return map_arrow(df, lambda b: b.filter(pa.array(keep(b), pa.bool_())), df.schema)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser over an array of uint64."""
     x = x ^ (x >> np.uint64(31))

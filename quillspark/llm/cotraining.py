@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import filter_arrow, map_arrow, table
 from .rule_forest import sampled
 
 LABELLED, POOL, ROUNDS, SEED = 6_000, 4_000, 5, 11
@@ -201,20 +201,29 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return cotrain(_matrix(rows, "content", width), _matrix(rows, "meta", META), np.array([r["y"] > 0 for r in rows], np.float32), _matrix(spare, "content", width), _matrix(spare, "meta", META), rounds)
 
 
+def _scored(model: Model, cache: Word, text: list, source: list, lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    c, m = np.stack([content(x, cache) for x in text]), np.stack([metadata(*x) for x in zip(source, lang, text, strict=True)])
+    return model.scores(c.astype(np.float16).astype(np.float32), m)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, content_score, meta_score, score, quality, kept), a row for each row: probabilities, the label, and whether it stays."""
     cache = Word()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        t, s, g = (b.column(x).to_pylist() for x in ("text", "source", "lang"))
-        c, m = np.stack([content(x, cache) for x in t]), np.stack([metadata(*x) for x in zip(s, g, t, strict=True)])
-        p = model.scores(c.astype(np.float16).astype(np.float32), m)
+        p = _scored(model, cache, *(b.column(x).to_pylist() for x in ("text", "source", "lang")))
         good = p[2] >= model.cut
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x.astype(np.float64)) for x in p), pa.array(good.astype(np.int32)), pa.array(good)], ["doc_id", "content_score", "meta_score", "score", "quality", "kept"])
 
     return map_arrow(plain(docs), run, "doc_id long, content_score double, meta_score double, score double, quality int, kept boolean")
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns."""
+    cache = Word()
+    return filter_arrow(docs, lambda b: _scored(model, cache, *(b.column(x).to_pylist() for x in ("text", "source", "lang")))[2] >= model.cut)
+
+
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the two views trained on their labels."""
     docs = table(spark, sf_dir, "documents")
