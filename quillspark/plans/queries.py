@@ -677,7 +677,7 @@ def extract_citations(spark, d):
     return QUOTED.df(spark).select("id", F.posexplode(X.citations(F.col("t"))).alias("pos", "c")).select("id", "pos", "c.*")
 
 
-@query("SELECT * FROM (VALUES (0, 4, 2, FALSE), (1, 0, 7, TRUE)) AS v(id, placeholders, data_points, is_valid)")
+@query("SELECT id, CAST(p AS BIGINT) AS placeholders, CAST(d AS BIGINT) AS data_points, is_valid FROM (VALUES (0, 4, 2, FALSE), (1, 0, 7, TRUE)) AS v(id, p, d, is_valid)")
 def json_quality(spark, d):
     return quality.quality(quality.leaves(NESTED.df(spark), "id", "j"))
 

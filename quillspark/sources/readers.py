@@ -13,7 +13,7 @@ CHUNK = "id string, content string, metadata struct<section_path: array<string>,
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """Elements of JSON array files, a file a document: file, pos, and the fields."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"array<struct<{ELEMENT.replace(' array<', ': array<').replace(' string', ': string').replace(' int', ': int')}>>").alias("e"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"array<struct<{ELEMENT.replace(' array<', ': array<').replace(' string', ': string').replace(' int', ': int')}>>").alias("e"))
     return whole.select("file", F.posexplode("e").alias("pos", "e")).select("file", "pos", "e.*")
 
 
@@ -33,7 +33,7 @@ def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_tables(spark: SparkSession, path: str) -> DataFrame:
     """(filename, pos, cells) of CSV files: blank lines dropped, lines numbered in file order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("filename"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     return whole.select("filename", F.posexplode("lines").alias("pos", "line")).select("filename", "pos", csv_cells(F.col("line")).alias("cells"))
 
 
