@@ -37,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = parity_join.near_duplicates(docs, WIDTH, NUM, DEN)
     first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
     one = docs.join(first, "doc_id", "left_semi")
-    return one.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1").select(docs.columns)
+    rank = "_rank" + "_" * max(map(len, docs.columns))  # a name that docs has not
+    return one.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,25 +25,36 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIM, PER_LANGUAGE, HELD, SEED = 1024, 3_000, 2, 5
+DIM, PER_LANGUAGE, HELD, SEED, PARTS = 1024, 3_000, 2, 5, 32
 #: Documents bundled by one matrix product.
 GROUP = 64
 BOUNDARY = 0
 
 
 class Letters:
-    """Numbers of code points, given as they come up, and the vectors behind them; 0 is the boundary."""
+    """Numbers of letters, given as they come up, and the vectors behind them; 0 is the boundary.
+
+    A letter's vector is made from its code point; from FOLD on, where scripts have thousands of letters, from its
+    remainder, so there are at most FOLD + 4096 vectors.
+    """
+
+    FOLD = 0x3000
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
         self.number = np.full(0x110000, -1, np.int32)
-        self.vectors = np.zeros((0, dim), np.float32)
+        self.keys: dict[int, int] = {}
+        self.vectors = np.zeros((64, dim), np.int8)
         self._add(-1)
         self.turned: list[np.ndarray] = []
 
-    def _add(self, code: int) -> None:
-        v = np.random.default_rng((SEED, code + 1)).integers(0, 2, self.dim) * 2 - 1
-        self.vectors = np.vstack([self.vectors, v.astype(np.float32)])
+    def _add(self, key: int) -> int:
+        if key not in self.keys:
+            self.keys[key] = n = len(self.keys)
+            if n == len(self.vectors):
+                self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
+            self.vectors[n] = np.random.default_rng((SEED, key + 1)).integers(0, 2, self.dim) * 2 - 1
+        return self.keys[key]
 
     def numbers(self, text: str) -> np.ndarray:
         """Letter numbers of a text with one boundary between words and at its ends; empty without letters."""
@@ -51,11 +62,7 @@ class Letters:
         out = self.number[codes]
         if (out < 0).any():
             for c in np.unique(codes[out < 0]).tolist():
-                if chr(c).isalpha():
-                    self.number[c] = len(self.vectors)
-                    self._add(c)
-                else:
-                    self.number[c] = BOUNDARY
+                self.number[c] = self._add(c if c < self.FOLD else self.FOLD + c % 4096) if chr(c).isalpha() else BOUNDARY
             self.turned = []
             out = self.number[codes]
         if not out.any():
@@ -66,14 +73,15 @@ class Letters:
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of windows given as a * n^2 + b * n + c."""
         if not self.turned:
-            self.turned = [np.roll(self.vectors, 2, 1), np.roll(self.vectors, 1, 1), self.vectors]
-        n = len(self.vectors)
+            known = self.vectors[: len(self.keys)]
+            self.turned = [np.roll(known, 2, 1), np.roll(known, 1, 1), known]
+        n = len(self.keys)
         return self.turned[0][codes // (n * n)] * self.turned[1][codes // n % n] * self.turned[2][codes % n]
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
         """The vector of each text; zero without letters."""
         numbers = [self.numbers(t) if t else np.empty(0, np.int32) for t in texts]
-        n = len(self.vectors)
+        n = len(self.keys)
         out = np.zeros((len(texts), self.dim), np.float32)
         for a in range(0, len(texts), GROUP):
             some = [x.astype(np.int64) for x in numbers[a : a + GROUP]]
@@ -90,7 +98,7 @@ class Letters:
                 seen, at = np.unique(flat, return_inverse=True)
             row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
             counts = np.bincount(row * len(seen) + at, minlength=len(codes) * len(seen)).reshape(len(codes), -1).astype(np.float32)
-            out[a : a + GROUP] = counts @ self.windows(seen)
+            out[a : a + GROUP] = counts @ self.windows(seen).astype(np.float32)
         return out
 
 
@@ -105,8 +113,11 @@ def remainder(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, of length one."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != HELD)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    few = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct()
+    # first in each of PARTS hashed parts of a language, so that no task ranks all rows of one
+    few = ids.withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        few = few.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("k") <= per_language).drop("k")
+    few = few.select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
