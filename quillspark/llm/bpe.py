@@ -139,35 +139,49 @@ class Encoder:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes unknown chunks in a few calls: white space keeps their pieces apart, and each piece's last token has the suffix."""
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
+        """Adds unknown chunks, as their pieces' ids. Unknown pieces are encoded many at a time: white space keeps them apart, and each one's last token has the suffix."""
+        known = self.known
+        if len(known) + 2 * len(chunks) > CACHE:
+            known.clear()  # what is learnt now stays, however much it is
+        new, mixed = set(), []
         for x in chunks:
-            if len(x) > LONG:
-                self.known[x] = np.array(self.unsplit(x), np.int32).tobytes()
-        short = [x for x in chunks if len(x) <= LONG]
+            if x.isalpha():
+                new.add(x)
+                continue
+            head = x[:-1]
+            pieces = (head, x[-1]) if head.isalpha() and not x[-1].isalnum() else PIECE.findall(x)
+            mixed.append((x, pieces))
+            new.update(y for y in pieces if y not in known)
+        for x in [x for x in new if len(x) > LONG]:
+            known[x] = np.array(self.unsplit(x), np.int32).tobytes()
+            new.discard(x)
+        short = list(new)
         for at in range(0, len(short), 500):
             part = short[at : at + 500]
-            pieces = [(x,) if x.isalpha() else PIECE.findall(x) for x in part]
-            text = " ".join(map(" ".join, pieces)).translate(BYTES)
-            ids = np.array(self.spaced.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum([len(x) for x in pieces]) - 1] * 4
-            flat, cuts = ids.tobytes(), cuts.tolist()
+            ids = np.array(self.spaced.encode_batch_fast([" ".join(part).translate(BYTES)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            flat = ids.tobytes()
             for x, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                self.known[x] = flat[a:b]
+                known[x] = flat[a:b]
+        for x, pieces in mixed:
+            known[x] = b"".join([known[y] for y in pieces])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        chunks = [x.lower().split() if self.plain and x and not OTHER.search(x) else None for x in texts]
-        known = self.known
-        out = []
-        for text, found in zip(texts, chunks, strict=True):
-            if found is None:
+        get, out = self.known.get, []
+        for text in texts:
+            if not (self.plain and text and not OTHER.search(text)):
                 out.append(self.whole(text) if text else np.empty(0, np.int32))
                 continue
-            if missing := [x for x in set(found) if x not in known]:
-                self.learn(missing if len(known) + len(missing) <= CACHE else list(set(found)))
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32))
+            chunks = text.lower().split()
+            ids = list(map(get, chunks))
+            if None in ids:
+                self.learn(list({x for x, v in zip(chunks, ids, strict=True) if v is None}))
+                ids = list(map(get, chunks))
+            if None in ids:  # the cache was emptied
+                self.learn(list(set(chunks)))
+                ids = list(map(get, chunks))
+            out.append(np.frombuffer(b"".join(ids), np.int32))
         return out
 
     def encode(self, text: str) -> np.ndarray:
