@@ -35,6 +35,8 @@ CACHE = 500_000
 #: Letters with one-character lower case that normalisation leaves alone; ASCII but for rare control characters.
 PLAIN = "\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž"
 OTHER = re.compile(f"[^{PLAIN}]|<\\|")
+#: White space of ASCII that the tokenizer and str.split() may see differently; texts encoded side by side.
+ODD_SPACES, TOGETHER = "\x0b\x0c\x1c\x1d\x1e\x1f", 8
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-z0-9ß-öø-ž]+")
 #: Those letters in the byte-level alphabet, in which printable bytes stand for themselves and the others follow U+0100 in order.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -167,21 +169,32 @@ class Encoder:
             known[x] = b"".join([known[y] for y in pieces])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is empty."""
-        get, out = self.known.get, []
-        for text in texts:
-            if not (self.plain and text and not OTHER.search(text)):
-                out.append(self.whole(text) if text else np.empty(0, np.int32))
-                continue
-            chunks = text.lower().split()
-            ids = list(map(get, chunks))
-            if None in ids:
-                self.learn(list({x for x, v in zip(chunks, ids, strict=True) if v is None}))
-                ids = list(map(get, chunks))
-            if None in ids:  # the cache was emptied
-                self.learn(list(set(chunks)))
-                ids = list(map(get, chunks))
-            out.append(np.frombuffer(b"".join(ids), np.int32))
+        """Ids of each text; null is empty. What a few texts have in unknown chunks is learnt at once."""
+        known, out = self.known, [np.empty(0, np.int32)] * len(texts)
+        for at in range(0, len(texts), TOGETHER):
+            held, missing = [], set()
+            for i, text in enumerate(texts[at : at + TOGETHER], at):
+                if not text:
+                    continue
+                # of ASCII only what would split chunks is looked for here, the rest in unknown chunks
+                if not self.plain or (any(c in text for c in ODD_SPACES) if text.isascii() else OTHER.search(text)):
+                    out[i] = self.whole(text)
+                    continue
+                chunks = text.lower().split()
+                ids = list(map(known.get, chunks))
+                places = [j for j, v in enumerate(ids) if v is None]
+                new = {chunks[j] for j in places}
+                if any(map(OTHER.search, new)):
+                    out[i] = self.whole(text)
+                    continue
+                missing |= new
+                held.append((i, chunks, ids, places))
+            if missing:
+                self.learn(list(missing))
+            for i, chunks, ids, places in held:
+                for j in places:
+                    ids[j] = known[chunks[j]]
+                out[i] = np.frombuffer(b"".join(ids), np.int32)
         return out
 
     def encode(self, text: str) -> np.ndarray:

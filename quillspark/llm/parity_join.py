@@ -37,6 +37,8 @@ from .common import WordHashes, bytes_of, map_arrow, mixed, partitions, shingle_
 BLOCK = 2048
 #: Dealings of a document's hashes to parts before the key of empty parts alone is used.
 DEALS = 6
+#: Parts of the signatures to a shuffle partition.
+PARTS = 4
 U = np.uint64
 
 
@@ -154,7 +156,8 @@ def dealt(docs: DataFrame, width: int, bands: Bands, parts: int) -> DataFrame:
 def meetings(packed: DataFrame) -> DataFrame:
     """(g1, g2, size, id): members of each set of documents that share a signature; the same set comes once a part.
 
-    A part's packed keys are gathered, 16 bytes each; parts are as many as shuffle partitions or more.
+    A part's packed keys are gathered, 16 bytes each; there are four parts to a shuffle partition, each in a task of its
+    own but for hash collisions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +190,7 @@ def meetings(packed: DataFrame) -> DataFrame:
             for s in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 100_000]) for c in cols], ["g1", "g2", "size", "id"])
 
-    found = packed.repartition(partitions(packed.sparkSession), "part").mapInArrow(run, "g1 long, g2 long, size long, id long")
+    found = packed.repartition(PARTS * partitions(packed.sparkSession), "part").mapInArrow(run, "g1 long, g2 long, size long, id long")
     return found.dropDuplicates(["g1", "g2", "id"])
 
 
@@ -364,7 +367,7 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str
     # ids whose set is their own stand for themselves; of the others only the first does
     others = stored(reps.join(first.select(F.col("rep").alias("id")), "id", "left_anti"))
     alone = docs.join(others, "id", "left_anti")
-    members = stored(meetings(dealt(alone, width, bands, 4 * partitions(spark))))
+    members = stored(meetings(dealt(alone, width, bands, PARTS * partitions(spark))))
     met = stored(members.select("id").distinct())
     texts = docs.join(met, "id", "left_semi").dropDuplicates(["id", "text"])
     sketches = stored(sketched(texts, width, bands))
