@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-z0-9ß
 #: Those letters in the byte-level alphabet, in which printable bytes stand for themselves and the others follow U+0100 in order.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
-BYTES = {c: "".join(ALPHABET[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
+BYTES = "".join(" " if b == 32 else ALPHABET[b] for b in range(256))
 #: The normaliser and splitter that PIECE stands for.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -56,16 +57,21 @@ class Tree:
     """Encodes one unsplit pre-token, already in the model's alphabet."""
 
     def __init__(self, spec: dict):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
-        model = spec["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        model = self.spec = spec["model"]
+        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        kept = {k: model[k] for k in ("unk_token", "fuse_unk", "byte_fallback") if model.get(k)}
-        self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **kept))
-        self.final = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix, **kept)) if self.suffix else self.inner
+        self.inner, self.final = Tokenizer(self.model(False)), Tokenizer(self.model(True))
         self.text = {i: t for t, i in model["vocab"].items()}
 
+    def model(self, last: bool, **more):
+        """The merges, with or without the suffix of a last character."""
+        from tokenizers import models
+
+        kept = {k: self.spec[k] for k in ("unk_token", "fuse_unk", "byte_fallback") if self.spec.get(k)} | more
+        return models.BPE(vocab=self.spec["vocab"], merges=self.merges, **kept, **({"end_of_word_suffix": self.suffix} if last and self.suffix else {}))
+
     def of(self, ids: list[int]) -> str:
         return "".join(self.text[i] for i in ids).removesuffix(self.suffix) if self.suffix else "".join(self.text[i] for i in ids)
 
@@ -123,7 +129,7 @@ class Encoder:
         end = self.tree.suffix
         self.ends = np.array([bool(end) and self.names.get(i, "").endswith(end) for i in range(max(self.names) + 1)])
         self.plain &= bool(end)
-        self.spaced = Tokenizer.from_str(self.tree.final.to_str())
+        self.spaced = Tokenizer(self.tree.model(True, cache_capacity=0))  # pieces come once
         self.spaced.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def unsplit(self, text: str) -> list[int]:
@@ -160,7 +166,7 @@ class Encoder:
         short = list(new)
         for at in range(0, len(short), 500):
             part = short[at : at + 500]
-            ids = np.array(self.spaced.encode_batch_fast([" ".join(part).translate(BYTES)], add_special_tokens=False)[0].ids, np.int32)
+            ids = np.array(self.spaced.encode_batch_fast([charmap_decode(" ".join(part).encode(), "strict", BYTES)[0]], add_special_tokens=False)[0].ids, np.int32)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             flat = ids.tobytes()
             for x, a, b in zip(part, [0, *cuts], cuts, strict=False):
