@@ -49,11 +49,11 @@ def section_paths(elements: DataFrame) -> DataFrame:
     heading = F.col("kind").isin("MAJOR_HEADING", "HEADING")
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("section", F.sum(heading.cast("int")).over(so_far))
-    up_to = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = e.where(heading).select("doc_id", "section", "pos", F.struct("pos", (F.col("kind") == "MAJOR_HEADING").alias("major"), F.when(F.coalesce("text_level", F.lit(0)) > 0, F.col("text_level")).otherwise(2).alias("level"), trim(F.col("text")).alias("text")).alias("h"))
-    # only headings since the last major one can matter
-    heads = heads.withColumn("since", F.max(F.when(F.col("h.major"), F.col("pos"))).over(up_to))
-    heads = heads.withColumn("all", F.filter(F.collect_list("h").over(up_to), lambda h: F.col("since").isNull() | (h["pos"] >= F.col("since"))))
+    head = F.struct("pos", (F.col("kind") == "MAJOR_HEADING").alias("major"), F.when(F.coalesce("text_level", F.lit(0)) > 0, F.col("text_level")).otherwise(2).alias("level"), trim(F.col("text")).alias("text"))
+    # only headings since the last major one matter
+    heads = e.where(heading).withColumn("majors", F.sum((F.col("kind") == "MAJOR_HEADING").cast("int")).over(so_far))
+    since = Window.partitionBy("doc_id", "majors").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heads = heads.select("doc_id", "section", F.collect_list(head).over(since).alias("all"))
     step = lambda path, h: F.when(h["major"], F.array(h["text"])).otherwise(F.concat(F.slice(path, F.lit(1), F.greatest(h["level"] - 1, F.lit(0))), F.array(h["text"])))
     paths = heads.select("doc_id", "section", F.aggregate("all", F.array().cast("array<string>"), step).alias("path"))
     return e.join(paths, ["doc_id", "section"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
