@@ -29,6 +29,8 @@ BOUND = 4.0
 BITS, PROBES = 256, 64
 #: Vectors of a candidate block and queries of a query block; a task holds one of each.
 BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Vectors, chosen by a hash of their ids, whose mean is the centre; any centre gives the same results.
+CENTRED = 2048
 SEED = 20_231
 
 
@@ -134,8 +136,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     if not head:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     d = head[0]["d"]
-    means = rows.agg(F.count("*").alias("n"), *(F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(d))).collect()[0]
-    centre, n = [means[f"m{i}"] for i in range(d)], means["n"]
+    n = rows.count()
+    few = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(CENTRED).select("v").collect()
+    centre = np.mean([r["v"] for r in few], axis=0).tolist()
     blocks = max(1, -(-n // BLOCK))
     index = encode(rows, d, centre, blocks)
     asked = usable(queries, id_col, vec_col).where(F.size("v") == d)

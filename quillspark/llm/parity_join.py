@@ -17,8 +17,8 @@ Equal sets are one representative from the start. A meeting of more than BLOCK d
 pair of hashed blocks, so no task holds more than about two blocks; a task yields fewer pairs than it holds documents.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and no links. A repeated row is a copy.
-Rows with null ids are dropped, since components are named by ids. Ids that occur twice name one document in the
-component of each of its texts. An empty table gives no rows. Other columns are ignored.
+Rows with null ids are dropped, since components are named by ids. Rows of one id with different texts are one document
+for links, which are verified on one of the texts. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -362,10 +362,8 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str
     # one document stands for each set; its other ids hang on it
     first = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     first = stored(first)
-    copied = first.where("copies > 1").select("n", "h1", "h2")
-    reps = sets.join(copied, ["n", "h1", "h2"], "left_semi").select("id").distinct()
-    # ids whose set is their own stand for themselves; of the others only the first does
-    others = stored(reps.join(first.select(F.col("rep").alias("id")), "id", "left_anti"))
+    # ids that only copy a representative
+    others = stored(sets.join(first, ["n", "h1", "h2"]).groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).where("copy").select("id"))
     alone = docs.join(others, "id", "left_anti")
     members = stored(meetings(dealt(alone, width, bands, PARTS * partitions(spark))))
     met = stored(members.select("id").distinct())
