@@ -85,9 +85,8 @@ def chunks(elements: DataFrame, config: Config = Config()) -> DataFrame:
     e = section_paths(elements)
     refs = tables(elements).select("doc_id", "pos", "reference")
     e = e.join(refs, ["doc_id", "pos"], "left")
-    before = F.coalesce(F.lag("page_idx").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(0))
     part = F.when(F.col("kind").isin("MAJOR_HEADING", "HEADING"), F.concat(F.lit("# "), trim(F.col("text")))).when(F.col("kind") == "TABLE", F.col("reference")).otherwise(trim(F.col("text")))
-    e = e.withColumn("before", before).withColumn("part", part).withColumn("last_pos", F.max("pos").over(Window.partitionBy("doc_id")))
+    e = e.withColumn("part", part)
     # a section is flushed by the next heading, with the page of the element before that
     rows = e.select("doc_id", "section", "pos", "kind", "part", "path", "page_idx").repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "pos")
 
