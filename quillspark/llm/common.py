@@ -40,24 +40,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Drops the scratch files below a stored() table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quillspark/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(column).to_pylist()
-
-
 def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 texts; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -115,10 +101,3 @@ def shingle_hashes(words: list[bytes], width: int, cache: WordHashes) -> np.ndar
         out = mixed(out * np.uint64(0x2545F4914F6CDD1D) + h[i : len(h) - w + 1 + i])
     return np.unique(out)
 
-
-def prefix_offsets(counts: DataFrame, keys: list[str], order: str, n: str, out: str) -> DataFrame:
-    """Running sum of n before each row, by keys; counts must hold a bounded number of rows a key."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))

@@ -15,7 +15,6 @@ code points, ends exclusive. Repeated rows are read each; an empty table gives n
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from dataclasses import dataclass
