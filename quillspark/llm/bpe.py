@@ -19,7 +19,7 @@ import json
 import re
 from codecs import charmap_decode
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .common import BATCH_ROWS, table
 #: Characters of a pre-token above which it is cut into halves, and of the largest leaf.
 LONG, LEAF = 2048, 1024
 #: Chunks between white space kept by a worker.
-CACHE = 500_000
+CACHE = 400_000
 #: Letters with one-character lower case that normalisation leaves alone; ASCII but for rare control characters.
 PLAIN = "\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž"
 OTHER = re.compile(f"[^{PLAIN}]|<\\|")
@@ -57,14 +57,23 @@ class Tree:
     """Encodes one unsplit pre-token, already in the model's alphabet."""
 
     def __init__(self, spec: dict):
-        from tokenizers import Tokenizer
-
         model = self.spec = spec["model"]
         self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner, self.final = Tokenizer(self.model(False)), Tokenizer(self.model(True))
         self.text = {i: t for t, i in model["vocab"].items()}
 
+    @cached_property
+    def inner(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer(self.model(False))
+
+    @cached_property
+    def final(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer(self.model(True))
+
     def model(self, last: bool, **more):
         """The merges, with or without the suffix of a last character."""
         from tokenizers import models
@@ -110,13 +119,12 @@ class Tree:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.spec = json.load(open(path, encoding="utf-8"))
+        self.path, self.spec = path, json.load(open(path, encoding="utf-8"))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.tree = Tree(self.spec)
         n = self.spec["normalizer"] or {}
         p = self.spec["pre_tokenizer"] or {}
         kinds = [x["type"] for x in n.get("normalizers", [])]
@@ -126,11 +134,23 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in self.library.get_vocab(True).items()}
         self.known: dict[str, bytes] = {}  # int32 ids; bytes, unlike tuples, cost the garbage collector nothing
-        end = self.tree.suffix
+        end = self.spec["model"].get("end_of_word_suffix") or ""
         self.ends = np.array([bool(end) and self.names.get(i, "").endswith(end) for i in range(max(self.names) + 1)])
         self.plain &= bool(end)
-        self.spaced = Tokenizer(self.tree.model(True, cache_capacity=0))  # pieces come once
-        self.spaced.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        del self.spec  # the trees and the library have what they need; decoding needs no tree
+
+    @cached_property
+    def tree(self) -> Tree:
+        return Tree(json.load(open(self.path, encoding="utf-8")))
+
+    @cached_property
+    def spaced(self):
+        """The merges alone, over pieces between white space, each of which comes once."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        out = Tokenizer(self.tree.model(True, cache_capacity=0))
+        out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return out
 
     def unsplit(self, text: str) -> list[int]:
         """A text with long pre-tokens: special tokens, then normaliser and splitter, then each pre-token."""

@@ -12,13 +12,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that holds whole texts.
-BATCH_ROWS = 512
+#: Rows that Spark sends at a time, and rows of whole texts that an operator unpacks at a time.
+ARROW_ROWS, BATCH_ROWS = 1024, 512
 #: Rows that may be broadcast or gathered on the driver when a bound is proven.
 SMALL_ROWS = 1_000_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ARROW_ROWS, since a row may hold a whole text or packed keys."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared scratch folder and read back: lineage is cut and a lost executor costs no rerun."""
+    small_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
