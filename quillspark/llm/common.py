@@ -49,6 +49,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of a few columns, broadcast if it has at most SMALL_ROWS rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, map_arrow, mixed, partitions, shingle_hashes, stored, table
+from .common import WordHashes, bytes_of, map_arrow, mixed, partitions, shingle_hashes, small, stored, table
 
 #: Documents of a meeting that one task compares at a time.
 BLOCK = 2048
@@ -364,10 +364,10 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str
     first = stored(first)
     # ids that only copy a representative
     others = stored(sets.join(first, ["n", "h1", "h2"]).groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).where("copy").select("id"))
-    alone = docs.join(others, "id", "left_anti")
+    alone = docs.join(small(others), "id", "left_anti")
     members = stored(meetings(dealt(alone, width, bands, PARTS * partitions(spark))))
     met = stored(members.select("id").distinct())
-    texts = docs.join(met, "id", "left_semi").dropDuplicates(["id", "text"])
+    texts = stored(docs.join(small(met), "id", "left_semi").dropDuplicates(["id", "text"]))
     sketches = stored(sketched(texts, width, bands))
     largest = members.groupBy("id").agg(F.max_by(F.struct("g1", "g2"), F.struct("size", "g1", "g2")).alias("g")).select("g.g1", "g.g2").distinct()
     full = members.join(largest, ["g1", "g2"], "left_semi").join(sketches, "id").withColumn("label", F.col("id"))
