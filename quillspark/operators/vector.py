@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,28 +83,73 @@ def knn_l2(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
 
 
 class InvertedFile:
-    """Coarse lists: rows filed under the nearest of some centroids; a query reads the nearest lists only.
+    """Coarse lists: rows filed under the nearest of some centroids; a query reads the lists that can hold its answer.
 
-    Centroids are rows chosen by a hash; they are at most MAX_LISTS, so they are literals of the plan.
+    Centroids are fitted by k-means of directions to at most SAMPLE rows a list, chosen by a hash; they are at most
+    MAX_LISTS, so they are literals of the plan. Each list's widest angle to its centroid is taken over all rows. A query
+    reads its nearest lists first; then every other list that, by the triangle inequality of angles, may hold a row as
+    near as the last one found. So the result is that of knn() over all rows, wherever the centroids lie; lists are left
+    out only where the vectors form groups.
     """
 
-    MAX_LISTS = 256
+    MAX_LISTS, SAMPLE, STEPS = 256, 64, 10
+    #: Scores are rounded to six digits before they are ranked: a list within this of the last score is read.
+    SLACK = 2e-6
 
     def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding"):
         self.id_col, self.vec_col = id_col, vec_col
-        few = rows.select(vec_col).orderBy(F.xxhash64(id_col), id_col).limit(min(lists, self.MAX_LISTS)).collect()
-        self.centroids = [[float(x) for x in r[0]] for r in few]
-        near = F.array(*(F.struct((-cosine(F.col(vec_col), c)).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)))
-        self.rows = rows.withColumn("list", F.array_min(near)["list"]) if self.centroids else rows.withColumn("list", F.lit(0))
+        self.all, lists = rows, min(lists, self.MAX_LISTS)
+        few = rows.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(lists * self.SAMPLE).collect()
+        self.centroids = self.fitted([[float(x) for x in r[0]] for r in few], lists)
+        if not self.centroids:
+            self.rows, self.widest = rows.withColumn("list", F.lit(0)), {}
+            return
+        near = F.array_min(F.array(*(F.struct((-dot(F.col(vec_col), c)).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids))))
+        filed = rows.withColumn("_near", near)
+        self.rows = filed.withColumn("list", F.col("_near.list")).drop("_near")
+        # centroids have length one
+        cos = -F.col("_near.d") / F.sqrt(dot(F.col(vec_col), F.col(vec_col)))
+        widest = filed.groupBy(F.col("_near.list").alias("list")).agg(F.min(F.nanvl(cos, F.lit(-1.0))).alias("cos")).collect()
+        self.widest = {r["list"]: self.angle(r["cos"]) if r["cos"] is not None else math.pi for r in widest}
+
+    @staticmethod
+    def angle(cos: float) -> float:
+        return math.acos(max(-1.0, min(1.0, cos)))
+
+    @classmethod
+    def fitted(cls, sample: list[list[float]], lists: int) -> list[list[float]]:
+        """At most so many centroids of length one, from distinct directions of the sample on."""
+        x = np.array([v for v in sample if any(v)], np.float64)
+        if not len(x):
+            return []
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        first = np.sort(np.unique(x.round(9), axis=0, return_index=True)[1])[:lists]
+        c = x[first]
+        for _ in range(cls.STEPS):
+            of = (x @ c.T).argmax(axis=1)
+            for i in range(len(c)):
+                mean = x[of == i].sum(axis=0)
+                if np.linalg.norm(mean) > 1e-9:
+                    c[i] = mean / np.linalg.norm(mean)
+        return c.tolist()
+
+    def lists_of(self, query: list[float], k: int, probes: int) -> list[int]:
+        """The lists that a query reads: its nearest ones, and those that may hold a row as near as the k-th found there."""
+        length = math.sqrt(sum(x * x for x in query))
+        away = [self.angle(sum(a * b for a, b in zip(c, query, strict=True)) / length) for c in self.centroids]
+        order = sorted(self.widest, key=lambda i: (away[i], i))
+        found = knn(self.rows, query, k, self.id_col, self.vec_col, F.col("list").isin(order[:probes])).collect()
+        if len(found) < k or found[-1]["score"] is None:
+            return order
+        least = found[-1]["score"] - self.SLACK
+        return order[:probes] + [i for i in order[probes:] if not math.cos(max(0.0, away[i] - self.widest[i])) < least]
 
     def knn(self, query: list[float], k: int, probes: int) -> DataFrame:
-        import math
-
-        def cos(c: list[float]) -> float:
-            return sum(a * b for a, b in zip(c, query, strict=True)) / (math.sqrt(sum(a * a for a in c)) * math.sqrt(sum(b * b for b in query)))
-
-        order = sorted(range(len(self.centroids)), key=lambda i: (-cos(self.centroids[i]), i))[:probes]
-        return knn(self.rows, query, k, self.id_col, self.vec_col, F.col("list").isin(order))
+        """What knn() over all rows gives; `probes` lists are read first."""
+        lists = self.lists_of(query, k, probes) if k and self.centroids else []
+        if len(lists) == len(self.widest):
+            return knn(self.all, query, k, self.id_col, self.vec_col)
+        return knn(self.rows, query, k, self.id_col, self.vec_col, F.col("list").isin(lists))
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

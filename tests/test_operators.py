@@ -1,5 +1,6 @@
 """Golden rows and invariants."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,35 @@ def test_inverted_file_with_all_lists_is_exact(spark):
     assert f.knn(q, 10, 8).collect() == vector.knn(rows, q, 10).collect()
 
 
+def test_inverted_file_finds_what_brute_force_finds(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").cache()
+    f = vector.InvertedFile(rows, 16)
+    vectors = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in rows.collect()}
+    x = np.array(list(vectors.values()))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, hits = list(vectors), []
+    for q in sorted(vectors)[::25]:
+        score = (x @ x[ids.index(q)]).round(6)
+        want = sorted(zip(-score, ids))[:10]
+        got = [r["id"] for r in f.knn(vectors[q], 10, 8).collect()]
+        hits.append(len({i for _, i in want} & set(got)) / 10)
+    assert len(hits) >= 20 and np.mean(hits) > 0.99
+
+
+def test_inverted_file_leaves_out_lists_of_grouped_vectors(spark):
+    r = np.random.default_rng(0)
+    middle = r.standard_normal((8, 16))
+    v = middle[np.arange(400) % 8] + 0.02 * r.standard_normal((400, 16))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(400, None)], "vec_id long, embedding array<float>").cache()
+    f = vector.InvertedFile(rows, 8)
+    for q in range(3):
+        query = v[q].tolist()
+        assert f.knn(query, 10, 1).collect() == vector.knn(rows, query, 10).collect()
+        assert len(f.lists_of(query, 10, 1)) < len(f.widest)
+    assert len(f.knn(v[0].tolist(), 500, 1).collect()) == 401
+    assert vector.InvertedFile(rows.limit(0), 8).knn([1.0] * 16, 10, 8).count() == 0
+
+
 def test_answers_fit_their_schema(spark):
     d = spark.createDataFrame([('text {"answer": "x", "confidence": "high"} more',)], "t string")
     r = d.select(parse_answer(F.col("t"), "base").alias("a")).select("a.answer", one_of(F.col("a.confidence"), ["high", "low"]), bounded(F.col("a.citations"), 5)).collect()[0]
