@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import default_path, encoder
 from .common import BATCH_ROWS, SMALL_ROWS, stored, table
 
-#: Tokens a sequence, tokens a slice, most queues (sources beyond them share hashed queues), the token that ends a document.
+#: Tokens a sequence, tokens a slice, most queues (see `queues_of`), the token that ends a document.
 WINDOW, SLICE, MAX_QUEUES, END = 4096, 256, 1024, 2
 
 
@@ -139,28 +139,55 @@ def tokenised(docs: DataFrame, path: str, width: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, source string, doc_id long, n long, before long, ids binary")
 
 
+def named(source: str | None) -> str:
+    """The name of a source's own queue."""
+    return "-" if source is None else f"={source}"
+
+
+def queues_of(sums: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """sums(part, source, n) with `name` and `queue`.
+
+    Up to MAX_QUEUES sources have a queue each. Of more, those with a target and the largest others keep theirs; half of
+    MAX_QUEUES is theirs, or as many as there are targets. Only the small ones that are left share hashed queues, in what
+    MAX_QUEUES leaves (one at least); none of these has a target, so a shared queue's weight is 0 where targets are given.
+    """
+    sums = sums.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    if sums.select("name").distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
+        return sums.withColumn("queue", F.col("name"))
+    spark, schema = sums.sparkSession, "name string"
+    own = [named(s) for s, t in (targets or {}).items() if t > 0]
+    given = F.broadcast(spark.createDataFrame([(x,) for x in own], schema).coalesce(1))
+    # every targeted source found counts, whether or not it is among the largest
+    found = [r["name"] for r in sums.select("name").distinct().join(given, "name", "left_semi").collect()]
+    room = max(0, MAX_QUEUES // 2 - len(found))
+    large = sums.join(given, "name", "left_anti").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(room).collect() if room else []
+    own = [*found, *(r["name"] for r in large)]
+    kept = spark.createDataFrame([(x, x) for x in own], f"{schema}, queue string").coalesce(1)
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max(1, MAX_QUEUES - len(own)))).cast("string"))
+    return sums.join(F.broadcast(kept), "name", "left").withColumn("queue", F.coalesce("queue", shared))
+
+
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW, slice_: int = SLICE, path: str | None = None) -> DataFrame:
     """A row for each piece of a document in a sequence, with its queue.
 
     targets: token shares by source; sources without one are packed after the others. None: the corpus's own shares,
     so that every window holds the whole mixture. Texts are tokenised once into a scratch table; then only sums by
-    part and source are shuffled. Sums by source, at most MAX_QUEUES, come to the driver.
+    part and source are shuffled. Sums by queue come to the driver: at most MAX_QUEUES, or one more than there are targets.
     """
     path = path or default_path()
     width = "<u2" if encoder(path).library.get_vocab_size() <= 0xFFFF else "<u4"
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, path, width))
     sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")))
-    many = sums.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")) if many else F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     # a part's sources that share a queue follow one another
     order = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    per_part = sums.withColumn("queue", queue)
+    per_part = queues_of(sums, targets)
     totals = {r["queue"]: r["n"] for r in per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
-    plan = Plan([totals[x] for x in names], None if targets is None else [round(1e6 * targets.get(x[1:], 0)) if x[:1] == "=" else 0 for x in names], window, slice_)
+    weights = {named(x): max(1, round(1e6 * t)) for x, t in (targets or {}).items() if t > 0}
+    plan = Plan([totals[x] for x in names], None if targets is None else [weights.get(x, 0) for x in names], window, slice_)
     numbers = {x: i for i, x in enumerate(names)}
-    starts = per_part.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), "queue", "first")
+    starts = per_part.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "name", "queue", "first")
     rows = tokens.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     starts = stored(starts)
     placed = rows.join(F.broadcast(starts) if starts.count() <= SMALL_ROWS else starts, ["part", "name"])

@@ -99,6 +99,25 @@ def test_targets_and_many_queues(spark, monkeypatch):
     assert few.select("queue").distinct().count() <= 2
 
 
+def test_targets_hold_with_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    rows = [(i, PROSE * 3, f"s{i % 3}") for i in range(120)] + [(200 + i, PROSE, f"tail{i}") for i in range(20)] + [(300 + i, PROSE * 3, "big") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
+    whole = d.count()
+    for targets in ({"s0": 0.5, "s1": 0.25, "s2": 0.25}, {"s0": 5, "s1": 2, "s2": 1e-9, "big": 1, "absent": 3}):
+        got = packing.pack(d, targets)
+        first = {r["queue"]: r["n"] for r in got.groupBy("sequence_id", "queue").agg(F.sum("length").alias("n")).where("sequence_id = 0").collect()}
+        want = {"=s0": 2048, "=s1": 1024, "=s2": 1024} if "big" not in targets else {"=s0": 2560, "=s1": 1024, "=big": 512}
+        assert first.keys() == want.keys() and all(abs(first[q] - n) <= packing.SLICE for q, n in want.items())
+        assert got.select("doc_id").distinct().count() == whole
+        places = got.select("sequence_id", "offset", "length").collect()
+        assert len({(r["sequence_id"], r["offset"]) for r in places}) == len(places)
+    # without targets the large sources keep their own shares, and only small ones share queues
+    names = {r["queue"]: r["n"] for r in packing.pack(d).groupBy("queue").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert {"=big": 90, "=s0": 40}.items() <= names.items() and len(names) <= 4
+    assert sum(n for x, n in names.items() if x[0] == "#") == 100
+
+
 def test_join(odd, none):
     got = {r["id"]: r for r in parity_join.near_duplicates(odd, 4, 85, 100).collect()}
     assert got[0]["n_shingles"] == got[2]["n_shingles"] == 0 and got[0]["component_id"] == 0 and got[2]["component_id"] == 2
