@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
 The patterns give the base spans. Between them, stretches of text around digits, "@" and spelt-out addresses are cut
-into tokens. A segment of at most SPAN tokens that may be an entity scores by features of the whole segment (counts and
+into tokens. A segment of at most SPAN tokens (SPELT_SPAN if it has letters) that may be an entity scores by features of the whole segment (counts and
 grouping of digits, checksum, octets, separators, what stands before and after it, cue words) and by the kind of the
 segment before it; any other token is a segment of its own. Dynamic programming over segments of bounded length finds
 the best segmentation, boundaries and kinds together. Base spans bound the stretches and always stay.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 KINDS = ["email", "ip", "card", "phone"]
-SPAN, SEED, EXAMPLES, EPOCHS = 15, 3, 900, 12
+SPAN, SPELT_SPAN, SEED, EXAMPLES, EPOCHS = 15, 32, 3, 900, 12
+#: Digits of an entity without letters, and the least of an address of four octets with points between them.
+LEAST, MOST, LEAST_IP = 7, 19, 4
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,8 +103,12 @@ def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segme
         n = groups_in = 0
         if first.isspace() or not (first.isalnum() or first in "+(["):
             continue
-        for j in range(i + 1, min(len(tokens), i + SPAN) + 1):
+        letters = False
+        for j in range(i + 1, min(len(tokens), i + SPELT_SPAN) + 1):
             b = tokens[j - 1][1]
+            letters = letters or text[tokens[j - 1][0]].isalpha()
+            if j - i > SPAN and not letters:
+                break
             n += digits_in[j - 1]
             groups_in += digits_in[j - 1] > 0
             if n > 25 or groups_in > GROUPS:
@@ -111,20 +117,25 @@ def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segme
                 continue
             span = text[a:b]
             around = [f"before={_side(text[a - 1 : a])}", f"after={_side(text[b : b + 1])}", f"cue={cue}"]
-            if not any(c.isalpha() for c in span):
-                if n < 7 or n > 19:
+            if not letters:
+                if n < LEAST_IP or n > MOST:
                     continue
                 digits = _digits(span)
                 groups = re.findall(r"[0-9]+", span)
+                between = re.split(r"[0-9]+", span)[1:-1]
+                if n < LEAST and not (len(groups) == 4 and all("." in x for x in between)):
+                    continue
                 marks = "".join(sorted(set(re.sub(r"[0-9]", "", span))))
                 shape = ",".join(str(len(g)) for g in groups[:6])
                 octets = len(groups) == 4 and all(int(g) <= 255 for g in groups)
                 shared = [f"digits={n}", f"shape={shape}", f"marks={marks}", f"groups={min(6, len(groups))}", f"plus={first == '+'}", f"paren={'(' in span}", f"octets={octets}{'.' in span}", f"luhn={luhn(digits)}{n}", f"zero={digits[0] == '0'}", f"whole={marks}|{shape}", *around]
-                out += [Segment(i, j, k, [f"{k}|{f}" for f in shared]) for k in (1, 2, 3)]
-            elif "@" in span or "at)" in span or "at]" in span or (" at " in span and " dot " in span):
+                if octets:
+                    shared.append(f"between={'|'.join(sorted(set(between)))}")
+                out += [Segment(i, j, k, [f"{k}|{f}" for f in shared]) for k in ((1, 2, 3) if n >= LEAST else (1,))]
+            elif first.isalnum() and ("@" in span or "at)" in span or "at]" in span or (" at " in span and " dot " in span)):
                 shape = re.sub(r"[0-9]+", "9", re.sub(r"(?<![^\W\d_])(?:at|dot)(?![^\W\d_])", lambda m: m[0].upper(), re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0] in ("at", "dot") else "w", span)))
                 tail = span.rsplit(".", 1)[-1].rsplit(" ", 1)[-1]
-                shared = [f"shape={shape}", f"tail={min(6, len(tail))}", f"tail_letters={tail.isalpha()}", f"spaces={span.count(' ')}", *around]
+                shared = [f"shape={shape}", f"form={re.sub('[w9_.+-]+', 'x', shape)}", f"tail={min(6, len(tail))}", f"tail_letters={tail.isalpha()}", f"spaces={span.count(' ')}", *around]
                 out += [Segment(i, j, 0, [f"0|{f}" for f in shared])]
     return out
 
@@ -239,9 +250,12 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             host, tld = word(3, 8) + r.choice(["", num(1)]), r.choice(["com", "org", "net", "de", "fr", "edu"])
             name = word() + r.choice(["", ".", "_"]) + r.choice(["", num(2), word()])
             name = name.rstrip("._")
-            s = r.choice([f"{name} at {host} dot {tld}", f"{name} (at) {host} (dot) {tld}", f"{name}[at]{host}[dot]{tld}", f"{name} [at] {host}.{tld}", f"{name} @ {host}.{tld}", f"{name}(at){host}.{tld}"])
+            labels = [host, tld] if r.random() < 0.6 else r.choice([[f"{word(3, 8)}.{host}", tld], [word(3, 8), host, tld], [host, "co", "uk"], [f"{word(3, 8)}.{host}", "co", "uk"]])
+            at, dot = r.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" [at] ", "."), (" @ ", "."), ("(at)", ".")])
+            s = name + at + dot.join(labels)
         elif kind == 1:
-            o = [str(r.randint(0, 255)) for _ in range(4)]
+            most = r.choice([9, 99, 255, 255, 255])
+            o = [str(r.randint(0, r.choice([9, most]))) for _ in range(4)]
             s = r.choice([".", "[.]", " . ", "(.)"]).join(o)
         elif kind == 2:
             d = nz(r.choice([16, 16, 16, 15]))
@@ -253,7 +267,7 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             s = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"0{nz(3)} {nz(7)}", f"0{nz(2)}/{nz(7)}", f"00{nz(2)} {nz(3)} {nz(7)}", f"+{nz(2)}/{nz(3)}/{nz(6)}", f"{a} {b} {c}"])
         else:
             y, m, d = r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28)
-            s = r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{y}-{y + 1}", nz(7), nz(8), nz(9), nz(10), nz(11), f"{r.randint(1, 9)}.{num(1)}.{num(2)}.{num(4)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{y}-{m:02d}-{d:02d} {num(2)}:{num(2)}", f"{nz(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", word(3, 6) + nz(16) + word(1, 3), f"{nz(2)} {nz(2)} {nz(2)} {nz(2)} {nz(1)}", f"{nz(1)}.{num(8)}", nz(20) + num(5), f"meet at {word()}.{word()}", f"{word()} at the dot {word()}", f"${nz(7)}.{num(2)}"])
+            s = r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{y}-{y + 1}", nz(7), nz(8), nz(9), nz(10), nz(11), f"{r.randint(1, 9)}.{num(1)}.{num(2)}.{num(4)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{y}-{m:02d}-{d:02d} {num(2)}:{num(2)}", f"{nz(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", word(3, 6) + nz(16) + word(1, 3), f"{nz(2)} {nz(2)} {nz(2)} {nz(2)} {nz(1)}", f"{nz(1)}.{num(8)}", nz(20) + num(5), f"meet at {word()}.{word()}", f"{word()} at the dot {word()}", f"${nz(7)}.{num(2)}", *(r.choice([". ", " .", ".. ", " ", "-", "/"]).join(str(r.randint(0, most)) for _ in range(r.randint(3, 7))) for most in (9, 99))])
         if kind < 4:
             spans.append((len(text), len(text) + len(s), kind))
         text += s + r.choice([" ", " ", ", ", ". ", "!! ", "### ", " | "])

@@ -302,6 +302,28 @@ def test_op10_field_on_unseen_sentences():
     assert right > 250 and wrong < 0.03 * right and missed < 0.05 * right
 
 
+def test_op10_every_written_entity_is_a_candidate():
+    r = random.Random(7)
+    for _ in range(1500):
+        text, gold = pii_crf._sentence(r)
+        seen = set(pii_crf.base_spans(text))
+        for a, b in pii_crf.stretches(text, []):
+            tokens, segments = pii_crf.lattice(text, a, b)
+            seen |= {(tokens[s.begin][0], tokens[s.end - 1][1], s.kind) for s in segments}
+        assert set(gold) <= seen, text
+
+
+@pytest.mark.parametrize("entity, kind", [("8[.]8[.]8[.]8", 1), ("10[.]0[.]0[.]1", 1), ("1 . 1 . 1 . 1", 1), ("10(.)0(.)0(.)1", 1), ("john.smith (at) mail.example (dot) com", 0), ("a.b (at) host1 (dot) com", 0), ("john.smith (at) mail.example (dot) co (dot) uk", 0)])
+def test_op10_short_addresses_and_long_spelt_ones(entity, kind):
+    text = f"please use {entity} today"
+    assert pii_crf.find_spans(text, pii_crf.trained())[1] == [(11, 11 + len(entity), kind)]
+
+
+@pytest.mark.parametrize("text", ["items 1 2 3 4 and 5", "1. 2. 3. 4. 5", "sections 1. 2. 3. 4 of", "rows 1-2-3-4-5-6", "10 .5 .2 .9 "])
+def test_op10_short_lists_are_no_addresses(text):
+    assert pii_crf.find_spans(text, pii_crf.trained())[1] == []
+
+
 def test_op10_best_segmentation_is_the_best():
     field = pii_crf.trained()
     text = "call (509) 555-6973 or 4111 1111 1111 1112"
