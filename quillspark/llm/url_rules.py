@@ -25,7 +25,9 @@ SITE_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 BLOCKED_PHRASES = ["casino win", "free bets", "ads track", "spam farm", "cheap pills", "adult x", "online casino", "sports betting", "free spins", "payday loan", "ad server", "ad click", "click track", "link farm", "viagra", "porn", "xxx", "escort", "doubleclick", "adserver"]
 #: At most so many rules: they are a configured list, held whole by each task.
 MAX_RULES = 100_000
-TOKEN = r"[a-z0-9\x{80}-\x{10ffff}]+"
+#: Words of letters and digits of ASCII in lower case; all else is a boundary, as in the rules' expressions and the SQL.
+TOKEN = "[a-z0-9]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(frozen=True)
@@ -44,13 +46,13 @@ def site_rule(action: str, host: str, path: str) -> Rule:
 
     A token of the path is used only where the rule's path ends it, since a longer word may go on there.
     """
-    whole = re.findall(r"[a-z0-9]+(?=[^a-z0-9])", path.lower())
-    return Rule(host + path, action, 1000 + len(host + path), rf"^([^#]*\.)?{re.escape(host)}#{re.escape(path)}", tuple(re.findall("[a-z0-9]+", host) + whole))
+    whole = re.findall(r"[a-z0-9]+(?=[^a-z0-9])", path.translate(LOWER))
+    return Rule(host + path, action, 1000 + len(host + path), rf"^([^#]*\.)?{re.escape(host)}#{re.escape(path)}", tuple(re.findall(TOKEN, host) + whole))
 
 
 def phrase_rule(phrase: str, action: str = "block") -> Rule:
     words = phrase.split()
-    return Rule(phrase, action, len(phrase), r"(?i)(?<![a-z0-9])" + "[^a-z0-9]".join(map(re.escape, words)) + r"(?![a-z0-9])", tuple(words))
+    return Rule(phrase, action, len(phrase), r"(?i)(?<![a-z0-9])" + "[^a-z0-9]".join(map(re.escape, words)) + r"(?![a-z0-9])", tuple(re.findall(TOKEN, phrase.translate(LOWER))))
 
 
 def default_rules() -> list[Rule]:
@@ -89,7 +91,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = spark.createDataFrame([(i, r.name, r.action, r.rank, r.regex, list(r.tokens)) for i, r in enumerate(rules)], "no int, rule string, action string, rank int, regex string, tokens array<string>").coalesce(1)
     urls = pages.select("url").where(F.col("url").contains("://")).distinct().withColumn("address", address(F.col("url")))
-    words = urls.select("url", "address", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("address"), F.lit(f"({TOKEN})"), F.lit(1))))).alias("token"))
+    words = urls.select("url", "address", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("address")), F.lit(f"({TOKEN})"), F.lit(1))))).alias("token"))
     literals = listed.select(F.explode("tokens").alias("token")).distinct()
     frequency = words.join(F.broadcast(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
     # the rarest token of each rule; a rule without a literal is filed under "", which every url has

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and further columns, for every operator and stage."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,19 @@ def test_urls(spark):
     assert url_rules.filter_urls(pages, [bare]).where("verdict = 'block'").count() == 9
 
 
+def test_urls_beyond_ascii_equal_sql(spark):
+    urls = ["http://x.example/видеоporn/", "http://x.example/pornвидео", "http://x.example/é-Porn\u212a", "http://x.example/caséxxx\u0130", "http://видео.net/é", "http://x.example/xpornx", "http://x.example/onlineéCasino", "http://x.example/\u212aporn"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    want = con.sql(f"SELECT page_id, pattern, verdict FROM ({url_rules.ORACLES['op9_url_filter']}) ORDER BY page_id").fetchall()
+    got = url_rules.filter_urls(pages, url_rules.default_rules()).select("page_id", "rule", "verdict").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == want and [r[1] for r in want].count("porn") == 4
+    cyrillic = url_rules.filter_urls(pages, [url_rules.phrase_rule("видео"), url_rules.phrase_rule("é Porn")]).where("verdict = 'block'").orderBy("page_id").collect()
+    assert [r["page_id"] for r in cyrillic] == [2, 4]
+
+
 def test_nearest(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (20, [0.0, 1.0])]
