@@ -36,7 +36,7 @@ def csv_cells(line: Column) -> Column:
 def catalog(tables: DataFrame) -> DataFrame:
     """(filename, table_number, name), by name."""
     parts = F.split(F.replace(F.col("filename"), F.lit(".csv"), F.lit("")), "_")
-    name = F.array_join(F.slice(parts, 3, 1000), " ")
+    name = F.array_join(F.slice(parts, 3, F.size(parts)), " ")
     return tables.select("filename").distinct().select("filename", F.try_element_at(parts, F.lit(2)).try_cast("int").alias("table_number"), name.alias("name"))
 
 
@@ -132,7 +132,7 @@ def read_table(tables: DataFrame, as_of_year: int, number: int | None = None, ke
     body = row_filter(body, row_text) if row_text else body
     by_year = year_pivot(body, cols).groupBy("filename", "pos").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("year", "value")))).alias("year_data"))
     rows = body.where((F.size("cells") > 1) & (trim(F.col("cells")[0]) != "")).join(by_year, ["filename", "pos"], "left")
-    return rows.join(catalog(tables), "filename").select("filename", "table_number", F.when(F.col("name") == "", "Financial Table").otherwise(F.col("name")).alias("description"), "pos", F.col("cells")[0].alias("row_label"), F.transform(F.slice("cells", 2, 10_000), clean_value).alias("values"), "year_data")
+    return rows.join(catalog(tables), "filename").select("filename", "table_number", F.when(F.col("name") == "", "Financial Table").otherwise(F.col("name")).alias("description"), "pos", F.col("cells")[0].alias("row_label"), F.transform(F.slice("cells", 2, F.size("cells")), clean_value).alias("values"), "year_data")
 
 
 def summary(tables: DataFrame, keyword: str, as_of_year: int) -> DataFrame:

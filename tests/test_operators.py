@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.model import bounded, one_of, parse_answer
-from quillspark.operators import hybrid, ingest, lexical, quality, split, vector, workflow
+from quillspark.operators import hybrid, ingest, lexical, quality, split, tables, vector, workflow
 from quillspark.sources import readers
 
 
@@ -63,6 +63,14 @@ def test_tables_and_chunks_round_trip(spark, tmp_path):
     assert readers.probe(spark, str(tmp_path / "table_001_a.csv")).collect()[0]["lines"] == 2
 
 
+def test_wide_tables_keep_all_values(spark):
+    name = "table_001_" + "_".join(f"w{i}" for i in range(1_100)) + ".csv"
+    rows = [(name, 0, ["", *(["2024"] * 2)]), (name, 1, ["Revenue", *map(str, range(10_050))])]
+    t = spark.createDataFrame(rows, "filename string, pos int, cells array<string>")
+    got = tables.read_table(t, 2025, number=1, row_text="revenue").select("description", F.size("values").alias("n"), F.element_at("values", -1).alias("last")).collect()
+    assert [(r["n"], r["last"], r["description"].split()[-1]) for r in got] == [(10_050, "10049", "w1099")]
+
+
 def test_vector_table_upserts(spark):
     v = lambda rows: spark.createDataFrame(rows, "id string, x int")
     readers.write_vectors(v([("a", 1), ("b", 2)]), "vectors_test", replace=True)
