@@ -1,12 +1,13 @@
 """Quality classifier by co-training of two views.
 
 The content view sees the words and shapes of the whole text; the metadata view sees source, language, length and line
-layout. Each is a logistic regression. In each round either view labels the pool's documents it is surest of, if sure
-enough, for the other to learn from. At the end each view is calibrated on labelled rows kept apart, and a logistic
+layout. Each is a logistic regression. In each round either view labels the documents it is surest of, if sure enough,
+for the other to learn from; they are looked for among all documents without a label. At the end each view is calibrated on labelled rows kept apart, and a logistic
 regression over the two calibrated log odds, fitted on the same rows, gives the score of every document.
 
-Training reads at most LABELLED documents with a label and a pool of at most POOL without one, both chosen by a hash of
-their ids; their feature vectors of fixed length come to the driver. With no label, or labels of one kind only, all
+Training reads at most LABELLED documents with a label, chosen by a hash of their ids. The feature vectors, of fixed length,
+of all documents without one are written to a scratch table, which every round scores in tasks. To the driver come those
+of labelled documents and, a round, the TAKEN surest documents of each view and class. With no label, or labels of one kind only, all
 documents get that kind's share (1 where nothing is known) as their score.
 
 Defined results: a null text is empty and has empty content features; null metadata is a value of its own. Whole texts
@@ -17,17 +18,19 @@ are left out. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_arrow, map_arrow, table
+from .common import BATCH_ROWS, filter_arrow, map_arrow, small, stored, table
 from .rule_forest import sampled
 
-LABELLED, POOL, ROUNDS, SEED = 6_000, 4_000, 5, 11
+LABELLED, ROUNDS = 6_000, 5
 #: Least calibrated probability of a pseudo-label, and most of them a round and class.
 SURE, TAKEN = 0.97, 300
 #: Lengths of the feature vectors: word hashes, shapes, shape pairs, then repetition; and of the metadata.
@@ -139,7 +142,38 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(f.w[0])) / scale, f.b
 
 
+#: By view and class, the surest documents that the other view has not learnt: (key, content, metadata).
+Surest = dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]]
+
+
 def cotrain(content_: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, keep: float = KEEP) -> Model:
+    """co_trained() with a pool of vectors at hand."""
+    pool = [pool_content, pool_meta]
+
+    def surest(views: list[Linear], odds: list[tuple[float, float]], known: list[list[int]]) -> Surest:
+        out: Surest = {}
+        keys = np.arange(len(pool_content))
+        for (v, label), (sure, at) in sure_rows(views, odds, known, pool, keys).items():
+            best = at[np.argsort(-sure, kind="stable")][:TAKEN].tolist()
+            out[v, label] = [(r, pool_content[r], pool_meta[r]) for r in best]
+        return out
+
+    return co_trained(content_, meta, y, surest, rounds if len(pool_content) else 0, keep)
+
+
+def sure_rows(views: list[Linear], odds: list[tuple[float, float]], known: list[list[int]], pool: list[np.ndarray], keys: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By view and class: probabilities and places of the rows it is sure of, without those that the other view has learnt (`known`, by view)."""
+    out = {}
+    for v in (0, 1):
+        p = sigmoid(odds[v][0] * views[v](pool[v]) + odds[v][1])
+        new = ~np.isin(keys, np.array(known[1 - v], np.int64))
+        for label, sure in ((1, p), (0, 1 - p)):
+            at = np.flatnonzero(new & (sure >= SURE))
+            out[v, label] = (sure[at], at)
+    return out
+
+
+def co_trained(content_: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable[[list[Linear], list[tuple[float, float]], list[list[int]]], Surest], rounds: int = ROUNDS, keep: float = KEEP) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(None, [], (0, 0, 0), 0.5, float(y.mean()) if len(y) else 1.0)
     y = y.astype(np.float32)
@@ -147,22 +181,23 @@ def cotrain(content_: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content:
     if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
         apart[:] = False
     cal = apart if apart.any() else ~apart
-    x, pool = [content_, meta], [pool_content, pool_meta]
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that either view has learnt from, by row of the pool
+    x = [content_, meta]
+    # pseudo-labels, with the vector, that either view has learnt from, by key
+    extra: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
     views: list[Linear] = []
     for turn in range(rounds + 1):
         views, odds = [], []
         for v in (0, 1):
-            rows = np.array(sorted(extra[v]), np.int64)
-            views.append(logistic(np.vstack([x[v][~apart], pool[v][rows]]), np.concatenate([y[~apart], np.array([extra[v][r] for r in rows.tolist()], np.float32)])))
+            learnt = [extra[v][r] for r in sorted(extra[v])]
+            views.append(logistic(np.vstack([x[v][~apart], *(vector[None] for _, vector in learnt)]), np.concatenate([y[~apart], np.array([label for label, _ in learnt], np.float32)])))
             odds.append(platt(views[v](x[v][cal]), y[cal]))
-        if turn == rounds or not len(pool_content):
+        if turn == rounds:
             break
-        for v in (0, 1):
-            p = sigmoid(odds[v][0] * views[v](pool[v]) + odds[v][1])
-            for label, sure in ((1, p), (0, 1 - p)):
-                new = [r for r in np.argsort(-sure, kind="stable").tolist() if sure[r] >= SURE and r not in extra[1 - v]]
-                extra[1 - v] |= dict.fromkeys(new[:TAKEN], label)
+        new = surest(views, odds, [sorted(e) for e in extra])
+        if not any(new.values()):  # nothing to learn: the views stay as they are
+            break
+        for (v, label), rows in new.items():
+            extra[1 - v] |= {r[0]: (label, r[2 - v]) for r in rows}
     z = np.stack([a * f(v[cal]) + b for (a, b), f, v in zip(odds, views, x, strict=True)], 1)
     scale = np.maximum(1e-6, np.abs(z).mean(axis=0))
     both = logistic(z / scale, y[cal], 1e-3, 400)
@@ -173,32 +208,81 @@ def cotrain(content_: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content:
     return model
 
 
+def _packed(vector: np.ndarray) -> bytes:
+    """Half floats, most of them 0, deflated: less to hold in the JVM."""
+    return zlib.compress(vector.astype(np.float16).tobytes(), 1)
+
+
+def _unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zlib.decompress, rows)), np.float16).reshape(-1, width).astype(np.float32)
+
+
 def features(docs: DataFrame, keep: str) -> DataFrame:
-    """(content, meta) as packed floats, with the column `keep` (int)."""
+    """(content, meta) as packed vectors, with the column `keep` (int)."""
     cache = Word()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         t, s, g = (b.column(x).to_pylist() for x in ("text", "source", "lang"))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(keep), pa.array([content(x, cache).astype(np.float16).tobytes() for x in t], pa.binary()), pa.array([metadata(*x).astype(np.float16).tobytes() for x in zip(s, g, t, strict=True)], pa.binary())], ["doc_id", keep, "content", "meta"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(keep), pa.array([_packed(content(x, cache)) for x in t], pa.binary()), pa.array([_packed(metadata(*x)) for x in zip(s, g, t, strict=True)], pa.binary())], ["doc_id", keep, "content", "meta"])
 
     return map_arrow(docs.select("doc_id", keep, "text", "source", "lang"), run, f"doc_id long, {keep} int, content binary, meta binary")
 
 
 def _matrix(rows: list, column: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(r[column] for r in rows), np.float16).reshape(-1, width).astype(np.float32)
+    return _unpacked([r[column] for r in rows], width)
 
 
 def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
+def surest_of(pool: DataFrame, views: list[Linear], odds: list[tuple[float, float]], known: list[list[int]]) -> Surest:
+    """The surest rows of pool(row, doc_id, content, meta): each task keeps its own TAKEN of each view and class, by ids only, then the best of all get their vectors."""
+    width = WORDS + SHAPES + PAIRS + EXTRA
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+            vectors = [_unpacked(b.column(c).to_pylist(), n) for c, n in (("content", width), ("meta", META))]
+            keys, ids = b.column("row").to_numpy(), b.column("doc_id").fill_null(-1).to_numpy()
+            for k, (sure, at) in sure_rows(views, odds, known, vectors, keys).items():
+                if len(at):
+                    all_ = [np.concatenate([x, y]) for x, y in zip(best[k], (sure, ids[at], keys[at]), strict=True)] if k in best else [sure, ids[at], keys[at]]
+                    order = np.lexsort((all_[2], all_[1], -all_[0]))[:TAKEN]
+                    best[k] = tuple(x[order] for x in all_)
+        for (v, label), (sure, ids, keys) in best.items():
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(sure.astype(np.float64)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["view", "label", "sure", "doc_id", "row"])
+
+    tops = stored(pool.mapInArrow(run, "view int, label int, sure double, doc_id long, row long"))
+    kinds = [(v, label) for v in (0, 1) for label in (1, 0)]
+    best = reduce(DataFrame.unionAll, (tops.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), "doc_id", "row").limit(TAKEN) for v, label in kinds)).select("view", "label", "row").collect()
+    if not best:
+        return {}
+    wanted = pool.sparkSession.createDataFrame([(x,) for x in sorted({r["row"] for r in best})], "row long").coalesce(1)
+    found = pool.join(F.broadcast(wanted), "row", "left_semi").select("row", "content", "meta").collect()
+    vectors = {r["row"]: (_matrix([r], "content", width)[0], _matrix([r], "meta", META)[0]) for r in found}
+    return {(v, label): [(r["row"], *vectors[r["row"]]) for r in best if (r["view"], r["label"]) == (v, label)] for v, label in kinds}
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     docs = plain(docs)
     rows = features(sampled(docs, labels, labelled).withColumn("y", F.col("y").cast("int")), "y").orderBy("doc_id", "content").limit(2 * labelled).collect()
-    free = docs.join(labels.where(F.col("quality").isNotNull()).select("doc_id"), "doc_id", "left_anti").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(pool)
-    spare = features(docs.join(F.broadcast(free.distinct()), "doc_id").withColumn("y", F.lit(-1)), "y").orderBy("doc_id", "content").limit(2 * pool).collect()
     width = WORDS + SHAPES + PAIRS + EXTRA
-    return cotrain(_matrix(rows, "content", width), _matrix(rows, "meta", META), np.array([r["y"] > 0 for r in rows], np.float32), _matrix(spare, "content", width), _matrix(spare, "meta", META), rounds)
+    y = np.array([r["y"] > 0 for r in rows], np.float32)
+    if not len(y) or y.min() == y.max():  # nothing to tell apart: no pool is needed
+        rounds = 0
+    pool = None
+
+    def surest(views: list[Linear], odds: list[tuple[float, float]], known: list[list[int]]) -> Surest:
+        nonlocal pool
+        if pool is None:
+            known_ids = small(stored(labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()))
+            free = docs.join(known_ids, "doc_id", "left_anti").withColumn("y", F.lit(-1))
+            pool = stored(features(free, "y").withColumn("row", F.monotonically_increasing_id()).drop("y"))
+        return surest_of(pool, views, odds, known)
+
+    return co_trained(_matrix(rows, "content", width), _matrix(rows, "meta", META), y, surest, rounds)
 
 
 def _scored(model: Model, cache: Word, text: list, source: list, lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

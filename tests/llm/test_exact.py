@@ -48,6 +48,31 @@ def test_views_exchange_labels():
     assert ((s > 0.5) == y[300:]).mean() > 0.9
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "TAKEN", 7)
+    r = random.Random(1)
+    prose = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    good, bad = "the cat sat on a warm mat and went away".split(), "BUY!!! 99$ now4 FREE>>> click# x9x".split()
+    rows = [(i, prose(good if i % 2 else bad, 40), "s", "en") for i in range(200)] + [(1000 + i, prose(good if i % 2 else bad, 40), "s", "en") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, inner = [], cotraining.surest_of
+    monkeypatch.setattr(cotraining, "surest_of", lambda pool, *a: seen.append((pool, a, inner(pool, *a))) or seen[-1][2])
+    model = cotraining.train(d, labels, rounds=2)
+    pool, (views, odds, known), got = seen[-1]
+    rows = pool.orderBy("row").collect()
+    assert len(rows) == 6000 and len(seen) == 2 and max(model.taken) == 2 * 2 * 7
+    # the best of the second round, by hand
+    x = [cotraining._matrix(rows, "content", 1028), cotraining._matrix(rows, "meta", cotraining.META)]
+    keys, ids = np.array([q["row"] for q in rows]), np.array([q["doc_id"] for q in rows])
+    for k, (sure, at) in cotraining.sure_rows(views, odds, known, x, keys).items():
+        want = [p for _, p in sorted(zip(-sure, at), key=lambda t: (t[0], ids[t[1]]))][:7]
+        assert len(got[k]) == min(7, len(at))
+        p = lambda rows_: [cotraining.sigmoid(odds[k[0]][0] * views[k[0]](x[k[0]][rows_]) + odds[k[0]][1])]
+        assert np.allclose(p(want), p([int(np.flatnonzero(keys == q[0])[0]) for q in got[k]]), atol=1e-5)
+        assert not {q[0] for q in got[k]} & set(known[1 - k[0]])
+
+
 def test_op3_base_statistics(texts):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for t in [*texts.values(), "a b c a b c", "a a a a", "x\n\nx\n x", "a b c d a b", " \x1c\x85 "]:
