@@ -48,15 +48,24 @@ ROUTES = [
     ("business", ["business", "operations", "model", "strategy"]),
 ]
 
-# Term lists of reranking, with the sections they favour and the factors.
+# Term lists of reranking, with the sections they favour and the factors. Names of a company's people are
+# not among them: `with_names` adds them to the last list.
 RERANK = [
     (["revenue", "income", "earnings", "profit", "loss", "ebitda", "margin", "growth", "sales", "costs", "expenses", "operating", "gross", "net", "financial", "statement", "quarter", "annual", "year-over-year", "yoy"],
      ["management's discussion", "financial", "results of operations", "consolidated statements"], 2.0),
     (["ownership", "shares", "equity", "stock", "voting", "stockholder", "shareholder", "percentage", "control", "class", "common", "preferred"],
      ["principal", "stockholder", "ownership", "capitalization", "dilution"], 2.0),
-    (["dylan", "field", "ceo", "executive", "officer", "director", "management", "compensation", "salary", "bonus", "equity", "grant"],
+    (["ceo", "executive", "officer", "director", "management", "compensation", "salary", "bonus", "equity", "grant"],
      ["management", "executive", "compensation"], 1.8),
 ]
+
+
+def with_names(names: list[str], lists: list[tuple[list[str], list[str], float]] = RERANK) -> list[tuple[list[str], list[str], float]]:
+    """The lists of reranking with names of people, in lower case, before the words of their offices."""
+    *rest, (words, sections, factor) = lists
+    return [*rest, ([*names, *words], sections, factor)]
+
+
 #: (query words, words that the text needs all of, sections one of which is needed) of the boost after hybrid search.
 BOOSTS = [(["revenue", "income"], ["$", "million"], ["financial", "results"]), (["ownership"], ["%", "shares"], ["stockholder", "ownership"])]
 
@@ -72,13 +81,14 @@ SECTION_DESCRIPTIONS = [("financial", "Financial data table"), ("management", "M
 PRIORITY_KEYWORDS = ["revenue", "income", "profit", "expense", "operations"]
 
 # Signs of placeholder text, and patterns of figures.
+# digits are written [0-9], since PLACEHOLDER also runs in Python, where \d matches those of other scripts
 PLACEHOLDER = r"(?i:from agent|agent analysis|placeholder|todo|tbd)|\[.*\]|^Driver [0-9]+$|^Risk [0-9]+$"
 FINANCIAL_FIELDS = {
-    "revenue": r"(?i)(?:revenue|sales).*?\$?([0-9,]+\.?[0-9]*)\s*(?:million|billion|M|B)",
-    "growth_rate": r"(?i)(?:growth|grew|increased).*?([0-9.]+)%",
-    "gross_margin": r"(?i)gross margin.*?([0-9.]+)%",
-    "operating_margin": r"(?i)operating margin.*?([0-9.]+)%",
-    "cash_position": r"(?i)cash.*?\$?([0-9,]+\.?[0-9]*)\s*(?:million|billion|M|B)",
+    "revenue": r"(?i)(?:revenue|sales).*?\$?([\d,]+\.?\d*)\s*(?:million|billion|M|B)",
+    "growth_rate": r"(?i)(?:growth|grew|increased).*?([\d.]+)%",
+    "gross_margin": r"(?i)gross margin.*?([\d.]+)%",
+    "operating_margin": r"(?i)operating margin.*?([\d.]+)%",
+    "cash_position": r"(?i)cash.*?\$?([\d,]+\.?\d*)\s*(?:million|billion|M|B)",
 }
 SCENARIOS = [
     ("base_case", "Moderate growth with balanced risk realization", "60%", ["Current market conditions persist", "Management executes on strategy"]),

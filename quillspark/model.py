@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .operators.quality import clean, extract_json
 
 CITATION = "struct<section: string, page: int, quote: string, table_number: int>"
 METRIC = "struct<name: string, value: string, period: string, trend: string>"
@@ -17,10 +24,19 @@ ANSWERS = {
 }
 
 
+#: Sections of a report: the keys that each must hold; a confidence level is one of LEVELS.
+LEVELS = ["High", "Medium", "Low"]
+SECTION_KEYS = {
+    "financial_analysis": ["revenue_analysis", "profitability_analysis", "cash_flow_analysis", "key_financial_metrics", "confidence_level", "supporting_evidence"],
+    "business_strategy": ["market_opportunity", "competitive_positioning", "business_model", "growth_strategy", "customer_analysis", "confidence_level", "supporting_evidence"],
+    "risk_assessment": ["risk_categories", "risk_matrix", "scenario_analysis", "confidence_level", "supporting_evidence"],
+    "valuation": ["valuation_methodologies", "price_target", "sensitivity_analysis", "investment_thesis", "confidence_level", "supporting_evidence"],
+    "executive_summary": ["investment_recommendation", "price_target", "key_investment_highlights", "financial_snapshot", "top_risks", "catalysts", "confidence_level", "supporting_evidence"],
+}
+
+
 def parse_answer(text: Column, route: str) -> Column:
     """An answer's JSON as the struct of its route; fields that don't fit are null."""
-    from .operators.quality import extract_json
-
     return F.from_json(extract_json(text), ANSWERS[route])
 
 
@@ -30,3 +46,59 @@ def bounded(items: Column, most: int) -> Column:
 
 def one_of(value: Column, allowed: list[str]) -> Column:
     return value.isin(allowed)
+
+
+def json_in(text: str) -> Any:
+    """The JSON value in a text: all of it, its first fenced block, or what its outer braces hold; None if there is none."""
+    fence, braces = re.search(r"```(?:json)?\s*(.*?)```", text, re.S), re.search(r"\{.*\}", text, re.S)
+    for part in (text, fence and fence[1], braces and braces[0]):
+        try:
+            return json.loads(part)
+        except (TypeError, ValueError):
+            continue
+    return None
+
+
+def misfits(value: Any, kind: T.DataType | list[str], path: str = "") -> list[str]:
+    """Paths of a JSON value that don't fit a type, or keys of a list that it lacks; a missing field of a type fits."""
+    if isinstance(kind, list):
+        return [k for k in kind if not isinstance(value, dict) or k not in value]
+    if value is None:
+        return []
+    if isinstance(kind, T.StructType):
+        if not isinstance(value, dict):
+            return [path]
+        return [p for f in kind.fields for p in misfits(value.get(f.name), f.dataType, f"{path}.{f.name}".lstrip("."))]
+    if isinstance(kind, T.ArrayType):
+        return [p for i, x in enumerate(value) for p in misfits(x, kind.elementType, f"{path}[{i}]")] if isinstance(value, list) else [path]
+    kinds = {T.StringType: str, T.IntegerType: int, T.LongType: int, T.DoubleType: (int, float), T.BooleanType: bool}
+    return [] if isinstance(value, kinds.get(type(kind), object)) and (not isinstance(value, bool) or isinstance(kind, T.BooleanType)) else [path]
+
+
+def parse_response(response: Any, kind: T.DataType | list[str] | str | None = None, strict: bool = False) -> tuple[Any, list[str]]:
+    """An agent's answer without placeholders and nulls, and the paths in which it doesn't fit `kind` (a type, its DDL, or keys); (None, []) if it holds no data.
+
+    A response is a text, or a mapping whose "object" is the data, whose "text" holds it, or which is the data. What
+    doesn't fit is returned all the same, unless strict, when that and a response without data raise ValueError.
+    """
+    if isinstance(response, dict):
+        found = response.get("object") or (json_in(response["text"]) if response.get("text") else response)
+    else:
+        found = json_in(response) if isinstance(response, str) else None
+    if not found:
+        if strict:
+            raise ValueError("no data in the response")
+        return None, []
+    found = _without_nulls(clean(found))
+    if isinstance(kind, str):
+        kind = T.StructType.fromDDL(kind)
+    wrong = misfits(found, kind) if kind is not None else []
+    if strict and wrong:
+        raise ValueError(f"the response doesn't fit at {', '.join(wrong)}")
+    return found, wrong
+
+
+def _without_nulls(x: Any) -> Any:
+    if isinstance(x, dict):
+        return {k: _without_nulls(v) for k, v in x.items() if v is not None}
+    return [_without_nulls(v) for v in x] if isinstance(x, list) else x

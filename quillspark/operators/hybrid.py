@@ -1,11 +1,13 @@
 """Hybrid retrieval: fusion, merging over variants of a query, boosting and reranking.
 
-Chunks are (id, content, section, embedding, ...). Similarities and BM25 are rounded to six digits, what is made of them to
-more, so that no rounding falls on a half; ties go to the smaller id.
+Chunks are (id, content, section, embedding, ...) with their lexical index. A chunk without a vector competes by keywords
+only. Similarities and BM25 are rounded to six digits, what is made of them to more, so that no rounding falls on a half;
+ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,34 +15,45 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import has_any
-from .lexical import fuse, query_terms, with_bm25
-from .vector import cosine, top_per
+from .lexical import Index, fuse, query_terms
+from .vector import cosine, knn, top_per
 
+RESULT = "id {id}, content string, section string, vector_score double, keyword_score double, score double, search_method string, fallback_reason string"
 
-def merge(vectors: DataFrame, keywords: DataFrame, chunks: DataFrame, vector_weight: float = 0.7) -> DataFrame:
-    """Full outer join of (id, vector_score) and (id, keyword_score), 0 for what is missing, with their chunks and fused score."""
-    both = vectors.join(keywords, "id", "full_outer").select("id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
-    return both.join(chunks, "id").withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))
 
+def merge(vectors: DataFrame, keywords: DataFrame, chunks: DataFrame, vector_weight: float = 0.7) -> DataFrame:
+    """Full outer join of (id, vector_score) and (id, keyword_score), 0 for what is missing, with their chunks and fused score.
 
-def multiquery(chunks: DataFrame, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7, where: Column | None = None) -> DataFrame:
+    A hit without a chunk is rebuilt from columns of the chunk's names in `vectors`, or dropped if these have no content.
+    """
+    both = vectors.join(keywords, "id", "full_outer")
+    held = [c for c in chunks.columns if c != "id"]
+    known = F.struct(*held) if held else F.struct(F.lit(True).alias("known"))
+    joined = both.join(chunks.select("id", known.alias("chunk")), "id", "left")
+    own = [c for c in held if c in vectors.columns]
+    cols = [F.coalesce(F.col(f"chunk.{c}"), F.col(c)).alias(c) if c in own else F.col(f"chunk.{c}").alias(c) for c in held]
+    found = F.col("chunk").isNotNull() | (F.col("content").isNotNull() if "content" in own else F.lit(False))
+    scores = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vector_score", "keyword_score")]
+    out = joined.where(found).select("id", *scores, *cols)
+    return out.withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))
+
+
+def multiquery(chunks: DataFrame, index: Index, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7, where: Column | None = None) -> DataFrame:
     """(id, content, section, vector_score, keyword_score, score) of the k best over all variants of a query.
 
     Each variant (text, vector) takes its 2k best by vector, filtered, and its 2k best by BM25, unfiltered, and fuses
-    them; a chunk keeps its best score, of the first variant if tied. All variants share one pass over the chunks; texts
-    join the few winners at the end.
+    them; a chunk keeps its best score, of the first variant if tied. All variants share one pass over the vectors, and
+    the index's postings of their terms; texts join the few winners at the end.
     """
-    names = [f"_kw{i}" for i in range(len(variants))]
-    scored = with_bm25(chunks, {n: query_terms(t) for n, (t, _) in zip(names, variants, strict=True)}, "content")
-    ok = where if where is not None else F.lit(True)
-    each = F.array(*(F.struct(F.lit(i).alias("variant"), F.round(n, 6).alias("kw"), F.when(ok, F.round(cosine(F.col("embedding"), v), 6)).alias("vec")) for i, (n, (_, v)) in enumerate(zip(names, variants, strict=True))))
-    rows = scored.select("id", F.explode(each).alias("s")).select("id", "s.*")
-    vec = top_per(rows.where("vec IS NOT NULL").select("id", "variant", "vec"), ["variant"], [F.desc("vec"), F.col("id")], 2 * k)
-    kw = top_per(rows.where("kw > 0").select("id", "variant", "kw"), ["variant"], [F.desc("kw"), F.col("id")], 2 * k)
+    near = chunks.where(where) if where is not None else chunks
+    each = F.array(*(F.struct(F.lit(i).alias("variant"), F.round(cosine(F.col("embedding"), v), 6).alias("vec")) for i, (_, v) in enumerate(variants)))
+    rows = near.where(F.col("embedding").isNotNull()).select("id", F.explode(each).alias("s")).select("id", "s.*")
+    vec = top_per(rows.where("vec IS NOT NULL"), ["variant"], [F.desc("vec"), F.col("id")], 2 * k)
+    kw = index.topk_each({str(i): query_terms(t) for i, (t, _) in enumerate(variants)}, 2 * k).select(F.col("query").cast("int").alias("variant"), "id", F.col("score").alias("kw"))
     both = vec.join(kw, ["variant", "id"], "full_outer").select("id", "variant", F.coalesce("vec", F.lit(0.0)).alias("vector_score"), F.coalesce("kw", F.lit(0.0)).alias("keyword_score"))
     both = both.withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))
     best = top_per(both, ["id"], [F.desc("score"), F.col("variant")], 1).orderBy(F.desc("score"), "id").limit(k).drop("variant")
-    return best.join(chunks.select("id", "content", "section"), "id").select("id", "content", "section", "vector_score", "keyword_score", "score")
+    return F.broadcast(best).join(chunks.select("id", "content", "section"), "id").select("id", "content", "section", "vector_score", "keyword_score", "score")
 
 
 def boost(results: DataFrame, query: str, boosts: list[tuple[list[str], list[str], list[str]]] = vocab.BOOSTS) -> DataFrame:
@@ -57,8 +70,8 @@ def _present(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words], F.lit(0))
 
 
-def rerank(results: DataFrame, query: str, k: int = 5, lists: list[tuple[list[str], list[str], float]] = vocab.RERANK, least: float = 0.5) -> DataFrame:
-    """The k best of (id, content, section, score) above `least`, boosted by terms of query, text and section."""
+def reranked(query: str, lists: list[tuple[list[str], list[str], float]] = vocab.RERANK) -> Column:
+    """The score of (content, section, score), boosted by terms of query, text and section."""
     q, text, section = query.lower(), F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("section", F.lit("")))
     score, hit = F.col("score"), []
     for terms, sections, factor in lists:
@@ -70,8 +83,12 @@ def rerank(results: DataFrame, query: str, k: int = 5, lists: list[tuple[list[st
     if any(hit[:2]):
         score = score * F.when(text.contains("table"), 1.3).otherwise(1.0)
     short = (F.length("content") > 0) & (F.length("content") < 100)
-    score = score * F.when(short, 0.3).otherwise(1.0)
-    return results.where(F.col("score") > least).withColumn("score", F.round(score, 10)).orderBy(F.desc("score"), "id").limit(k)
+    return F.round(score * F.when(short, 0.3).otherwise(1.0), 10)
+
+
+def rerank(results: DataFrame, query: str, k: int = 5, lists: list[tuple[list[str], list[str], float]] = vocab.RERANK, least: float = 0.5) -> DataFrame:
+    """The k best of (id, content, section, score) above `least`, by their boosted scores."""
+    return results.where(F.col("score") > least).withColumn("score", reranked(query, lists)).orderBy(F.desc("score"), "id").limit(k)
 
 
 def keyword_rule(query: str) -> Column:
@@ -93,12 +110,38 @@ def hybrid_rule(results: DataFrame, query: str, k: int = 5, keyword_weight: floa
     return blended.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(k)
 
 
-def enhanced(chunks: DataFrame, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7) -> DataFrame:
-    """multiquery(), boosted and tagged with its method; a plan that can't be made falls back to plain similarity and names the reason."""
-    try:
-        out = boost(multiquery(chunks, variants, k, vector_weight), variants[0][0])
-        return out.withColumn("search_method", F.lit("enhanced_hybrid")).withColumn("fallback_reason", F.lit(None).cast("string"))
-    except Exception as reason:  # noqa: BLE001  any failure to plan
-        score = F.round(cosine(F.col("embedding"), variants[0][1]), 6)
-        out = chunks.select("id", "content", "section", score.alias("vector_score"), F.lit(0.0).alias("keyword_score"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
-        return out.withColumn("search_method", F.lit("vector_fallback")).withColumn("fallback_reason", F.lit(str(reason)[:200]))
+def near(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
+    """(id, content, section, score) of the k chunks most similar to a vector; texts join the winners."""
+    best = knn(chunks.where(F.col("embedding").isNotNull()), query, k, "id")
+    return F.broadcast(best).join(chunks.select("id", "content", "section"), "id").select("id", "content", "section", "score")
+
+
+def first_that_runs(steps: list[tuple[str, str | None, Callable[[], DataFrame]]], chunks: DataFrame) -> DataFrame:
+    """The rows of the first of (method, reason, plan) that runs, few as they are, tagged with method and reason.
+
+    A plan is lazy, so it is run here: only then does a missing file or a broken index show.
+    """
+    schema = RESULT.format(id=chunks.schema["id"].dataType.simpleString())
+    for i, (method, reason, plan) in enumerate(steps):
+        try:
+            rows = plan().withColumn("search_method", F.lit(method)).withColumn("fallback_reason", F.lit(reason).cast("string"))
+            names = [part.split()[0] for part in schema.split(", ")]
+            return chunks.sparkSession.createDataFrame(rows.select(names).collect(), schema).coalesce(1)
+        except Exception:  # noqa: BLE001  any failure but the last step's
+            if i == len(steps) - 1:
+                raise
+    raise ValueError("no step")
+
+
+def enhanced(chunks: DataFrame, index: Index | None, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7) -> DataFrame:
+    """multiquery(), boosted; if that fails when run, reranked similarity; if that fails too, plain similarity. At most k rows come to the driver."""
+    query, vector = variants[0]
+    alone = lambda df: df.withColumn("vector_score", F.col("score")).withColumn("keyword_score", F.lit(0.0))
+    return first_that_runs(
+        [
+            ("hybrid", None, lambda: boost(multiquery(chunks, index, variants, k, vector_weight), query)),
+            ("vector_fallback", "hybrid_search_unavailable", lambda: alone(rerank(near(chunks, vector, k), query, min(k, 5)))),
+            ("basic_vector_fallback", "all_enhanced_methods_failed", lambda: alone(near(chunks, vector, k))),
+        ],
+        chunks,
+    )

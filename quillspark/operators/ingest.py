@@ -71,8 +71,9 @@ def tables(elements: DataFrame) -> DataFrame:
     slug = F.coalesce(F.array_join(F.slice(F.split(F.lower(last), " "), 1, 3), "_"), F.lit("unknown"))
     t = t.withColumn("filename", F.format_string("table_%03d_%s.csv", "table_no", slug)).withColumn("section_name", F.coalesce(last, F.lit("Unknown")))
     t = t.withColumn("n_rows", F.size("data")).withColumn("n_cols", F.size(F.col("data")[0]))
-    about = describe(F.col("filename"), F.col("section_name"), F.coalesce("table_caption", F.array().cast("array<string>")))
-    t = t.withColumn("reference", F.format_string("[TABLE %d] %s\nSection: %s\nDimensions: %d rows × %d columns\nFile: %s", "table_no", about, "section_name", "n_rows", "n_cols", "filename"))
+    whole = F.array_join("path", " > ")
+    about = describe(F.col("filename"), whole, F.coalesce("table_caption", F.array().cast("array<string>")))
+    t = t.withColumn("reference", F.format_string("\n[TABLE %d] %s\nSection: %s\nDimensions: %d rows × %d columns\nFile: %s\n", "table_no", about, whole, "n_rows", "n_cols", "filename"))
     return t.select("doc_id", "pos", "table_no", "filename", F.col("section_name").alias("section"), "n_rows", "n_cols", "data", "reference")
 
 
@@ -87,7 +88,7 @@ def chunks(elements: DataFrame, config: Config = Config()) -> DataFrame:
     e = e.join(refs, ["doc_id", "pos"], "left")
     part = F.when(F.col("kind").isin("MAJOR_HEADING", "HEADING"), F.concat(F.lit("# "), trim(F.col("text")))).when(F.col("kind") == "TABLE", F.col("reference")).otherwise(trim(F.col("text")))
     e = e.withColumn("part", part)
-    # a section is flushed by the next heading, with the page of the element before that
+    # a section is flushed by the next heading, with the page of the element before that, 0 if it has none
     rows = e.select("doc_id", "section", "pos", "kind", "part", "path", "page_idx").repartition("doc_id", "section").sortWithinPartitions("doc_id", "section", "pos")
 
     def fold(rows: list[tuple]) -> Iterator[tuple]:
@@ -104,8 +105,8 @@ def chunks(elements: DataFrame, config: Config = Config()) -> DataFrame:
                     yield doc, section, n, t, path, page
                     n += 1
                 parts = cut[-1:]
-        if parts and (text := "\n\n".join(parts).strip()):
-            yield doc, section, n, text, path, rows[-1][6]
+        if parts:
+            yield doc, section, n, "\n\n".join(parts), path, rows[-1][6] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

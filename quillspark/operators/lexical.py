@@ -1,13 +1,23 @@
-"""Lexical index and BM25."""
+"""Lexical index and BM25.
+
+`Index` is built once of a corpus: postings (bucket, term, id, tf, dl), sorted by term within hashed buckets of terms, the
+terms' document frequencies, the documents' lengths, and one row of the corpus. A query reads the buckets of its terms
+only, so its cost follows the postings of these terms and no text is read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 
 K1, B = 1.5, 0.75
+#: Folders that postings and terms are dealt to by their term.
+BUCKETS = 32
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,44 +58,69 @@ def gain(tf: Column, n: Column, df: Column, dl: Column, mean: Column, k1: float
     return idf(n, df) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / mean))
 
 
-def with_bm25(docs: DataFrame, queries: dict[str, list[str]], text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """docs with a BM25 column for each named list of query terms, repeats counted.
-
-    One narrow pass counts the query's terms in each document and one partial aggregate of a single row holds the
-    statistics, so nothing but that row is shuffled.
-    """
-    terms = sorted({t for q in queries.values() for t in q})
-    place = {t: i for i, t in enumerate(terms)}
-    t = tokenize(F.col(text_col))
-    counted = docs.withColumn("_t", t).withColumn("_dl", F.size("_t").cast("double"))
-    counted = counted.withColumn("_tf", F.array(*(F.size(F.filter("_t", _equals(w))).cast("double") for w in terms)) if terms else F.array().cast("array<double>")).drop("_t")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_mean"), *(F.sum((F.col("_tf")[i] > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))))
-    out = counted.join(F.broadcast(stats))
-    for name, q in queries.items():
-        score = F.lit(0.0)
-        for w in q:
-            i = place[w]
-            tf = F.col("_tf")[i]
-            score = score + F.when(tf > 0, gain(tf, F.col("_n"), F.col(f"_df{i}"), F.col("_dl"), F.col("_mean"), k1, b)).otherwise(0.0)
-        out = out.withColumn(name, score)
-    return out.drop("_dl", "_tf", "_n", "_mean", *(f"_df{i}" for i in range(len(terms))))
-
-
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def query_terms(text: str) -> list[str]:
     """Tokens of a query, as tokenize() makes them, on the driver."""
-    import re
-
     return [t for t in re.split(r"\s+", re.sub(r"[^a-z0-9_\s$%]", " ", text.lower(), flags=re.ASCII)) if len(t) > 2]
 
 
-def bm25_topk(docs: DataFrame, terms: list[str], k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of positive score; ties to the smaller id."""
-    scored = with_bm25(docs, {"score": terms}, text_col).select(F.col(id_col).alias("id"), F.round("score", 6).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index:
+    """A BM25 index in a folder. Rows of one id count as one document in the postings, and each in the lengths."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.postings, self.terms, self.lengths = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "lengths"))
+        corpus = spark.read.parquet(f"{path}/corpus").collect()[0]
+        self.n_docs, self.avg_dl = corpus["n_docs"], corpus["avg_dl"]
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
+        """Writes the index of docs below path. The texts are tokenised once; postings are dealt by ranges of (bucket, term, id), so a frequent term has many files."""
+        spark = docs.sparkSession
+        tokens(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/tokens")
+        held = spark.read.parquet(f"{path}/tokens")
+        sized = held.select("id", F.size("tokens").cast("long").alias("dl"), "tokens")
+        postings = sized.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+        postings = postings.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        postings.select("bucket", "term", "id", "tf", "dl").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        terms.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        sized.select("id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+        corpus_length(sized).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(spark, path)
+
+    def _of(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        """Rows of some terms: their buckets' folders, and in these the row groups that can hold them."""
+        named = self.spark.range(1).select(F.array(*(bucket(F.lit(t)) for t in terms)).alias("b")).collect()[0]["b"] if terms else []
+        return table.where(F.col("bucket").isin(sorted(set(named))) & F.col("term").isin(sorted(set(terms))))
+
+    def scores(self, queries: dict[str, list[str]], k1: float = K1, b: float = B) -> DataFrame:
+        """(query, id, score) of the documents that hold a term of a query; repeated terms count again."""
+        words = [(q, t, float(n)) for q, ts in queries.items() for t, n in Counter(ts).items()]
+        asked = F.broadcast(self.spark.createDataFrame(words, "query string, term string, times double").coalesce(1))
+        found = [t for ts in queries.values() for t in ts]
+        few = F.broadcast(self._of(self.terms, found).select("term", "df"))
+        one = gain(F.col("tf").cast("double"), F.lit(float(self.n_docs)), F.col("df"), F.col("dl"), F.lit(self.avg_dl), k1, b)
+        rows = self._of(self.postings, found).join(few, "term").join(asked, "term")
+        return rows.groupBy("query", "id").agg(F.sum(F.col("times") * one).alias("score"))
+
+    def all_scores(self, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+        """(id, dl, score) of every document, 0 where it holds no term."""
+        return self.lengths.join(self.scores({"q": terms}, k1, b).drop("query"), "id", "left").select("id", "dl", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def topk(self, terms: list[str], k: int = 10) -> DataFrame:
+        """The k best documents of positive score; ties to the smaller id."""
+        scored = self.scores({"q": terms}).select("id", F.round("score", 6).alias("score"))
+        return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+    def topk_each(self, queries: dict[str, list[str]], k: int) -> DataFrame:
+        """(query, id, score): the k best of positive score of each query."""
+        scored = self.scores(queries).select("query", "id", F.round("score", 6).alias("score")).where("score > 0")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def fuse(bm25: Column, vector: Column, keyword_weight: float | Column = 0.3) -> Column:

@@ -1,26 +1,27 @@
-"""Conversation memory over messages(conv_id, turn, role, text)."""
+"""Conversation memory over messages(conv_id, turn, role, text, ...)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexical import with_bm25
+from .vector import cosine, spare
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
     """The last n messages of each conversation."""
+    k = spare(messages, "k")
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return messages.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return messages.withColumn(k, F.row_number().over(w)).where(F.col(k) <= n).drop(k)
 
 
-def semantic_recall(messages: DataFrame, terms: list[str], k: int, around: int) -> DataFrame:
-    """The k best messages of each conversation by BM25, with neighbours up to `around` turns away; each message once.
+def semantic_recall(messages: DataFrame, query: list[float], k: int, around: int, vec_col: str = "embedding") -> DataFrame:
+    """(conv_id, turn, role, text, hit): the k messages of each conversation most similar to a query's vector, with neighbours up to `around` turns away, each once.
 
-    Instead of joining ranges, a window looks for a hit in the rows around.
+    Messages without a vector are neighbours only. Instead of joining ranges, a window looks for a hit in the turns around.
     """
-    m = with_bm25(messages, {"score": terms}).withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))
-    m = m.withColumn("hit", ((F.col("score") > 0) & (rank <= k)).cast("int"))
+    scored = messages.select("conv_id", "turn", "role", "text", F.round(cosine(F.col(vec_col), query), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc_nulls_last("score"), "turn"))
+    hit = scored.withColumn("hit", (F.col("score").isNotNull() & (rank <= k)).cast("int"))
     near = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-around, around)
-    return m.withColumn("near", F.max("hit").over(near)).where("near = 1").select("conv_id", "turn", "role", "text", "hit")
+    return hit.withColumn("near", F.max("hit").over(near)).where("near = 1").select("conv_id", "turn", "role", "text", "hit")

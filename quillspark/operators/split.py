@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Characters looked back for a boundary, and the boundaries from best to worst.
+#: Characters looked back for a boundary, and the boundaries from best to worst; places of one don't overlap.
 LOOK_BACK = 200
-BOUNDARIES = ["\n\n", ". ", "; ", ", "]
+BOUNDARIES = [re.compile(x) for x in (r"\n\n", r"\. ", "; ", ", ", r"\s")]
 PIECE = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("piece", T.StringType())]))
 
 
@@ -27,12 +27,9 @@ def windows(text: str, size: int, overlap: int, compat: bool = False) -> list[tu
             low = max(at, end - LOOK_BACK)
             stretch = text[low:end]
             for mark in BOUNDARIES:
-                if (i := stretch.rfind(mark)) >= 0:
-                    end = low + i + len(mark)
+                if ends := [m.end() for m in mark.finditer(stretch)]:
+                    end = low + ends[-1]
                     break
-            else:
-                if spaces := [m.end() for m in re.finditer(r"\s", stretch)]:
-                    end = low + spaces[-1]
         out.append((at, end))
         if end >= n and not compat:
             break

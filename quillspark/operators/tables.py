@@ -24,13 +24,19 @@ def to_csv(rows: Column) -> Column:
 
 def csv_cells(line: Column) -> Column:
     """Cells of a line: commas outside quotes part them, doubled quotes inside are one, each is trimmed."""
-    # a comma outside quotes becomes U+0001: an even number of quotes goes before it
     pieces = F.split(line, '"')
-    parted = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit("\x01"))).otherwise(p))
-    # an empty piece between two quoted ones is a doubled quote
     last = F.size(pieces) - 1
-    joined = F.array_join(F.transform(parted, lambda p, i: F.when((i % 2 == 0) & (i > 0) & (i < last) & (p == ""), F.lit('"')).otherwise(p)), "")
-    return F.transform(F.split(joined, "\x01"), trim)
+    numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+
+    def step(cells: Column, x: Column) -> Column:
+        # even pieces stand outside quotes; an empty one between two quoted ones is a doubled quote
+        outside = x["i"] % 2 == 0
+        doubled = outside & (x["i"] > 0) & (x["i"] < last) & (x["p"] == "")
+        parts = F.when(doubled, F.array(F.lit('"'))).when(outside, F.split(x["p"], ",")).otherwise(F.array(x["p"]))
+        joined = F.concat(F.element_at(cells, -1), parts[0])
+        return F.concat(F.slice(cells, 1, F.size(cells) - 1), F.array(joined), F.slice(parts, F.lit(2), F.size(parts)))
+
+    return F.transform(F.aggregate(numbered, F.array(F.lit("")), step), trim)
 
 
 def catalog(tables: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -23,6 +25,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@lru_cache(maxsize=100_000)
+def _word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
 class HashEmbedder:
     """Deterministic, offline: signed hashed words, of length one."""
 
@@ -33,11 +40,11 @@ class HashEmbedder:
         out = []
         for t in texts:
             v = [0.0] * self.dim
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % self.dim] += 1.0 if h >> 63 else -1.0
-            n = sum(x * x for x in v) ** 0.5
-            out.append([x / n for x in v] if n else v)
+            for w, n in Counter(re.findall(r"\w+", t.lower())).items():
+                h = _word_hash(w)
+                v[h % self.dim] += n if h >> 31 else -n
+            length = math.sqrt(sum(x * x for x in v))
+            out.append([x / length for x in v] if length else v)
         return out
 
 
@@ -54,6 +61,18 @@ def embed(docs: DataFrame, embedder: Embedder, text_col: str = "text", out: str
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df has not."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def result_id(metadata_id: Column, row_id: Column) -> Column:
+    """The id of a result: its metadata's, if there is one, else the store's."""
+    return F.coalesce(F.nullif(metadata_id, F.lit("")), row_id)
+
+
 def _doubles(v: Column | list[float]) -> Column:
     if isinstance(v, Column):
         return F.transform(v, lambda x: x.cast("double"))
@@ -85,8 +104,8 @@ def knn_l2(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
 class InvertedFile:
     """Coarse lists: rows filed under the nearest of some centroids; a query reads the lists that can hold its answer.
 
-    Centroids are fitted by k-means of directions to at most SAMPLE rows a list, chosen by a hash; they are at most
-    MAX_LISTS, so they are literals of the plan. Each list's widest angle to its centroid is taken over all rows. A query
+    Centroids are fitted by k-means of directions to at most SAMPLE rows a list, chosen by a hash; more than MAX_LISTS
+    lists, whose centroids would be literals of the plan, are refused. Each list's widest angle to its centroid is taken over all rows. A query
     reads its nearest lists first; then every other list that, by the triangle inequality of angles, may hold a row as
     near as the last one found. So the result is that of knn() over all rows, wherever the centroids lie; lists are left
     out only where the vectors form groups.
@@ -98,18 +117,21 @@ class InvertedFile:
 
     def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding"):
         self.id_col, self.vec_col = id_col, vec_col
-        self.all, lists = rows, min(lists, self.MAX_LISTS)
+        if lists > self.MAX_LISTS:
+            raise ValueError(f"at most {self.MAX_LISTS} lists")
+        self.all = rows
         few = rows.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(lists * self.SAMPLE).collect()
         self.centroids = self.fitted([[float(x) for x in r[0]] for r in few], lists)
         if not self.centroids:
             self.rows, self.widest = rows.withColumn("list", F.lit(0)), {}
             return
         near = F.array_min(F.array(*(F.struct((-dot(F.col(vec_col), c)).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids))))
-        filed = rows.withColumn("_near", near)
-        self.rows = filed.withColumn("list", F.col("_near.list")).drop("_near")
+        nearest = spare(rows, "nearest")
+        filed = rows.withColumn(nearest, near)
+        self.rows = filed.withColumn("list", F.col(f"{nearest}.list")).drop(nearest)
         # centroids have length one
-        cos = -F.col("_near.d") / F.sqrt(dot(F.col(vec_col), F.col(vec_col)))
-        widest = filed.groupBy(F.col("_near.list").alias("list")).agg(F.min(F.nanvl(cos, F.lit(-1.0))).alias("cos")).collect()
+        cos = -F.col(f"{nearest}.d") / F.sqrt(dot(F.col(vec_col), F.col(vec_col)))
+        widest = filed.groupBy(F.col(f"{nearest}.list").alias("list")).agg(F.min(F.nanvl(cos, F.lit(-1.0))).alias("cos")).collect()
         self.widest = {r["list"]: self.angle(r["cos"]) if r["cos"] is not None else math.pi for r in widest}
 
     @staticmethod
@@ -153,4 +175,5 @@ class InvertedFile:
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+    rank = spare(rows, "rank")
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k).drop(rank)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..functions.text import hypothetical
-from .hybrid import rerank
-from .vector import cosine
+from .hybrid import reranked
+from .vector import cosine, spare, top_per
 
 
 class TextGenerator(Protocol):
@@ -29,25 +29,30 @@ class TemplateGenerator:
         return self.spark.range(1).select(hypothetical(F.lit(prompt))).collect()[0][0]
 
 
-def fanout(chunks: DataFrame, terms: list[tuple[str, list[float]]], k: int = 10, keep: int = 5, **how) -> DataFrame:
-    """(pos, term_no, id, content, section, score): reranked results of each term, in order of terms, then of scores."""
-    out = []
-    for i, (text, vector) in enumerate(terms):
-        near = chunks.select("id", "content", "section", F.round(cosine(F.col("embedding"), vector), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-        out.append(rerank(near, text, keep, **how).withColumn("term_no", F.lit(i)))
-    from pyspark.sql import Window
+def fanout(chunks: DataFrame, terms: list[tuple[str, list[float]]], k: int = 10, keep: int = 5, lists: list[tuple[list[str], list[str], float]] = vocab.RERANK, least: float = 0.5) -> DataFrame:
+    """(pos, term_no, id, content, section, score): reranked results of each term, in order of terms, then of scores.
 
-    both = reduce(DataFrame.unionByName, out)
+    One pass over the vectors ranks all terms; texts join the winners.
+    """
+    each = F.array(*(F.struct(F.lit(i).alias("term_no"), F.round(cosine(F.col("embedding"), v), 6).alias("score")) for i, (_, v) in enumerate(terms)))
+    rows = chunks.where(F.col("embedding").isNotNull()).select("id", F.explode(each).alias("s")).select("id", "s.*").where("score IS NOT NULL")
+    best = top_per(rows, ["term_no"], [F.desc("score"), F.col("id")], k).where(F.col("score") > least)
+    found = F.broadcast(best).join(chunks.select("id", "content", "section"), "id")
+    score = F.col("score")
+    for i, (text, _) in enumerate(terms):
+        score = F.when(F.col("term_no") == i, reranked(text, lists)).otherwise(score)
+    kept = top_per(found.withColumn("score", score), ["term_no"], [F.desc("score"), F.col("id")], keep)
     # a few rows a term
     place = (F.row_number().over(Window.orderBy("term_no", F.desc("score"), "id")) - 1).cast("int")
-    return both.withColumn("pos", place)
+    return kept.withColumn("pos", place).select("pos", "term_no", "id", "content", "section", "score")
 
 
 def dedupe(rows: DataFrame, keys: list[str], pos: str = "pos", limit: int | None = None) -> DataFrame:
     """A row for each key: the place of its first row, the values of its last; the first `limit` places."""
     rest = [c for c in rows.columns if c not in (*keys, pos)]
-    one = rows.groupBy(*keys).agg(F.min(pos).alias(pos), F.max_by(F.struct(*rest), pos).alias("_last"))
-    one = one.select(pos, *keys, *(F.col("_last")[c].alias(c) for c in rest))
+    last = spare(rows, "last")
+    one = rows.groupBy(*keys).agg(F.min(pos).alias(pos), F.max_by(F.struct(*rest), pos).alias(last))
+    one = one.select(pos, *keys, *(F.col(last)[c].alias(c) for c in rest))
     return one.orderBy(pos).limit(limit) if limit else one
 
 
@@ -60,11 +65,11 @@ def context(rows: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def citations(texts: DataFrame, tables: DataFrame) -> DataFrame:
-    """(pos, section, page, type) of text and table rows (pos, section, page), first place and last value of each."""
+    """(pos, section, page, type) of text and table rows (pos, section, page): the first place of each, tables after all texts."""
     t = texts.select("pos", "section", "page", F.lit("text").alias("type"))
-    n = F.lit(1_000_000)
-    both = t.unionByName(tables.select((F.col("pos") + n).alias("pos"), "section", "page", F.lit("table").alias("type")))
-    return both.groupBy("section", "page", "type").agg(F.min("pos").alias("pos"))
+    after = F.broadcast(texts.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("after")))
+    listed = tables.join(after).select((F.col("pos") + F.col("after")).cast("int").alias("pos"), "section", "page", F.lit("table").alias("type"))
+    return t.unionByName(listed).groupBy("section", "page", "type").agg(F.min("pos").alias("pos"))
 
 
 def confidence(results: DataFrame) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
 from ..operators import hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
-from ..session import table
+from ..session import scratch, table
 from ..sources import readers
 from .inline import Rows, literal
 
@@ -29,16 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temp folder where that is unset (local masters)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base.rstrip('/')}/quillspark/{uuid.uuid4().hex}"
-
-
 def write_lines(spark: SparkSession, lines: list[str]) -> str:
     path = scratch(spark)
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
@@ -49,6 +36,17 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> lexical.Index:
+    """The lexical index of all documents, built once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.Index.build(docs(spark, d).select("doc_id", "text"), scratch(spark))
+    return _INDEXES[key]
+
+
 # ---------------------------------------------------------------- SQL pieces
 TOK = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9_\\s$%]', ' ', 'g'), '\\s+'), lambda t: length(t) > 2)"
 TERMS = ["que", "pour", "reor"]
@@ -86,25 +84,39 @@ ELEMENTS_JSON = '[{"type":"text","text":"RISK FACTORS","text_level":1,"page_idx"
 LINES = ['{"id":"a","content":"one","metadata":{"page_idx":1}}', "", "not json", '{"id":"","content":"two"}', '{"id":"b"}', '{"id":"c","content":"three"}']
 
 
-@query("SELECT * FROM (VALUES (0, 'text', 'RISK FACTORS', 1, 10), (1, 'text', 'Market risks', 2, 10), (2, 'table', NULL, NULL, 12)) AS v(pos, type, text, text_level, page_idx)")
+@query(f"""WITH a AS (SELECT from_json({literal(ELEMENTS_JSON)}, '["JSON"]') AS a), e AS (SELECT CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS e FROM a)
+ SELECT pos, json_extract_string(e, '$.type') AS type, json_extract_string(e, '$.text') AS text, CAST(json_extract_string(e, '$.text_level') AS INTEGER) AS text_level, CAST(json_extract_string(e, '$.page_idx') AS INTEGER) AS page_idx FROM e""")
 def src_elements(spark, d):
     return readers.elements(spark, write_lines(spark, [ELEMENTS_JSON])).select("pos", "type", "text", "text_level", "page_idx")
 
 
-@query("SELECT * FROM (VALUES ('a', 'one', 1), ('c', 'three', NULL)) AS v(id, content, page_idx)")
+def lines_sql(lines: list[str]) -> str:
+    at = lambda path: f"CASE WHEN json_valid(line) THEN json_extract_string(line, '$.{path}') END"
+    return f"l AS (SELECT unnest({literal(lines)}) AS line), p AS (SELECT line, {at('id')} AS id, {at('content')} AS content, CAST({at('metadata.page_idx')} AS INTEGER) AS page_idx FROM l WHERE trim(line) <> '')"
+
+
+@query(f"WITH {lines_sql(LINES)} SELECT count(*) FILTER (id <> '' AND content <> '') AS good, count(*) FILTER (NOT coalesce(id <> '' AND content <> '', FALSE)) AS bad FROM p")
+def src_jsonl_counts(spark, d):
+    return readers.jsonl_counts(spark, write_lines(spark, LINES))
+
+
+@query(f"WITH {lines_sql(LINES)} SELECT id, content, page_idx FROM p WHERE id <> '' AND content <> ''")
 def src_jsonl_lenient(spark, d):
     return readers.jsonl_lenient(spark, write_lines(spark, LINES)).select("id", "content", F.col("metadata.page_idx").alias("page_idx"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'one'), ('c', 'three')) AS v(id, content)")
+@query(f"WITH {lines_sql([LINES[0], LINES[5]])} SELECT id, content FROM p")
 def src_jsonl_strict(spark, d):
     return readers.jsonl_strict(spark, write_lines(spark, [LINES[0], LINES[5]])).select("id", "content")
 
 
-CSV = Rows("id int, line string", [(0, 'a, b ,"c, d"'), (1, '"say ""hi""",2'), (2, "x"), (3, '"",y'), (4, ' "q" , r,')])
+CSV = Rows("id int, line string", [(0, 'a, b ,"c, d"'), (1, '"say ""hi""",2'), (2, "x"), (3, '"",y'), (4, ' "q" , r,'), (5, "a\x01b,c"), (6, '"1,5",,"x ""y, z"" w"')])
 
 
-@query("SELECT * FROM (VALUES (0, 'a|b|c, d'), (1, 'say \"hi\"|2'), (2, 'x'), (3, '|y'), (4, 'q|r|')) AS v(id, cells)")
+CELL = r"""((?:[^",]|"(?:[^"]|"")*")*),"""
+
+
+@query(f"""SELECT id, array_to_string(list_transform(regexp_extract_all(line || ',', '{CELL}', 1), lambda c: CASE WHEN regexp_matches(trim(c), '^".*"$') THEN trim(replace(trim(c)[2:-2], '""', '"')) ELSE trim(c) END), '|') AS cells FROM {CSV.sql}""")
 def csv_cells(spark, d):
     return CSV.df(spark).select("id", F.array_join(tables.csv_cells(F.col("line")), "|").alias("cells"))
 
@@ -133,7 +145,7 @@ def table_catalog(spark, d):
 REPORTS = Rows("id int, body string", [(0, '{"investment_research_report":{"a":1}}'), (1, '{"final_report":{"b":2},"x":0}'), (2, '{"c":3}'), (3, "nope")])
 
 
-@query("SELECT * FROM (VALUES (0, '{\"a\":1}'), (1, '{\"b\":2}'), (2, '{\"c\":3}'), (3, NULL)) AS v(id, root)")
+@query(f"SELECT id, CASE WHEN json_valid(body) THEN CAST(coalesce(json_extract(body, '$.investment_research_report'), json_extract(body, '$.final_report'), CAST(body AS JSON)) AS VARCHAR) END AS root FROM {REPORTS.sql}")
 def report_root(spark, d):
     return REPORTS.df(spark).select("id", quality.report_root(F.col("body")).alias("root"))
 
@@ -175,25 +187,78 @@ def section_path(spark, d):
     return ingest.section_paths(ELEMENTS.df(spark)).select("doc_id", "pos", F.array_join("path", " > ").alias("path"))
 
 
-@query()
+def describe_sql(filename: str, section: str, caption: str) -> str:
+    files = " ".join(f"WHEN {any_sql(f'lower({filename})', w)} THEN {literal(t)}" for w, t in vocab.TABLE_DESCRIPTIONS)
+    parts = " ".join(f"WHEN contains(lower({section}), {literal(w)}) THEN {literal(t)}" for w, t in vocab.SECTION_DESCRIPTIONS)
+    return f"CASE WHEN len({caption}) > 0 THEN array_to_string({caption}, ' ') {files} {parts} ELSE 'Data table from ' || {section} || ' section' END"
+
+
+def cut_sql(text: str, at: str, size: int) -> str:
+    """Where the piece of a text that begins at `at` ends."""
+    low = f"greatest({at}, {at} + {size} - 200)"
+    part = f"substr({text}, {low} + 1, {at} + {size} - {low})"
+    marks = ", ".join(f"CASE WHEN contains({part}, '{m}') THEN {low} + length({part}) - strpos(reverse({part}), '{m[::-1]}') + 1 END" for m in (". ", "; ", ", "))
+    last = lambda pattern: f"CASE WHEN length(regexp_extract({part}, '{pattern}')) > 0 THEN {low} + length(regexp_extract({part}, '{pattern}')) END"
+    return f"CASE WHEN {at} + {size} >= length({text}) THEN length({text}) ELSE coalesce({last(chr(40) + '?s)^(?:.*?' + chr(92) + 'n' + chr(92) + 'n)+')}, {marks}, {last('(?s)^.*' + chr(92) + 's')}, {at} + {size}) END"
+
+
+def strip_ends(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+TABLE_ROWS = f"""tb AS (SELECT e.doc_id, e.pos, e.table_body, e.table_caption, p.path, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS INTEGER) AS table_no FROM e JOIN p USING (doc_id, pos) WHERE e.kind = 'TABLE'),
+ tr AS (SELECT *, list_filter(list_transform(regexp_extract_all(table_body, '(?s)<tr[^>]*>(.*?)</tr>'), lambda x: regexp_extract_all(x, '(?s)<t[dh][^>]*>(.*?)</t[dh]>')), lambda x: len(x) > 0) AS data FROM tb),
+ tf AS (SELECT *, 'table_' || lpad(CAST(table_no AS VARCHAR), 3, '0') || '_' || coalesce(array_to_string(string_split(lower(path[-1]), ' ')[1:3], '_'), 'unknown') || '.csv' AS filename, array_to_string(path, ' > ') AS ctx, coalesce(table_caption, CAST([] AS VARCHAR[])) AS caption FROM tr WHERE len(data) > 0)"""
+
+
+def chunks_sql(size: int, overlap: int) -> str:
+    """The chunker as a machine whose steps take the next element of a section or cut one piece off."""
+    reference = f"chr(10) || '[TABLE ' || table_no || '] ' || {describe_sql('filename', 'ctx', 'caption')} || chr(10) || 'Section: ' || ctx || chr(10) || 'Dimensions: ' || len(data) || ' rows × ' || len(data[1]) || ' columns' || chr(10) || 'File: ' || filename || chr(10)"
+    joined = "CASE WHEN coalesce(x.part, '') = '' THEN s.cur WHEN s.cur IS NULL THEN x.part ELSE s.cur || chr(10) || chr(10) || x.part END"
+    return f"""WITH RECURSIVE {PATHS}, {TABLE_ROWS}, rf AS (SELECT doc_id, pos, {reference} AS ref FROM tf),
+ y AS (SELECT e.doc_id, e.pos, e.kind, e.page_idx, p.path, sum(CASE WHEN e.kind IN ('MAJOR_HEADING', 'HEADING') THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS section,
+       CASE WHEN e.kind IN ('MAJOR_HEADING', 'HEADING') THEN '# ' || trim(e.text) WHEN e.kind = 'TABLE' THEN rf.ref ELSE trim(e.text) END AS part FROM e JOIN p USING (doc_id, pos) LEFT JOIN rf USING (doc_id, pos)),
+ x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS i FROM y),
+ s(doc_id, section, i, k, cur, z, cutting, page, done) AS (
+  SELECT DISTINCT doc_id, section, CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), FALSE, 0, CAST(NULL AS VARCHAR) FROM x
+  UNION ALL
+  SELECT s.doc_id, s.section, CASE WHEN cutting THEN s.i ELSE s.i + 1 END, s.k + 1,
+   CASE WHEN NOT cutting THEN {joined} WHEN c.e >= length(s.cur) THEN {strip_ends('substr(s.cur, s.z + 1)')} ELSE s.cur END,
+   CASE WHEN cutting AND c.e < length(s.cur) THEN greatest(s.z + 1, c.e - {overlap}) ELSE 0 END,
+   CASE WHEN cutting THEN c.e < length(s.cur) ELSE x.kind = 'TEXT' AND coalesce(x.part, '') <> '' AND length({joined}) > {size} END,
+   CASE WHEN cutting THEN s.page ELSE x.page_idx END,
+   CASE WHEN cutting AND c.e < length(s.cur) THEN {strip_ends('substr(s.cur, s.z + 1, c.e - s.z)')} END
+  FROM s LEFT JOIN x ON NOT s.cutting AND x.doc_id = s.doc_id AND x.section = s.section AND x.i = s.i + 1, LATERAL (SELECT CASE WHEN s.cutting THEN {cut_sql('s.cur', 's.z', size)} END AS e) c
+  WHERE s.cutting OR x.i IS NOT NULL),
+ n AS (SELECT doc_id, section, max(i) AS last FROM x GROUP BY 1, 2),
+ o AS (SELECT doc_id, section, k, done AS content, page FROM s WHERE done <> '' UNION ALL SELECT s.doc_id, s.section, 1000000, s.cur, coalesce(s.page, 0) FROM s JOIN n USING (doc_id, section) WHERE s.i = n.last AND NOT cutting AND s.cur IS NOT NULL),
+ h AS (SELECT DISTINCT doc_id, section, path FROM x)
+ SELECT o.doc_id, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.section, k) - 1 AS chunk_no, 'doc-chunk-' || lpad(CAST(row_number() OVER (PARTITION BY o.doc_id ORDER BY o.section, k) - 1 AS VARCHAR), 4, '0') AS id, content, array_to_string(path, '|') AS section_path, array_to_string(path, ' > ') AS section_hierarchy, page AS page_idx, CAST(length(content) AS INTEGER) AS chunk_size
+ FROM o JOIN h USING (doc_id, section)"""
+
+
+def split_sql(size: int, overlap: int) -> str:
+    return f"""WITH RECURSIVE w(doc_id, z, e) AS (SELECT doc_id, CAST(0 AS BIGINT), {cut_sql('text', '0', size)} FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, z, {cut_sql('text', 'z', size)} FROM (SELECT d.doc_id, d.text, greatest(w.z + 1, w.e - {overlap}) AS z FROM w JOIN documents d USING (doc_id) WHERE w.e < length(d.text))),
+ q AS (SELECT doc_id, z, {strip_ends('substr(text, z + 1, e - z)')} AS piece FROM w JOIN documents USING (doc_id))"""
+
+
+@query(chunks_sql(1800, 300))
 def chunk_elements(spark, d):
     return ingest.chunks(ELEMENTS.df(spark)).withColumn("section_path", F.array_join("section_path", "|"))
 
 
-@query()
+@query(split_sql(1800, 300) + " SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY z) - 1 AS INTEGER) AS n, CAST(z AS INTEGER) AS start, piece FROM q WHERE piece <> ''")
 def split_semantic(spark, d):
     return split.split(docs(spark, d))
 
 
-@query()
+@query(split_sql(512, 50) + " SELECT doc_id AS id, count(*) AS pieces, CAST(max(length(piece)) AS INTEGER) AS longest FROM q WHERE piece <> '' GROUP BY 1")
 def split_semantic_stats(spark, d):
     return split.split(docs(spark, d), 512, 50).groupBy("id").agg(F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"))
 
 
-TABLE_SQL = f"""WITH RECURSIVE {PATHS}, tb AS (SELECT e.doc_id, e.pos, e.table_body, p.path, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY e.pos) AS INTEGER) AS table_no FROM e JOIN p USING (doc_id, pos) WHERE e.kind = 'TABLE'),
- r AS (SELECT *, list_filter(list_transform(regexp_extract_all(table_body, '(?s)<tr[^>]*>(.*?)</tr>'), lambda x: regexp_extract_all(x, '(?s)<t[dh][^>]*>(.*?)</t[dh]>')), lambda x: len(x) > 0) AS data FROM tb)
- SELECT doc_id, pos, table_no, 'table_' || lpad(CAST(table_no AS VARCHAR), 3, '0') || '_' || coalesce(array_to_string(string_split(lower(path[-1]), ' ')[1:3], '_'), 'unknown') || '.csv' AS filename,
- coalesce(path[-1], 'Unknown') AS section, CAST(len(data) AS INTEGER) AS n_rows, CAST(len(data[1]) AS INTEGER) AS n_cols FROM r WHERE len(data) > 0"""
+TABLE_SQL = f"WITH RECURSIVE {PATHS}, {TABLE_ROWS} SELECT doc_id, pos, table_no, filename, coalesce(path[-1], 'Unknown') AS section, CAST(len(data) AS INTEGER) AS n_rows, CAST(len(data[1]) AS INTEGER) AS n_cols FROM tf"
 
 
 @query(TABLE_SQL)
@@ -223,13 +288,7 @@ def rows_to_csv(spark, d):
 NAMED = Rows("id int, filename string, section string, caption array<string>", [(0, "table_001_revenue.csv", "X", []), (1, "t_Dilution.csv", "X", []), (2, "t.csv", "Financial part", []), (3, "t.csv", "Management", []), (4, "t.csv", "Legal", []), (5, "t.csv", "X", ["A", "b"]), (6, "executive_1.csv", "X", [])])
 
 
-def _describe_sql() -> str:
-    files = " ".join(f"WHEN {any_sql('lower(filename)', w)} THEN {literal(t)}" for w, t in vocab.TABLE_DESCRIPTIONS)
-    parts = " ".join(f"WHEN contains(lower(section), {literal(w)}) THEN {literal(t)}" for w, t in vocab.SECTION_DESCRIPTIONS)
-    return f"SELECT id, CASE WHEN len(caption) > 0 THEN array_to_string(caption, ' ') {files} {parts} ELSE 'Data table from ' || section || ' section' END AS description FROM {NAMED.sql}"
-
-
-@query(_describe_sql())
+@query(f"SELECT id, {describe_sql('filename', 'section', 'caption')} AS description FROM {NAMED.sql}")
 def table_description(spark, d):
     return NAMED.df(spark).select("id", tables.describe(F.col("filename"), F.col("section"), F.col("caption")).alias("description"))
 
@@ -249,7 +308,7 @@ def tokenize(spark, d):
 FIN = Rows("id int, text string", [(0, "Revenue of $749 million in 2024, up 48%"), (1, "$5 billion and 1234 plus 50 % more"), (2, ""), (3, "the $12 trillion")])
 
 
-@query("SELECT * FROM (VALUES (0, 'revenue $749 $749million million 2024 year2024 48%'), (1, 'billion and 1234 year1234 plus more'), (2, ''), (3, 'the $12 trillion')) AS v(id, tokens)")
+@query(f"""WITH t AS (SELECT id, {TOK.format('text')} AS toks FROM {FIN.sql}) SELECT id, array_to_string(flatten(list_transform(toks, lambda x, i: list_filter([x, CASE WHEN starts_with(x, '$') AND toks[i + 1] IN ('million', 'billion') THEN x || toks[i + 1] END, CASE WHEN regexp_matches(x, '^[0-9]{{4}}$') THEN 'year' || x END], lambda y: y IS NOT NULL))), ' ') AS tokens FROM t""")
 def tokenize_financial(spark, d):
     return FIN.df(spark).select("id", F.array_join(X.tokenize_financial(F.col("text")), " ").alias("tokens"))
 
@@ -285,18 +344,18 @@ def term_idf(spark, d):
 
 @query(f"WITH {STATS} SELECT doc_id AS id, round({score_sql(QUERY)}, 6) AS score FROM t, s")
 def bm25_score(spark, d):
-    return lexical.with_bm25(docs(spark, d), {"score": lexical.query_terms(QUERY)}).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    return index_of(spark, d).all_scores(lexical.query_terms(QUERY)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {STATS}, r AS (SELECT doc_id AS id, round({score_sql(QUERY)}, 6) AS score FROM t, s) SELECT id, score FROM r WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
 def bm25_topk(spark, d):
-    return lexical.bm25_topk(docs(spark, d), lexical.query_terms(QUERY))
+    return index_of(spark, d).topk(lexical.query_terms(QUERY))
 
 
 @query(f"WITH {STATS} SELECT doc_id AS id, round(least(({score_sql(QUERY)}) / 10, 1.0) * 0.3 + (len(toks) / 1000.0) * (1 - 0.3), 6) AS score FROM t, s")
 def fuse_scores(spark, d):
-    b = lexical.with_bm25(docs(spark, d), {"score": lexical.query_terms(QUERY)})
-    return b.select(F.col("doc_id").alias("id"), F.round(lexical.fuse(F.col("score"), F.size(X.tokenize(F.col("text"))) / 1000), 6).alias("score"))
+    b = index_of(spark, d).all_scores(lexical.query_terms(QUERY))
+    return b.select("id", F.round(lexical.fuse(F.col("score"), F.col("dl") / 1000), 6).alias("score"))
 
 
 # ---------------------------------------------------------------- query rewriting
@@ -323,7 +382,7 @@ def doc_patterns(spark, d):
     return ASKED.df(spark).select("id", F.array_join(X.patterns(F.col("q")), "|").alias("patterns"))
 
 
-@query()
+@query(f"SELECT id, {literal(vocab.CONTEXT_PREFIXES)}[1 + CAST(length(q) % 3 AS INTEGER)] || ' ' || q || CASE WHEN regexp_matches(q, '[0-9]{{4}}') THEN '' ELSE ' for 2024 or 2025' END AS context FROM {ASKED.sql}")
 def context_query(spark, d):
     return ASKED.df(spark).select("id", X.context_query(F.col("q"), 2025).alias("context"))
 
@@ -370,10 +429,12 @@ def vector_of(spark, d, i: int) -> list[float]:
 COS = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {}), 6)"
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents), h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) AS h FROM w),
+ c AS (SELECT doc_id, CAST(h % 64 AS INTEGER) AS i, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM h GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM c GROUP BY 1)
+ SELECT d.doc_id, 64 AS dim, coalesce(round(sum((i + 1) * CAST(CAST(x / n AS FLOAT) AS DOUBLE)), 6), 0.0) AS weighted FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def embed_docs(spark, d):
     out = vector.embed(docs(spark, d).select("doc_id", "text"), vector.HashEmbedder())
-    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vector.dot(F.col("embedding"), [float(i + 1) for i in range(64)]), 6).alias("weighted"))
 
 
 @query(f"SELECT vec_id AS id, {COS.format(ZERO.format(0))} AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
@@ -391,7 +452,15 @@ def knn_filtered(spark, d):
     return vector.knn(table(spark, d, "embeddings"), vector_of(spark, d, 0), 10, where=F.col("label") == 1)
 
 
-@query()
+STORED = Rows("id string, metadata_id string", [("1", "doc-chunk-0001"), ("2", ""), ("3", None)])
+
+
+@query(f"SELECT id AS row_id, coalesce(nullif(metadata_id, ''), id) AS id FROM {STORED.sql}")
+def result_ids(spark, d):
+    return STORED.df(spark).select(F.col("id").alias("row_id"), vector.result_id(F.col("metadata_id"), F.col("id")).alias("id"))
+
+
+@query(ORACLES["knn_cosine"])
 def knn_ivf(spark, d):
     return vector.InvertedFile(table(spark, d, "embeddings"), 16).knn(vector_of(spark, d, 0), 10, 8)
 
@@ -399,20 +468,20 @@ def knn_ivf(spark, d):
 # ---------------------------------------------------------------- hybrid retrieval
 def chunks_of(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return docs(spark, d).join(e, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("section"), "lang", "embedding")
+    return docs(spark, d).join(e, F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("section"), "lang", "embedding")
 
 
 #: Words of the tables' invented prose in place of the domain's.
 LISTS = [(["que", "pour", "reor"], ["src1"], 2.0), (["the", "inea"], ["src2"], 2.0), (["der", "und"], ["src3"], 1.8)]
 KINDS_OF_QUERY = [(["que", "pour"], ["les", "eau"], ["src1"]), (["inea"], ["the"], ["src2"])]
 VARIANTS = [("que pour reor", 0), ("reor the inea", 1)]
-CHUNKS = "c AS (SELECT doc_id AS id, text AS content, source AS section, lang, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id)"
+CHUNKS = "c AS (SELECT doc_id AS id, text AS content, source AS section, lang, CAST(embedding AS DOUBLE[]) AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
 CSTATS = CHUNKS + f", t AS (SELECT id, {TOK.format('content')} AS toks FROM c), s AS (SELECT count(*) AS n, avg(len(toks)) AS m FROM t)"
 
 
 def _side_sql(i: int, text: str, vec: int, k: int) -> str:
     return f"""k{i} AS (SELECT id, round({score_sql(text)}, 6) AS kw FROM t, s), kt{i} AS (SELECT * FROM k{i} WHERE kw > 0 ORDER BY kw DESC, id LIMIT {2 * k}),
- v{i} AS (SELECT id, round(list_cosine_similarity(e, {ZERO.format(vec)}), 6) AS vec FROM c), vt{i} AS (SELECT * FROM v{i} ORDER BY vec DESC, id LIMIT {2 * k}),
+ v{i} AS (SELECT id, round(list_cosine_similarity(e, {ZERO.format(vec)}), 6) AS vec FROM c WHERE e IS NOT NULL), vt{i} AS (SELECT * FROM v{i} ORDER BY vec DESC, id LIMIT {2 * k}),
  m{i} AS (SELECT id, {i} AS variant, coalesce(vec, 0.0) AS vector_score, coalesce(kw, 0.0) AS keyword_score FROM vt{i} FULL OUTER JOIN kt{i} USING (id))"""
 
 
@@ -462,32 +531,45 @@ def _rule_sql(query_: str) -> str:
 @query(f"WITH {_multi_sql(VARIANTS[:1])} SELECT id, vector_score, keyword_score, round(least(keyword_score / 10, 1.0) * (1 - CAST(0.7 AS DOUBLE)) + vector_score * (1 - (1 - CAST(0.7 AS DOUBLE))), 8) AS score FROM m0")
 def hybrid_merge(spark, d):
     c = chunks_of(spark, d)
-    vec = vector.knn(c, vector_of(spark, d, 0), 20, "id").withColumnRenamed("score", "vector_score")
-    kw = lexical.bm25_topk(c, lexical.query_terms(VARIANTS[0][0]), 20, "id", "content").withColumnRenamed("score", "keyword_score")
+    vec = vector.knn(c.where("embedding IS NOT NULL"), vector_of(spark, d, 0), 20, "id").withColumnRenamed("score", "vector_score")
+    kw = index_of(spark, d).topk(lexical.query_terms(VARIANTS[0][0]), 20).withColumnRenamed("score", "keyword_score")
     return hybrid.merge(vec, kw, c.select("id", "content")).drop("content")
 
 
+CACHED = Rows("id long, content string, section string", [(1, "one", "A"), (2, "two", "B")])
+BY_VECTOR = Rows("id long, vector_score double, content string, section string", [(1, 0.9, "stale", "A"), (3, 0.8, "rebuilt", "C"), (4, 0.7, None, "D")])
+BY_WORD = Rows("id long, keyword_score double", [(2, 5.0), (3, 20.0), (5, 1.0)])
+
+
+@query(f"SELECT id, coalesce(vector_score, 0.0) AS vector_score, coalesce(keyword_score, 0.0) AS keyword_score, coalesce(c.content, v.content) AS content, coalesce(c.section, v.section) AS section, round(least(coalesce(keyword_score, 0.0) / 10, 1.0) * (1 - CAST(0.7 AS DOUBLE)) + coalesce(vector_score, 0.0) * (1 - (1 - CAST(0.7 AS DOUBLE))), 8) AS score FROM {BY_VECTOR.sql} v FULL OUTER JOIN {BY_WORD.sql} k USING (id) LEFT JOIN {CACHED.sql} c USING (id) WHERE coalesce(c.content, v.content) IS NOT NULL")
+def hybrid_rebuild(spark, d):
+    return hybrid.merge(BY_VECTOR.df(spark), BY_WORD.df(spark), CACHED.df(spark))
+
+
+def _found(spark, d) -> DataFrame:
+    return hybrid.multiquery(chunks_of(spark, d), index_of(spark, d), _variants(spark, d))
+
+
 @query(f"WITH {_multi_sql(VARIANTS)} SELECT id, vector_score, keyword_score, score FROM hc")
 def hybrid_multiquery(spark, d):
-    return hybrid.multiquery(chunks_of(spark, d), _variants(spark, d)).drop("content", "section")
+    return _found(spark, d).drop("content", "section")
 
 
-@query(f"WITH {_multi_sql(VARIANTS)} SELECT id, section, substr(content, 1, 80) AS snippet, score FROM hc")
+@query(f"WITH {_multi_sql(VARIANTS)} SELECT id, section, md5(content) AS digest, score FROM hc")
 def hybrid_search(spark, d):
-    return hybrid.multiquery(chunks_of(spark, d), _variants(spark, d)).select("id", "section", F.substring("content", 1, 80).alias("snippet"), "score")
+    return _found(spark, d).select("id", "section", F.md5("content").alias("digest"), "score")
 
 
 @query(f"WITH {_multi_sql(VARIANTS)} {_boost_sql('hc', VARIANTS[0][0])}")
 def boost_hybrid(spark, d):
-    return hybrid.boost(hybrid.multiquery(chunks_of(spark, d), _variants(spark, d)), VARIANTS[0][0], KINDS_OF_QUERY).select("id", "score")
+    return hybrid.boost(_found(spark, d), VARIANTS[0][0], KINDS_OF_QUERY).select("id", "score")
 
 
-NEAR = CHUNKS + ", n AS (SELECT id, content, section, round(list_cosine_similarity(e, " + ZERO.format("{0}") + "), 6) AS score FROM c ORDER BY score DESC, id LIMIT {1})"
+NEAR = CHUNKS + ", n AS (SELECT id, content, section, round(list_cosine_similarity(e, " + ZERO.format("{0}") + "), 6) AS score FROM c WHERE e IS NOT NULL ORDER BY score DESC, id LIMIT {1})"
 
 
 def near(spark, d, vec: int, k: int) -> DataFrame:
-    score = F.round(vector.cosine(F.col("embedding"), vector_of(spark, d, vec)), 6)
-    return chunks_of(spark, d).select("id", "content", "section", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return hybrid.near(chunks_of(spark, d), vector_of(spark, d, vec), k)
 
 
 @query(f"WITH {NEAR.format(0, 10)}, r AS ({_rerank_sql('n', VARIANTS[0][0], 5, 0.1)}) SELECT id, score FROM r")
@@ -500,9 +582,9 @@ def hybrid_rule(spark, d):
     return hybrid.hybrid_rule(near(spark, d, 0, 20), "reor words src1").select("id", "keyword_score", "semantic_score", "score")
 
 
-@query(f"WITH {_multi_sql(VARIANTS)} SELECT id, score, 'enhanced_hybrid' AS search_method, CAST(NULL AS VARCHAR) AS fallback_reason FROM hc")
+@query(f"WITH {_multi_sql(VARIANTS)} SELECT id, round(score, 10) AS score, 'hybrid' AS search_method, CAST(NULL AS VARCHAR) AS fallback_reason FROM hc")
 def enhanced_search(spark, d):
-    return hybrid.enhanced(chunks_of(spark, d), _variants(spark, d)).select("id", "score", "search_method", "fallback_reason")
+    return hybrid.enhanced(chunks_of(spark, d), index_of(spark, d), _variants(spark, d)).select("id", "score", "search_method", "fallback_reason")
 
 
 # ---------------------------------------------------------------- tables
@@ -569,12 +651,22 @@ def year_pivot(spark, d):
     return tables.year_pivot(g, tables.years(g, 2025))
 
 
-@query("SELECT 'Found 1 table(s) matching \"revenue\": Table 10: revenue by year. Revenue by year: 2022: $6, 2023: $7, 2024: $749.011, 2025: $10' AS summary")
+PIVOT = f"pr AS (SELECT filename, pos, cells[1] AS row_label, CAST(unnest(range(0, len(cells))) AS INTEGER) AS col, unnest(cells) AS cell FROM g WHERE len(cells) > 1 AND trim(cells[1]) <> ''), pv AS (SELECT filename, pos, row_label, year, arg_max({clean_sql('cell')}, seq) AS value FROM pr JOIN ys USING (filename, col) GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"""WITH {YEARS}, {CATALOG.removeprefix(f'g AS (SELECT * FROM {GRID.sql}), ')}, {PIVOT}, f AS (SELECT filename, table_number, name, CASE WHEN contains(filename, 'operations') THEN 2 WHEN contains(filename, 'financial') THEN 1 ELSE 0 END AS priority FROM cat WHERE contains(lower(filename), 'revenue') ORDER BY priority DESC, filename LIMIT 3),
+ l AS (SELECT count(*) AS n, string_agg('Table ' || table_number || ': ' || name, ', ' ORDER BY priority DESC, filename) AS names FROM f), one AS (SELECT filename FROM f ORDER BY priority DESC, filename LIMIT 1),
+ r AS (SELECT min(pos) AS pos FROM pv JOIN one USING (filename) WHERE contains(lower(row_label), 'revenue') AND NOT contains(lower(row_label), 'cost')), yy AS (SELECT string_agg(year || ': $' || value, ', ' ORDER BY year) AS years FROM pv JOIN one USING (filename) JOIN r USING (pos))
+ SELECT 'Found ' || n || ' table(s) matching "revenue": ' || names || coalesce('. Revenue by year: ' || years, '') AS summary FROM l, yy WHERE n > 0""")
 def table_summary(spark, d):
     return tables.summary(GRID.df(spark), "revenue", 2025)
 
 
-@query()
+@query(f"""WITH {YEARS}, {CATALOG.removeprefix(f'g AS (SELECT * FROM {GRID.sql}), ')}, {PIVOT}, f AS (SELECT filename FROM cat WHERE contains(lower(filename), 'operations')),
+ h AS (SELECT filename, min(pos) + 1 AS data_start FROM g WHERE pos < 3 AND len(list_filter(cells, lambda c: regexp_matches(c, '(?i)year|ended|months|quarter'))) > 0 GROUP BY 1),
+ m AS (SELECT filename, pos, '{{' || string_agg('"' || year || '":"' || value || '"', ',' ORDER BY year) || '}}' AS year_data FROM pv GROUP BY 1, 2)
+ SELECT filename, table_number, CASE WHEN name = '' THEN 'Financial Table' ELSE name END AS description, pos, cells[1] AS row_label, array_to_string(list_transform(cells[2:], lambda v: {clean_sql('v')}), '|') AS values, year_data
+ FROM g JOIN f USING (filename) JOIN cat USING (filename) LEFT JOIN h USING (filename) LEFT JOIN m USING (filename, pos) WHERE pos >= coalesce(data_start, 0) AND len(cells) > 1 AND trim(cells[1]) <> '' AND len(list_filter(cells, lambda c: contains(lower(c), 'revenue'))) > 0""")
 def read_table(spark, d):
     out = tables.read_table(GRID.df(spark), 2025, keyword="operations", row_text="revenue")
     return out.withColumn("values", F.array_join("values", "|")).withColumn("year_data", F.to_json("year_data"))
@@ -593,7 +685,7 @@ def margin(spark, d):
 
 
 # ---------------------------------------------------------------- workflow
-FAN = f"""{CHUNKS}, n0 AS (SELECT id, content, section, round(list_cosine_similarity(e, {ZERO.format(0)}), 6) AS score FROM c ORDER BY score DESC, id LIMIT 10), n1 AS (SELECT id, content, section, round(list_cosine_similarity(e, {ZERO.format(1)}), 6) AS score FROM c ORDER BY score DESC, id LIMIT 10),
+FAN = f"""{CHUNKS}, n0 AS (SELECT id, content, section, round(list_cosine_similarity(e, {ZERO.format(0)}), 6) AS score FROM c WHERE e IS NOT NULL ORDER BY score DESC, id LIMIT 10), n1 AS (SELECT id, content, section, round(list_cosine_similarity(e, {ZERO.format(1)}), 6) AS score FROM c WHERE e IS NOT NULL ORDER BY score DESC, id LIMIT 10),
  f0 AS ({_rerank_sql('n0', VARIANTS[0][0], 5, 0.1)}), f1 AS ({_rerank_sql('n1', VARIANTS[1][0], 5, 0.1)}), u AS (SELECT 0 AS term_no, * FROM f0 UNION ALL SELECT 1, * FROM f1),
  fan AS (SELECT CAST(row_number() OVER (ORDER BY term_no, score DESC, id) - 1 AS INTEGER) AS pos, * FROM u)"""
 
@@ -615,12 +707,12 @@ def dedupe_results(spark, d):
 SEEN = Rows("pos int, content string, section string, page int, score double", [(0, "alpha", "A", 3, 0.9), (1, "beta", "B", 0, 0.7), (2, "gamma", None, None, 0.6), (3, "delta", "A", 3, 0.5)])
 
 
-@query("SELECT '[1] alpha' || chr(10) || '[Section: A, Page: 3]' || chr(10) || chr(10) || '[2] beta' || chr(10) || '[Section: B, Page: N/A]' || chr(10) || chr(10) || '[3] gamma' || chr(10) || '[Section: N/A, Page: N/A]' || chr(10) || chr(10) || '[4] delta' || chr(10) || '[Section: A, Page: 3]' AS context")
+@query(f"SELECT string_agg('[' || (pos + 1) || '] ' || content || chr(10) || '[Section: ' || coalesce(section, 'N/A') || ', Page: ' || CASE WHEN coalesce(page, 0) = 0 THEN 'N/A' ELSE CAST(page AS VARCHAR) END || ']', chr(10) || chr(10) ORDER BY pos) AS context FROM {SEEN.sql}")
 def render_context(spark, d):
     return workflow.context(SEEN.df(spark))
 
 
-@query(f"WITH t AS (SELECT section, page, 'text' AS type, pos FROM {SEEN.sql} UNION ALL SELECT section, page, 'table', pos + 1000000 FROM {SEEN.sql} WHERE pos > 1) SELECT section, page, type, min(pos) AS pos FROM t GROUP BY 1, 2, 3")
+@query(f"WITH t AS (SELECT section, page, 'text' AS type, pos FROM {SEEN.sql} UNION ALL SELECT section, page, 'table', CAST(pos + (SELECT max(pos) + 1 FROM {SEEN.sql}) AS INTEGER) FROM {SEEN.sql} WHERE pos > 1) SELECT section, page, type, min(pos) AS pos FROM t GROUP BY 1, 2, 3")
 def citations_union(spark, d):
     s = SEEN.df(spark)
     return workflow.citations(s, s.where("pos > 1"))
@@ -635,7 +727,10 @@ def confidence(spark, d):
 ANSWERS = Rows("id int, t string", [(0, '{"a": 1}'), (1, 'Here:\n```json\n{"b": 2}\n```\nand {"z": 0}'), (2, 'so {"c": [1, 2]} it is'), (3, "no json {at} all"), (4, "")])
 
 
-@query("SELECT * FROM (VALUES (0, '{\"a\": 1}'), (1, '{\"b\": 2}'), (2, '{\"c\": [1, 2]}'), (3, NULL), (4, NULL)) AS v(id, found)")
+FENCED, BRACED = r"regexp_extract(t, '(?s)```(?:json)?\s*(.*?)```', 1)", r"regexp_extract(t, '(?s)\{.*\}')"
+
+
+@query(f"SELECT id, CASE WHEN json_valid(t) THEN trim(t) WHEN json_valid({FENCED}) THEN regexp_replace({FENCED}, '^\\s+|\\s+$', '', 'g') WHEN json_valid({BRACED}) THEN {BRACED} END AS found FROM {ANSWERS.sql}")
 def extract_json(spark, d):
     return ANSWERS.df(spark).select("id", quality.extract_json(F.col("t")).alias("found"))
 
@@ -672,12 +767,18 @@ def extract_fields(spark, d):
 QUOTED = Rows("id int, t string", [(0, '"quote one" (Risk Factors, p. 12) and "quote two" (MD&A, p 80)'), (1, "(Business, p.3) alone"), (2, "none")])
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'Risk Factors', 12, 'quote one'), (0, 1, 'MD&A', 80, 'quote two'), (1, 0, 'Business', 3, '')) AS v(id, pos, section, page, quote)")
+@query(f"""WITH c AS (SELECT id, regexp_extract_all(t, '\\(([^,]+),\\s*p\\.?\\s*([0-9]+)\\)', 1) AS s, regexp_extract_all(t, '\\(([^,]+),\\s*p\\.?\\s*([0-9]+)\\)', 2) AS p, regexp_extract_all(t, '"([^"]+)"', 1) AS q FROM {QUOTED.sql}), n AS (SELECT *, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos FROM c)
+ SELECT id, pos, trim(s[pos + 1]) AS section, CAST(p[pos + 1] AS INTEGER) AS page, coalesce(q[pos + 1], '') AS quote FROM n""")
 def extract_citations(spark, d):
     return QUOTED.df(spark).select("id", F.posexplode(X.citations(F.col("t"))).alias("pos", "c")).select("id", "pos", "c.*")
 
 
-@query("SELECT id, CAST(p AS BIGINT) AS placeholders, CAST(d AS BIGINT) AS data_points, is_valid FROM (VALUES (0, 4, 2, FALSE), (1, 0, 7, TRUE)) AS v(id, p, d, is_valid)")
+LEAVES = f"""l AS (SELECT n.id, substr(t.fullkey, 3) AS path, t.type, CASE WHEN t.type = 'VARCHAR' THEN json_extract_string(t.value, '$') END AS v FROM {NESTED.sql} n, json_tree(CASE WHEN json_valid(n.j) THEN n.j ELSE '{{}}' END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')),
+ f AS (SELECT *, coalesce(regexp_matches(v, '{vocab.PLACEHOLDER}'), FALSE) AS bad FROM l)"""
+
+
+@query(f"""WITH {LEAVES}, c AS (SELECT id, count(*) FILTER (bad) AS placeholders, count(*) FILTER (NOT bad AND (length(trim(v)) > 10 OR type IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) AS data_points, coalesce(string_agg(path, ',' ORDER BY path) FILTER (bad), '') AS issues FROM f GROUP BY 1)
+ SELECT id, coalesce(placeholders, 0) AS placeholders, coalesce(data_points, 0) AS data_points, coalesce(issues, '') AS issues, coalesce(placeholders = 0 AND data_points > 5, FALSE) AS is_valid FROM {NESTED.sql} LEFT JOIN c USING (id)""")
 def json_quality(spark, d):
     return quality.quality(quality.leaves(NESTED.df(spark), "id", "j"))
 
@@ -702,12 +803,29 @@ def risk_matrix(spark, d):
 PARTIAL = Rows("id int, pos int, field string, value string, items array<string>", [(0, 0, "x", "one", ["a", "b"]), (0, 1, "x", "TBD", ["b", "c"]), (0, 2, "x", None, None), (0, 0, "y", None, ["z"]), (1, 0, "x", "first", []), (1, 1, "x", "second", [])])
 
 
-@query("SELECT * FROM (VALUES (0, 'x', 'one', 'a,b,c'), (0, 'y', NULL, 'z'), (1, 'x', 'second', '')) AS v(id, field, value, items)")
+@query(f"WITH m AS (SELECT id, field, arg_max(value, pos) FILTER (value IS NOT NULL AND NOT regexp_matches(value, '{vocab.PLACEHOLDER}')) AS value, flatten(list(coalesce(items, CAST([] AS VARCHAR[])) ORDER BY pos)) AS l FROM {PARTIAL.sql} GROUP BY 1, 2) SELECT id, field, value, array_to_string({ORDERED.format('l')}, ',') AS items FROM m")
 def merge_partials(spark, d):
     return quality.merge_partials(PARTIAL.df(spark))
 
 
-PARTS = Rows("report string, section string, placeholders int, data_points int, citations int", [("old", "executive_summary", 0, 12, 3), ("old", "financial_analysis", 2, 8, 0), ("old", "business_strategy", 0, 4, 1), ("old", "risk_assessment", 12, 0, 0), ("new", "executive_summary", 0, 20, 9), ("new", "financial_analysis", 0, 30, 9), ("new", "business_strategy", 0, 9, 2), ("new", "risk_assessment", 0, 15, 4), ("new", "valuation_analysis", 1, 11, 0)])
+BODIES_OF_ANSWERS = Rows("id int, pos int, body string", [(0, 0, '{"a":[1,2],"b":{"x":"kept","y":[1]},"c":"TBD"}'), (0, 1, '{"a":[2,3],"b":{"x":null,"y":[1,4],"z":"new"},"c":"last"}'), (0, 2, "broken"), (1, 0, '{"d":"first"}'), (1, 1, '{"d":"[X]","e":5}')])
+
+
+@query("SELECT * FROM (VALUES (0, '{\"a\":[1,2,3],\"b\":{\"x\":\"kept\",\"y\":[1,4],\"z\":\"new\"},\"c\":\"last\"}'), (1, '{\"d\":\"first\",\"e\":5}')) AS v(id, merged)")
+def merge_responses(spark, d):
+    return quality.merge_responses(BODIES_OF_ANSWERS.df(spark))
+
+
+FAULTY = Rows("id int, j string", [(0, '{"executive_summary":{"price_target":{"target_price":"Error: none"}},"financial_analysis":{"revenue_analysis":{"current_revenue":"$749 million"}}}'), (1, '{"financial_analysis":{"revenue_analysis":{"current_revenue":"Error"}}}'), (2, "{}")])
+
+
+@query(f"SELECT id, coalesce(contains(json_extract_string(j, '$.executive_summary.price_target.target_price'), 'Error'), FALSE) AS price_error, coalesce(contains(json_extract_string(j, '$.financial_analysis.revenue_analysis.current_revenue'), 'Error'), FALSE) AS revenue_error FROM {FAULTY.sql}")
+def report_errors(spark, d):
+    price, revenue = quality.errors_in(F.try_parse_json(F.col("j")))
+    return FAULTY.df(spark).select("id", price.alias("price_error"), revenue.alias("revenue_error"))
+
+
+PARTS = Rows("report string, section string, placeholders int, data_points int, citations int, price_error boolean, revenue_error boolean", [("old", "executive_summary", 0, 12, 3, True, False), ("old", "financial_analysis", 2, 8, 0, False, False), ("old", "business_strategy", 0, 4, 1, False, False), ("old", "risk_assessment", 12, 0, 0, False, False), ("new", "executive_summary", 0, 20, 9, False, False), ("new", "financial_analysis", 0, 30, 9, False, False), ("new", "business_strategy", 0, 9, 2, False, False), ("new", "risk_assessment", 0, 15, 4, False, False), ("new", "valuation", 1, 11, 0, False, False)])
 SCORE = "greatest(0, 100 - placeholders * 10 - CASE WHEN data_points < 5 THEN 20 WHEN data_points < 10 THEN 10 ELSE 0 END - CASE WHEN citations = 0 THEN 15 ELSE 0 END)"
 
 
@@ -716,8 +834,8 @@ def section_score(spark, d):
     return PARTS.df(spark).select("report", "section", quality.section_score(F.col("placeholders"), F.col("data_points"), F.col("citations")).alias("score"))
 
 
-@query(f"""WITH s AS (SELECT *, {SCORE} AS score FROM {PARTS.sql}), a AS (SELECT report, CAST(floor(avg(score) + 0.5) AS INTEGER) AS score, list_sort(list_filter({literal(quality.SECTIONS)}, lambda x: NOT list_contains(list(section), x))) AS missing, sum(placeholders) AS p, sum(data_points) AS d, sum(citations) AS c, string_agg(section, ', ' ORDER BY section) FILTER (score < 60) AS low FROM s GROUP BY 1)
- SELECT report, score, score >= 60 AND len(missing) = 0 AS is_valid, array_to_string(missing, ',') AS missing, concat_ws('; ', CASE WHEN p > 0 THEN 'placeholders' END, CASE WHEN d < 50 THEN 'data points' END, CASE WHEN c < 20 THEN 'citations' END, CASE WHEN low IS NOT NULL THEN 'Focus on improving: ' || low END) AS recommendations FROM a""")
+@query(f"""WITH s AS (SELECT *, {SCORE} AS score FROM {PARTS.sql}), a AS (SELECT report, CAST(floor(avg(score) + 0.5) AS INTEGER) AS score, list_sort(list_filter({literal(quality.SECTIONS)}, lambda x: NOT list_contains(list(section), x))) AS missing, sum(placeholders) AS p, sum(data_points) AS d, sum(citations) AS c, string_agg(section, ', ' ORDER BY section) FILTER (score < 60) AS low, bool_or(price_error) AS price, bool_or(revenue_error) AS revenue FROM s GROUP BY 1)
+ SELECT report, score, score >= 60 AND len(missing) = 0 AS is_valid, array_to_string(missing, ',') AS missing, concat_ws('; ', CASE WHEN p > 0 THEN 'placeholders' END, CASE WHEN d < 50 THEN 'data points' END, CASE WHEN c < 20 THEN 'citations' END, CASE WHEN low IS NOT NULL THEN 'Focus on improving: ' || low END, CASE WHEN price THEN 'price target' END, CASE WHEN revenue THEN 'revenue' END) AS recommendations FROM a""")
 def report_score(spark, d):
     return quality.report_score(PARTS.df(spark))
 
@@ -728,9 +846,9 @@ def compare_reports(spark, d):
     return quality.compare(s.where("report = 'old'"), s.where("report = 'new'"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'High' WHEN length(text) > 10 THEN 'Medium' ELSE 'Low' END AS tier FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'High' WHEN length(text) > 10 THEN 'Medium' ELSE 'Low' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")
 def quality_tier(spark, d):
-    both = docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    both = docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
     return both.select("doc_id", workflow.tier(F.col("quality") == 1, F.length("text")).alias("tier"))
 
 
@@ -754,8 +872,14 @@ def last_messages(spark, d):
     return memory.last_messages(table(spark, d, "conversations"), 10).select("conv_id", "turn", "role", "text")
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, text, {TOK.format('text')} AS toks FROM conversations), s AS (SELECT count(*) AS n, avg(len(toks)) AS m FROM t),
- r AS (SELECT conv_id, turn, role, text, round({score_sql('the that reor')}, 6) AS score FROM t, s), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS k FROM r), h AS (SELECT *, CAST(score > 0 AND k <= 3 AS INTEGER) AS hit FROM k)
+#: A vector for most messages: that of the tables' row of a number made from conversation and turn.
+SPOKEN = "(conv_id * 7 + turn) % 600"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {ZERO.format(0)}), 6) AS score FROM conversations LEFT JOIN embeddings ON vec_id = {SPOKEN}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC NULLS LAST, turn) AS k FROM m), h AS (SELECT *, CAST(score IS NOT NULL AND k <= 3 AS INTEGER) AS hit FROM k)
  SELECT DISTINCT m.conv_id, m.turn, m.role, m.text, m.hit FROM h m JOIN h ON h.conv_id = m.conv_id AND h.hit = 1 AND m.turn BETWEEN h.turn - 1 AND h.turn + 1""")
 def semantic_recall(spark, d):
-    return memory.semantic_recall(table(spark, d, "conversations"), lexical.query_terms("the that reor"), 3, 1)
+    said = table(spark, d, "conversations").withColumn("vec_id", F.expr(SPOKEN))
+    both = said.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left")
+    return memory.semantic_recall(both, vector_of(spark, d, 0), 3, 1)

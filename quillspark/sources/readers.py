@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import csv_cells
+from ..operators.tables import csv_cells, to_csv
 
 ELEMENT = "type string, text string, text_level int, img_path string, table_caption array<string>, table_footnote array<string>, table_body string, page_idx int"
 CHUNK = "id string, content string, metadata struct<section_path: array<string>, section_hierarchy: string, page_idx: int, chunk_type: string, chunk_size: int, timestamp: string>"
@@ -17,15 +21,24 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode("e").alias("pos", "e")).select("file", "pos", "e.*")
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", CHUNK, {"mode": "PERMISSIVE"}).alias("c")).select("c.*").withColumn("good", F.coalesce(F.expr("id <> '' AND content <> ''"), F.lit(False)))
+
+
 def jsonl_lenient(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a JSON lines file; blank and broken lines and those without id or content are left out. Raises if none is left."""
-    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", CHUNK, {"mode": "PERMISSIVE"}).alias("c")).select("c.*")
-    good = parsed.where("id <> '' AND content <> ''")
+    good = _parsed(spark, path).where("good").drop("good")
     if not good.limit(1).count():
         raise ValueError(f"no valid chunk in {path}")
     return good
 
 
+def jsonl_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row: lines that jsonl_lenient() takes, and those, but for blank ones, that it leaves out."""
+    return _parsed(spark, path).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+
+
 def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a JSON lines file; a broken line fails the read."""
     return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path)
@@ -57,15 +70,55 @@ def write_envelope(chunks: DataFrame, tables: DataFrame, source: str, processed:
 
 
 def write_vectors(vectors: DataFrame, name: str, replace: bool = False) -> None:
-    """A vector index table: created anew, or rows of new ids appended and those of known ids replaced."""
+    """A vector index: `name` is a view of the newest version of its table.
+
+    Rows of new ids only are appended. Otherwise a new version is written once, in which rows of known ids are replaced,
+    and the view goes over to it, so readers see either the old rows or the new ones; then the old version is dropped.
+    """
     spark = vectors.sparkSession
-    if replace or not spark.catalog.tableExists(name):
-        vectors.write.mode("overwrite").saveAsTable(name)
-        return
-    old = spark.table(name).join(vectors.select("id"), "id", "left_anti")
-    old.unionByName(vectors).write.mode("overwrite").saveAsTable(name + "_next")
-    spark.table(name + "_next").write.mode("overwrite").saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}_next")
+    known = spark.catalog.tableExists(name)
+    old = spark.table(name) if known else None
+    if known and not replace:
+        vectors = vectors.select(old.columns)
+        if not old.join(vectors.select("id"), "id", "left_semi").limit(1).count():
+            vectors.write.insertInto(_version(spark, name))
+            return
+        vectors = old.join(vectors.select("id"), "id", "left_anti").unionByName(vectors)
+    before = _version(spark, name) if known else None
+    version = f"{name}_{uuid.uuid4().hex[:12]}"
+    vectors.write.saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {version}")
+    if before:
+        spark.sql(f"DROP TABLE IF EXISTS {before}")
+
+
+def _version(spark: SparkSession, name: str) -> str:
+    """The table behind a vector index."""
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}["version"]
+
+
+def write_table_files(tables: DataFrame, path: str) -> DataFrame:
+    """Writes each table of tables(filename, data) as CSV under its own name below path, in tasks; (filename, bytes) of the files.
+
+    path is anything that Arrow's file systems open. A task that runs again writes the same bytes.
+    """
+    rows = tables.select("filename", to_csv(F.col("data")).alias("csv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(folder, recursive=True)
+        for b in batches:
+            names, sizes = b.column("filename").to_pylist(), []
+            for name, text in zip(names, b.column("csv").to_pylist(), strict=True):
+                data = (text or "").encode()
+                with store.open_output_stream(f"{folder}/{name.replace('/', '_')}") as f:
+                    f.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], ["filename", "bytes"])
+
+    return rows.mapInArrow(run, "filename string, bytes long")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.model import bounded, one_of, parse_answer
+from quillspark.model import bounded, one_of, parse_answer, parse_response
 from quillspark.operators import hybrid, ingest, lexical, quality, split, tables, vector, workflow
+from quillspark.session import scratch
 from quillspark.sources import readers
 
 
@@ -75,24 +76,91 @@ def test_vector_table_upserts(spark):
     v = lambda rows: spark.createDataFrame(rows, "id string, x int")
     readers.write_vectors(v([("a", 1), ("b", 2)]), "vectors_test", replace=True)
     readers.write_vectors(v([("b", 3), ("c", 4)]), "vectors_test")
-    assert sorted(map(tuple, spark.table("vectors_test").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    readers.write_vectors(v([("d", 5)]), "vectors_test")
+    assert sorted(map(tuple, spark.table("vectors_test").collect())) == [("a", 1), ("b", 3), ("c", 4), ("d", 5)]
+    readers.write_vectors(v([("z", 0)]), "vectors_test", replace=True)
+    assert spark.table("vectors_test").collect() == [("z", 0)]
+    assert sum(t.name.startswith("vectors_test") for t in spark.catalog.listTables()) == 2
 
 
 def test_bm25_is_indifferent_to_order_and_negative_for_common_terms(spark):
     rows = [(i, "common rare" if i == 0 else "common word") for i in range(6)]
     one = spark.createDataFrame(rows, "doc_id long, text string")
     two = spark.createDataFrame(rows[::-1], "doc_id long, text string")
-    s = lambda d: sorted(map(tuple, lexical.with_bm25(d, {"s": ["common", "rare"]}).select("doc_id", F.round("s", 6)).collect()))
+    s = lambda d: sorted(map(tuple, lexical.Index.build(d, scratch(spark)).all_scores(["common", "rare"]).select("id", F.round("score", 6)).collect()))
     assert s(one) == s(two)
     assert s(one)[1][1] < s(one)[0][1] and s(one)[1][1] < 0
 
 
 def test_multiquery_keeps_the_best_of_variants(spark):
     chunks = spark.createDataFrame([(0, "alpha beta", "s", [1.0, 0.0]), (1, "gamma", "s", [0.0, 1.0])], "id long, content string, section string, embedding array<float>")
-    both = {r["id"]: r["score"] for r in hybrid.multiquery(chunks, [("alpha", [1.0, 0.0]), ("gamma", [0.0, 1.0])]).collect()}
-    one = {r["id"]: r["score"] for r in hybrid.multiquery(chunks, [("alpha", [1.0, 0.0])]).collect()}
+    index = lexical.Index.build(chunks, scratch(spark), "id", "content")
+    both = {r["id"]: r["score"] for r in hybrid.multiquery(chunks, index, [("alpha", [1.0, 0.0]), ("gamma", [0.0, 1.0])]).collect()}
+    one = {r["id"]: r["score"] for r in hybrid.multiquery(chunks, index, [("alpha", [1.0, 0.0])]).collect()}
     assert all(both[i] >= one[i] for i in one)
-    assert hybrid.enhanced(chunks, [("alpha", [1.0, 0.0])]).collect()[0]["search_method"] == "enhanced_hybrid"
+    assert hybrid.enhanced(chunks, index, [("alpha", [1.0, 0.0])]).collect()[0]["search_method"] == "hybrid"
+
+
+def test_search_falls_back_when_it_runs(spark, monkeypatch):
+    chunks = spark.createDataFrame([(0, "alpha beta " * 20, "s", [1.0, 0.0]), (1, "gamma", "s", [0.0, 1.0]), (2, "no vector", "s", None)], "id long, content string, section string, embedding array<float>")
+    index = lexical.Index.build(chunks, scratch(spark), "id", "content")
+    broken = F.udf(lambda x: 1 / 0, "long")
+    index.postings = index.postings.withColumn("tf", broken("tf"))
+    got = hybrid.enhanced(chunks, index, [("alpha", [1.0, 0.0])]).collect()
+    assert [(r["id"], r["search_method"], r["fallback_reason"]) for r in got] == [(0, "vector_fallback", "hybrid_search_unavailable")]
+    monkeypatch.setattr(hybrid, "rerank", None)
+    got = hybrid.enhanced(chunks, None, [("alpha", [1.0, 0.0])]).collect()
+    assert [r["id"] for r in got] == [0, 1] and {r["search_method"] for r in got} == {"basic_vector_fallback"}
+
+
+def test_a_query_of_the_index_reads_no_text(spark):
+    from quillspark.plans.queries import QUERIES, index_of
+
+    index = index_of(spark, "/root/testdata/sf0.001")
+    plan = QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "documents.parquet" not in plan and "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan
+    assert index.n_docs == 200 and index.terms.count() == index.postings.select("term").distinct().count()
+
+
+def test_names_of_people_are_a_parameter():
+    from quillspark.functions import vocab
+
+    assert vocab.with_names(["jane"])[2][0][:2] == ["jane", "ceo"] and vocab.with_names([]) == vocab.RERANK
+
+
+def test_blank_lines_do_not_overlap():
+    text = "a" * 400 + "\n\n\n" + "b" * 400
+    assert split.windows(text, 512, 50)[0] == (0, 402)
+
+
+def test_tables_keep_the_whole_path_and_chunks_the_line_ends(spark):
+    rows = [(1, 0, "text", "BUSINESS", 1, None, None, None), (1, 1, "text", "Deep part", 2, None, None, None), (1, 2, "table", None, None, None, "<tr><td>a</td></tr>", None)]
+    e = spark.createDataFrame(rows, "doc_id long, pos int, type string, text string, text_level int, table_caption array<string>, table_body string, page_idx int")
+    got = ingest.chunks(e).collect()
+    assert got[1]["content"].startswith("# Deep part\n\n\n[TABLE 1] Data table from BUSINESS > Deep part section\nSection: BUSINESS > Deep part\n") and got[1]["content"].endswith(".csv\n")
+    assert {r["page_idx"] for r in got} == {0}
+
+
+def test_responses_are_parsed_and_merged():
+    schema = "answer string, confidence string, citations array<struct<section: string, page: int>>"
+    assert parse_response({"object": {"answer": "x", "confidence": None}}, schema) == ({"answer": "x"}, [])
+    assert parse_response({"text": 'so ```json\n{"answer": 5, "citations": [{"page": "x"}]}\n``` it is'}, schema) == ({"answer": 5, "citations": [{"page": "x"}]}, ["answer", "citations[0].page"])
+    assert parse_response({"answer": "TBD", "n": [1]})[0] == {"n": [1]} and parse_response("nothing") == (None, [])
+    assert parse_response('{"a": 1}', ["a", "b"]) == ({"a": 1}, ["b"])
+    for bad, kind in (("nothing", None), ('{"answer": 5}', schema)):
+        with pytest.raises(ValueError):
+            parse_response(bad, kind, strict=True)
+    assert quality.merged([{"a": [1, 2], "b": {"x": 1, "y": [1]}}, {"a": [2, 3, 3], "b": {"y": [2]}, "c": "TBD"}]) == {"a": [1, 2, 3], "b": {"x": 1, "y": [1, 2]}}
+
+
+def test_tables_are_written_under_their_names(spark, tmp_path):
+    from quillspark.plans.queries import ELEMENTS
+
+    made = ingest.tables(ELEMENTS.df(spark))
+    got = {r["filename"]: r["bytes"] for r in readers.write_table_files(made, str(tmp_path / "csv")).collect()}
+    assert len(got) == made.count() and all((tmp_path / "csv" / n).stat().st_size == b for n, b in got.items())
+    back = readers.csv_tables(spark, str(tmp_path / "csv" / "*.csv"))
+    assert back.where("pos = 0").count() == len(got)
 
 
 def test_default_vocabulary_reranks(spark):
