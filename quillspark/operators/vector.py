@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,15 @@ class InvertedFile:
     lists, whose centroids would be literals of the plan, are refused. Each list's widest angle to its centroid is taken over all rows. A query
     reads its nearest lists first; then every other list that, by the triangle inequality of angles, may hold a row as
     near as the last one found. So the result is that of knn() over all rows, wherever the centroids lie; lists are left
-    out only where the vectors form groups.
+    out only where the vectors form groups. With a path, rows are written once in a folder a list, with the centroids, and
+    a query reads the folders of its lists; `open` finds them again.
     """
 
     MAX_LISTS, SAMPLE, STEPS = 256, 64, 10
     #: Scores are rounded to six digits before they are ranked: a list within this of the last score is read.
     SLACK = 2e-6
 
-    def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding"):
+    def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding", path: str | None = None):
         self.id_col, self.vec_col = id_col, vec_col
         if lists > self.MAX_LISTS:
             raise ValueError(f"at most {self.MAX_LISTS} lists")
@@ -124,6 +125,8 @@ class InvertedFile:
         self.centroids = self.fitted([[float(x) for x in r[0]] for r in few], lists)
         if not self.centroids:
             self.rows, self.widest = rows.withColumn("list", F.lit(0)), {}
+            if path:
+                self._write(path)
             return
         near = F.array_min(F.array(*(F.struct((-dot(F.col(vec_col), c)).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids))))
         nearest = spare(rows, "nearest")
@@ -133,6 +136,29 @@ class InvertedFile:
         cos = -F.col(f"{nearest}.d") / F.sqrt(dot(F.col(vec_col), F.col(vec_col)))
         widest = filed.groupBy(F.col(f"{nearest}.list").alias("list")).agg(F.min(F.nanvl(cos, F.lit(-1.0))).alias("cos")).collect()
         self.widest = {r["list"]: self.angle(r["cos"]) if r["cos"] is not None else math.pi for r in widest}
+        if path:
+            self._write(path)
+
+    def _write(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        out = self.rows.repartition("list").write.mode("overwrite")
+        (out.partitionBy("list") if self.centroids else out).parquet(f"{path}/rows")  # a partitioned table without rows has no schema
+        listed = [(i, c, self.widest.get(i)) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(listed, "list int, centroid array<double>, widest double").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
+        self._read(spark, path)
+
+    def _read(self, spark: SparkSession, path: str) -> None:
+        kept = sorted(spark.read.parquet(f"{path}/lists").collect())
+        self.centroids, self.widest = [r["centroid"] for r in kept], {r["list"]: r["widest"] for r in kept if r["widest"] is not None}
+        self.rows = spark.read.parquet(f"{path}/rows")
+        self.all = self.rows
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> InvertedFile:
+        out = cls.__new__(cls)
+        out.id_col, out.vec_col = id_col, vec_col
+        out._read(spark, path)
+        return out
 
     @staticmethod
     def angle(cos: float) -> float:

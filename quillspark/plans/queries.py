@@ -26,6 +26,17 @@ def query(sql: str | None = None):
     return add
 
 
+_LISTS: dict[tuple[str, str], vector.InvertedFile] = {}
+
+
+def lists_of(spark: SparkSession, d: str) -> vector.InvertedFile:
+    """All vectors in 16 lists, written once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LISTS:
+        _LISTS[key] = vector.InvertedFile(table(spark, d, "embeddings").select("vec_id", "embedding"), 16, path=scratch(spark))
+    return _LISTS[key]
+
+
 def write_lines(spark: SparkSession, lines: list[str]) -> str:
     path = scratch(spark)
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
@@ -462,7 +473,7 @@ def result_ids(spark, d):
 
 @query(ORACLES["knn_cosine"])
 def knn_ivf(spark, d):
-    return vector.InvertedFile(table(spark, d, "embeddings"), 16).knn(vector_of(spark, d, 0), 10, 8)
+    return lists_of(spark, d).knn(vector_of(spark, d, 0), 10, 8)
 
 
 # ---------------------------------------------------------------- hybrid retrieval
