@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark sends at a time, and rows of whole texts that an operator unpacks at a time.
-ARROW_ROWS, BATCH_ROWS = 1024, 512
-#: Rows that may be broadcast or gathered on the driver when a bound is proven.
+#: Rows and bytes that Spark sends at a time, and those that an operator unpacks at a time (one row at least).
+ARROW_ROWS, ARROW_BYTES, BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20, 512, 4 << 20
+#: Rows, or numbers of a table, that may be broadcast or gathered on the driver when a bound is proven.
 SMALL_ROWS = 1_000_000
+#: Rows of one key above which a join gives the key to all tasks.
+HOT_ROWS = 10_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to ARROW_ROWS, since a row may hold a whole text or packed keys."""
+    """Lowers the session's Arrow batches to ARROW_ROWS and ARROW_BYTES, since a row may hold a whole text or packed keys."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,17 +48,73 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillspark/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared scratch folder and read back: lineage is cut and a lost executor costs no rerun."""
+#: Scratch tables of the scopes that are open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables stored inside are deleted at the end, but for lasting ones, which belong to the scope around, if any."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        free_memory()
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The same rows, written to the shared scratch folder and read back: lineage is cut and a lost executor costs no rerun.
+
+    lasting: the table outlives the scope it is made in, since a plan that is returned reads it.
+    """
     small_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession)
+    scopes = _OPEN[:-1] if lasting else _OPEN
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect its garbage; Spark's cleaner then deletes shuffle files that no plan refers to any more, which it would else find late."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        gc.collect()
+        jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A stored table of a few columns, broadcast if it has at most SMALL_ROWS rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """A stored table of a few columns of numbers, broadcast if it has at most SMALL_ROWS values; else joins shuffle it."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= SMALL_ROWS else df
+
+
+def joined(rows: DataFrame, few: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows LEFT JOIN few, a stored table of distinct keys with the number `n` of rows of each key.
+
+    A table of at most a quarter of SMALL_ROWS is broadcast. Else this holds for its keys of more than HOT_ROWS rows, of
+    which there are at most rows / HOT_ROWS; so no task gets all rows of a key. The other keys are shuffled.
+    """
+    if few.count() <= SMALL_ROWS // 4:
+        return rows.join(F.broadcast(few.drop(n)), keys, "left")
+    wide = few.where(F.col(n) > HOT_ROWS).drop(n)
+    if not 0 < wide.count() <= SMALL_ROWS:
+        return rows.join(few.drop(n), keys, "left")
+    wide = F.broadcast(wide)
+    rest = rows.join(wide.select(keys), keys, "left_anti").join(few.where(F.col(n) <= HOT_ROWS).drop(n), keys, "left")
+    return rows.join(wide, keys).unionByName(rest)
+
+
+def hashed_sample(rows: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """At most n rows, those of smallest hash of a column of distinct values; hashes above what n needs are left out first, so few rows meet in one task."""
+    total = rows.count()
+    h = F.xxhash64(column, F.lit(seed))
+    if total > 4 * n:
+        rows = rows.where(F.shiftrightunsigned(h, 1) < F.lit(int(2**63 * (2 * n / total))))
+    return rows.orderBy(h, column).limit(n)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,19 +126,72 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows, and so many bytes of texts and binaries unless one row has more."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(total), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def free_memory() -> None:
+    """Gives memory that this process doesn't use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+#: By name, what frees the things that an operator keeps in a worker from task to task.
+RELEASE: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives free memory back to the system; Spark keeps workers from task to task.
+
+    Before, the worker drops what operators other than `keeps` have kept in it.
+    """
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def freed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pool.release_unused()
+
+        for name, release in RELEASE.items():
+            if name != keeps:
+                release()
+        try:
+            yield from run(freed())
+        finally:
+            free_memory()
+
+    return all_
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema) -> DataFrame:
-    """f over slices of at most BATCH_ROWS rows, so that memory follows the slice and not the session's batch size."""
+    """f over slices of batches, so that memory follows the slice and not the session's batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                out = f(batch.slice(at, BATCH_ROWS))
+            for part in slices(batch):
+                out = f(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 elif out is not None:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def filter_arrow(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
@@ -95,7 +211,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen before; emptied when it grows past its bound."""
 
-    BOUND = 300_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
