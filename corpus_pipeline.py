@@ -4,17 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 writes each stage's result below spark.checkpoint.dir and reads it again as the next one's documents.
 
 Defined results, in all stages: other columns of documents pass through; an empty table gives an empty result; repeated
-rows are judged each, and of repeated or equal documents the near-duplicate stage keeps one row. Rows with a null doc_id
-are dropped by the near-duplicate stage only, since a group keeps the document of smallest id.
+rows are judged each, and of repeated or equal documents the near-duplicate stage keeps one row: that of smallest id, or
+where no row of a group has an id any one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import cotraining, packing, parity_join, pii_crf, rule_forest
-from quillspark.llm.common import stored, table
+from quillspark.llm.common import scratch, stored, table
 
 #: Words of a shingle and the least similarity of near duplicates.
 WIDTH, NUM, DEN = 5, 80, 100
@@ -34,11 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each component, once."""
-    found = parity_join.near_duplicates(docs, WIDTH, NUM, DEN)
-    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    one = docs.join(first, "doc_id", "left_semi")
-    rank = "_rank" + "_" * max(map(len, docs.columns))  # a name that docs has not
-    return one.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).select(docs.columns)
+    return parity_join.keep_one(docs, WIDTH, NUM, DEN)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +52,7 @@ STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark):
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+        return stored(STAGES[-1][1](spark, docs, sf_dir), lasting=True)
