@@ -1,13 +1,17 @@
 """BPE encoding and decoding by tree concatenation.
 
-A pre-token's merges never cross its ends, so a text is its pre-tokens' encodings in a row. A long pre-token (text
-that nothing splits) is cut into halves, and these again; the leaves are encoded side by side in one parallel batch.
-Going up the tree, two encodings are joined: they stand if the pair of tokens at the join is what its own text encodes
-to, since an encoding is right if and only if all its neighbouring pairs are. Otherwise a window of tokens around the
-join, growing twofold, is encoded anew until the pairs at both of its ends agree too.
-
-Short chunks between white space come from a bounded cache of the library's own results. Texts that hold characters outside a checked
-range, or a special token's string, go through the library's normaliser and splitter as a whole.
+A text is cut into halves, and these again, down to leaves of at most LEAF characters, wherever the cuts fall. What white
+space keeps apart is encoded for itself; of a chunk that cuts go through, each leaf has a fragment, encoded as if it stood
+alone but for the end of a word that goes on. The leaves of several texts are encoded side by side in one batch. Going up
+the tree, two fragments are joined: a window of pre-tokens around the join, growing twofold, is split anew until its first
+and last pre-tokens are those that both sides have. If the join lies inside a pre-token, its tokens are joined likewise:
+two encodings stand if the pair of tokens at the join is what its own text encodes to, since an encoding is right if and
+only if all its neighbouring pairs are; otherwise a window of tokens, growing twofold, is encoded anew until the pairs at
+both of its ends agree. A pre-token longer than a leaf is such a tree of its own.
+
+Chunks between white space and fragments come from bounded caches of the library's own results. Texts that hold a special
+token's string or characters outside a checked range are normalised by the library first, and their chunks split by it.
+For a tokenizer of another build the library encodes all but long pre-tokens.
 
 Defined results: a null or empty text has no tokens and decodes to the empty string. Texts of any length are read to
 their end. Repeated rows are encoded each; other columns pass through unchanged.
@@ -19,6 +23,7 @@ import json
 import re
 from codecs import charmap_decode
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -27,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, table
+from .common import RELEASE, slices, table, tidied
 
-#: Characters of a pre-token above which it is cut into halves, and of the largest leaf.
-LONG, LEAF = 2048, 1024
-#: Chunks between white space kept by a worker.
-CACHE = 400_000
+#: Characters of the largest leaf, of a text and of a pre-token.
+LEAF, PIECE_LEAF = 512, 1024
+#: Chunks between white space kept by a worker; fragments, and pairs and windows of tokens.
+CACHE, FEW = 300_000, 50_000
 #: Letters with one-character lower case that normalisation leaves alone; ASCII but for rare control characters.
 PLAIN = "\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž"
 OTHER = re.compile(f"[^{PLAIN}]|<\\|")
@@ -53,6 +58,37 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def halves(size: int, leaf: int) -> list[int]:
+    """Where leaves of at most so many characters begin and end."""
+    leaves = 1
+    while size / leaves > leaf:
+        leaves *= 2
+    return [size * i // leaves for i in range(leaves + 1)]
+
+
+def lettered(text: str) -> str:
+    """A text in the byte-level alphabet; spaces stay."""
+    return charmap_decode(text.encode(), "strict", BYTES)[0]
+
+
+class Cut:
+    """A chunk that cuts go through, as its fragments."""
+
+    __slots__ = ("fragments",)
+
+    def __init__(self, first: str):
+        self.fragments = [first]
+
+
+@dataclass
+class Fragment:
+    """Pre-tokens and their ids; the last one has no suffix unless the chunk ends with it (`closed`)."""
+
+    texts: list[str]
+    ids: list[list[int]]
+    closed: bool
+
+
 class Tree:
     """Encodes one unsplit pre-token, already in the model's alphabet."""
 
@@ -61,6 +97,7 @@ class Tree:
         self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.text = {i: t for t, i in model["vocab"].items()}
+        self.seen: dict[tuple[str, bool], list[int]] = {}
 
     @cached_property
     def inner(self):
@@ -85,7 +122,14 @@ class Tree:
         return "".join(self.text[i] for i in ids).removesuffix(self.suffix) if self.suffix else "".join(self.text[i] for i in ids)
 
     def direct(self, text: str, last: bool) -> list[int]:
-        return (self.final if last else self.inner).encode(text, add_special_tokens=False).ids
+        if len(text) > 64:
+            return (self.final if last else self.inner).encode(text, add_special_tokens=False).ids
+        found = self.seen.get((text, last))
+        if found is None:
+            if len(self.seen) >= FEW:
+                self.seen.clear()
+            found = self.seen[text, last] = (self.final if last else self.inner).encode(text, add_special_tokens=False).ids
+        return found
 
     def agree(self, left: int, right: int, last: bool) -> bool:
         return self.direct(self.of([left]) + self.of([right]), last) == [left, right]
@@ -102,14 +146,19 @@ class Tree:
                 return head + window + tail
             k *= 2
 
+    def close(self, ids: list[int]) -> list[int]:
+        """An encoding without the suffix, as that of a whole pre-token."""
+        k = 1
+        while True:
+            head, window = ids[:-k], self.direct(self.of(ids[-k:]), True)
+            if not head or self.agree(head[-1], window[0], len(window) == 1):
+                return head + window
+            k *= 2
+
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
+        if len(text) <= PIECE_LEAF:
             return self.direct(text, True)
-        size = len(text)
-        leaves = 2
-        while size / leaves > LEAF:
-            leaves *= 2
-        cuts = [size * i // leaves for i in range(leaves + 1)]
+        cuts = halves(len(text), PIECE_LEAF)
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         level = [e.ids for e in self.inner.encode_batch(parts[:-1], add_special_tokens=False)] + [self.direct(parts[-1], True)]
         while len(level) > 1:
@@ -134,8 +183,12 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in self.library.get_vocab(True).items()}
         self.known: dict[str, bytes] = {}  # int32 ids; bytes, unlike tuples, cost the garbage collector nothing
+        self.opened: dict[str, list[int]] = {}  # of pre-tokens that go on
+        self.joins = 0
         end = self.spec["model"].get("end_of_word_suffix") or ""
-        self.ends = np.array([bool(end) and self.names.get(i, "").endswith(end) for i in range(max(self.names) + 1)])
+        self.table = np.full(max(self.names) + 1, None, object)
+        self.table[list(self.names)] = list(self.names.values())
+        self.ends = np.array([bool(end) and (t or "").endswith(end) for t in self.table])
         self.plain &= bool(end)
         del self.spec  # the trees and the library have what they need; decoding needs no tree
 
@@ -163,9 +216,21 @@ class Encoder:
                 part = self.library.normalizer.normalize_str(part)
             pieces = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(part)] if self.library.pre_tokenizer else [part]
             for piece in pieces:
-                out += self.tree.encode(piece) if len(piece) > LONG else [t.id for t in self.library.model.tokenize(piece)]
+                out += self.tree.encode(piece) if len(piece) > PIECE_LEAF else [t.id for t in self.library.model.tokenize(piece)]
         return out
 
+    def whole(self, text: str) -> np.ndarray:
+        """By the library alone, but for long pre-tokens."""
+        if re.search(rf"\S{{{PIECE_LEAF // 3},}}", text):
+            return np.array(self.unsplit(text), np.int32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def split(self, chunk: str) -> list[str]:
+        """Pre-tokens of a normalised chunk."""
+        if OTHER.search(chunk):
+            return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+        return PIECE.findall(chunk)
+
     def learn(self, chunks: list[str]) -> None:
         """Adds unknown chunks, as their pieces' ids. Unknown pieces are encoded many at a time: white space keeps them apart, and each one's last token has the suffix."""
         known = self.known
@@ -173,20 +238,20 @@ class Encoder:
             known.clear()  # what is learnt now stays, however much it is
         new, mixed = set(), []
         for x in chunks:
-            if x.isalpha():
+            if x.isalpha() and not OTHER.search(x):
                 new.add(x)
                 continue
             head = x[:-1]
-            pieces = (head, x[-1]) if head.isalpha() and not x[-1].isalnum() else PIECE.findall(x)
+            pieces = (head, x[-1]) if head.isalpha() and not x[-1].isalnum() and not OTHER.search(x) else self.split(x)
             mixed.append((x, pieces))
             new.update(y for y in pieces if y not in known)
-        for x in [x for x in new if len(x) > LONG]:
-            known[x] = np.array(self.unsplit(x), np.int32).tobytes()
+        for x in [x for x in new if len(x) > PIECE_LEAF]:
+            known[x] = np.array(self.tree.encode(lettered(x)), np.int32).tobytes()
             new.discard(x)
         short = list(new)
         for at in range(0, len(short), 500):
             part = short[at : at + 500]
-            ids = np.array(self.spaced.encode_batch_fast([charmap_decode(" ".join(part).encode(), "strict", BYTES)[0]], add_special_tokens=False)[0].ids, np.int32)
+            ids = np.array(self.spaced.encode_batch_fast([lettered(" ".join(part))], add_special_tokens=False)[0].ids, np.int32)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             flat = ids.tobytes()
             for x, a, b in zip(part, [0, *cuts], cuts, strict=False):
@@ -194,47 +259,142 @@ class Encoder:
         for x, pieces in mixed:
             known[x] = b"".join([known[y] for y in pieces])
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is empty. What a few texts have in unknown chunks is learnt at once."""
+    def open(self, pieces: set[str]) -> None:
+        """Adds unknown pre-tokens that go on."""
+        if len(self.opened) + len(pieces) > FEW:
+            self.opened.clear()
+        listed = list(pieces)
+        for x, e in zip(listed, self.tree.inner.encode_batch_fast(list(map(lettered, listed)), add_special_tokens=False), strict=True):
+            self.opened[x] = e.ids
+
+    def piece(self, x: str, closed: bool) -> list[int]:
+        if closed:
+            if x not in self.known:
+                self.learn([x])
+            return np.frombuffer(self.known[x], np.int32).tolist()
+        if x not in self.opened:
+            self.open({x})
+        return self.opened[x]
+
+    def join(self, p: Fragment, q: Fragment) -> Fragment:
+        self.joins += 1
+        k = 1
+        while True:
+            left, right = p.texts[-k:], q.texts[:k]
+            now = self.split("".join(left + right))
+            if (k >= len(p.texts) or now[0] == left[0]) and (k >= len(q.texts) or now[-1] == right[-1]):
+                break
+            k *= 2
+        # pieces that stay: those of the left before the one that went on, and those of the right
+        a = b = 0
+        while a < len(left) - 1 and a < len(now) and now[a] == left[a]:
+            a += 1
+        while b < len(right) and a + b < len(now) and now[-1 - b] == right[-1 - b]:
+            b += 1
+        new = now[a : len(now) - b]
+        ends = b > 0 or len(q.texts) > k or q.closed
+        if a == len(left) - 1 and b == len(right) - 1 and new == [left[-1] + right[0]]:
+            ids = [self.tree.join(p.ids[-1], q.ids[0], len(q.texts) > 1 or q.closed)]
+        elif a == len(left) - 1 and b == len(right) and new == left[-1:]:
+            ids = [self.tree.close(p.ids[-1])]
+        else:
+            ids = [self.piece(x, i < len(new) - 1 or ends) for i, x in enumerate(new)]
+        before, after = len(p.texts) - len(left) + a, len(right) - b
+        return Fragment(p.texts[:before] + new + q.texts[after:], p.ids[:before] + ids + q.ids[after:], q.closed)
+
+    def concatenated(self, fragments: list[str]) -> bytes:
+        """The ids of a chunk that cuts go through."""
+        level, last = [], len(fragments) - 1
+        for i, x in enumerate(fragments):
+            texts = self.split(x)
+            level.append(Fragment(texts, [self.piece(t, j < len(texts) - 1 or i == last) for j, t in enumerate(texts)], i == last))
+        while len(level) > 1:
+            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return np.array([i for x in level[0].ids for i in x], np.int32).tobytes()
+
+    def slots(self, text: str, space: str | None, leaf: int) -> list:
+        """Chunks of a normalised text in order; those that a leaf's ends go through as Cut."""
+        if len(text) <= leaf:
+            return text.split(space) if space is None else [x for x in text.split(space) if x]
+        out: list = []
+        cuts, cut = halves(len(text), leaf), None
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:  # leaves of a single character
+                continue
+            words = text[a:b].split(space)
+            if space is not None:
+                words = [x for x in words if x]
+            goes_on = b < len(text) and not (text[b - 1].isspace() or text[b].isspace()) if space is None else b < len(text) and space not in text[b - 1 : b + 1]
+            if cut:
+                cut.fragments.append(words.pop(0))
+                if not words and goes_on:
+                    continue
+                cut = None
+            if goes_on:
+                cut = Cut(words.pop())
+            out += words
+            if cut:
+                out.append(cut)
+        return out
+
+    def parts(self, text: str, leaf: int) -> list:
+        """Slots of a text, and special tokens as their ids."""
+        # of ASCII only what would split chunks is looked for here, the rest in unknown chunks
+        if "<|" not in text and (not any(c in text for c in ODD_SPACES) if text.isascii() else not OTHER.search(text)):
+            return self.slots(text.lower(), None, leaf)
+        out: list = []
+        for part in self.marks.split(text) if self.marks else [text]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                out += self.slots(self.library.normalizer.normalize_str(part), " ", leaf)
+        return out
+
+    def encode_all(self, texts: list[str | None], leaf: int = LEAF) -> list[np.ndarray]:
+        """Ids of each text; null is empty. What a few texts have in unknown chunks and fragments is learnt at once."""
         known, out = self.known, [np.empty(0, np.int32)] * len(texts)
         for at in range(0, len(texts), TOGETHER):
-            held, missing = [], set()
+            held, missing, going = [], set(), set()
             for i, text in enumerate(texts[at : at + TOGETHER], at):
                 if not text:
                     continue
-                # of ASCII only what would split chunks is looked for here, the rest in unknown chunks
-                if not self.plain or (any(c in text for c in ODD_SPACES) if text.isascii() else OTHER.search(text)):
+                if not self.plain:
                     out[i] = self.whole(text)
                     continue
-                chunks = text.lower().split()
-                ids = list(map(known.get, chunks))
+                slots = self.parts(text, leaf)
+                ids = list(map(known.get, slots))
                 places = [j for j, v in enumerate(ids) if v is None]
-                new = {chunks[j] for j in places}
-                if any(map(OTHER.search, new)):
-                    out[i] = self.whole(text)
-                    continue
-                missing |= new
-                held.append((i, chunks, ids, places))
+                for j in places:
+                    x = slots[j]
+                    if isinstance(x, str):
+                        missing.add(x)
+                    elif isinstance(x, Cut):
+                        for n, fragment in enumerate(x.fragments):
+                            pieces = self.split(fragment)
+                            if n < len(x.fragments) - 1:
+                                going.add(pieces.pop())
+                            missing.update(y for y in pieces if y not in known)
+                held.append((i, slots, ids, places))
             if missing:
                 self.learn(list(missing))
-            for i, chunks, ids, places in held:
+            if going := {x for x in going if x not in self.opened}:
+                self.open(going)
+            for i, slots, ids, places in held:
                 for j in places:
-                    ids[j] = known[chunks[j]]
+                    x = slots[j]
+                    ids[j] = known[x] if isinstance(x, str) else self.concatenated(x.fragments) if isinstance(x, Cut) else np.int32(x).tobytes()
                 out[i] = np.frombuffer(b"".join(ids), np.int32)
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def whole(self, text: str) -> np.ndarray:
-        if re.search(rf"\S{{{LONG // 3},}}", text):
-            return np.array(self.unsplit(text), np.int32)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+    def encode(self, text: str, leaf: int = LEAF) -> np.ndarray:
+        return self.encode_all([text], leaf)[0]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         if self.library.decoder is None:
-            return " ".join([self.names[i] for i in ids if i in self.names])
-        return self.library.decode(ids, skip_special_tokens=False)
+            ids = np.asarray(ids, np.int64)
+            names = self.table[ids[(ids >= 0) & (ids < len(self.table))]].tolist()
+            return " ".join(names if None not in names else [x for x in names if x is not None])
+        return self.library.decode(list(ids), skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
@@ -242,8 +402,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _added(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -251,20 +411,24 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], [*(batch.schema.names[i] for i in keep), name])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with the token ids of a text column, array<int>; a column of that name is replaced."""
+RELEASE["bpe"] = encoder.cache_clear
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with the token ids of a text column, array<int>, and if `decoded` names a column, with their text; columns of these names are replaced."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
+            for b in slices(whole):
                 found = tok.encode_all(b.column(text).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield _with(b, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
+                out = _with(b, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
+                yield _with(out, decoded, pa.array(list(map(tok.decode, found)), pa.string())) if decoded else out
 
-    return df.mapInArrow(run, _added(df, ids, T.ArrayType(T.IntegerType())))
+    schema = _added(df.schema, ids, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(tidied(run, "bpe"), _added(schema, decoded, T.StringType()) if decoded else schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -274,17 +438,16 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
-                yield _with(b, text, pa.array([tok.decode(x or []) for x in b.column(ids).to_pylist()], pa.string()))
+            for b in slices(whole):
+                yield _with(b, text, pa.array([tok.decode([i for i in x or [] if i is not None]) for x in b.column(ids).to_pylist()], pa.string()))
 
-    return df.mapInArrow(run, _added(df, text, T.StringType()))
+    return df.mapInArrow(tidied(run, "bpe"), _added(df.schema, text, T.StringType()))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's tokens and decoded text, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs).drop("text"))
+    out = encode(docs, decoded="decoded").drop("text")
     digest = F.sha2(F.array_join("ids", " "), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import BATCH_ROWS, SMALL_ROWS, stored, table
+from .common import SMALL_ROWS, scratch, slices, stored, table, tidied
 
 #: Tokens a sequence, tokens a slice, most queues (see `queues_of`), the token that ends a document.
 WINDOW, SLICE, MAX_QUEUES, END = 4096, 256, 1024, 2
+#: Characters of the encoder's leaves; any give the same tokens.
+LEAF = 1 << 16
 
 
 @dataclass
@@ -126,9 +128,8 @@ def tokenised(docs: DataFrame, path: str, width: str) -> DataFrame:
 
         part, tok, so_far = TaskContext.get().partitionId(), encoder(path), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
-                ids = [np.append(x, END).astype(width) for x in tok.encode_all(b.column("text").to_pylist())]
+            for b in slices(whole):
+                ids = [np.append(x, END).astype(width) for x in tok.encode_all(b.column("text").to_pylist(), LEAF)]
                 n, before = [len(x) for x in ids], []
                 for s, k in zip(b.column("source").to_pylist(), n, strict=True):
                     before.append(so_far.get(s, 0))
@@ -136,7 +137,7 @@ def tokenised(docs: DataFrame, path: str, width: str) -> DataFrame:
                 cols = [pa.array([part] * len(n), pa.int32()), b.column("source"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(before, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "source", "doc_id", "n", "before", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, source string, doc_id long, n long, before long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run, "bpe"), "part int, source string, doc_id long, n long, before long, ids binary")
 
 
 def named(source: str | None) -> str:
@@ -177,25 +178,25 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
     path = path or default_path()
     width = "<u2" if encoder(path).library.get_vocab_size() <= 0xFFFF else "<u4"
     spark = docs.sparkSession
-    tokens = stored(tokenised(docs, path, width))
-    sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")))
-    # a part's sources that share a queue follow one another
-    order = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    per_part = queues_of(sums, targets)
-    totals = {r["queue"]: r["n"] for r in per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(totals)
-    weights = {named(x): max(1, round(1e6 * t)) for x, t in (targets or {}).items() if t > 0}
-    plan = Plan([totals[x] for x in names], None if targets is None else [weights.get(x, 0) for x in names], window, slice_)
-    numbers = {x: i for i, x in enumerate(names)}
-    starts = per_part.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "name", "queue", "first")
-    rows = tokens.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
-    starts = stored(starts)
+    with scratch(spark):
+        tokens = stored(tokenised(docs, path, width), lasting=True)
+        sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")))
+        # a part's sources that share a queue follow one another
+        order = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        per_part = queues_of(sums, targets)
+        totals = {r["queue"]: r["n"] for r in per_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+        names = sorted(totals)
+        weights = {named(x): max(1, round(1e6 * t)) for x, t in (targets or {}).items() if t > 0}
+        plan = Plan([totals[x] for x in names], None if targets is None else [weights.get(x, 0) for x in names], window, slice_)
+        numbers = {x: i for i, x in enumerate(names)}
+        starts = per_part.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "name", "queue", "first")
+        rows = tokens.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+        starts = stored(starts, lasting=True)
     placed = rows.join(F.broadcast(starts) if starts.count() <= SMALL_ROWS else starts, ["part", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(at, BATCH_ROWS)
+            for b in slices(whole, 256):
                 out: list[tuple] = []
                 for doc, q, begin, n, raw in zip(*(b.column(x).to_pylist() for x in ("doc_id", "queue", "begin", "n", "ids")), strict=True):
                     ids = np.frombuffer(raw, width).astype("<u4")
@@ -203,7 +204,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
                 cols = list(zip(*out, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.string())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
-    return placed.select("doc_id", "queue", (F.col("first") + F.col("before")).alias("begin"), "n", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    return placed.select("doc_id", "queue", (F.col("first") + F.col("before")).alias("begin"), "n", "ids").mapInArrow(tidied(run, "bpe"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
