@@ -1,9 +1,10 @@
 """Quality classifier by co-training of two views.
 
-The content view sees the words and shapes of the whole text; the metadata view sees source, language, length and line
-layout. Each is a logistic regression. In each round either view labels the documents it is surest of, if sure enough,
+The content view sees the words and shapes of the whole text; the metadata view sees what a page's record tells without
+reading its words: source, language, and the size of the text in characters and lines. Each is a logistic regression. In each round either view labels the documents it is surest of, if sure enough,
 for the other to learn from; they are looked for among all documents without a label. At the end each view is calibrated on labelled rows kept apart, and a logistic
-regression over the two calibrated log odds, fitted on the same rows, gives the score of every document.
+regression over the two calibrated log odds, fitted on the same rows, gives the score of every document. If either part of
+the labelled rows lacks a class, calibration uses the training rows.
 
 Training reads at most LABELLED documents with a label, chosen by a hash of their ids. The feature vectors, of fixed length,
 of all documents without one are written to a scratch table, which every round scores in tasks. To the driver come those
@@ -24,15 +25,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, filter_arrow, map_arrow, small, stored, table
+from .common import filter_arrow, map_arrow, scratch, slices, small, stored, table, tidied
 from .rule_forest import sampled
 
 LABELLED, ROUNDS = 6_000, 5
 #: Least calibrated probability of a pseudo-label, and most of them a round and class.
 SURE, TAKEN = 0.97, 300
+#: Parts in which the surest documents of all tasks are ranked before the last ranking.
+MERGED = 64
 #: Lengths of the feature vectors: word hashes, shapes, shape pairs, then repetition; and of the metadata.
 WORDS, SHAPES, PAIRS, EXTRA, META = 256, 256, 512, 4, 96
 #: The share of clean documents among the calibration rows that the cut keeps at least.
@@ -42,7 +45,7 @@ KEEP = 0.998
 class Word(dict):
     """word -> (hash, shape), kept for words seen before; emptied when it grows past its bound."""
 
-    BOUND = 300_000
+    BOUND = 100_000
 
     def __missing__(self, word: str) -> tuple[int, int]:
         shape, last = [], ""
@@ -242,7 +245,7 @@ def surest_of(pool: DataFrame, views: list[Linear], odds: list[tuple[float, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
-        for b in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
+        for b in (part for whole in batches for part in slices(whole)):
             vectors = [_unpacked(b.column(c).to_pylist(), n) for c, n in (("content", width), ("meta", META))]
             keys, ids = b.column("row").to_numpy(), b.column("doc_id").fill_null(-1).to_numpy()
             for k, (sure, at) in sure_rows(views, odds, known, vectors, keys).items():
@@ -254,7 +257,10 @@ def surest_of(pool: DataFrame, views: list[Linear], odds: list[tuple[float, floa
             n = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(sure.astype(np.float64)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["view", "label", "sure", "doc_id", "row"])
 
-    tops = stored(pool.mapInArrow(run, "view int, label int, sure double, doc_id long, row long"))
+    tops = pool.mapInArrow(tidied(run), "view int, label int, sure double, doc_id long, row long")
+    # the best of parts first, so that the last ranking is of MERGED * TAKEN rows of a kind, whatever the number of tasks
+    part = Window.partitionBy("view", "label", F.pmod(F.xxhash64("row"), F.lit(MERGED))).orderBy(F.desc("sure"), "doc_id", "row")
+    tops = stored(tops.withColumn("k", F.row_number().over(part)).where(F.col("k") <= TAKEN).drop("k"))
     kinds = [(v, label) for v in (0, 1) for label in (1, 0)]
     best = reduce(DataFrame.unionAll, (tops.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), "doc_id", "row").limit(TAKEN) for v, label in kinds)).select("view", "label", "row").collect()
     if not best:
@@ -266,8 +272,13 @@ def surest_of(pool: DataFrame, views: list[Linear], odds: list[tuple[float, floa
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
-    docs = plain(docs)
-    rows = features(sampled(docs, labels, labelled).withColumn("y", F.col("y").cast("int")), "y").orderBy("doc_id", "content").limit(2 * labelled).collect()
+    with scratch(docs.sparkSession):
+        return _trained(plain(docs), labels, labelled, rounds)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int) -> Model:
+    rows = features(sampled(docs, labels, labelled).withColumn("y", F.col("y").cast("int")), "y").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     width = WORDS + SHAPES + PAIRS + EXTRA
     y = np.array([r["y"] > 0 for r in rows], np.float32)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: no pool is needed

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bytes_of, drop_shuffles, joined, map_arrow, mixed, partitions, scratch, shingle_hashes, slices, small, stored, table, tidied
 
 #: Documents of a block, and about the hashes that it holds; a task compares one block, or two with each other.
-BLOCK, HASHES = 2048, 1 << 20
+BLOCK, HASHES = 1024, 1 << 20
 #: Dealings of a document's hashes to parts before the key of empty parts alone is used.
 DEALS = 6
 #: Least parts of the signatures to a shuffle partition, and signatures of a part.

@@ -7,7 +7,9 @@ segment before it; any other token is a segment of its own. Dynamic programming
 the best segmentation, boundaries and kinds together. Base spans bound the stretches and always stay.
 
 The field is trained by conditional likelihood on sentences that a seeded generator writes, with addresses, numbers
-mistyped and in other layouts, and look-alikes (dates, versions, order numbers, hexadecimal keys).
+mistyped and in other layouts, bare telephone numbers and secrets that a cue word announces, and look-alikes (dates,
+versions, order numbers, hexadecimal keys without a cue). Beside the kinds of the patterns it finds secrets: access
+tokens and keys.
 
 Defined results: a null or empty text has no spans. Whole texts are read, in time linear in their length. Offsets are
 code points, ends exclusive. Repeated rows are read each; an empty table gives no rows. Other columns are ignored.
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-KINDS = ["email", "ip", "card", "phone"]
+#: Kinds of the field, the first BASE of them also of the patterns; NONE is the kind of other tokens.
+KINDS = ["email", "ip", "card", "phone", "secret"]
+BASE, SECRET, NONE = 4, 4, 5
 SPAN, SPELT_SPAN, SEED, EXAMPLES, EPOCHS = 15, 32, 3, 900, 12
 #: Digits of an entity without letters, and the least of an address of four octets with points between them.
 LEAST, MOST, LEAST_IP = 7, 19, 4
@@ -39,13 +43,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
-#: A stretch that may hold an entity: numbers in groups, or words around "@", "(at)", or "at" with a "dot".
-STRETCH = re.compile(r"[+(\[]?[0-9][0-9\x20()./\[\]+-]{5,}[0-9]|(?<![\w.+-])[\w.+-]+\x20?(?:[\[(]at[\])]|@|\bat\b)\x20?[\w-]+(?:\.[\w-]+|\x20?[\[(]dot[\])]\x20?[\w-]+|\x20dot\x20[\w-]+)+", re.ASCII)
+#: A long run of letters and digits, which is one token.
+KEY = r"(?=[A-Za-z0-9]{16})(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]+"
+#: A stretch that may hold an entity: a key, numbers in groups, or words around "@", "(at)", or "at" with a "dot".
+STRETCH = re.compile(rf"(?<![A-Za-z0-9]){KEY}" + r"|[+(\[]?[0-9][0-9\x20()./\[\]+-]{5,}[0-9]|(?<![\w.+-])[\w.+-]+\x20?(?:(?:[\[(]at[\])]|@)\x20?[\w-]+(?:\.[\w-]+|\x20?[\[(]dot[\])]\x20?[\w-]+|\x20dot\x20[\w-]+)+|\bat\b\x20?[\w-]+(?:\.[\w-]+)*(?:\x20dot\x20[\w-]+)+)", re.ASCII)
 #: Most groups of digits in an entity.
 GROUPS = 6
 SPELT = re.compile(r"\bdot\b|[\[(](?:at|dot)[\])]|@")
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telefon", "dial"}, "card": {"card", "visa", "mastercard", "amex", "karte", "carte", "tarjeta", "payment"}, "ip": {"ip", "host", "server", "address", "ping"}, "email": {"mail", "email", "contact", "write", "reach"}, "other": {"order", "invoice", "ref", "no", "id", "version", "isbn", "date", "total", "item"}}
+TOKEN = re.compile(rf"(?<![A-Za-z0-9]){KEY}" + r"|[0-9]+|[^\W\d_]+|\s+|.", re.S)
+CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telefon", "dial"}, "card": {"card", "visa", "mastercard", "amex", "karte", "carte", "tarjeta", "payment"}, "ip": {"ip", "host", "server", "address", "ping"}, "email": {"mail", "email", "contact", "write", "reach"}, "secret": {"token", "secret", "key", "apikey", "password", "passwd", "pwd", "bearer", "auth"}, "other": {"order", "invoice", "ref", "no", "id", "version", "isbn", "date", "total", "item"}}
 
 
 def luhn(digits: str) -> bool:
@@ -97,12 +103,19 @@ def _side(c: str) -> str:
 def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segment]:
     """Segments that may be entities, with the features of the whole span."""
     out = []
-    digits_in = [b - a if text[a] in "0123456789" else 0 for a, b in tokens]
+    digits_in = [b - a if text[a:b].isdigit() else 0 for a, b in tokens]
     for i, (a, _) in enumerate(tokens):
         first = text[a]
         n = groups_in = 0
         if first.isspace() or not (first.isalnum() or first in "+(["):
             continue
+        b = tokens[i][1]
+        if b - a >= 16 and not text[a:b].isdigit() and not text[a:b].isalpha():
+            span, cued = text[a:b], f"cue={cue}"
+            form = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", span) else "mixed"
+            shared = [form, f"length={min(64, b - a) // 4}", cued, f"{cued}|{form}", f"before={_side(text[a - 1 : a])}", f"after={_side(text[b : b + 1])}", f"quoted={text[a - 1 : a] + text[b : b + 1] in (chr(34) * 2, chr(39) * 2)}|{cued}"]
+            out.append(Segment(i, i + 1, SECRET, [f"{SECRET}|{f}" for f in shared]))
+            continue
         letters = False
         for j in range(i + 1, min(len(tokens), i + SPELT_SPAN) + 1):
             b = tokens[j - 1][1]
@@ -128,7 +141,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segme
                 marks = "".join(sorted(set(re.sub(r"[0-9]", "", span))))
                 shape = ",".join(str(len(g)) for g in groups[:6])
                 octets = len(groups) == 4 and all(int(g) <= 255 for g in groups)
-                shared = [f"digits={n}", f"shape={shape}", f"marks={marks}", f"groups={min(6, len(groups))}", f"plus={first == '+'}", f"paren={'(' in span}", f"octets={octets}{'.' in span}", f"luhn={luhn(digits)}{n}", f"zero={digits[0] == '0'}", f"whole={marks}|{shape}", *around]
+                shared = [f"digits={n}", f"shape={shape}", f"marks={marks}", f"groups={min(6, len(groups))}", f"plus={first == '+'}", f"paren={'(' in span}", f"octets={octets}{'.' in span}", f"luhn={luhn(digits)}{n}", f"zero={digits[0] == '0'}", f"whole={marks}|{shape}", f"cue={cue}|{marks}|{shape}", *around]
                 if octets:
                     shared.append(f"between={'|'.join(sorted(set(between)))}")
                 out += [Segment(i, j, k, [f"{k}|{f}" for f in shared]) for k in ((1, 2, 3) if n >= LEAST else (1,))]
@@ -149,11 +162,11 @@ def lattice(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], lis
 
 
 class Field:
-    """Weights of features and of pairs of neighbouring kinds (the last kind is none)."""
+    """Weights of features and of pairs of neighbouring kinds (the last kind is NONE)."""
 
     def __init__(self) -> None:
         self.w: dict[str, float] = {}
-        self.pair = np.zeros((5, 5))
+        self.pair = np.zeros((NONE + 1, NONE + 1))
 
     def score(self, s: Segment) -> float:
         return sum(self.w.get(f, 0.0) for f in s.features)
@@ -164,17 +177,17 @@ class Field:
         for s in segments:
             ending.setdefault(s.end, []).append(s)
         pair = self.pair.tolist()
-        top = [[-np.inf] * 5 for _ in range(n + 1)]
-        back: list[list[tuple | None]] = [[None] * 5 for _ in range(n + 1)]
-        top[0][4] = 0.0
+        top = [[-np.inf] * (NONE + 1) for _ in range(n + 1)]
+        back: list[list[tuple | None]] = [[None] * (NONE + 1) for _ in range(n + 1)]
+        top[0][NONE] = 0.0
         for j in range(1, n + 1):
-            for y in range(5):
-                v = top[j - 1][y] + pair[y][4]
-                if v > top[j][4]:
-                    top[j][4], back[j][4] = v, (j - 1, y, None)
+            for y in range(NONE + 1):
+                v = top[j - 1][y] + pair[y][NONE]
+                if v > top[j][NONE]:
+                    top[j][NONE], back[j][NONE] = v, (j - 1, y, None)
             for s in ending.get(j, ()):
                 w = self.score(s)
-                for y in range(5):
+                for y in range(NONE + 1):
                     v = top[s.begin][y] + pair[y][s.kind] + w
                     if v > top[j][s.kind]:
                         top[j][s.kind], back[j][s.kind] = v, (s.begin, y, s)
@@ -192,23 +205,23 @@ class Field:
         ending: dict[int, list[int]] = {}
         for k, s in enumerate(segments):
             ending.setdefault(s.end, []).append(k)
-        a = np.full((n + 1, 5), -np.inf)
-        a[0, 4] = 0
+        a = np.full((n + 1, NONE + 1), -np.inf)
+        a[0, NONE] = 0
         for j in range(1, n + 1):
-            a[j, 4] = np.logaddexp.reduce(a[j - 1] + self.pair[:, 4])
+            a[j, NONE] = np.logaddexp.reduce(a[j - 1] + self.pair[:, NONE])
             for k in ending.get(j, ()):
                 s = segments[k]
                 a[j, s.kind] = np.logaddexp(a[j, s.kind], np.logaddexp.reduce(a[s.begin] + self.pair[:, s.kind]) + w[k])
         total = np.logaddexp.reduce(a[n])
-        b = np.full((n + 1, 5), -np.inf)
+        b = np.full((n + 1, NONE + 1), -np.inf)
         b[n] = 0
         begins: dict[int, list[int]] = {}
         for k, s in enumerate(segments):
             begins.setdefault(s.begin, []).append(k)
-        pair = np.zeros((5, 5))
+        pair = np.zeros((NONE + 1, NONE + 1))
         for j in range(n - 1, -1, -1):
-            b[j] = self.pair[:, 4] + b[j + 1, 4]
-            pair[:, 4] -= np.exp(np.minimum(0, a[j] + self.pair[:, 4] + b[j + 1, 4] - total))
+            b[j] = self.pair[:, NONE] + b[j + 1, NONE]
+            pair[:, NONE] -= np.exp(np.minimum(0, a[j] + self.pair[:, NONE] + b[j + 1, NONE] - total))
             for k in begins.get(j, ()):
                 s = segments[k]
                 rest = self.pair[:, s.kind] + w[k] + b[s.end, s.kind]
@@ -219,12 +232,12 @@ class Field:
                 if q > 1e-4:
                     for f in s.features:
                         self.w[f] = self.w.get(f, 0.0) - rate * q
-        at, y = 0, 4
+        at, y = 0, NONE
         for s in [*gold, None]:
             stop = s.begin if s else n
             for _ in range(at, stop):
-                pair[y, 4] += 1
-                y = 4
+                pair[y, NONE] += 1
+                y = NONE
             if s:
                 pair[y, s.kind] += 1
                 for f in s.features:
@@ -240,12 +253,13 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     nz = lambda n: r.choice("123456789") + num(n - 1)
     text, spans = "", []
     for _ in range(r.randint(1, 3)):
+        after = ""
         for _ in range(r.randint(0, 4)):
             text += word() + r.choice([" ", " ", ", ", ". ", " | "])
-        kind = r.choice([0, 1, 2, 2, 3, 3, 4, 4, 4, 4])
-        cue = r.random() < 0.3
+        kind = r.choice([0, 1, 2, 2, 3, 3, SECRET, NONE, NONE, NONE, NONE])
+        cue = kind == SECRET or r.random() < 0.3
         if cue:
-            text += r.choice(sorted(CUES[KINDS[kind] if kind < 4 else "other"])) + r.choice([" ", ": ", " is "])
+            text += r.choice(sorted(CUES[KINDS[kind] if kind < NONE else "other"])) + (r.choice([" ", ": ", " is "]) if kind != SECRET else r.choice([" = ", "=", ": ", " "]))
         if kind == 0:
             host, tld = word(3, 8) + r.choice(["", num(1)]), r.choice(["com", "org", "net", "de", "fr", "edu"])
             name = word() + r.choice(["", ".", "_"]) + r.choice(["", num(2), word()])
@@ -264,13 +278,20 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
                 s = "0" + s[1:]
         elif kind == 3:
             a, b, c = nz(3), nz(3), num(4)
-            s = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"0{nz(3)} {nz(7)}", f"0{nz(2)}/{nz(7)}", f"00{nz(2)} {nz(3)} {nz(7)}", f"+{nz(2)}/{nz(3)}/{nz(6)}", f"{a} {b} {c}"])
+            s = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"0{nz(3)} {nz(7)}", f"0{nz(2)}/{nz(7)}", f"00{nz(2)} {nz(3)} {nz(7)}", f"+{nz(2)}/{nz(3)}/{nz(6)}", f"{a} {b} {c}", *([f"{a}{b}{c}", f"0{nz(9)}"] if cue else [])])
+        elif kind == SECRET:
+            s = "".join(r.choice(r.choice(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])) for _ in range(r.choice([20, 24, 32, 40, 40, 64])))
+            s = s[:5] + "7e" + s[7:]  # holds a digit and a letter
+            if r.random() < 0.6:
+                text, after = text + '"', '"'
         else:
             y, m, d = r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28)
+            if cue and r.random() < 0.2:
+                text = text.rstrip() + " sha256 "
             s = r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{y}-{y + 1}", nz(7), nz(8), nz(9), nz(10), nz(11), f"{r.randint(1, 9)}.{num(1)}.{num(2)}.{num(4)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{y}-{m:02d}-{d:02d} {num(2)}:{num(2)}", f"{nz(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", word(3, 6) + nz(16) + word(1, 3), f"{nz(2)} {nz(2)} {nz(2)} {nz(2)} {nz(1)}", f"{nz(1)}.{num(8)}", nz(20) + num(5), f"meet at {word()}.{word()}", f"{word()} at the dot {word()}", f"${nz(7)}.{num(2)}", *(r.choice([". ", " .", ".. ", " ", "-", "/"]).join(str(r.randint(0, most)) for _ in range(r.randint(3, 7))) for most in (9, 99))])
-        if kind < 4:
+        if kind < NONE:
             spans.append((len(text), len(text) + len(s), kind))
-        text += s + r.choice([" ", " ", ", ", ". ", "!! ", "### ", " | "])
+        text += s + after + r.choice([" ", " ", ", ", ". ", "!! ", "### ", " | "])
     return text, spans
 
 
@@ -368,12 +389,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document, as counts and digests."""
+    """Personal data in every document, as counts and digests; `secrets` are the spans of no pattern's kind, `n_found` counts all."""
     found = detect(table(spark, sf_dir, "documents"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [count(k) for k in KINDS[:BASE]]
+    of = lambda secret: listed(F.filter("spans", lambda s: (s["kind"] == KINDS[SECRET]) == F.lit(secret)))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), of(False).alias("spans"), of(True).alias("secrets"), F.size("spans").cast("long").alias("n_found"))
 
 
 QUERIES = {"op10_personal_data": op10_personal_data}

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scratch, stored, table
 
 SHARDS = 16
 #: Groups above 1 / LARGE of all bytes are placed by size; there are at most LARGE of them.
@@ -137,9 +137,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     key = F.conv(F.substring(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")), 256), 1, KEY_BITS // 4), 16, 10).cast("long")
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), key.alias("key")))
-    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("size")))
-    by_key, begins, _ = plan(groups, shards)
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), key.alias("key")), lasting=True)
+    with scratch(spark):
+        by_key, begins, _ = plan(stored(rows.groupBy("key").agg(F.sum("size").alias("size"))), shards)
     large = spark.createDataFrame(list(by_key.items()) or [(-1, 0)], "key long, large_shard int").coalesce(1)
     by_range = sum((F.when(F.col("key") >= b, 1).otherwise(0) for b in begins), F.lit(0))
     placed = rows.join(F.broadcast(large), "key", "left").withColumn("shard", F.coalesce("large_shard", by_range).cast("int"))

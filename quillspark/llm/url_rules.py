@@ -16,14 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import joined, stored, table
 
 #: Host rules of the query: (action, host, path).
 SITE_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Words of advertising, gambling, tracking, spam, adult and pharmacy sites; a pattern needs all words of an entry as
 #: whole tokens of the url, in this order, next to each other.
 BLOCKED_PHRASES = ["casino win", "free bets", "ads track", "spam farm", "cheap pills", "adult x", "online casino", "sports betting", "free spins", "payday loan", "ad server", "ad click", "click track", "link farm", "viagra", "porn", "xxx", "escort", "doubleclick", "adserver"]
-#: At most so many rules: they are a configured list, held whole by each task.
+#: Up to so many rules their index is broadcast; beyond, it is shuffled.
 MAX_RULES = 100_000
 #: Words of letters and digits of ASCII in lower case; all else is a boundary, as in the rules' expressions and the SQL.
 TOKEN = "[a-z0-9]+"
@@ -80,34 +80,38 @@ def address(url: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id, url, host, path, rule (name of the best-ranked rule that matches, else null) and verdict.
 
-    Work follows the distinct urls: copies of a hot url are judged once. Rules are a bounded list, so their index is
-    broadcast; urls join it on tokens, and only the pairs found run a regular expression.
+    Work follows the distinct urls: copies of a hot url are judged once, and urls without "://" not at all. Up to
+    MAX_RULES rules are broadcast, more are shuffled by token; urls join them on tokens, and only the pairs found run a
+    regular expression. Verdicts go back to the pages by a join in which a hot url goes to all tasks.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    told = lambda p, rule, action: p.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), rule.alias("rule"), F.coalesce(action, F.lit(default)).alias("verdict"))
+    nothing = F.lit(None).cast("string")
     if not rules:
-        return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return told(pages, nothing, nothing)
+    few = F.broadcast if len(rules) <= MAX_RULES else lambda x: x
     listed = spark.createDataFrame([(i, r.name, r.action, r.rank, r.regex, list(r.tokens)) for i, r in enumerate(rules)], "no int, rule string, action string, rank int, regex string, tokens array<string>").coalesce(1)
-    urls = pages.select("url").where(F.col("url").contains("://")).distinct().withColumn("address", address(F.col("url")))
-    words = urls.select("url", "address", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("address")), F.lit(f"({TOKEN})"), F.lit(1))))).alias("token"))
+    proper = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    urls = pages.where(proper).groupBy("url").agg(F.count("*").alias("copies")).withColumn("address", address(F.col("url")))
+    words = urls.select("url", "address", "copies", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(ascii_lower(F.col("address")), F.lit(f"({TOKEN})"), F.lit(1))))).alias("token"))
     literals = listed.select(F.explode("tokens").alias("token")).distinct()
-    frequency = words.join(F.broadcast(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
+    frequency = words.join(few(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
     # the rarest token of each rule; a rule without a literal is filed under "", which every url has
     index = (
         listed.select("no", "rule", "action", "rank", "regex", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))
-        .join(F.broadcast(frequency), "token", "left")
+        .join(few(frequency), "token", "left")
         .groupBy("no", "rule", "action", "rank", "regex")
         .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     )
     best = (
-        words.join(F.broadcast(index), "token")
+        words.join(few(index), "token")
         .where(F.expr("address rlike regex"))
         .groupBy("url")
-        .agg(F.max_by(F.struct("rule", "action"), F.struct("rank", -F.col("no"))).alias("hit"))
+        .agg(F.max_by(F.struct("rule", "action"), F.struct("rank", -F.col("no"))).alias("hit"), F.max("copies").alias("copies"))
     )
-    return pages.join(best, "url", "left").select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))
+    judged = joined(pages.where(proper), stored(best, lasting=True), ["url"], "copies")
+    return told(judged, F.col("hit.rule"), F.col("hit.action")).unionByName(told(pages.where(~proper), nothing, nothing))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and further columns, for every operator and stage."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -122,7 +125,7 @@ def test_targets_hold_with_more_sources_than_queues(spark, monkeypatch):
 def test_join(odd, none):
     got = {r["id"]: r for r in parity_join.near_duplicates(odd, 4, 85, 100).collect()}
     assert got[0]["n_shingles"] == got[2]["n_shingles"] == 0 and got[0]["component_id"] == 0 and got[2]["component_id"] == 2
-    assert got[3]["n_shingles"] == 1 and got[5]["component_id"] == 4 and None not in got
+    assert got[3]["n_shingles"] == 1 and got[5]["component_id"] == 4 and got[None]["component_id"] is None and got[None]["n_shingles"] == 1
     assert parity_join.near_duplicates(none, 4, 85, 100).count() == 0
 
 
@@ -166,6 +169,23 @@ def test_urls_beyond_ascii_equal_sql(spark):
     assert [r["page_id"] for r in cyrillic] == [2, 4]
 
 
+def test_many_rules_find_what_a_scan_of_all_finds(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"word{i}" for i in range(400)]
+    rules = [url_rules.phrase_rule(" ".join(r.sample(words, r.randint(1, 2))), r.choice(["block", "allow"])) for _ in range(1500)] + url_rules.default_rules()
+    urls = [f"http://{r.choice(words)}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['fr', 'de', 'en'])}/{r.choice(words)}-{r.choice(words)}?{r.choice(words)}" for _ in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)], "page_id long, url string")
+    want = {}
+    for u in set(urls):
+        host, rest = re.fullmatch("http://([^/]*)(.*)", u).groups()
+        hits = [(x.rank, -i, x.name, x.action) for i, x in enumerate(rules) if re.search(x.regex, f"{host}#{rest}")]
+        want[u] = max(hits)[2:] if hits else (None, "allow")
+    for most in (100_000, 100):
+        monkeypatch.setattr(url_rules, "MAX_RULES", most)
+        got = url_rules.filter_urls(pages, rules).collect()
+        assert len(got) == 200 and all((x["rule"], x["verdict"]) == want[x["url"]] for x in got)
+
+
 def test_nearest(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (20, [0.0, 1.0])]
