@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,33 +49,48 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillspark/{uuid.uuid4().hex}"
 
 
-#: Scratch tables of the scopes that are open, the innermost last.
-_OPEN: list[list[str]] = []
+#: Scratch folders of the scopes that are open in this thread (or task of an event loop), the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch scopes", default=())
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables stored inside are deleted at the end, but for lasting ones, which belong to the scope around, if any."""
-    _OPEN.append([])
+    """Scratch tables stored inside are deleted at the end, but for lasting ones, which belong to the scope around, if any.
+
+    Scopes are kept by thread, so queries that run side by side in one session don't touch each other's tables.
+    """
+    around = _OPEN.set((*_OPEN.get(), []))
     try:
         yield
     finally:
-        for name in _OPEN.pop():
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        mine = _OPEN.get()[-1]
+        _OPEN.reset(around)
+        for name in mine:
+            delete(spark, name)
         free_memory()
 
 
+def scratch_path(spark: SparkSession, lasting: bool = False) -> str:
+    """A new folder that the open scope deletes at its end; lasting: the scope around it."""
+    path = scratch_dir(spark)
+    scopes = _OPEN.get()[:-1] if lasting else _OPEN.get()
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """The same rows, written to the shared scratch folder and read back: lineage is cut and a lost executor costs no rerun.
 
     lasting: the table outlives the scope it is made in, since a plan that is returned reads it.
     """
     small_batches(df.sparkSession)
-    path = scratch_dir(df.sparkSession)
-    scopes = _OPEN[:-1] if lasting else _OPEN
-    if scopes:
-        scopes[-1].append(path)
+    path = scratch_path(df.sparkSession, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -117,6 +133,13 @@ def hashed_sample(rows: DataFrame, column: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(h, column).limit(n)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df has not."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
