@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocab
 from ..operators import hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
-from ..session import scratch, table
+from ..session import scratch, stamp, table
 from ..sources import readers
 from .inline import Rows, literal
 
@@ -26,12 +26,12 @@ def query(sql: str | None = None):
     return add
 
 
-_LISTS: dict[tuple[str, str], vector.InvertedFile] = {}
+_LISTS: dict[tuple, vector.InvertedFile] = {}
 
 
 def lists_of(spark: SparkSession, d: str) -> vector.InvertedFile:
-    """All vectors in 16 lists, written once in a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """All vectors in 16 lists, written once in a session for the same files."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, "embeddings"))
     if key not in _LISTS:
         _LISTS[key] = vector.InvertedFile(table(spark, d, "embeddings").select("vec_id", "embedding"), 16, path=scratch(spark))
     return _LISTS[key]
@@ -47,12 +47,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+_INDEXES: dict[tuple, lexical.Index] = {}
 
 
 def index_of(spark: SparkSession, d: str) -> lexical.Index:
-    """The lexical index of all documents, built once in a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """The lexical index of all documents, built once in a session for the same files."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, "documents"))
     if key not in _INDEXES:
         _INDEXES[key] = lexical.Index.build(docs(spark, d).select("doc_id", "text"), scratch(spark))
     return _INDEXES[key]
@@ -363,6 +363,46 @@ def bm25_topk(spark, d):
     return index_of(spark, d).topk(lexical.query_terms(QUERY))
 
 
+_GROWN: dict[tuple, lexical.Index] = {}
+
+
+def grown_index(spark: SparkSession, d: str) -> lexical.Index:
+    """An index that grew: nine tenths of the documents, then the rest, then every twentieth with another text and again with its own."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, "documents"))
+    if key not in _GROWN:
+        rows = docs(spark, d).select("doc_id", "text")
+        index = lexical.Index.build(rows.where("doc_id % 10 <> 9 OR doc_id IS NULL"), scratch(spark)).append(rows.where("doc_id % 10 = 9"))
+        some = rows.where("doc_id % 20 = 3")
+        _GROWN[key] = index.replace(some.withColumn("text", F.lit("pour pour que an older text"))).replace(some)
+    return _GROWN[key]
+
+
+@query(ORACLES["bm25_score"])
+def bm25_segments(spark, d):
+    return grown_index(spark, d).all_scores(lexical.query_terms(QUERY)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_segments_topk(spark, d):
+    return grown_index(spark, d).topk(lexical.query_terms(QUERY))
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_merged_topk(spark, d):
+    """After segments of one size became one."""
+    return grown_index(spark, d).merge().topk(lexical.query_terms(QUERY))
+
+
+@query(ORACLES["term_freq"])
+def postings_unpacked(spark, d):
+    return index_of(spark, d).postings
+
+
+@query(ORACLES["doc_freq"])
+def index_terms(spark, d):
+    return grown_index(spark, d).terms
+
+
 @query(f"WITH {STATS} SELECT doc_id AS id, round(least(({score_sql(QUERY)}) / 10, 1.0) * 0.3 + (len(toks) / 1000.0) * (1 - 0.3), 6) AS score FROM t, s")
 def fuse_scores(spark, d):
     b = index_of(spark, d).all_scores(lexical.query_terms(QUERY))
