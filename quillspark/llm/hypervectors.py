@@ -122,13 +122,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
 
 def _trained(docs: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != HELD)).select("doc_id", "lang")
+    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != HELD)).select("doc_id", "lang").distinct()
     # of a language's ids so many hashes are left that about 1.5 times the number wanted are ranked, whatever the input
     share = stored(ids.groupBy("lang").agg(F.count("*").alias("n")))
     h = F.xxhash64("doc_id", F.lit(SEED))
     low = ids.withColumn("h", h).join(small(share), "lang").where(F.shiftrightunsigned("h", 1) < F.least(F.lit(float(2**63)), F.lit(2.0**63 * (1.5 * per_language + 100)) / F.col("n")))
-    few = low.select("doc_id", "lang", "h").distinct()
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language).select("doc_id", "lang")
+    few = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language).select("doc_id", "lang")
     rows = docs.select("doc_id", "lang", "text").join(small(stored(few)), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,8 +25,9 @@ to blocks of a meeting whose members don't link: step 3 makes a copy for each bl
 
 Defined results: a null or empty text, or one without words, has 0 shingles and no links. A repeated row is a copy.
 A row with a null id takes part like any other; it counts after all ids, so a component without ids has a null
-component_id. Rows of one id with different texts are one document for links, which any of its texts may have. Ids of
-2^62 or more are not supported. An empty table gives no rows. Other columns are ignored.
+component_id. Rows of one id with different texts are one document for links, which any of its texts may have. If an id
+reaches 2^62, ids are numbered in their order and the numbers stand for them inside. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,6 +127,15 @@ def key(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), free)
 
 
+def numbered(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(id, number): numbers below FREE in the order of the ids; None if the ids are such themselves."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if not ids.where(F.col("id") >= FREE).limit(1).count():
+        return None
+    found = ids.where("id IS NOT NULL").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    return stored(found.withColumn("number", F.monotonically_increasing_id()), lasting=True)
+
+
 def word_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """(id, n, h1, h2, sketch, short): size, 128-bit digest, sketch, and this folded to a half, of each document's set."""
     cache = WordHashes()
@@ -594,16 +604,32 @@ def grouped(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, links), a row for each row: links counts the verified links, which connect each component, and the copies' links to their first copy."""
-    rows = grouped(docs.select(key(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).cast("string").alias("text")), width, Bands(num, den))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        numbers = numbered(docs, "id")
+    if numbers is not None:
+        numbers = small(numbers)
+        docs = docs.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
+    rows = grouped(docs.select(key(F.col("id"), F.col("text")).alias("id"), "text"), width, Bands(num, den))
     given = lambda c: F.when(F.col(c) < FREE, F.col(c))
-    return rows.select(given("id").alias("id"), F.col("n").alias("n_shingles"), given("label").alias("component_id"), "links")
+    rows = rows.select(given("id").alias("id"), F.col("n").alias("n_shingles"), given("label").alias("component_id"), "links")
+    if numbers is None:
+        return rows
+    for c in ("id", "component_id"):
+        rows = rows.join(numbers.select(F.col("id").alias("own"), F.col("number").alias(c)), c, "left").withColumn(c, F.col("own")).drop("own")
+    return rows.select("id", "n_shingles", "component_id", "links")
 
 
 def keep_one(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the row of its smallest id, with all columns of docs; of that row's copies, one."""
     name = "_key" + "_" * max(map(len, docs.columns))  # a name that docs has not
-    keyed = docs.withColumn(name, key(F.col(id_col), F.col(text_col)))
     with scratch(docs.sparkSession):
+        numbers = numbered(docs, id_col)
+        if numbers is None:
+            keyed = docs.withColumn(name, key(F.col(id_col), F.col(text_col)))
+        else:
+            numbers = small(numbers.select(F.col("id").alias(name), F.col("number").alias(f"{name}_")))
+            keyed = docs.join(numbers, F.col(id_col).cast("long") == F.col(name), "left").withColumn(name, key(F.col(f"{name}_"), F.col(text_col))).drop(f"{name}_")
         rows = stored(grouped(keyed.select(F.col(name).alias("id"), F.col(text_col).cast("string").alias("text")), width, Bands(num, den)))
         gone = stored(rows.where("id <> label").select(F.col("id").alias(name)).distinct(), lasting=True)
         repeated = rows.groupBy("id").count().where("count > 1").limit(1).count()

@@ -232,3 +232,42 @@ def test_all_queries_side_by_side_in_one_session(spark):
     same = [k for k in jobs if alone[k] == together[k]]
     assert set(jobs) - set(same) <= {"op6_packing", "pipeline"} and all(len(alone[k]) > 0 for k in jobs)
     assert common._OPEN.get() == ()
+
+
+# ---------------------------------------------------------------- mended
+def test_ids_up_to_the_largest_keep_their_components(spark):
+    from quillspark.llm import parity_join
+
+    t = "the small cat sat on a warm mat and then it went away to look for food in the quiet garden"
+    rows = [(2**63 - 1, t), (2**62, t), (5, t + " x"), (-(2**63), "other words that are quite different from all the rest of them"), (None, "no id at all"), (2**62 + 1, "single text of its own here"), (None, t)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["id"]), str(r["component_id"])) for r in parity_join.near_duplicates(d, 4, 85, 100).collect())
+    assert got == sorted([(str(2**63 - 1), "5"), (str(2**62), "5"), ("5", "5"), (str(-(2**63)), str(-(2**63))), ("None", "None"), (str(2**62 + 1), str(2**62 + 1)), ("None", "5")])
+    kept = parity_join.keep_one(d, 4, 85, 100)
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["5", str(-(2**63)), "None", str(2**62 + 1)])
+
+
+def test_threshold_is_the_best_of_all_scores():
+    from quillspark.llm import rule_forest
+
+    r = np.random.default_rng(5)
+    x = np.vstack([r.normal(0, 1, (9000, 4)), r.normal(2.5, 1.5, (3000, 4))])
+    good = np.arange(12_000) < 9000
+    forest = rule_forest.fit(x, good, 0.9)
+    score = forest.score(x)
+    cuts = np.unique(score)
+    cuts = cuts[cuts >= np.quantile(score[good], 0.9)]
+    assert len(cuts) > 4000 / 4
+    worth = lambda c: (score[~good] > c).mean() - 4 * (score[good] > c).mean()
+    assert forest.threshold in cuts and worth(forest.threshold) >= max(map(worth, cuts)) - 1e-12
+
+
+def test_language_sample_counts_ids_not_rows(spark):
+    from quillspark.llm import hypervectors
+
+    words = {"en": "the cat and the dog", "de": "der hund und die katze"}
+    rows = [(i, g, f"{words[g]} {i}") for i in range(4000) for g in words]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    ten = d.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("again")
+    one, more = hypervectors.train(d, 300), hypervectors.train(ten, 300)
+    assert one[0] == more[0] and np.allclose(one[1], more[1], atol=1e-5)  # the same ids are drawn
