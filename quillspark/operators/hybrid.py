@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import has_any
+from .ann import knn_all
 from .lexical import Index, fuse, query_terms
-from .vector import cosine, knn, top_per
+from .vector import knn, top_per
 
 RESULT = "id {id}, content string, section string, vector_score double, keyword_score double, score double, search_method string, fallback_reason string"
 
@@ -46,9 +47,8 @@ def multiquery(chunks: DataFrame, index: Index, variants: list[tuple[str, list[f
     the index's postings of their terms; texts join the few winners at the end.
     """
     near = chunks.where(where) if where is not None else chunks
-    each = F.array(*(F.struct(F.lit(i).alias("variant"), F.round(cosine(F.col("embedding"), v), 6).alias("vec")) for i, (_, v) in enumerate(variants)))
-    rows = near.where(F.col("embedding").isNotNull()).select("id", F.explode(each).alias("s")).select("id", "s.*")
-    vec = top_per(rows.where("vec IS NOT NULL"), ["variant"], [F.desc("vec"), F.col("id")], 2 * k)
+    asked = chunks.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, (_, v) in enumerate(variants)], "query int, v array<double>")
+    vec = knn_all(near, asked, 2 * k, "id").select(F.col("query").alias("variant"), "id", F.col("score").alias("vec"))
     kw = index.topk_each({str(i): query_terms(t) for i, (t, _) in enumerate(variants)}, 2 * k).select(F.col("query").cast("int").alias("variant"), "id", F.col("score").alias("kw"))
     both = vec.join(kw, ["variant", "id"], "full_outer").select("id", "variant", F.coalesce("vec", F.lit(0.0)).alias("vector_score"), F.coalesce("kw", F.lit(0.0)).alias("keyword_score"))
     both = both.withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))

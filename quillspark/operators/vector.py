@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -61,6 +62,55 @@ def embed(docs: DataFrame, embedder: Embedder, text_col: str = "text", out: str
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
+def embed_into(docs: DataFrame, embedder: Embedder, path: str, text_col: str = "text", out: str = "embedding", batch: int = 50, round_rows: int = 10_000, per_minute: float | None = None) -> DataFrame:
+    """docs with vectors of a text column, by way of a store below path that keeps what has been embedded.
+
+    The store holds a vector for each digest of a text. Texts that it lacks are dealt to rounds of about `round_rows` by
+    their digests; a round is committed as a whole before the next begins. If the embedder fails, a later call embeds only
+    what no committed round holds; equal texts are embedded once. per_minute: calls of the embedder, of `batch` texts at
+    most, that all tasks together may make in a minute; each of the tasks that run side by side has its share and waits.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    todo = texts.dropDuplicates(["digest"]).join(stored_vectors(spark, path).select("digest"), "digest", "left_anti")
+    digest = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    n = todo.count()
+    rounds = -(-n // round_rows)
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(rounds):
+        # at most as many tasks as share the budget
+        rows = todo.where(F.pmod(digest, F.lit(rounds)) == i).repartition(max(1, min(cores, -(-round_rows // batch))), "digest")
+        wait = 60 * min(cores, rows.rdd.getNumPartitions()) / per_minute if per_minute else 0.0
+        made = embed(rows, _Paced(embedder, wait) if wait else embedder, "text", "embedding", batch)
+        made.select("digest", "embedding").write.mode("append").parquet(f"{path}/vectors")
+    found = stored_vectors(spark, path).select(F.col("digest").alias("_digest"), F.col("embedding").alias(out))
+    named = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    return named.join(found, "_digest", "left").drop("_digest")
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, embedding) that a store holds; none for a new one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors")
+    schema = "digest string, embedding array<float>"
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/vectors")
+
+
+class _Paced:
+    """An embedder that waits between calls, in a task of its own."""
+
+    def __init__(self, inner: Embedder, wait: float):
+        self.inner, self.wait, self.dim, self.last = inner, wait, inner.dim, 0.0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        left = self.last + self.wait - time.monotonic()
+        if self.last and left > 0:
+            time.sleep(left)
+        self.last = time.monotonic()
+        return self.inner.embed(texts)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like `name` that df has not."""
     while name in df.columns:
@@ -104,62 +154,117 @@ def knn_l2(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
 class InvertedFile:
     """Coarse lists: rows filed under the nearest of some centroids; a query reads the lists that can hold its answer.
 
-    Centroids are fitted by k-means of directions to at most SAMPLE rows a list, chosen by a hash; more than MAX_LISTS
-    lists, whose centroids would be literals of the plan, are refused. Each list's widest angle to its centroid is taken over all rows. A query
-    reads its nearest lists first; then every other list that, by the triangle inequality of angles, may hold a row as
-    near as the last one found. So the result is that of knn() over all rows, wherever the centroids lie; lists are left
-    out only where the vectors form groups. With a path, rows are written once in a folder a list, with the centroids, and
-    a query reads the folders of its lists; `open` finds them again.
+    Centroids are fitted by k-means of directions to at most SAMPLE rows a list, chosen by a hash. Each list's widest angle
+    to its centroid is taken over all rows. A query reads its nearest lists first; then every other list that, by the
+    triangle inequality of angles, may hold a row as near as the last one found. So the result is that of knn() over all
+    rows, wherever the centroids lie; lists are left out only where the vectors form groups. With a path, rows are written
+    once in a folder a list, with the centroids, and a query reads the folders of its lists; `open` finds them again.
+
+    filters: columns that searches filter by. For each value a list holds, its rows are counted and their nearest and
+    widest angle kept, so that a filtered search (`knn_where`) leaves out lists without the value and lists whose rows of
+    it are too far or lie in a ring that the query is away from.
     """
 
-    MAX_LISTS, SAMPLE, STEPS = 256, 64, 10
+    SAMPLE, STEPS = 64, 10
     #: Scores are rounded to six digits before they are ranked: a list within this of the last score is read.
     SLACK = 2e-6
+    SUMMARY = "column string, value string, list int, n long, far double, near double"
 
-    def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding", path: str | None = None):
-        self.id_col, self.vec_col = id_col, vec_col
-        if lists > self.MAX_LISTS:
-            raise ValueError(f"at most {self.MAX_LISTS} lists")
+    def __init__(self, rows: DataFrame, lists: int, id_col: str = "vec_id", vec_col: str = "embedding", path: str | None = None, filters: tuple[str, ...] = ()):
+        self.id_col, self.vec_col, self.filters = id_col, vec_col, filters
         self.all = rows
+        #: Lists that the last filtered search read.
+        self.last_read: list[int] = []
         few = rows.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(lists * self.SAMPLE).collect()
         self.centroids = self.fitted([[float(x) for x in r[0]] for r in few], lists)
+        self.summaries = rows.sparkSession.createDataFrame([], self.SUMMARY)
         if not self.centroids:
             self.rows, self.widest = rows.withColumn("list", F.lit(0)), {}
             if path:
                 self._write(path)
             return
-        near = F.array_min(F.array(*(F.struct((-dot(F.col(vec_col), c)).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids))))
-        nearest = spare(rows, "nearest")
-        filed = rows.withColumn(nearest, near)
-        self.rows = filed.withColumn("list", F.col(f"{nearest}.list")).drop(nearest)
-        # centroids have length one
-        cos = -F.col(f"{nearest}.d") / F.sqrt(dot(F.col(vec_col), F.col(vec_col)))
-        widest = filed.groupBy(F.col(f"{nearest}.list").alias("list")).agg(F.min(F.nanvl(cos, F.lit(-1.0))).alias("cos")).collect()
-        self.widest = {r["list"]: self.angle(r["cos"]) if r["cos"] is not None else math.pi for r in widest}
+        cos = spare(rows, "cos")
+        filed = self.filed(rows, cos)
+        self.rows = filed.drop(cos)
+        widest = filed.groupBy("list").agg(F.min(F.coalesce(F.nanvl(cos, F.lit(-1.0)), F.lit(-1.0))).alias("cos")).collect()
+        self.widest = {r["list"]: self.angle(r["cos"]) for r in widest}
+        for c in filters:
+            known = filed.where(F.col(c).isNotNull()).withColumn(cos, F.coalesce(F.nanvl(cos, F.lit(-1.0)), F.lit(-1.0)))
+            # the nearest angle of a row without a direction is none, so its value's ring is the whole list
+            summary = known.groupBy(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "list").agg(F.count("*").alias("n"), F.min(cos).alias("far"), F.max(F.when(F.col(cos) > -1, F.col(cos)).otherwise(1.0)).alias("near"))
+            self.summaries = self.summaries.unionByName(summary)
         if path:
             self._write(path)
 
+    def filed(self, rows: DataFrame, cos: str) -> DataFrame:
+        """rows with their list and the cosine to its centroid; what has no direction is in list 0, without a cosine."""
+        c, vec = np.array(self.centroids), self.vec_col
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists, near = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, np.nan)
+                for i, v in enumerate(b.column(vec).to_pylist()):
+                    if v is not None and len(v) == c.shape[1] and None not in v and any(v):
+                        x = np.array(v, np.float64)
+                        each = c @ x / np.linalg.norm(x)
+                        lists[i] = each.argmax()
+                        near[i] = each[lists[i]]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists), pa.array(near, from_pandas=True)], [*b.schema.names, "list", cos])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType()), T.StructField(cos, T.DoubleType())]))
+
     def _write(self, path: str) -> None:
         spark = self.rows.sparkSession
-        out = self.rows.repartition("list").write.mode("overwrite")
+        # a list may be large: its rows go to as many files as a part of each task's rows needs
+        out = self.rows.write.mode("overwrite")
         (out.partitionBy("list") if self.centroids else out).parquet(f"{path}/rows")  # a partitioned table without rows has no schema
         listed = [(i, c, self.widest.get(i)) for i, c in enumerate(self.centroids)]
         spark.createDataFrame(listed, "list int, centroid array<double>, widest double").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
+        self.summaries.coalesce(1).write.mode("overwrite").parquet(f"{path}/summaries")
         self._read(spark, path)
 
     def _read(self, spark: SparkSession, path: str) -> None:
         kept = sorted(spark.read.parquet(f"{path}/lists").collect())
         self.centroids, self.widest = [r["centroid"] for r in kept], {r["list"]: r["widest"] for r in kept if r["widest"] is not None}
-        self.rows = spark.read.parquet(f"{path}/rows")
+        self.rows, self.summaries = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/summaries")
         self.all = self.rows
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> InvertedFile:
         out = cls.__new__(cls)
-        out.id_col, out.vec_col = id_col, vec_col
+        out.id_col, out.vec_col, out.last_read = id_col, vec_col, []
         out._read(spark, path)
         return out
 
+    def knn_where(self, query: list[float], k: int, column: str, values: list, probes: int = 1) -> DataFrame:
+        """What knn() over the rows with one of some values gives.
+
+        Lists are ordered by the most that a row of these values can score there, and read, `probes` first and then twice
+        as many at each step, until k rows are found that no list left can surpass.
+        """
+        spark = self.rows.sparkSession
+        where = F.col(column).isin(values)
+        said = self.summaries.where((F.col("column") == column) & F.col("value").isin([str(v) for v in values]))
+        held = said.groupBy("list").agg(F.min("far").alias("far"), F.max("near").alias("near")).collect()
+        length = math.sqrt(sum(x * x for x in query))
+        most = []
+        for r in held:
+            away = self.angle(sum(a * b for a, b in zip(self.centroids[r["list"]], query, strict=True)) / length)
+            most.append((math.cos(max(0.0, away - self.angle(r["far"]), self.angle(r["near"]) - away)), r["list"]))
+        most.sort(key=lambda x: (-x[0], x[1]))
+        found: list[tuple] = []
+        self.last_read, at = [], 0
+        schema = f"id {self.rows.schema[self.id_col].dataType.simpleString()}, score double"
+        while at < len(most) and k > 0:
+            if len(found) == k and most[at][0] < found[-1][1] - self.SLACK:
+                break
+            take = [i for _, i in most[at : at + max(probes, at)]]
+            at += len(take)
+            self.last_read += take
+            found += [tuple(r) for r in knn(self.rows, query, k, self.id_col, self.vec_col, F.col("list").isin(take) & where).collect() if r["score"] is not None]
+            found = sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+        return spark.createDataFrame(found, schema).coalesce(1)
+
     @staticmethod
     def angle(cos: float) -> float:
         return math.acos(max(-1.0, min(1.0, cos)))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import hypothetical
+from .ann import knn_all
 from .hybrid import reranked
-from .vector import cosine, spare, top_per
+from .vector import spare, top_per
 
 
 class TextGenerator(Protocol):
@@ -34,9 +35,8 @@ def fanout(chunks: DataFrame, terms: list[tuple[str, list[float]]], k: int = 10,
 
     One pass over the vectors ranks all terms; texts join the winners.
     """
-    each = F.array(*(F.struct(F.lit(i).alias("term_no"), F.round(cosine(F.col("embedding"), v), 6).alias("score")) for i, (_, v) in enumerate(terms)))
-    rows = chunks.where(F.col("embedding").isNotNull()).select("id", F.explode(each).alias("s")).select("id", "s.*").where("score IS NOT NULL")
-    best = top_per(rows, ["term_no"], [F.desc("score"), F.col("id")], k).where(F.col("score") > least)
+    asked = chunks.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, (_, v) in enumerate(terms)], "query int, v array<double>")
+    best = knn_all(chunks, asked, k, "id").where(F.col("score") > least).select(F.col("query").alias("term_no"), "id", "score")
     found = F.broadcast(best).join(chunks.select("id", "content", "section"), "id")
     score = F.col("score")
     for i, (text, _) in enumerate(terms):

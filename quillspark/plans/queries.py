@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
+from ..operators import ann, hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
 from ..session import scratch, stamp, table
 from ..sources import readers
 from .inline import Rows, literal
@@ -33,7 +33,7 @@ def lists_of(spark: SparkSession, d: str) -> vector.InvertedFile:
     """All vectors in 16 lists, written once in a session for the same files."""
     key = (spark.sparkContext.applicationId, d, stamp(spark, d, "embeddings"))
     if key not in _LISTS:
-        _LISTS[key] = vector.InvertedFile(table(spark, d, "embeddings").select("vec_id", "embedding"), 16, path=scratch(spark))
+        _LISTS[key] = vector.InvertedFile(table(spark, d, "embeddings").select("vec_id", "embedding", "label"), 16, path=scratch(spark), filters=("label",))
     return _LISTS[key]
 
 
@@ -516,6 +516,38 @@ def knn_ivf(spark, d):
     return lists_of(spark, d).knn(vector_of(spark, d, 0), 10, 8)
 
 
+@query(ORACLES["knn_filtered"])
+def knn_filtered_lists(spark, d):
+    """The same from the lists that hold the label near enough."""
+    return lists_of(spark, d).knn_where(vector_of(spark, d, 0), 10, "label", [1])
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0),
+ r AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s) SELECT * FROM r WHERE rank <= 10""")
+def knn_batch(spark, d):
+    """The ten nearest rows of every twentieth vector, from one plan."""
+    rows = table(spark, d, "embeddings")
+    return ann.knn_all(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), 10)
+
+
+_TREES: dict[tuple, ann.Tree] = {}
+
+
+def tree_of(spark: SparkSession, d: str) -> ann.Tree:
+    """A tree of all vectors, built once in a session for the same files."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, "embeddings"))
+    if key not in _TREES:
+        _TREES[key] = ann.Tree.build(table(spark, d, "embeddings"), scratch(spark))
+    return _TREES[key]
+
+
+@query()
+def knn_tree(spark, d):
+    """The ten nearest rows of every fiftieth vector, by the tree: not exact, so tests measure its recall."""
+    rows = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    return tree_of(spark, d).search(rows, 10, 40)
+
+
 # ---------------------------------------------------------------- hybrid retrieval
 def chunks_of(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
