@@ -1,9 +1,13 @@
-"""Literal rows, the same for Spark and for SQL."""
+"""Rows for queries, the same for Spark and for SQL: derived from the tables, or literal."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table
+
 
 def literal(x) -> str:
     if x is None:
@@ -49,3 +53,18 @@ def _duck(kind: str) -> str:
     if kind.startswith("array<"):
         return _duck(kind[6:-1]) + "[]"
     return {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}[kind]
+
+
+class Derived:
+    """Rows that one SQL text, of what Spark and DuckDB write alike, derives from the given tables ({documents} and so on).
+
+    `literal` are rows of the same columns with the odd cases, which tests put in their place.
+    """
+
+    def __init__(self, text: str, literal_: Rows | None = None):
+        self.text, self.literal = " ".join(text.split("\n")), literal_
+        self.tables = sorted(set(re.findall(r"(?<!\{)\{(\w+)\}", text)))
+        self.sql = "(" + self.text.format(**{t: t for t in self.tables}) + ")"
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(self.text, **{t: table(spark, d, t) for t in self.tables})

@@ -10,7 +10,7 @@ from ..functions import vocab
 from ..operators import ann, hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
 from ..session import scratch, stamp, table
 from ..sources import readers
-from .inline import Rows, literal
+from .inline import Derived, Rows, literal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,9 +37,10 @@ def lists_of(spark: SparkSession, d: str) -> vector.InvertedFile:
     return _LISTS[key]
 
 
-def write_lines(spark: SparkSession, lines: list[str]) -> str:
+def write_lines(spark: SparkSession, rows: DataFrame) -> str:
+    """A folder of text files with the lines of (line)."""
     path = scratch(spark)
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    rows.select("line").write.text(path)
     return path
 
 
@@ -91,37 +92,43 @@ def any_sql(c: str, words: list[str]) -> str:
 
 
 # ---------------------------------------------------------------- sources
-ELEMENTS_JSON = '[{"type":"text","text":"RISK FACTORS","text_level":1,"page_idx":10},{"type":"text","text":"Market risks","text_level":2,"page_idx":10},{"type":"table","table_body":"<table></table>","page_idx":12}]'
-LINES = ['{"id":"a","content":"one","metadata":{"page_idx":1}}', "", "not json", '{"id":"","content":"two"}', '{"id":"b"}', '{"id":"c","content":"three"}']
+LINE = """'{{"id":"d' || doc_id || '","content":"' || coalesce(lang, 'none') || ' of ' || coalesce(source, 'none') || '","metadata":{{"page_idx":' || (doc_id % 50) || '}}}}'"""
+LINES = Derived(
+    f"""SELECT doc_id, CASE doc_id % 8 WHEN 4 THEN '{{{{"id":"d' || doc_id || '"}}}}' WHEN 5 THEN '{{{{"id":"","content":"' || coalesce(lang, 'none') || '"}}}}' WHEN 6 THEN 'not json ' || doc_id WHEN 7 THEN '' ELSE {LINE} END AS line FROM {{documents}}""",
+    Rows("doc_id long, line string", [(0, '{"id":"a","content":"one","metadata":{"page_idx":1}}'), (1, ""), (2, "not json"), (3, '{"id":"","content":"two"}'), (4, '{"id":"b"}'), (5, '{"id":"c","content":"three"}')]),
+)
+STRICT = Derived(
+    f"""SELECT doc_id, {LINE} AS line FROM {{documents}} WHERE doc_id % 8 < 4""",
+    Rows("doc_id long, line string", [(0, '{"id":"a","content":"one","metadata":{"page_idx":1}}'), (5, '{"id":"c","content":"three"}')]),
+)
+AT = lambda path: f"CASE WHEN json_valid(line) THEN json_extract_string(line, '$.{path}') END"
+PARSED = "p AS (SELECT line, {id} AS id, {content} AS content, CAST({page} AS INTEGER) AS page_idx FROM {rows} WHERE trim(line) <> '')"
 
 
-@query(f"""WITH a AS (SELECT from_json({literal(ELEMENTS_JSON)}, '["JSON"]') AS a), e AS (SELECT CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS e FROM a)
- SELECT pos, json_extract_string(e, '$.type') AS type, json_extract_string(e, '$.text') AS text, CAST(json_extract_string(e, '$.text_level') AS INTEGER) AS text_level, CAST(json_extract_string(e, '$.page_idx') AS INTEGER) AS page_idx FROM e""")
-def src_elements(spark, d):
-    return readers.elements(spark, write_lines(spark, [ELEMENTS_JSON])).select("pos", "type", "text", "text_level", "page_idx")
-
-
-def lines_sql(lines: list[str]) -> str:
-    at = lambda path: f"CASE WHEN json_valid(line) THEN json_extract_string(line, '$.{path}') END"
-    return f"l AS (SELECT unnest({literal(lines)}) AS line), p AS (SELECT line, {at('id')} AS id, {at('content')} AS content, CAST({at('metadata.page_idx')} AS INTEGER) AS page_idx FROM l WHERE trim(line) <> '')"
+def parsed_sql(rows: str) -> str:
+    return PARSED.format(id=AT("id"), content=AT("content"), page=AT("metadata.page_idx"), rows=rows)
 
 
-@query(f"WITH {lines_sql(LINES)} SELECT count(*) FILTER (id <> '' AND content <> '') AS good, count(*) FILTER (NOT coalesce(id <> '' AND content <> '', FALSE)) AS bad FROM p")
+@query(f"WITH {parsed_sql(LINES.sql)} SELECT count(*) FILTER (id <> '' AND content <> '') AS good, count(*) FILTER (NOT coalesce(id <> '' AND content <> '', FALSE)) AS bad FROM p")
 def src_jsonl_counts(spark, d):
-    return readers.jsonl_counts(spark, write_lines(spark, LINES))
+    return readers.jsonl_counts(spark, write_lines(spark, LINES.df(spark, d)))
 
 
-@query(f"WITH {lines_sql(LINES)} SELECT id, content, page_idx FROM p WHERE id <> '' AND content <> ''")
+@query(f"WITH {parsed_sql(LINES.sql)} SELECT id, content, page_idx FROM p WHERE id <> '' AND content <> ''")
 def src_jsonl_lenient(spark, d):
-    return readers.jsonl_lenient(spark, write_lines(spark, LINES)).select("id", "content", F.col("metadata.page_idx").alias("page_idx"))
+    return readers.jsonl_lenient(spark, write_lines(spark, LINES.df(spark, d))).select("id", "content", F.col("metadata.page_idx").alias("page_idx"))
 
 
-@query(f"WITH {lines_sql([LINES[0], LINES[5]])} SELECT id, content FROM p")
+@query(f"WITH {parsed_sql(STRICT.sql)} SELECT id, content FROM p")
 def src_jsonl_strict(spark, d):
-    return readers.jsonl_strict(spark, write_lines(spark, [LINES[0], LINES[5]])).select("id", "content")
+    return readers.jsonl_strict(spark, write_lines(spark, STRICT.df(spark, d))).select("id", "content")
 
 
-CSV = Rows("id int, line string", [(0, 'a, b ,"c, d"'), (1, '"say ""hi""",2'), (2, "x"), (3, '"",y'), (4, ' "q" , r,'), (5, "a\x01b,c"), (6, '"1,5",,"x ""y, z"" w"')])
+CSV = Derived(
+    '''SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'a' || o_orderkey || ', b ,"c, ' || o_orderpriority || '"' WHEN 1 THEN '"say ""' || o_orderpriority || '""",' || o_orderkey WHEN 2 THEN o_orderstatus
+ WHEN 3 THEN '"",' || o_orderpriority WHEN 4 THEN ' "' || o_orderpriority || '" , r,' WHEN 5 THEN 'a' || chr(1) || 'b,' || o_orderstatus ELSE '"1,' || o_orderkey || '",,"x ""y, z"" w"' END AS line FROM {orders}''',
+    Rows("id int, line string", [(0, 'a, b ,"c, d"'), (1, '"say ""hi""",2'), (2, "x"), (3, '"",y'), (4, ' "q" , r,'), (5, "a\x01b,c"), (6, '"1,5",,"x ""y, z"" w"')]),
+)
 
 
 CELL = r"""((?:[^",]|"(?:[^"]|"")*")*),"""
@@ -129,10 +136,15 @@ CELL = r"""((?:[^",]|"(?:[^"]|"")*")*),"""
 
 @query(f"""SELECT id, array_to_string(list_transform(regexp_extract_all(line || ',', '{CELL}', 1), lambda c: CASE WHEN regexp_matches(trim(c), '^".*"$') THEN trim(replace(trim(c)[2:-2], '""', '"')) ELSE trim(c) END), '|') AS cells FROM {CSV.sql}""")
 def csv_cells(spark, d):
-    return CSV.df(spark).select("id", F.array_join(tables.csv_cells(F.col("line")), "|").alias("cells"))
+    return CSV.df(spark, d).select("id", F.array_join(tables.csv_cells(F.col("line")), "|").alias("cells"))
 
 
-GRID = Rows("filename string, pos int, cells array<string>", [
+GRID = Derived(
+    """SELECT filename, CAST(row_number() OVER (PARTITION BY filename ORDER BY part, k) - 1 AS INT) AS pos, split(line, ';') AS cells FROM (
+ SELECT 'table_' || lpad(CAST(c_custkey AS STRING), 6, '0') || '_' || CASE c_custkey % 5 WHEN 0 THEN 'results_of_operations' WHEN 1 THEN 'financial_data' WHEN 2 THEN 'ownership' WHEN 3 THEN 'revenue_by_year' ELSE 'segments_and_operations' END || '.csv' AS filename, 0 AS part, CAST(0 AS BIGINT) AS k, CASE c_custkey % 5 WHEN 2 THEN 'Holder and year' WHEN 1 THEN 'Metric;A;B' WHEN 3 THEN 'Revenue;10;504874 749.011;7;6;5' ELSE ';Year ended;Year ended' END AS line FROM {customer}
+ UNION ALL SELECT 'table_' || lpad(CAST(c_custkey AS STRING), 6, '0') || '_' || CASE c_custkey % 5 WHEN 0 THEN 'results_of_operations' WHEN 1 THEN 'financial_data' WHEN 2 THEN 'ownership' WHEN 3 THEN 'revenue_by_year' ELSE 'segments_and_operations' END || '.csv', 1, CAST(0 AS BIGINT), 'Item;' || (2020 + c_custkey % 4) || ';' || (2019 + c_custkey % 4) FROM {customer} WHERE c_custkey % 5 IN (0, 4)
+ UNION ALL SELECT 'table_' || lpad(CAST(c_custkey AS STRING), 6, '0') || '_' || CASE c_custkey % 5 WHEN 0 THEN 'results_of_operations' WHEN 1 THEN 'financial_data' WHEN 2 THEN 'ownership' WHEN 3 THEN 'revenue_by_year' ELSE 'segments_and_operations' END || '.csv', 2, o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'Cost of revenue' WHEN 2 THEN ' ' ELSE o_orderpriority END || CASE WHEN c_custkey % 5 = 2 THEN '' ELSE CASE o_orderkey % 4 WHEN 0 THEN ';$ ' || CAST(floor(o_totalprice) AS BIGINT) || ';(' || o_orderkey || ')' WHEN 1 THEN ';' || (o_orderkey % 97) || '%;x' WHEN 2 THEN ';1,' || (100 + o_orderkey % 900) || '.5;(1.5)' ELSE ';504874 749.011;' || CAST(floor(o_totalprice) AS BIGINT) END END FROM {customer} JOIN {orders} ON o_custkey = c_custkey) AS g""",
+    Rows("filename string, pos int, cells array<string>", [
     ("table_001_results_of_operations.csv", 0, ["", "Year ended", "Year ended"]),
     ("table_001_results_of_operations.csv", 1, ["Item", "2024", "2023"]),
     ("table_001_results_of_operations.csv", 2, ["Revenue", "$ 749,011", "$ 504,874"]),
@@ -144,26 +156,48 @@ GRID = Rows("filename string, pos int, cells array<string>", [
     ("table_003_ownership.csv", 0, ["Holder and year"]),
     ("table_003_ownership.csv", 1, ["Someone"]),
     ("table_010_revenue_by_year.csv", 0, ["Revenue", "10", "504874 749.011", "7", "6", "5"]),
-])
+]),
+)
+_GRIDS: dict[tuple, DataFrame] = {}
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """GRID, written once in a session for the same files: queries read it several times."""
+    key = (spark.sparkContext.applicationId, d, *(stamp(spark, d, x) for x in GRID.tables))
+    if key not in _GRIDS:
+        path = scratch(spark)
+        GRID.df(spark, d).write.parquet(path)
+        _GRIDS[key] = spark.read.parquet(path)
+    return _GRIDS[key]
+
+
 CATALOG = f"g AS (SELECT * FROM {GRID.sql}), cat AS (SELECT DISTINCT filename, TRY_CAST(split_part(filename, '_', 2) AS INTEGER) AS table_number, replace(regexp_replace(replace(filename, '.csv', ''), '^table_[0-9]+_?', ''), '_', ' ') AS name FROM g)"
 
 
 @query(f"WITH {CATALOG} SELECT * FROM cat")
 def table_catalog(spark, d):
-    return tables.catalog(GRID.df(spark))
+    return tables.catalog(grid(spark, d))
 
 
-REPORTS = Rows("id int, body string", [(0, '{"investment_research_report":{"a":1}}'), (1, '{"final_report":{"b":2},"x":0}'), (2, '{"c":3}'), (3, "nope")])
+REPORTS = Derived(
+    """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{{"investment_research_report":' || replace(props, ' ', '') || '}}' WHEN 1 THEN '{{"final_report":' || replace(props, ' ', '') || ',"x":0}}' WHEN 2 THEN replace(props, ' ', '') ELSE event_type END AS body FROM {events}""",
+    Rows("id int, body string", [(0, '{"investment_research_report":{"a":1}}'), (1, '{"final_report":{"b":2},"x":0}'), (2, '{"c":3}'), (3, "nope")]),
+)
 
 
 @query(f"SELECT id, CASE WHEN json_valid(body) THEN CAST(coalesce(json_extract(body, '$.investment_research_report'), json_extract(body, '$.final_report'), CAST(body AS JSON)) AS VARCHAR) END AS root FROM {REPORTS.sql}")
 def report_root(spark, d):
-    return REPORTS.df(spark).select("id", quality.report_root(F.col("body")).alias("root"))
+    return REPORTS.df(spark, d).select("id", quality.report_root(F.col("body")).alias("root"))
 
 
 # ---------------------------------------------------------------- elements, chunks, tables
 HTML = "<table><thead></thead><tr><th>Item</th><th>2024</th><th>2023</th></tr><tr><td>Revenue</td><td>$ 749,011</td><td>$ 504,874</td></tr><tr><td>A &amp;lt; B</td><td>\"x\", <b>y</b></td><td>&quot;</td></tr><tr></tr></table>"
-ELEMENTS = Rows("doc_id long, pos int, type string, text string, text_level int, table_caption array<string>, table_body string, page_idx int", [
+ELEMENTS = Derived(
+    """SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, CASE turn % 6 WHEN 3 THEN 'table' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'image' ELSE 'table' END ELSE 'text' END AS type,
+ CASE turn % 6 WHEN 0 THEN CASE conv_id % 3 WHEN 0 THEN 'RISK FACTORS' WHEN 1 THEN 'Business of ' || conv_id ELSE 'Deep ' || conv_id END WHEN 1 THEN 'Part ' || role || ' ' || turn WHEN 2 THEN text WHEN 4 THEN text ELSE CAST(NULL AS STRING) END AS text,
+ CASE turn % 6 WHEN 0 THEN CAST(1 + conv_id % 3 AS INT) WHEN 1 THEN CAST(2 + conv_id % 2 AS INT) ELSE CAST(NULL AS INT) END AS text_level, CASE WHEN turn % 6 = 3 AND conv_id % 4 = 0 THEN split('Caption;' || role, ';') END AS table_caption,
+ CASE turn % 6 WHEN 3 THEN '<table><tr><th>Item</th><th>2024</th></tr><tr><td>Revenue &amp; ' || role || '</td><td>$ ' || conv_id || '</td></tr><tr></tr></table>' WHEN 5 THEN CASE WHEN conv_id % 4 = 1 THEN '<p>none</p>' ELSE '<table><tr><td>' || role || '</td></tr></table>' END END AS table_body, CAST(turn + 10 AS INT) AS page_idx FROM {conversations}""",
+    Rows("doc_id long, pos int, type string, text string, text_level int, table_caption array<string>, table_body string, page_idx int", [
     (1, 0, "text", "RISK FACTORS", 1, None, None, 10),
     (1, 1, "text", "Market risks", 2, None, None, 10),
     (1, 2, "text", "Prose about markets. " * 100, None, None, None, 11),
@@ -178,7 +212,8 @@ ELEMENTS = Rows("doc_id long, pos int, type string, text string, text_level int,
     (2, 2, "text", "Deeper", 4, None, None, 1),
     (2, 3, "text", "Up", 1, None, None, 2),
     (2, 4, "text", "Tail text", None, None, None, 2),
-])
+]),
+)
 UPPER = "upper(trim(text))"
 CLASSIFY = f"""CASE WHEN type = 'table' THEN 'TABLE' WHEN coalesce(text, '') = '' THEN 'TEXT'
  WHEN {UPPER} IN ({', '.join(map(literal, vocab.MAJOR_SECTIONS))}) OR {any_sql(UPPER, vocab.MAJOR_PHRASES)} THEN 'MAJOR_HEADING'
@@ -188,14 +223,24 @@ PATHS = f"""e AS (SELECT *, {CLASSIFY} AS kind, CASE WHEN coalesce(text_level, 0
        UNION ALL SELECT e.doc_id, e.pos, e.kind, CASE WHEN e.kind = 'MAJOR_HEADING' THEN [trim(e.text)] WHEN e.kind = 'HEADING' THEN list_concat(p.path[1:greatest(e.level - 1, 0)], [trim(e.text)]) ELSE p.path END FROM p JOIN e ON e.doc_id = p.doc_id AND e.pos = p.pos + 1)"""
 
 
+@query(f"SELECT pos, type, text, text_level, page_idx FROM {ELEMENTS.sql}")
+def src_elements(spark, d):
+    """A JSON array file for each document, written and read."""
+    path = scratch(spark)
+    fields = ["type", "text", "text_level", "table_caption", "table_body", "page_idx"]
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", *fields))), lambda e: F.struct(*(e[c].alias(c) for c in fields)))
+    ELEMENTS.df(spark, d).groupBy("doc_id").agg(F.to_json(listed).alias("value")).write.partitionBy("doc_id").text(path)
+    return readers.elements(spark, path).select("pos", "type", "text", "text_level", "page_idx")
+
+
 @query(f"SELECT doc_id, pos, {CLASSIFY} AS kind FROM {ELEMENTS.sql}")
 def classify_elements(spark, d):
-    return ELEMENTS.df(spark).select("doc_id", "pos", ingest.classify(F.col("type"), F.col("text"), F.col("text_level")).alias("kind"))
+    return ELEMENTS.df(spark, d).select("doc_id", "pos", ingest.classify(F.col("type"), F.col("text"), F.col("text_level")).alias("kind"))
 
 
 @query(f"WITH RECURSIVE {PATHS} SELECT doc_id, pos, array_to_string(path, ' > ') AS path FROM p")
 def section_path(spark, d):
-    return ingest.section_paths(ELEMENTS.df(spark)).select("doc_id", "pos", F.array_join("path", " > ").alias("path"))
+    return ingest.section_paths(ELEMENTS.df(spark, d)).select("doc_id", "pos", F.array_join("path", " > ").alias("path"))
 
 
 def describe_sql(filename: str, section: str, caption: str) -> str:
@@ -256,7 +301,7 @@ def split_sql(size: int, overlap: int) -> str:
 
 @query(chunks_sql(1800, 300))
 def chunk_elements(spark, d):
-    return ingest.chunks(ELEMENTS.df(spark)).withColumn("section_path", F.array_join("section_path", "|"))
+    return ingest.chunks(ELEMENTS.df(spark, d)).withColumn("section_path", F.array_join("section_path", "|"))
 
 
 @query(split_sql(1800, 300) + " SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY z) - 1 AS INTEGER) AS n, CAST(z AS INTEGER) AS start, piece FROM q WHERE piece <> ''")
@@ -274,16 +319,19 @@ TABLE_SQL = f"WITH RECURSIVE {PATHS}, {TABLE_ROWS} SELECT doc_id, pos, table_no,
 
 @query(TABLE_SQL)
 def process_tables(spark, d):
-    return ingest.tables(ELEMENTS.df(spark)).select("doc_id", "pos", "table_no", "filename", "section", "n_rows", "n_cols")
+    return ingest.tables(ELEMENTS.df(spark, d)).select("doc_id", "pos", "table_no", "filename", "section", "n_rows", "n_cols")
 
 
-BODIES = Rows("id int, html string", [(0, HTML), (1, "<p>none</p>"), (2, "<tr><td>1</td>\n<td a='b'>2\n</td></tr>")])
+BODIES = Derived(
+    """SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN html ELSE html || '<table><thead></thead><tr><th>Url</th><th>No.</th></tr><tr><td>' || url || '</td>' || chr(10) || '<td a="b">' || page_id || chr(10) || ' &amp;lt; "x", <b>y</b></td></tr><tr></tr></table>' END AS html FROM {pages}""",
+    Rows("id int, html string", [(0, HTML), (1, "<p>none</p>"), (2, "<tr><td>1</td>\n<td a='b'>2\n</td></tr>")]),
+)
 CELLS = f"list_transform(list_filter(list_transform(regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>'), lambda x: regexp_extract_all(x, '(?s)<t[dh][^>]*>(.*?)</t[dh]>')), lambda x: len(x) > 0), lambda r: list_transform(r, lambda c: {strip_sql('c')}))"
 
 
 @query(f"SELECT id, array_to_string(list_transform({CELLS}, lambda r: array_to_string(r, '|')), '/') AS cells FROM {BODIES.sql}")
 def html_table_cells(spark, d):
-    return BODIES.df(spark).select("id", F.array_join(F.transform(tables.html_cells(F.col("html")), lambda r: F.array_join(r, "|")), "/").alias("cells"))
+    return BODIES.df(spark, d).select("id", F.array_join(F.transform(tables.html_cells(F.col("html")), lambda r: F.array_join(r, "|")), "/").alias("cells"))
 
 
 @query(f"SELECT page_id, {strip_sql('html')} AS plain FROM pages")
@@ -293,15 +341,18 @@ def strip_html(spark, d):
 
 @query(f"""SELECT filename, pos, array_to_string(list_transform(cells, lambda c: CASE WHEN regexp_matches(c, '[,\\n"]') THEN '"' || replace(c, '"', '""') || '"' ELSE c END), ',') AS csv FROM {GRID.sql}""")
 def rows_to_csv(spark, d):
-    return GRID.df(spark).select("filename", "pos", tables.to_csv(F.array("cells")).alias("csv"))
+    return grid(spark, d).select("filename", "pos", tables.to_csv(F.array("cells")).alias("csv"))
 
 
-NAMED = Rows("id int, filename string, section string, caption array<string>", [(0, "table_001_revenue.csv", "X", []), (1, "t_Dilution.csv", "X", []), (2, "t.csv", "Financial part", []), (3, "t.csv", "Management", []), (4, "t.csv", "Legal", []), (5, "t.csv", "X", ["A", "b"]), (6, "executive_1.csv", "X", [])])
+NAMED = Derived(
+    """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'table_001_revenue_' WHEN 1 THEN 't_Dilution_' WHEN 2 THEN 'executive_' ELSE 't_' END || c_custkey || '.csv' AS filename, CASE c_custkey % 4 WHEN 0 THEN 'Financial part' WHEN 1 THEN 'Management' WHEN 2 THEN 'Legal' ELSE c_mktsegment END AS section, CASE WHEN c_custkey % 7 = 0 THEN split('About;' || c_name, ';') END AS caption FROM {customer}""",
+    Rows("id int, filename string, section string, caption array<string>", [(0, "table_001_revenue.csv", "X", []), (1, "t_Dilution.csv", "X", []), (2, "t.csv", "Financial part", []), (3, "t.csv", "Management", []), (4, "t.csv", "Legal", []), (5, "t.csv", "X", ["A", "b"]), (6, "executive_1.csv", "X", [])]),
+)
 
 
 @query(f"SELECT id, {describe_sql('filename', 'section', 'caption')} AS description FROM {NAMED.sql}")
 def table_description(spark, d):
-    return NAMED.df(spark).select("id", tables.describe(F.col("filename"), F.col("section"), F.col("caption")).alias("description"))
+    return NAMED.df(spark, d).select("id", tables.describe(F.col("filename"), F.col("section"), F.col("caption")).alias("description"))
 
 
 @query("SELECT count(*) AS total_chunks, count(DISTINCT source) AS sections, CAST(floor(avg(length(text)) + 0.5) AS BIGINT) AS avg_chunk_size, (SELECT count(*) FROM pages) AS total_tables FROM documents")
@@ -316,12 +367,15 @@ def tokenize(spark, d):
     return lexical.tokens(docs(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
-FIN = Rows("id int, text string", [(0, "Revenue of $749 million in 2024, up 48%"), (1, "$5 billion and 1234 plus 50 % more"), (2, ""), (3, "the $12 trillion")])
+FIN = Derived(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Revenue of $' || o_orderkey || ' million in ' || (1990 + o_orderkey % 40) || ', up ' || (o_orderkey % 90) || '%' WHEN 1 THEN '$' || (o_orderkey % 9) || ' billion and ' || (1000 + o_orderkey % 9000) || ' plus 50 % of ' || o_orderpriority WHEN 2 THEN 'the $' || o_orderkey || ' trillion ' || o_orderstatus ELSE '' END AS text FROM {orders}""",
+    Rows("id int, text string", [(0, "Revenue of $749 million in 2024, up 48%"), (1, "$5 billion and 1234 plus 50 % more"), (2, ""), (3, "the $12 trillion")]),
+)
 
 
 @query(f"""WITH t AS (SELECT id, {TOK.format('text')} AS toks FROM {FIN.sql}) SELECT id, array_to_string(flatten(list_transform(toks, lambda x, i: list_filter([x, CASE WHEN starts_with(x, '$') AND toks[i + 1] IN ('million', 'billion') THEN x || toks[i + 1] END, CASE WHEN regexp_matches(x, '^[0-9]{{4}}$') THEN 'year' || x END], lambda y: y IS NOT NULL))), ' ') AS tokens FROM t""")
 def tokenize_financial(spark, d):
-    return FIN.df(spark).select("id", F.array_join(X.tokenize_financial(F.col("text")), " ").alias("tokens"))
+    return FIN.df(spark, d).select("id", F.array_join(X.tokenize_financial(F.col("text")), " ").alias("tokens"))
 
 
 TF = f"t AS (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents), tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM t GROUP BY 1, 2)"
@@ -410,7 +464,11 @@ def fuse_scores(spark, d):
 
 
 # ---------------------------------------------------------------- query rewriting
-ASKED = Rows("id int, q string", [(0, "What is the revenue growth?"), (1, "Who owns shares and voting power"), (2, "net income in 2023"), (3, "How much cash? What was the margin?"), (4, "hello"), (5, "Risk factors of the business"), (6, "capital structure and debt")])
+ASKED = Derived(
+    """SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 9 WHEN 0 THEN 'What is the revenue growth of ' || role || '?' WHEN 1 THEN 'Who owns shares and voting power of ' || conv_id WHEN 2 THEN 'net income in 20' || (10 + conv_id % 20) WHEN 3 THEN 'How much cash? What was the margin of ' || turn || '?'
+ WHEN 4 THEN 'Risk factors of the business ' || conv_id WHEN 5 THEN 'capital structure and debt' ELSE '' END || replace(replace(text, chr(10), ' '), '?', '') AS q FROM {conversations}""",
+    Rows("id int, q string", [(0, "What is the revenue growth?"), (1, "Who owns shares and voting power"), (2, "net income in 2023"), (3, "How much cash? What was the margin?"), (4, "hello"), (5, "Risk factors of the business"), (6, "capital structure and debt")]),
+)
 NONE = "CAST([] AS VARCHAR[])"
 
 
@@ -425,17 +483,17 @@ PAT = _ordered_sql([*((any_sql("lower(q)", [k, *vocab.SYNONYMS.get(k, [])]), v)
 
 @query(f"SELECT id, array_to_string({SYN}, '|') AS synonyms FROM {ASKED.sql}")
 def synonyms(spark, d):
-    return ASKED.df(spark).select("id", F.array_join(X.synonyms(F.col("q")), "|").alias("synonyms"))
+    return ASKED.df(spark, d).select("id", F.array_join(X.synonyms(F.col("q")), "|").alias("synonyms"))
 
 
 @query(f"SELECT id, array_to_string({PAT}, '|') AS patterns FROM {ASKED.sql}")
 def doc_patterns(spark, d):
-    return ASKED.df(spark).select("id", F.array_join(X.patterns(F.col("q")), "|").alias("patterns"))
+    return ASKED.df(spark, d).select("id", F.array_join(X.patterns(F.col("q")), "|").alias("patterns"))
 
 
 @query(f"SELECT id, {literal(vocab.CONTEXT_PREFIXES)}[1 + CAST(length(q) % 3 AS INTEGER)] || ' ' || q || CASE WHEN regexp_matches(q, '[0-9]{{4}}') THEN '' ELSE ' for 2024 or 2025' END AS context FROM {ASKED.sql}")
 def context_query(spark, d):
-    return ASKED.df(spark).select("id", X.context_query(F.col("q"), 2025).alias("context"))
+    return ASKED.df(spark, d).select("id", X.context_query(F.col("q"), 2025).alias("context"))
 
 
 def _expanded_sql() -> str:
@@ -450,22 +508,22 @@ def _expanded_sql() -> str:
 
 @query(_expanded_sql())
 def expanded_queries(spark, d):
-    return ASKED.df(spark).select("id", F.array_join(X.expanded_queries(F.col("q")), "|").alias("expanded"))
+    return ASKED.df(spark, d).select("id", F.array_join(X.expanded_queries(F.col("q")), "|").alias("expanded"))
 
 
 @query(_expanded_sql().replace("AS expanded FROM c", "AS expanded, array_to_string(syn, '|') AS synonyms, array_to_string(pat, '|') AS patterns FROM c").replace("AS l FROM b)", "AS l, syn, pat FROM b)"))
 def expand_query(spark, d):
-    return ASKED.df(spark).select("id", F.array_join(X.expanded_queries(F.col("q")), "|").alias("expanded"), F.array_join(X.synonyms(F.col("q")), "|").alias("synonyms"), F.array_join(X.patterns(F.col("q")), "|").alias("patterns"))
+    return ASKED.df(spark, d).select("id", F.array_join(X.expanded_queries(F.col("q")), "|").alias("expanded"), F.array_join(X.synonyms(F.col("q")), "|").alias("synonyms"), F.array_join(X.patterns(F.col("q")), "|").alias("patterns"))
 
 
 @query(f"SELECT id, CASE {' '.join(f'WHEN {any_sql(chr(108) + 'ower(q)', w)} THEN {literal(t)}' for w, t in vocab.HYPOTHETICAL[:-1])} ELSE {literal(vocab.HYPOTHETICAL[-1][1])} END AS answer FROM {ASKED.sql}")
 def hyde_fallback(spark, d):
-    return ASKED.df(spark).select("id", X.hypothetical(F.col("q")).alias("answer"))
+    return ASKED.df(spark, d).select("id", X.hypothetical(F.col("q")).alias("answer"))
 
 
 @query(f"SELECT id, CASE {' '.join(f'WHEN {any_sql(chr(108) + 'ower(q)', w)} THEN {literal(n)}' for n, w in vocab.ROUTES)} ELSE 'base' END AS route FROM {ASKED.sql}")
 def route_query(spark, d):
-    return ASKED.df(spark).select("id", X.route(F.col("q")).alias("route"))
+    return ASKED.df(spark, d).select("id", X.route(F.col("q")).alias("route"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -503,12 +561,15 @@ def knn_filtered(spark, d):
     return vector.knn(table(spark, d, "embeddings"), vector_of(spark, d, 0), 10, where=F.col("label") == 1)
 
 
-STORED = Rows("id string, metadata_id string", [("1", "doc-chunk-0001"), ("2", ""), ("3", None)])
+STORED = Derived(
+    """SELECT CAST(doc_id AS STRING) AS id, CASE doc_id % 3 WHEN 0 THEN 'doc-chunk-' || doc_id WHEN 1 THEN '' END AS metadata_id FROM {documents}""",
+    Rows("id string, metadata_id string", [("1", "doc-chunk-0001"), ("2", ""), ("3", None)]),
+)
 
 
 @query(f"SELECT id AS row_id, coalesce(nullif(metadata_id, ''), id) AS id FROM {STORED.sql}")
 def result_ids(spark, d):
-    return STORED.df(spark).select(F.col("id").alias("row_id"), vector.result_id(F.col("metadata_id"), F.col("id")).alias("id"))
+    return STORED.df(spark, d).select(F.col("id").alias("row_id"), vector.result_id(F.col("metadata_id"), F.col("id")).alias("id"))
 
 
 @query(ORACLES["knn_cosine"])
@@ -619,14 +680,23 @@ def hybrid_merge(spark, d):
     return hybrid.merge(vec, kw, c.select("id", "content")).drop("content")
 
 
-CACHED = Rows("id long, content string, section string", [(1, "one", "A"), (2, "two", "B")])
-BY_VECTOR = Rows("id long, vector_score double, content string, section string", [(1, 0.9, "stale", "A"), (3, 0.8, "rebuilt", "C"), (4, 0.7, None, "D")])
-BY_WORD = Rows("id long, keyword_score double", [(2, 5.0), (3, 20.0), (5, 1.0)])
+CACHED = Derived(
+    """SELECT doc_id AS id, text AS content, source AS section FROM {documents} WHERE doc_id % 2 = 0""",
+    Rows("id long, content string, section string", [(1, "one", "A"), (2, "two", "B")]),
+)
+BY_VECTOR = Derived(
+    """SELECT doc_id AS id, CAST(doc_id % 100 AS DOUBLE) / 100 AS vector_score, CASE WHEN doc_id % 9 <> 0 THEN 'stale ' || text END AS content, lang AS section FROM {documents} WHERE doc_id % 3 = 0""",
+    Rows("id long, vector_score double, content string, section string", [(1, 0.9, "stale", "A"), (3, 0.8, "rebuilt", "C"), (4, 0.7, None, "D")]),
+)
+BY_WORD = Derived(
+    """SELECT doc_id AS id, CAST(doc_id % 40 AS DOUBLE) / 2 AS keyword_score FROM {documents} WHERE doc_id % 5 < 2""",
+    Rows("id long, keyword_score double", [(2, 5.0), (3, 20.0), (5, 1.0)]),
+)
 
 
 @query(f"SELECT id, coalesce(vector_score, 0.0) AS vector_score, coalesce(keyword_score, 0.0) AS keyword_score, coalesce(c.content, v.content) AS content, coalesce(c.section, v.section) AS section, round(least(coalesce(keyword_score, 0.0) / 10, 1.0) * (1 - CAST(0.7 AS DOUBLE)) + coalesce(vector_score, 0.0) * (1 - (1 - CAST(0.7 AS DOUBLE))), 8) AS score FROM {BY_VECTOR.sql} v FULL OUTER JOIN {BY_WORD.sql} k USING (id) LEFT JOIN {CACHED.sql} c USING (id) WHERE coalesce(c.content, v.content) IS NOT NULL")
 def hybrid_rebuild(spark, d):
-    return hybrid.merge(BY_VECTOR.df(spark), BY_WORD.df(spark), CACHED.df(spark))
+    return hybrid.merge(BY_VECTOR.df(spark, d), BY_WORD.df(spark, d), CACHED.df(spark, d))
 
 
 def _found(spark, d) -> DataFrame:
@@ -673,12 +743,12 @@ def enhanced_search(spark, d):
 # ---------------------------------------------------------------- tables
 @query(f"WITH {CATALOG} SELECT filename, CASE WHEN name = '' THEN 'Unknown' ELSE name END AS section, 'Table ' || table_number || ': ' || name AS description FROM cat WHERE contains(lower(filename), 'revenue')")
 def table_lookup(spark, d):
-    return tables.lookup(tables.catalog(GRID.df(spark)), keyword="Revenue")
+    return tables.lookup(tables.catalog(grid(spark, d)), keyword="Revenue")
 
 
 @query(f"WITH {CATALOG}, p AS (SELECT filename, CASE WHEN contains(filename, 'operations') THEN 2 WHEN contains(filename, 'financial') THEN 1 ELSE 0 END AS priority FROM cat WHERE contains(lower(filename), 'operations')) SELECT * FROM p ORDER BY priority DESC, filename LIMIT 3")
 def table_select(spark, d):
-    return tables.select_tables(tables.catalog(GRID.df(spark)), keyword="operations")
+    return tables.select_tables(tables.catalog(grid(spark, d)), keyword="operations")
 
 
 YEARS = f"""g AS (SELECT * FROM {GRID.sql}), x AS (SELECT filename, pos, CAST(unnest(range(0, len(cells))) AS INTEGER) AS col, unnest(cells) AS cell FROM g),
@@ -690,12 +760,12 @@ YEARS = f"""g AS (SELECT * FROM {GRID.sql}), x AS (SELECT filename, pos, CAST(un
 
 @query(f"WITH {YEARS} SELECT * FROM yc")
 def year_columns(spark, d):
-    return tables.year_columns(GRID.df(spark))
+    return tables.year_columns(grid(spark, d))
 
 
 @query(f"WITH {YEARS} SELECT filename, col, CAST(2025 - col + 1 AS VARCHAR) AS year, col AS seq FROM inf")
 def infer_years(spark, d):
-    g = GRID.df(spark)
+    g = grid(spark, d)
     return tables.infer_years(g.join(tables.year_columns(g).select("filename").distinct(), "filename", "left_anti"), 2025)
 
 
@@ -705,16 +775,19 @@ def infer_years(spark, d):
        UNION ALL SELECT filename, line, pos + 1 FROM h WHERE filename NOT IN (SELECT filename FROM l))
  SELECT filename, array_to_string(hd, '|') AS headers, CAST(data_start AS INTEGER) AS data_start FROM f""")
 def table_headers(spark, d):
-    g = GRID.df(spark)
+    g = grid(spark, d)
     return tables.headers(g, tables.years(g, 2025)).withColumn("headers", F.array_join("headers", "|"))
 
 
 @query(f"SELECT filename, pos FROM {GRID.sql} WHERE len(list_filter(cells, lambda c: contains(lower(c), 'revenue'))) > 0")
 def row_filter(spark, d):
-    return tables.row_filter(GRID.df(spark), "Revenue").select("filename", "pos")
+    return tables.row_filter(grid(spark, d), "Revenue").select("filename", "pos")
 
 
-FIGURES = Rows("id int, v string", [(0, "$ 1,234"), (1, "(1,234)"), (2, "(1.5)"), (3, "48%"), (4, "504874 749.011"), (5, "—"), (6, ""), (7, "10 20"), (8, "( 88 )"), (9, "a 5 % b 7")])
+FIGURES = Derived(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN '$ ' || CAST(floor(o_totalprice) AS BIGINT) || ',123' WHEN 1 THEN '(' || o_orderkey || ',234)' WHEN 2 THEN '(1.5)' WHEN 3 THEN (o_orderkey % 99) || '%' WHEN 4 THEN CAST(floor(o_totalprice) AS BIGINT) || ' 749.011' WHEN 5 THEN o_orderpriority WHEN 6 THEN '' WHEN 7 THEN '10 ' || o_orderkey WHEN 8 THEN '( ' || o_orderkey || ' )' ELSE 'a 5 % b ' || o_orderkey END AS v FROM {orders}""",
+    Rows("id int, v string", [(0, "$ 1,234"), (1, "(1,234)"), (2, "(1.5)"), (3, "48%"), (4, "504874 749.011"), (5, "—"), (6, ""), (7, "10 20"), (8, "( 88 )"), (9, "a 5 % b 7")]),
+)
 
 
 def clean_sql(v: str) -> str:
@@ -725,12 +798,12 @@ def clean_sql(v: str) -> str:
 
 @query(f"SELECT id, {clean_sql('v')} AS value FROM {FIGURES.sql}")
 def clean_value(spark, d):
-    return FIGURES.df(spark).select("id", X.clean_value(F.col("v")).alias("value"))
+    return FIGURES.df(spark, d).select("id", X.clean_value(F.col("v")).alias("value"))
 
 
 @query(f"WITH {YEARS}, r AS (SELECT filename, pos, cells[1] AS row_label, CAST(unnest(range(0, len(cells))) AS INTEGER) AS col, unnest(cells) AS cell FROM g WHERE len(cells) > 1 AND trim(cells[1]) <> '') SELECT filename, pos, row_label, year, arg_max({clean_sql('cell')}, seq) AS value FROM r JOIN ys USING (filename, col) GROUP BY 1, 2, 3, 4")
 def year_pivot(spark, d):
-    g = GRID.df(spark)
+    g = grid(spark, d)
     return tables.year_pivot(g, tables.years(g, 2025))
 
 
@@ -742,16 +815,16 @@ PIVOT = f"pr AS (SELECT filename, pos, cells[1] AS row_label, CAST(unnest(range(
  r AS (SELECT min(pos) AS pos FROM pv JOIN one USING (filename) WHERE contains(lower(row_label), 'revenue') AND NOT contains(lower(row_label), 'cost')), yy AS (SELECT string_agg(year || ': $' || value, ', ' ORDER BY year) AS years FROM pv JOIN one USING (filename) JOIN r USING (pos))
  SELECT 'Found ' || n || ' table(s) matching "revenue": ' || names || coalesce('. Revenue by year: ' || years, '') AS summary FROM l, yy WHERE n > 0""")
 def table_summary(spark, d):
-    return tables.summary(GRID.df(spark), "revenue", 2025)
+    return tables.summary(grid(spark, d), "revenue", 2025)
 
 
-@query(f"""WITH {YEARS}, {CATALOG.removeprefix(f'g AS (SELECT * FROM {GRID.sql}), ')}, {PIVOT}, f AS (SELECT filename FROM cat WHERE contains(lower(filename), 'operations')),
+@query(f"""WITH {YEARS}, {CATALOG.removeprefix(f'g AS (SELECT * FROM {GRID.sql}), ')}, {PIVOT}, f AS (SELECT filename FROM cat WHERE contains(lower(filename), 'operations') ORDER BY CASE WHEN contains(filename, 'operations') THEN 2 WHEN contains(filename, 'financial') THEN 1 ELSE 0 END DESC, filename LIMIT 3),
  h AS (SELECT filename, min(pos) + 1 AS data_start FROM g WHERE pos < 3 AND len(list_filter(cells, lambda c: regexp_matches(c, '(?i)year|ended|months|quarter'))) > 0 GROUP BY 1),
  m AS (SELECT filename, pos, '{{' || string_agg('"' || year || '":"' || value || '"', ',' ORDER BY year) || '}}' AS year_data FROM pv GROUP BY 1, 2)
  SELECT filename, table_number, CASE WHEN name = '' THEN 'Financial Table' ELSE name END AS description, pos, cells[1] AS row_label, array_to_string(list_transform(cells[2:], lambda v: {clean_sql('v')}), '|') AS values, year_data
  FROM g JOIN f USING (filename) JOIN cat USING (filename) LEFT JOIN h USING (filename) LEFT JOIN m USING (filename, pos) WHERE pos >= coalesce(data_start, 0) AND len(cells) > 1 AND trim(cells[1]) <> '' AND len(list_filter(cells, lambda c: contains(lower(c), 'revenue'))) > 0""")
 def read_table(spark, d):
-    out = tables.read_table(GRID.df(spark), 2025, keyword="operations", row_text="revenue")
+    out = tables.read_table(grid(spark, d), 2025, keyword="operations", row_text="revenue")
     return out.withColumn("values", F.array_join("values", "|")).withColumn("year_data", F.to_json("year_data"))
 
 
@@ -787,27 +860,37 @@ def dedupe_results(spark, d):
     return workflow.dedupe(_fan(spark, d), ["content"], limit=10).select("pos", "id", "score")
 
 
-SEEN = Rows("pos int, content string, section string, page int, score double", [(0, "alpha", "A", 3, 0.9), (1, "beta", "B", 0, 0.7), (2, "gamma", None, None, 0.6), (3, "delta", "A", 3, 0.5)])
+#: What the fan-out found, with a page each.
+SEEN_ROWS = Rows("pos int, content string, section string, page int, score double", [(0, "alpha", "A", 3, 0.9), (1, "beta", "B", 0, 0.7), (2, "gamma", None, None, 0.6), (3, "delta", "A", 3, 0.5)])
+SEEN_SQL = f"(WITH {FAN} SELECT pos, content, section, CAST(id % 4 AS INTEGER) AS page, round(score, 6) AS score FROM fan)"
+
+
+def seen(spark, d) -> DataFrame:
+    return _fan(spark, d).select("pos", "content", "section", (F.col("id") % 4).cast("int").alias("page"), F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT string_agg('[' || (pos + 1) || '] ' || content || chr(10) || '[Section: ' || coalesce(section, 'N/A') || ', Page: ' || CASE WHEN coalesce(page, 0) = 0 THEN 'N/A' ELSE CAST(page AS VARCHAR) END || ']', chr(10) || chr(10) ORDER BY pos) AS context FROM {SEEN.sql}")
+
+@query(f"SELECT string_agg('[' || (pos + 1) || '] ' || content || chr(10) || '[Section: ' || coalesce(section, 'N/A') || ', Page: ' || CASE WHEN coalesce(page, 0) = 0 THEN 'N/A' ELSE CAST(page AS VARCHAR) END || ']', chr(10) || chr(10) ORDER BY pos) AS context FROM {SEEN_SQL}")
 def render_context(spark, d):
-    return workflow.context(SEEN.df(spark))
+    return workflow.context(seen(spark, d))
 
 
-@query(f"WITH t AS (SELECT section, page, 'text' AS type, pos FROM {SEEN.sql} UNION ALL SELECT section, page, 'table', CAST(pos + (SELECT max(pos) + 1 FROM {SEEN.sql}) AS INTEGER) FROM {SEEN.sql} WHERE pos > 1) SELECT section, page, type, min(pos) AS pos FROM t GROUP BY 1, 2, 3")
+@query(f"WITH t AS (SELECT section, page, 'text' AS type, pos FROM {SEEN_SQL} UNION ALL SELECT section, page, 'table', CAST(pos + (SELECT max(pos) + 1 FROM {SEEN_SQL}) AS INTEGER) FROM {SEEN_SQL} WHERE pos > 1) SELECT section, page, type, min(pos) AS pos FROM t GROUP BY 1, 2, 3")
 def citations_union(spark, d):
-    s = SEEN.df(spark)
+    s = seen(spark, d)
     return workflow.citations(s, s.where("pos > 1"))
 
 
-@query(f"SELECT count(*) AS n, CASE WHEN count(*) > 3 AND arg_min(score, pos) > 0.8 THEN 'high' WHEN count(*) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM {SEEN.sql}")
+@query(f"SELECT count(*) AS n, CASE WHEN count(*) > 3 AND arg_min(score, pos) > 0.8 THEN 'high' WHEN count(*) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM {SEEN_SQL}")
 def confidence(spark, d):
-    return workflow.confidence(SEEN.df(spark))
+    return workflow.confidence(seen(spark, d))
 
 
 # ---------------------------------------------------------------- answers and reports
-ANSWERS = Rows("id int, t string", [(0, '{"a": 1}'), (1, 'Here:\n```json\n{"b": 2}\n```\nand {"z": 0}'), (2, 'so {"c": [1, 2]} it is'), (3, "no json {at} all"), (4, "")])
+ANSWERS = Derived(
+    """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'and {{"z": 0}}' WHEN 2 THEN 'so ' || props || ' it is' WHEN 3 THEN 'no json {{at}} ' || event_type ELSE '' END AS t FROM {events}""",
+    Rows("id int, t string", [(0, '{"a": 1}'), (1, 'Here:\n```json\n{"b": 2}\n```\nand {"z": 0}'), (2, 'so {"c": [1, 2]} it is'), (3, "no json {at} all"), (4, "")]),
+)
 
 
 FENCED, BRACED = r"regexp_extract(t, '(?s)```(?:json)?\s*(.*?)```', 1)", r"regexp_extract(t, '(?s)\{.*\}')"
@@ -815,31 +898,53 @@ FENCED, BRACED = r"regexp_extract(t, '(?s)```(?:json)?\s*(.*?)```', 1)", r"regex
 
 @query(f"SELECT id, CASE WHEN json_valid(t) THEN trim(t) WHEN json_valid({FENCED}) THEN regexp_replace({FENCED}, '^\\s+|\\s+$', '', 'g') WHEN json_valid({BRACED}) THEN {BRACED} END AS found FROM {ANSWERS.sql}")
 def extract_json(spark, d):
-    return ANSWERS.df(spark).select("id", quality.extract_json(F.col("t")).alias("found"))
+    return ANSWERS.df(spark, d).select("id", quality.extract_json(F.col("t")).alias("found"))
 
 
-VALUES = Rows("id int, v string", [(0, "TBD"), (1, "[VALUE]"), (2, "Driver 1"), (3, "Risk 2 details"), (4, "from agent"), (5, "Revenue of $749 million"), (6, None), (7, "A placeholder here"), (8, "Risk 12")])
+VALUES = Derived(
+    """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 'TBD' WHEN 1 THEN '[' || upper(event_type) || ']' WHEN 2 THEN 'Driver ' || event_id WHEN 3 THEN 'Risk ' || (event_id % 20) || ' details' WHEN 4 THEN 'from ' || event_type WHEN 5 THEN 'Revenue of $' || event_id || ' million' WHEN 6 THEN CAST(NULL AS STRING) WHEN 7 THEN 'A placeholder of ' || event_type ELSE 'from agent' END AS v FROM {events}""",
+    Rows("id int, v string", [(0, "TBD"), (1, "[VALUE]"), (2, "Driver 1"), (3, "Risk 2 details"), (4, "from agent"), (5, "Revenue of $749 million"), (6, None), (7, "A placeholder here"), (8, "Risk 12")]),
+)
 
 
 @query(f"SELECT id, coalesce(regexp_matches(v, '{vocab.PLACEHOLDER}'), FALSE) AS is_placeholder FROM {VALUES.sql}")
 def is_placeholder(spark, d):
-    return VALUES.df(spark).select("id", X.is_placeholder(F.col("v")).alias("is_placeholder"))
+    return VALUES.df(spark, d).select("id", X.is_placeholder(F.col("v")).alias("is_placeholder"))
+
+
+NESTED = Derived(
+    """SELECT id, CASE WHEN id % 11 = 10 THEN 'broken' ELSE '{{"a":"' || v || '","b":{{"c":"' || w || '"}},"d":["' || v || '","kept text here",{{"e":"' || w || '"}}],"f":null,"g":' || id || ',"h":[],"i":[' || (id % 7) || ',2,3,4,5,6]}}' END AS j, v, w FROM (SELECT event_id AS id, coalesce(CASE event_id % 9 WHEN 0 THEN 'TBD' WHEN 1 THEN '[' || upper(event_type) || ']' WHEN 2 THEN 'Driver ' || event_id WHEN 3 THEN 'Risk ' || (event_id % 20) || ' details' WHEN 4 THEN 'from ' || event_type WHEN 5 THEN 'Revenue of $' || event_id || ' million' WHEN 6 THEN CAST(NULL AS STRING) WHEN 7 THEN 'A placeholder of ' || event_type ELSE 'from agent' END, 'none of these') AS v, CASE event_id % 4 WHEN 0 THEN 'todo' WHEN 1 THEN '[X]' ELSE event_type END AS w FROM {events}) AS e""",
+    Rows("id int, j string", [(0, '{"a":"TBD","b":{"c":"[X]"},"d":["Driver 1","kept text here",{"e":"todo"}],"f":null,"g":3,"h":[]}'), (1, '{"name":"Long enough text","n":1,"m":2,"o":3,"p":4,"q":[5,6],"r":"short"}'), (2, "broken")]),
+)
+
+
+def joined_sql(members: list[str]) -> str:
+    """Those of some members of a JSON text that aren't null."""
+    return f"array_to_string(list_filter([{', '.join(members)}], lambda m: m IS NOT NULL), ',')"
+
+
+def unless_sql(v: str, text: str) -> str:
+    return f"CASE WHEN NOT regexp_matches({v}, '{vocab.PLACEHOLDER}') THEN {text} END"
 
 
-NESTED = Rows("id int, j string", [(0, '{"a":"TBD","b":{"c":"[X]"},"d":["Driver 1","kept text here",{"e":"todo"}],"f":null,"g":3,"h":[]}'), (1, '{"name":"Long enough text","n":1,"m":2,"o":3,"p":4,"q":[5,6],"r":"short"}'), (2, "broken")])
+_LIST = joined_sql([unless_sql("v", """'"' || v || '"'"""), """'"kept text here"'""", f"""'{{' || coalesce({unless_sql('w', """'"e":"' || w || '"'""")}, '') || '}}'"""])
+_CLEANED = joined_sql([unless_sql("v", """'"a":"' || v || '"'"""), unless_sql("w", """'"b":{"c":"' || w || '"}'"""), f"""'"d":[' || {_LIST} || ']'""", """'"g":' || id""", """'"i":[' || (id % 7) || ',2,3,4,5,6]'"""])
 
 
-@query("SELECT * FROM (VALUES (0, '{\"d\":[\"kept text here\",{}],\"g\":3}'), (1, '{\"name\":\"Long enough text\",\"n\":1,\"m\":2,\"o\":3,\"p\":4,\"q\":[5,6],\"r\":\"short\"}'), (2, NULL)) AS v(id, cleaned)")
+@query(f"SELECT id, CASE WHEN j <> 'broken' THEN '{{' || {_CLEANED} || '}}' END AS cleaned FROM {NESTED.sql}")
 def remove_placeholders(spark, d):
-    return NESTED.df(spark).select("id", quality.remove_placeholders("j").alias("cleaned"))
+    return NESTED.df(spark, d).select("id", quality.remove_placeholders("j").alias("cleaned"))
 
 
-FACTS = Rows("id int, t string", [(0, "Total revenue was $749.0 million and growth of 48%; gross margin reached 88.3%."), (1, "Sales 1,234 M\ncash of $1.6 billion, operating margin -17%"), (2, "nothing")])
+FACTS = Derived(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Total revenue was $' || CAST(floor(o_totalprice) AS BIGINT) || '.0 million and growth of ' || (o_orderkey % 90) || '%; gross margin reached ' || (o_orderkey % 70) || '.3%.' WHEN 1 THEN 'Sales 1,' || (100 + o_orderkey % 900) || ' M' || chr(10) || 'cash of $1.6 billion, operating margin -' || (o_orderkey % 30) || '%' ELSE 'nothing of ' || o_orderpriority END AS t FROM {orders}""",
+    Rows("id int, t string", [(0, "Total revenue was $749.0 million and growth of 48%; gross margin reached 88.3%."), (1, "Sales 1,234 M\ncash of $1.6 billion, operating margin -17%"), (2, "nothing")]),
+)
 
 
 @query(f"SELECT id, {', '.join(f'CASE WHEN regexp_matches(t, {literal(p)}) THEN trim(regexp_extract(t, {literal(p)}, 1)) END AS {n}' for n, p in vocab.FINANCIAL_FIELDS.items())} FROM {FACTS.sql}")
 def parse_financials(spark, d):
-    return FACTS.df(spark).select("id", *X.fields(F.col("t"), vocab.FINANCIAL_FIELDS))
+    return FACTS.df(spark, d).select("id", *X.fields(F.col("t"), vocab.FINANCIAL_FIELDS))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '^([^\\s]+)') THEN trim(regexp_extract(text, '^([^\\s]+)', 1)) END AS first_word, CASE WHEN regexp_matches(text, '([0-9]+)%') THEN trim(regexp_extract(text, '([0-9]+)%', 1)) END AS percent FROM documents")
@@ -847,13 +952,16 @@ def extract_fields(spark, d):
     return docs(spark, d).select("doc_id", *X.fields(F.col("text"), {"first_word": r"^([^\s]+)", "percent": "([0-9]+)%"}))
 
 
-QUOTED = Rows("id int, t string", [(0, '"quote one" (Risk Factors, p. 12) and "quote two" (MD&A, p 80)'), (1, "(Business, p.3) alone"), (2, "none")])
+QUOTED = Derived(
+    """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '"quote of ' || event_type || '" (Risk Factors, p. ' || (event_id % 90) || ') and "quote two" (MD&A, p ' || (event_id % 80) || ')' WHEN 1 THEN '(Business of ' || event_type || ', p.3) alone' ELSE event_type END AS t FROM {events}""",
+    Rows("id int, t string", [(0, '"quote one" (Risk Factors, p. 12) and "quote two" (MD&A, p 80)'), (1, "(Business, p.3) alone"), (2, "none")]),
+)
 
 
 @query(f"""WITH c AS (SELECT id, regexp_extract_all(t, '\\(([^,]+),\\s*p\\.?\\s*([0-9]+)\\)', 1) AS s, regexp_extract_all(t, '\\(([^,]+),\\s*p\\.?\\s*([0-9]+)\\)', 2) AS p, regexp_extract_all(t, '"([^"]+)"', 1) AS q FROM {QUOTED.sql}), n AS (SELECT *, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos FROM c)
  SELECT id, pos, trim(s[pos + 1]) AS section, CAST(p[pos + 1] AS INTEGER) AS page, coalesce(q[pos + 1], '') AS quote FROM n""")
 def extract_citations(spark, d):
-    return QUOTED.df(spark).select("id", F.posexplode(X.citations(F.col("t"))).alias("pos", "c")).select("id", "pos", "c.*")
+    return QUOTED.df(spark, d).select("id", F.posexplode(X.citations(F.col("t"))).alias("pos", "c")).select("id", "pos", "c.*")
 
 
 LEAVES = f"""l AS (SELECT n.id, substr(t.fullkey, 3) AS path, t.type, CASE WHEN t.type = 'VARCHAR' THEN json_extract_string(t.value, '$') END AS v FROM {NESTED.sql} n, json_tree(CASE WHEN json_valid(n.j) THEN n.j ELSE '{{}}' END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')),
@@ -863,15 +971,18 @@ LEAVES = f"""l AS (SELECT n.id, substr(t.fullkey, 3) AS path, t.type, CASE WHEN
 @query(f"""WITH {LEAVES}, c AS (SELECT id, count(*) FILTER (bad) AS placeholders, count(*) FILTER (NOT bad AND (length(trim(v)) > 10 OR type IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) AS data_points, coalesce(string_agg(path, ',' ORDER BY path) FILTER (bad), '') AS issues FROM f GROUP BY 1)
  SELECT id, coalesce(placeholders, 0) AS placeholders, coalesce(data_points, 0) AS data_points, coalesce(issues, '') AS issues, coalesce(placeholders = 0 AND data_points > 5, FALSE) AS is_valid FROM {NESTED.sql} LEFT JOIN c USING (id)""")
 def json_quality(spark, d):
-    return quality.quality(quality.leaves(NESTED.df(spark), "id", "j"))
+    return quality.quality(quality.leaves(NESTED.df(spark, d), "id", "j"))
 
 
-RISKS = Rows("id int, pos int, risk string, impact string, probability string", [(0, 0, "a", "High", "High"), (0, 1, "b", "High", "High"), (0, 2, "c", "High", "High"), (1, 0, "d", "High", "High"), (1, 1, "e", "Medium", "High"), (2, 0, "f", "High", "Low"), (2, 1, "g", "High", "Medium"), (3, 0, "h", "Low", "Low"), *((4, i, f"i{i}", "High", "Low") for i in range(5))])
+RISKS = Derived(
+    """SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos, 'r' || l_partkey AS risk, CASE l_partkey % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS impact, CASE l_suppkey % 3 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS probability FROM {lineitem}""",
+    Rows("id int, pos int, risk string, impact string, probability string", [(0, 0, "a", "High", "High"), (0, 1, "b", "High", "High"), (0, 2, "c", "High", "High"), (1, 0, "d", "High", "High"), (1, 1, "e", "Medium", "High"), (2, 0, "f", "High", "Low"), (2, 1, "g", "High", "Medium"), (3, 0, "h", "Low", "Low"), *((4, i, f"i{i}", "High", "Low") for i in range(5))]),
+)
 
 
 @query(f"SELECT id, CASE WHEN count(*) FILTER (impact = 'High' AND probability = 'High') >= 3 THEN 'High Risk' WHEN count(*) FILTER (impact = 'High' AND probability = 'High') >= 1 OR count(*) FILTER (impact = 'High') >= 5 THEN 'Aggressive' WHEN count(*) FILTER (impact = 'High') >= 2 THEN 'Moderate' ELSE 'Conservative' END AS overall_risk_profile FROM {RISKS.sql} GROUP BY 1")
 def risk_profile(spark, d):
-    return quality.risk_profile(RISKS.df(spark))
+    return quality.risk_profile(RISKS.df(spark, d))
 
 
 def _cell(i: str, p: str, name: str) -> str:
@@ -880,47 +991,62 @@ def _cell(i: str, p: str, name: str) -> str:
 
 @query(f"SELECT id, {_cell('High', 'High', 'high_high')}, {_cell('High', 'Medium', 'high_medium')}, {_cell('Medium', 'High', 'medium_high')}, CASE WHEN count(risk) > 0 THEN 'Medium' ELSE 'Low' END AS confidence_level, {literal('; '.join(f'{n}: {t} ({p})' for n, t, p, _ in vocab.SCENARIOS))} AS scenarios FROM {RISKS.sql} GROUP BY 1")
 def risk_matrix(spark, d):
-    return quality.risk_matrix(RISKS.df(spark))
+    return quality.risk_matrix(RISKS.df(spark, d))
 
 
-PARTIAL = Rows("id int, pos int, field string, value string, items array<string>", [(0, 0, "x", "one", ["a", "b"]), (0, 1, "x", "TBD", ["b", "c"]), (0, 2, "x", None, None), (0, 0, "y", None, ["z"]), (1, 0, "x", "first", []), (1, 1, "x", "second", [])])
+PARTIAL = Derived(
+    """SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos, CASE l_suppkey % 2 WHEN 0 THEN 'x' ELSE 'y' END AS field, CASE l_partkey % 4 WHEN 0 THEN 'TBD' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'value ' || l_partkey END AS value, CASE WHEN l_partkey % 5 > 0 THEN split(l_returnflag || ';' || l_linestatus || ';' || (l_partkey % 3), ';') END AS items FROM {lineitem}""",
+    Rows("id int, pos int, field string, value string, items array<string>", [(0, 0, "x", "one", ["a", "b"]), (0, 1, "x", "TBD", ["b", "c"]), (0, 2, "x", None, None), (0, 0, "y", None, ["z"]), (1, 0, "x", "first", []), (1, 1, "x", "second", [])]),
+)
 
 
 @query(f"WITH m AS (SELECT id, field, arg_max(value, pos) FILTER (value IS NOT NULL AND NOT regexp_matches(value, '{vocab.PLACEHOLDER}')) AS value, flatten(list(coalesce(items, CAST([] AS VARCHAR[])) ORDER BY pos)) AS l FROM {PARTIAL.sql} GROUP BY 1, 2) SELECT id, field, value, array_to_string({ORDERED.format('l')}, ',') AS items FROM m")
 def merge_partials(spark, d):
-    return quality.merge_partials(PARTIAL.df(spark))
+    return quality.merge_partials(PARTIAL.df(spark, d))
 
 
-BODIES_OF_ANSWERS = Rows("id int, pos int, body string", [(0, 0, '{"a":[1,2],"b":{"x":"kept","y":[1]},"c":"TBD"}'), (0, 1, '{"a":[2,3],"b":{"x":null,"y":[1,4],"z":"new"},"c":"last"}'), (0, 2, "broken"), (1, 0, '{"d":"first"}'), (1, 1, '{"d":"[X]","e":5}')])
+BODIES_OF_ANSWERS = Derived(
+    """SELECT id, pos, CASE WHEN s % 17 = 0 THEN 'broken' ELSE '{{"a":[' || p || ',' || (s + 1000000) || '],"b":{{"x":"' || v || '"}},"c":"' || v || '"}}' END AS body, p, s, v FROM (SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS pos, l_partkey AS p, l_suppkey AS s, CASE l_partkey % 3 WHEN 0 THEN 'TBD' ELSE 'value ' || l_partkey END AS v FROM {lineitem}) AS l""",
+    Rows("id int, pos int, body string", [(0, 0, '{"a":[1,2],"b":{"x":"kept","y":[1]},"c":"TBD"}'), (0, 1, '{"a":[2,3],"b":{"x":null,"y":[1,4],"z":"new"},"c":"last"}'), (0, 2, "broken"), (1, 0, '{"d":"first"}'), (1, 1, '{"d":"[X]","e":5}')]),
+)
 
 
-@query("SELECT * FROM (VALUES (0, '{\"a\":[1,2,3],\"b\":{\"x\":\"kept\",\"y\":[1,4],\"z\":\"new\"},\"c\":\"last\"}'), (1, '{\"d\":\"first\",\"e\":5}')) AS v(id, merged)")
+@query(f"""WITH r AS (SELECT * FROM {BODIES_OF_ANSWERS.sql}), ids AS (SELECT DISTINCT id FROM r),
+ m AS (SELECT id, flatten(list([p, s + 1000000] ORDER BY pos)) AS l, arg_max(v, pos) FILTER (NOT regexp_matches(v, '{vocab.PLACEHOLDER}')) AS c, arg_min(v, pos) AS first, count(*) AS n FROM r WHERE body <> 'broken' GROUP BY 1)
+ SELECT ids.id, '{{' || coalesce({joined_sql(["'\"a\":[' || array_to_string(" + ORDERED.format('l') + ", ',') || ']'", "CASE WHEN n = 1 THEN '\"b\":{\"x\":\"' || first || '\"}' WHEN n > 1 THEN coalesce('\"b\":{\"x\":\"' || c || '\"}', '\"b\":{}') END", "'\"c\":\"' || c || '\"'"])}, '') || '}}' AS merged FROM ids LEFT JOIN m USING (id)""")
 def merge_responses(spark, d):
-    return quality.merge_responses(BODIES_OF_ANSWERS.df(spark))
+    return quality.merge_responses(BODIES_OF_ANSWERS.df(spark, d))
 
 
-FAULTY = Rows("id int, j string", [(0, '{"executive_summary":{"price_target":{"target_price":"Error: none"}},"financial_analysis":{"revenue_analysis":{"current_revenue":"$749 million"}}}'), (1, '{"financial_analysis":{"revenue_analysis":{"current_revenue":"Error"}}}'), (2, "{}")])
+FAULTY = Derived(
+    """SELECT event_id AS id, CASE event_id % 4 WHEN 3 THEN '{{}}' ELSE '{{"executive_summary":{{"price_target":{{"target_price":"' || CASE event_type WHEN 'error' THEN 'Error: none' ELSE '$' || event_id END || '"}}}},"financial_analysis":{{"revenue_analysis":{{"current_revenue":"' || CASE event_id % 5 WHEN 0 THEN 'Error' ELSE '$749 million' END || '"}}}}}}' END AS j FROM {events}""",
+    Rows("id int, j string", [(0, '{"executive_summary":{"price_target":{"target_price":"Error: none"}},"financial_analysis":{"revenue_analysis":{"current_revenue":"$749 million"}}}'), (1, '{"financial_analysis":{"revenue_analysis":{"current_revenue":"Error"}}}'), (2, "{}")]),
+)
 
 
 @query(f"SELECT id, coalesce(contains(json_extract_string(j, '$.executive_summary.price_target.target_price'), 'Error'), FALSE) AS price_error, coalesce(contains(json_extract_string(j, '$.financial_analysis.revenue_analysis.current_revenue'), 'Error'), FALSE) AS revenue_error FROM {FAULTY.sql}")
 def report_errors(spark, d):
     price, revenue = quality.errors_in(F.try_parse_json(F.col("j")))
-    return FAULTY.df(spark).select("id", price.alias("price_error"), revenue.alias("revenue_error"))
+    return FAULTY.df(spark, d).select("id", price.alias("price_error"), revenue.alias("revenue_error"))
 
 
-PARTS = Rows("report string, section string, placeholders int, data_points int, citations int, price_error boolean, revenue_error boolean", [("old", "executive_summary", 0, 12, 3, True, False), ("old", "financial_analysis", 2, 8, 0, False, False), ("old", "business_strategy", 0, 4, 1, False, False), ("old", "risk_assessment", 12, 0, 0, False, False), ("new", "executive_summary", 0, 20, 9, False, False), ("new", "financial_analysis", 0, 30, 9, False, False), ("new", "business_strategy", 0, 9, 2, False, False), ("new", "risk_assessment", 0, 15, 4, False, False), ("new", "valuation", 1, 11, 0, False, False)])
+PARTS = Derived(
+    """SELECT CASE c_nationkey WHEN 0 THEN 'old' WHEN 1 THEN 'new' ELSE 'r' || c_nationkey END AS report, CASE c_mktsegment WHEN 'MACHINERY' THEN 'executive_summary' WHEN 'BUILDING' THEN 'financial_analysis' WHEN 'AUTOMOBILE' THEN 'business_strategy' WHEN 'HOUSEHOLD' THEN 'risk_assessment' ELSE 'valuation' END AS section,
+ CAST(sum(c_custkey) % 3 AS INT) AS placeholders, CAST(sum(c_custkey) % 25 AS INT) AS data_points, CAST(sum(c_custkey) % 7 AS INT) AS citations, max(c_custkey) % 4 = 0 AS price_error, max(c_custkey) % 5 = 0 AS revenue_error FROM {customer} GROUP BY c_nationkey, c_mktsegment""",
+    Rows("report string, section string, placeholders int, data_points int, citations int, price_error boolean, revenue_error boolean", [("old", "executive_summary", 0, 12, 3, True, False), ("old", "financial_analysis", 2, 8, 0, False, False), ("old", "business_strategy", 0, 4, 1, False, False), ("old", "risk_assessment", 12, 0, 0, False, False), ("new", "executive_summary", 0, 20, 9, False, False), ("new", "financial_analysis", 0, 30, 9, False, False), ("new", "business_strategy", 0, 9, 2, False, False), ("new", "risk_assessment", 0, 15, 4, False, False), ("new", "valuation", 1, 11, 0, False, False)]),
+)
 SCORE = "greatest(0, 100 - placeholders * 10 - CASE WHEN data_points < 5 THEN 20 WHEN data_points < 10 THEN 10 ELSE 0 END - CASE WHEN citations = 0 THEN 15 ELSE 0 END)"
 
 
 @query(f"SELECT report, section, {SCORE} AS score FROM {PARTS.sql}")
 def section_score(spark, d):
-    return PARTS.df(spark).select("report", "section", quality.section_score(F.col("placeholders"), F.col("data_points"), F.col("citations")).alias("score"))
+    return PARTS.df(spark, d).select("report", "section", quality.section_score(F.col("placeholders"), F.col("data_points"), F.col("citations")).alias("score"))
 
 
 @query(f"""WITH s AS (SELECT *, {SCORE} AS score FROM {PARTS.sql}), a AS (SELECT report, CAST(floor(avg(score) + 0.5) AS INTEGER) AS score, list_sort(list_filter({literal(quality.SECTIONS)}, lambda x: NOT list_contains(list(section), x))) AS missing, sum(placeholders) AS p, sum(data_points) AS d, sum(citations) AS c, string_agg(section, ', ' ORDER BY section) FILTER (score < 60) AS low, bool_or(price_error) AS price, bool_or(revenue_error) AS revenue FROM s GROUP BY 1)
  SELECT report, score, score >= 60 AND len(missing) = 0 AS is_valid, array_to_string(missing, ',') AS missing, concat_ws('; ', CASE WHEN p > 0 THEN 'placeholders' END, CASE WHEN d < 50 THEN 'data points' END, CASE WHEN c < 20 THEN 'citations' END, CASE WHEN low IS NOT NULL THEN 'Focus on improving: ' || low END, CASE WHEN price THEN 'price target' END, CASE WHEN revenue THEN 'revenue' END) AS recommendations FROM a""")
 def report_score(spark, d):
-    return quality.report_score(PARTS.df(spark))
+    return quality.report_score(PARTS.df(spark, d))
 
 
 @query(f"WITH s AS (SELECT report, section, {SCORE} AS score FROM {PARTS.sql}) SELECT o.section, o.score AS old_score, n.score AS new_score, n.score - o.score AS change FROM s o JOIN s n ON o.section = n.section AND o.report = 'old' AND n.report = 'new'")
