@@ -25,10 +25,15 @@ from .sources import readers
 
 def process(a: argparse.Namespace, spark) -> object:
     """Elements to chunks, tables, index and files; embedding is part of it."""
-    found = readers.elements(spark, a.elements).withColumn("doc_id", F.dense_rank().over(ingest.Window.orderBy("file")).cast("long") if a.many else F.lit(1).cast("long"))
+    found = readers.elements(spark, a.elements)
+    if a.many:  # the names alone are numbered
+        names = found.select("file").distinct()
+        found = found.join(names.withColumn("doc_id", F.row_number().over(ingest.Window.orderBy("file")).cast("long")), "file")
+    else:
+        found = found.withColumn("doc_id", F.lit(1).cast("long"))
     config = ingest.Config(a.size, a.overlap)
     chunks, tables = ingest.chunks(found, config), ingest.tables(found)
-    readers.write_chunks(chunks, f"{a.data}/text_chunks")
+    readers.write_chunks(chunks, f"{a.data}/text_chunks", a.date)
     readers.write_envelope(chunks, tables, a.elements, a.date, f"{a.data}/import")
     files = readers.write_table_files(tables, str(Path(a.data, "csv").absolute()) if "://" not in a.data else f"{a.data}/csv").count()
     engine = Engine.build(spark, found, config, path=a.data)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import ann, hybrid, ingest, lexical, memory, quality, split, tables, vector, workflow
+from ..operators import ann, hybrid, ingest, lexical, memory, phrases, quality, split, tables, vector, workflow
 from ..session import scratch, stamp, table
 from ..sources import readers
 from .inline import Derived, Rows, literal
@@ -740,6 +740,25 @@ def enhanced_search(spark, d):
     return hybrid.enhanced(chunks_of(spark, d), index_of(spark, d), _variants(spark, d)).select("id", "score", "search_method", "fallback_reason")
 
 
+PHRASES = Derived("""SELECT item_id AS phrase, lower(substr(text, 1, 14)) AS words FROM {benchmark} UNION ALL SELECT item_id + 1000000, lower(substr(text, 20, 9)) FROM {benchmark} UNION ALL SELECT part_key + 2000000, word FROM (SELECT p_partkey AS part_key, lower(p_name) AS word FROM {part}) AS p UNION ALL SELECT page_id + 3000000, lower(substr(html, 200, 5)) FROM {pages}""", Rows("phrase long, words string", [(1, "the cat"), (2, ""), (3, None), (4, "at"), (5, "at")]))
+
+
+@query(f"SELECT doc_id AS id, count(*) AS phrases, min(phrase) AS first, CAST(sum(phrase % 1000) AS BIGINT) AS digest FROM documents, {PHRASES.sql} p WHERE words <> '' AND contains(lower(text), words) GROUP BY 1")
+def phrase_hits(spark, d):
+    """How many phrases of a dictionary each document contains, and which come first."""
+    hits = phrases.found(docs(spark, d), PHRASES.df(spark, d))
+    return hits.groupBy("id").agg(F.count("*").alias("phrases"), F.min("phrase").alias("first"), F.sum(F.col("phrase") % 1000).alias("digest"))
+
+
+#: Word lists in place of `contains` a word: of each list, how many words a document contains.
+WORDS = {f"list{i}": words for i, (words, _, _) in enumerate(LISTS)}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT doc_id AS id, '{n}' AS list, CAST({' + '.join(f'CAST(contains(lower(text), {literal(w)}) AS INTEGER)' for w in ws)} AS INTEGER) AS present FROM documents) WHERE present > 0" for n, ws in WORDS.items()))
+def words_of_lists(spark, d):
+    return phrases.listed(docs(spark, d), WORDS).select("id", "list", "present")
+
+
 # ---------------------------------------------------------------- tables
 @query(f"WITH {CATALOG} SELECT filename, CASE WHEN name = '' THEN 'Unknown' ELSE name END AS section, 'Table ' || table_number || ': ' || name AS description FROM cat WHERE contains(lower(filename), 'revenue')")
 def table_lookup(spark, d):

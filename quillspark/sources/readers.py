@@ -56,9 +56,10 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     return size.join(spark.read.text(path).where(F.trim("value") != "").agg(F.count("*").alias("lines")))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """JSON lines, one chunk a line, with nested metadata."""
-    meta = F.struct("id", F.col("content").alias("text"), "section_path", "section_hierarchy", "page_idx", F.lit("text").alias("chunk_type"), "chunk_size")
+def write_chunks(chunks: DataFrame, path: str, timestamp: str | None = None) -> None:
+    """JSON lines, one chunk a line, with nested metadata; timestamp: when they were made, now if it isn't given."""
+    made = F.lit(timestamp) if timestamp else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    meta = F.struct("id", F.col("content").alias("text"), "section_path", "section_hierarchy", "page_idx", F.lit("text").alias("chunk_type"), "chunk_size", made.alias("timestamp"))
     chunks.select("id", "content", meta.alias("metadata")).write.mode("overwrite").json(path)
 
 
@@ -100,14 +101,20 @@ def _version(spark: SparkSession, name: str) -> str:
 def write_table_files(tables: DataFrame, path: str) -> DataFrame:
     """Writes each table of tables(filename, data) as CSV under its own name below path, in tasks; (filename, bytes) of the files.
 
-    path is anything that Arrow's file systems open. A task that runs again writes the same bytes.
+    path is anything that Arrow's file systems open; without a scheme it is one of Spark's default file system. A task
+    that runs again writes the same bytes.
     """
+    spark = tables.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = str(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
     rows = tables.select("filename", to_csv(F.col("data")).alias("csv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         for b in batches:
             names, sizes = b.column("filename").to_pylist(), []

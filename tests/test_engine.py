@@ -7,7 +7,7 @@ from quillspark.plans.queries import ELEMENTS
 
 
 def test_engine(spark):
-    e = Engine.build(spark, ELEMENTS.df(spark))
+    e = Engine.build(spark, ELEMENTS.literal.df(spark))
     assert e.healthy()
     assert e.vector_search("market risks", 3, section="RISK FACTORS", section_prefix=True).count() > 0
     assert e.vector_search("market", 3, page=11).count() >= 0
@@ -31,7 +31,7 @@ class Writer:
 
 
 def test_research_searches_writes_and_compiles(spark):
-    e = Engine.build(spark, ELEMENTS.df(spark), generator=Writer(), company="Acme")
+    e = Engine.build(spark, ELEMENTS.literal.df(spark), generator=Writer(), company="Acme")
     assert e.hypothetical("ownership").startswith("The beneficial")
     assert len(e.variants("revenue growth?", hyde=True)) == 3
     r = e.research("2025-01-01")

@@ -182,3 +182,33 @@ def test_long_texts_are_cut_as_in_one_task(spark):
     small = spark.createDataFrame([(1, "ab " * 4000)], "doc_id long, text string")
     assert sorted(split.split_long(small, 100, 99, 500).collect()) == sorted(split.split(small, 100, 99).collect())
     assert split.split_long(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [100_000, 700])
+def test_five_thousand_phrases_over_all_documents(spark, monkeypatch, size):
+    from quillspark.operators import phrases
+
+    monkeypatch.setattr(phrases, "DICTIONARY", size)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"].lower() for r in docs.collect()}
+    r = random.Random(4)
+    words = sorted({w for t in texts.values() for w in t.split()})
+    some = [" ".join(t.split()[3:5]) for t in texts.values()]
+    listed = list(dict.fromkeys([*some, *r.sample(words, 5000), "none of these words", "ä"]))[:5000]
+    assert len(listed) == 5000
+    df = spark.createDataFrame([*enumerate(listed), (9001, ""), (9002, None)], "phrase long, words string")
+    got = sorted((x["id"], x["phrase"]) for x in phrases.found(docs, df).collect())
+    sample = set(r.sample(range(5000), 300))
+    assert [(i, p) for i, p in got if p in sample] == sorted((i, p) for i, t in texts.items() for p in sample if listed[p] in t)
+    assert max(p for _, p in got) < 5000 and len(got) == len(set(got))
+
+
+def test_odd_phrases(spark):
+    from quillspark.operators import phrases
+
+    docs = spark.createDataFrame([(1, "The Cat sat"), (2, None), (3, ""), (1, "a cat"), (None, "at")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "the cat"), (2, ""), (3, None), (4, "AT"), (5, "at")], "phrase long, words string")
+    assert sorted((str(r["id"]), r["phrase"]) for r in phrases.found(docs, df).collect()) == sorted([("1", 1), ("1", 4), ("1", 5), ("1", 4), ("1", 5), ("None", 4), ("None", 5)])
+    assert phrases.found(docs, df.limit(0)).count() == 0 and phrases.found(docs.limit(0), df).count() == 0
+    got = {(r["id"], r["list"]): (r["present"], r["all_"]) for r in phrases.listed(docs.where("doc_id = 1 AND text LIKE 'The%'"), {"a": ["cat", "sat", "dog"], "b": ["the"], "c": ["no"]}).collect()}
+    assert got == {(1, "a"): (2, False), (1, "b"): (1, True)}

@@ -159,7 +159,7 @@ def test_responses_are_parsed_and_merged():
 def test_tables_are_written_under_their_names(spark, tmp_path):
     from quillspark.plans.queries import ELEMENTS
 
-    made = ingest.tables(ELEMENTS.df(spark))
+    made = ingest.tables(ELEMENTS.literal.df(spark))
     got = {r["filename"]: r["bytes"] for r in readers.write_table_files(made, str(tmp_path / "csv")).collect()}
     assert len(got) == made.count() and all((tmp_path / "csv" / n).stat().st_size == b for n, b in got.items())
     back = readers.csv_tables(spark, str(tmp_path / "csv" / "*.csv"))
