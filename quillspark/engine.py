@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vocab
-from .model import LEVELS, SECTION_KEYS, parse_response
+from .model import LEVELS, SECTION_KEYS, out_of_bounds, parse_response
 from .operators import hybrid, ingest, lexical, memory, quality, tables, vector, workflow
 from .session import scratch
 
@@ -219,7 +219,8 @@ class Engine:
             if name == "risk_assessment":
                 body = complete_risks(body)
                 missing = [k for k in missing if k not in body]
-            return body | ({"missing_fields": missing} if missing else {})
+            unfit = out_of_bounds(body, name)
+            return body | ({"missing_fields": missing} if missing else {}) | ({"unfit_fields": unfit} if unfit else {})
         except Exception as reason:  # noqa: BLE001  a report goes on without a section
             return {"confidence_level": "Low", "supporting_evidence": [], "analysis_notes": [f"Error: {str(reason)[:200]}"]}
 

@@ -35,6 +35,35 @@ SECTION_KEYS = {
 }
 
 
+#: What fields of a section may hold, and the most items of a list ("[]" stands for each item).
+LEVELS_OF_RISK = {f"risk_categories.{kind}[].{field}": LEVELS for kind in ("market_risks", "operational_risks", "financial_risks", "regulatory_risks") for field in ("probability", "impact")}
+TRENDS = ["Improving", "Declining", "Stable", "Unknown"]
+VALUES = {
+    "executive_summary": {
+        "investment_recommendation": ["Strong Buy", "Buy", "Hold", "Sell", "Strong Sell"],
+        "key_investment_highlights[].impact": ["Positive", "Negative", "Neutral"],
+        "top_risks[].impact": LEVELS,
+        "catalysts[].impact": LEVELS,
+        "confidence_level": LEVELS,
+    },
+    "financial_analysis": {
+        "revenue_analysis.revenue_model.revenue_streams[].growth_trajectory": ["Accelerating", "Stable", "Decelerating"],
+        "profitability_analysis.gross_margins.trend": ["Improving", "Declining", "Stable"],
+        "profitability_analysis.efficiency_metrics[].trend": TRENDS,
+        "key_financial_metrics[].trend": TRENDS,
+        "confidence_level": LEVELS,
+    },
+    "business_strategy": {
+        "competitive_positioning.competitive_moats[].strength": ["Strong", "Moderate", "Weak"],
+        "business_model.customer_segments[].growth_potential": LEVELS,
+        "confidence_level": LEVELS,
+    },
+    "risk_assessment": LEVELS_OF_RISK | {"risk_matrix.overall_risk_profile": ["Conservative", "Moderate", "Aggressive", "High Risk"], "confidence_level": LEVELS},
+    "valuation": {"confidence_level": LEVELS},
+}
+MOST = {"executive_summary": {"key_investment_highlights": 5, "top_risks": 3, "catalysts": 3}}
+
+
 def parse_answer(text: Column, route: str) -> Column:
     """An answer's JSON as the struct of its route; fields that don't fit are null."""
     return F.from_json(extract_json(text), ANSWERS[route])
@@ -75,9 +104,28 @@ def misfits(value: Any, kind: T.DataType | list[str], path: str = "") -> list[st
     return [] if isinstance(value, kinds.get(type(kind), object)) and (not isinstance(value, bool) or isinstance(kind, T.BooleanType)) else [path]
 
 
-def parse_response(response: Any, kind: T.DataType | list[str] | str | None = None, strict: bool = False) -> tuple[Any, list[str]]:
+def at(value: Any, path: str, said: str = "") -> list[tuple[str, Any]]:
+    """(path, value) of what a path names in a JSON value; each item of a list where it has "[]"."""
+    head, _, rest = path.partition(".")
+    name = head.removesuffix("[]")
+    if not isinstance(value, dict) or name not in value:
+        return []
+    here = f"{said}.{name}".lstrip(".")
+    found = [(f"{here}[{i}]", x) for i, x in enumerate(value[name])] if head.endswith("[]") and isinstance(value[name], list) else [] if head.endswith("[]") else [(here, value[name])]
+    return [y for p, x in found for y in at(x, rest, p)] if rest else found
+
+
+def out_of_bounds(value: Any, section: str) -> list[str]:
+    """Paths of a section's fields that hold none of their values, and of lists with too many items."""
+    wrong = [p for path, allowed in VALUES.get(section, {}).items() for p, x in at(value, path) if x not in allowed]
+    return wrong + [p for path, most in MOST.get(section, {}).items() for p, x in at(value, path) if isinstance(x, list) and len(x) > most]
+
+
+def parse_response(response: Any, kind: T.DataType | list[str] | str | None = None, strict: bool = False, section: str | None = None) -> tuple[Any, list[str]]:
     """An agent's answer without placeholders and nulls, and the paths in which it doesn't fit `kind` (a type, its DDL, or keys); (None, []) if it holds no data.
 
+    section: of a report, whose fields' values and lists' lengths are checked too.
+
     A response is a text, or a mapping whose "object" is the data, whose "text" holds it, or which is the data. What
     doesn't fit is returned all the same, unless strict, when that and a response without data raise ValueError.
     """
@@ -92,7 +140,7 @@ def parse_response(response: Any, kind: T.DataType | list[str] | str | None = No
     found = _without_nulls(clean(found))
     if isinstance(kind, str):
         kind = T.StructType.fromDDL(kind)
-    wrong = misfits(found, kind) if kind is not None else []
+    wrong = (misfits(found, kind) if kind is not None else []) + (out_of_bounds(found, section) if section else [])
     if strict and wrong:
         raise ValueError(f"the response doesn't fit at {', '.join(wrong)}")
     return found, wrong

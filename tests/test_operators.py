@@ -144,7 +144,7 @@ def test_tables_keep_the_whole_path_and_chunks_the_line_ends(spark):
     assert {r["page_idx"] for r in got} == {0}
 
 
-def test_responses_are_parsed_and_merged():
+def test_responses_are_parsed_and_merged(spark):
     schema = "answer string, confidence string, citations array<struct<section: string, page: int>>"
     assert parse_response({"object": {"answer": "x", "confidence": None}}, schema) == ({"answer": "x"}, [])
     assert parse_response({"text": 'so ```json\n{"answer": 5, "citations": [{"page": "x"}]}\n``` it is'}, schema) == ({"answer": 5, "citations": [{"page": "x"}]}, ["answer", "citations[0].page"])
@@ -254,3 +254,14 @@ def test_entry_runs_without_the_other_operators(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sections_hold_allowed_values_only():
+    good = {"investment_recommendation": "Buy", "top_risks": [{"impact": "High"}] * 3, "confidence_level": "Low"}
+    assert parse_response({"object": good}, section="executive_summary") == (good, [])
+    bad = {"investment_recommendation": "Maybe", "top_risks": [{"impact": "High"}, {"impact": "huge"}, {"impact": "Low"}, {"impact": "Low"}], "catalysts": "none", "key_investment_highlights": [1]}
+    assert parse_response({"object": bad}, section="executive_summary")[1] == ["investment_recommendation", "top_risks[1].impact", "top_risks"]
+    risks = {"risk_categories": {"market_risks": [{"probability": "Low", "impact": "none"}]}, "risk_matrix": {"overall_risk_profile": "Bold"}}
+    assert parse_response({"object": risks}, section="risk_assessment")[1] == ["risk_categories.market_risks[0].impact", "risk_matrix.overall_risk_profile"]
+    with pytest.raises(ValueError, match="confidence_level"):
+        parse_response({"object": {"confidence_level": "sure"}}, strict=True, section="valuation")
