@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import vocab
 from .model import LEVELS, SECTION_KEYS, out_of_bounds, parse_response
-from .operators import hybrid, ingest, lexical, memory, quality, tables, vector, workflow
+from .operators import ann, hybrid, ingest, lexical, memory, quality, tables, vector, workflow
 from .session import scratch
 
 #: What each agent may call, and how much of a conversation it sees: (last messages, recalled messages, neighbours of each).
@@ -66,21 +66,27 @@ class Engine:
     as_of_year: int = 2025
     company: str = "Company"
     index: lexical.Index | None = None
+    tree: ann.Tree | None = None
 
     @classmethod
-    def build(cls, spark: SparkSession, elements: DataFrame, config: ingest.Config = ingest.Config(), embedder: vector.Embedder | None = None, path: str | None = None, **rest) -> Engine:
-        """Writes chunks, index and tables below path, or a scratch folder."""
+    def build(cls, spark: SparkSession, elements: DataFrame, config: ingest.Config = ingest.Config(), embedder: vector.Embedder | None = None, path: str | None = None, tree: bool = False, **rest) -> Engine:
+        """Writes chunks, index and tables below path, or a scratch folder; tree: and a tree of the vectors, for corpora too large to read them all in each search."""
         embedder, path = embedder or vector.HashEmbedder(), path or scratch(spark)
         made = ingest.chunks(elements, config)
         rows = vector.embed(made.select(F.concat_ws("/", "doc_id", "id").alias("id"), "content", F.col("section_hierarchy").alias("section"), F.col("page_idx").alias("page")), embedder, "content")
         rows.write.mode("overwrite").parquet(f"{path}/chunks")
         ingest.tables(elements).select("filename", F.posexplode("data").alias("pos", "cells")).write.mode("overwrite").parquet(f"{path}/tables")
         lexical.Index.build(spark.read.parquet(f"{path}/chunks"), f"{path}/index", "id", "content")
+        if tree:
+            ann.Tree.build(spark.read.parquet(f"{path}/chunks"), f"{path}/tree", "id")
         return cls.open(spark, path, embedder=embedder, **rest)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **rest) -> Engine:
         """What `build` wrote below path."""
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/tree/shape/_SUCCESS")
+        if "tree" not in rest and place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            rest["tree"] = ann.Tree(spark, f"{path}/tree")
         return cls(spark, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/tables"), index=lexical.Index(spark, f"{path}/index"), **rest)
 
     def tools(self) -> dict[str, Callable]:
@@ -137,7 +143,7 @@ class Engine:
         return hybrid.hybrid_rule(self._near(query, 2 * k), query, keep, keyword_weight)
 
     def enhanced_search(self, query: str, k: int = 10, vector_weight: float = 0.7, expand: bool = True, hyde: bool = False) -> DataFrame:
-        return hybrid.enhanced(self.chunks, self.index, self.variants(query, expand, hyde), k, vector_weight)
+        return hybrid.enhanced(self.chunks, self.index, self.variants(query, expand, hyde), k, vector_weight, self.tree)
 
     def table_lookup(self, number: int | None = None, keyword: str | None = None, section: str | None = None) -> DataFrame:
         return tables.lookup(tables.catalog(self.tables), number, keyword, section)

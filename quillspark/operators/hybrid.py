@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import has_any
-from .ann import knn_all
+from .ann import Tree, knn_all
 from .lexical import Index, fuse, query_terms
 from .vector import knn, top_per
 
@@ -39,16 +39,18 @@ def merge(vectors: DataFrame, keywords: DataFrame, chunks: DataFrame, vector_wei
     return out.withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))
 
 
-def multiquery(chunks: DataFrame, index: Index, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7, where: Column | None = None) -> DataFrame:
+def multiquery(chunks: DataFrame, index: Index, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7, where: Column | None = None, tree: Tree | None = None, probes: int = 40, keep: int = 200) -> DataFrame:
     """(id, content, section, vector_score, keyword_score, score) of the k best over all variants of a query.
 
     Each variant (text, vector) takes its 2k best by vector, filtered, and its 2k best by BM25, unfiltered, and fuses
     them; a chunk keeps its best score, of the first variant if tied. All variants share one pass over the vectors, and
-    the index's postings of their terms; texts join the few winners at the end.
+    the index's postings of their terms; texts join the few winners at the end. With a tree of the chunks' vectors, and no
+    filter, the nearest are looked for in the tree's `probes` nearest lists, of which `keep` vectors a variant are read: a
+    chunk may then be missed, and no call reads all vectors.
     """
     near = chunks.where(where) if where is not None else chunks
     asked = chunks.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, (_, v) in enumerate(variants)], "query int, v array<double>")
-    vec = knn_all(near, asked, 2 * k, "id").select(F.col("query").alias("variant"), "id", F.col("score").alias("vec"))
+    vec = (knn_all(near, asked, 2 * k, "id") if tree is None or where is not None else tree.search(asked, 2 * k, probes, max(keep, 2 * k))).select(F.col("query").alias("variant"), "id", F.col("score").alias("vec"))
     kw = index.topk_each({str(i): query_terms(t) for i, (t, _) in enumerate(variants)}, 2 * k).select(F.col("query").cast("int").alias("variant"), "id", F.col("score").alias("kw"))
     both = vec.join(kw, ["variant", "id"], "full_outer").select("id", "variant", F.coalesce("vec", F.lit(0.0)).alias("vector_score"), F.coalesce("kw", F.lit(0.0)).alias("keyword_score"))
     both = both.withColumn("score", F.round(fuse(F.col("keyword_score"), F.col("vector_score"), 1 - vector_weight), 8))
@@ -133,13 +135,13 @@ def first_that_runs(steps: list[tuple[str, str | None, Callable[[], DataFrame]]]
     raise ValueError("no step")
 
 
-def enhanced(chunks: DataFrame, index: Index | None, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7) -> DataFrame:
+def enhanced(chunks: DataFrame, index: Index | None, variants: list[tuple[str, list[float]]], k: int = 10, vector_weight: float = 0.7, tree: Tree | None = None) -> DataFrame:
     """multiquery(), boosted; if that fails when run, reranked similarity; if that fails too, plain similarity. At most k rows come to the driver."""
     query, vector = variants[0]
     alone = lambda df: df.withColumn("vector_score", F.col("score")).withColumn("keyword_score", F.lit(0.0))
     return first_that_runs(
         [
-            ("hybrid", None, lambda: boost(multiquery(chunks, index, variants, k, vector_weight), query)),
+            ("hybrid", None, lambda: boost(multiquery(chunks, index, variants, k, vector_weight, tree=tree), query)),
             ("vector_fallback", "hybrid_search_unavailable", lambda: alone(rerank(near(chunks, vector, k), query, min(k, 5)))),
             ("basic_vector_fallback", "all_enhanced_methods_failed", lambda: alone(near(chunks, vector, k))),
         ],

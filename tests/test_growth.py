@@ -212,3 +212,18 @@ def test_odd_phrases(spark):
     assert phrases.found(docs, df.limit(0)).count() == 0 and phrases.found(docs.limit(0), df).count() == 0
     got = {(r["id"], r["list"]): (r["present"], r["all_"]) for r in phrases.listed(docs.where("doc_id = 1 AND text LIKE 'The%'"), {"a": ["cat", "sat", "dog"], "b": ["the"], "c": ["no"]}).collect()}
     assert got == {(1, "a"): (2, False), (1, "b"): (1, True)}
+
+
+def test_hybrid_search_by_tree_finds_what_it_finds_by_all_vectors(spark):
+    from quillspark.engine import Engine
+    from quillspark.operators import hybrid
+    from quillspark.plans.queries import ELEMENTS
+
+    d = "/root/testdata/sf0.001"
+    e = Engine.build(spark, ELEMENTS.df(spark, d), tree=True)
+    assert e.tree is not None and e.tree.rows == e.chunks.count()
+    variants = [(q, e.vector_of(q)) for q in ("risk of the business", "revenue growth")]
+    plain = [(r["id"], r["score"]) for r in hybrid.multiquery(e.chunks, e.index, variants).orderBy("id").collect()]
+    assert plain == [(r["id"], r["score"]) for r in hybrid.multiquery(e.chunks, e.index, variants, tree=e.tree, probes=64, keep=1000).orderBy("id").collect()]
+    got = {r["id"] for r in e.enhanced_search("risk of the business").collect()}
+    assert len(got & {r["id"] for r in hybrid.enhanced(e.chunks, e.index, e.variants("risk of the business")).collect()}) >= 9
