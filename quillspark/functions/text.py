@@ -58,6 +58,7 @@ def fields(c: Column, patterns: dict[str, str]) -> list[Column]:
 
 def citations(c: Column) -> Column:
     """(section, page, quote) of "(Section, p. N)", with the quote of the same place in order, else empty."""
+    # digits are written [0-9], since the same pattern runs in SQL, where \d may match those of other scripts
     pattern = F.lit(r"\(([^,]+),\s*p\.?\s*([0-9]+)\)")
     sections, pages = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
     quotes = F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1))
@@ -67,6 +68,7 @@ def citations(c: Column) -> Column:
 def clean_value(c: Column) -> Column:
     """A figure out of a table cell: no currency or thousands, (123) as -123, the likeliest of several numbers."""
     out = F.regexp_replace(F.replace(F.replace(c, F.lit("$"), F.lit("")), F.lit(","), F.lit("")), rf"{SPACE}+", " ")
+    # white space is one blank by now, and digits are ASCII
     out = trim(F.regexp_replace(F.regexp_replace(out, r"\( *([0-9]+) *\)", "-$1"), r"[^0-9\-. %]", ""))
     parts = F.filter(F.split(out, " "), lambda p: p != "")
     best = F.coalesce(F.try_element_at(F.filter(parts, lambda p: p.contains(".") & (F.length(p) > 3)), F.lit(1)), F.try_element_at(parts, F.lit(-1)))

@@ -34,13 +34,16 @@ DOCUMENT_PATTERNS = {
 INTENT_PATTERNS = [(["revenue", "income"], ["$[0-9]+ million", "$[0-9]+.[0-9]+ million"]), (["growth", "increase"], ["[0-9]+% growth", "[0-9]+% year-over-year"])]
 REPLACED_WORDS = ["revenue", "income", "earnings", "profit", "growth", "ownership"]
 QUESTION_WORDS = ["What is", "What was", "How much", "?"]
+#: Fixed values, in their own order: what questions are prefixed with.
 CONTEXT_PREFIXES = ["In the S-1 filing,", "According to the S-1 document,", "The S-1 registration statement shows"]
+#: Fixed values, in their own order: words of a question and the passage that is made up for it.
 HYPOTHETICAL = [
     (["revenue", "income"], "Our revenue was $XXX million for the year ended December 31, 2024, representing XX% year-over-year growth compared to the year ended December 31, 2023."),
     (["growth"], "We achieved a year-over-year growth rate of XX%, with revenue increasing from $XXX million to $XXX million."),
     (["ownership"], "The beneficial ownership includes XX% of outstanding shares, representing XX% of total voting power."),
     ([], "According to our financial results, we reported $XXX million in the relevant period."),
 ]
+#: Fixed values, in their own order: routes and the words that lead to them.
 ROUTES = [
     ("ownership", ["ownership", "shares", "equity", "voting"]),
     ("financial", ["revenue", "income", "financial", "earnings", "loss"]),
@@ -66,7 +69,7 @@ def with_names(names: list[str], lists: list[tuple[list[str], list[str], float]]
     return [*rest, ([*names, *words], sections, factor)]
 
 
-#: (query words, words that the text needs all of, sections one of which is needed) of the boost after hybrid search.
+#: Fixed values: (query words, words that the text needs all of, sections one of which is needed) of the boost after hybrid search.
 BOOSTS = [(["revenue", "income"], ["$", "million"], ["financial", "results"]), (["ownership"], ["%", "shares"], ["stockholder", "ownership"])]
 
 # Descriptions of tables by words of the file name, then of the section.

@@ -69,14 +69,6 @@ def parse_answer(text: Column, route: str) -> Column:
     return F.from_json(extract_json(text), ANSWERS[route])
 
 
-def bounded(items: Column, most: int) -> Column:
-    return F.size(F.coalesce(items, F.array())) <= most
-
-
-def one_of(value: Column, allowed: list[str]) -> Column:
-    return value.isin(allowed)
-
-
 def json_in(text: str) -> Any:
     """The JSON value in a text: all of it, its first fenced block, or what its outer braces hold; None if there is none."""
     fence, braces = re.search(r"```(?:json)?\s*(.*?)```", text, re.S), re.search(r"\{.*\}", text, re.S)
