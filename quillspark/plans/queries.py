@@ -309,6 +309,12 @@ def split_semantic(spark, d):
     return split.split(docs(spark, d))
 
 
+@query(ORACLES["split_semantic"])
+def split_long(spark, d):
+    """The same, with texts of more than 6,000 characters cut by several tasks."""
+    return split.split_long(docs(spark, d), stretch=6000)
+
+
 @query(split_sql(512, 50) + " SELECT doc_id AS id, count(*) AS pieces, CAST(max(length(piece)) AS INTEGER) AS longest FROM q WHERE piece <> '' GROUP BY 1")
 def split_semantic_stats(spark, d):
     return split.split(docs(spark, d), 512, 50).groupBy("id").agg(F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"))
@@ -546,6 +552,13 @@ def embed_docs(spark, d):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vector.dot(F.col("embedding"), [float(i + 1) for i in range(64)]), 6).alias("weighted"))
 
 
+@query(ORACLES["embed_docs"])
+def embed_store(spark, d):
+    """The same, by way of a store that keeps each text's vector."""
+    out = vector.embed_into(docs(spark, d).select("doc_id", "text"), vector.HashEmbedder(), scratch(spark))
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vector.dot(F.col("embedding"), [float(i + 1) for i in range(64)]), 6).alias("weighted"))
+
+
 @query(f"SELECT vec_id AS id, {COS.format(ZERO.format(0))} AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
 def knn_cosine(spark, d):
     return vector.knn(table(spark, d, "embeddings"), vector_of(spark, d, 0), 10)
