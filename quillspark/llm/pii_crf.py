@@ -7,8 +7,9 @@ segment before it; any other token is a segment of its own. Dynamic programming
 the best segmentation, boundaries and kinds together. Base spans bound the stretches and always stay.
 
 The field is trained by conditional likelihood on sentences that a seeded generator writes, with addresses, numbers
-mistyped and in other layouts, bare telephone numbers and secrets that a cue word announces, and look-alikes (dates,
-versions, order numbers, hexadecimal keys without a cue). Beside the kinds of the patterns it finds secrets: access
+mistyped and in other layouts (spelt-out addresses in four languages and any brackets, numbers in groups of any sizes after a
+cue word), secrets that a cue word or the beginning of an issued token announces, and look-alikes (dates, versions, order
+numbers, hexadecimal keys without a cue, words joined by hyphens). Beside the kinds of the patterns it finds secrets: access
 tokens and keys.
 
 Defined results: a null or empty text has no spans. Whole texts are read, in time linear in their length. Offsets are
@@ -32,7 +33,9 @@ from .common import map_arrow, table
 #: Kinds of the field, the first BASE of them also of the patterns; NONE is the kind of other tokens.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE, SECRET, NONE = 4, 4, 5
-SPAN, SPELT_SPAN, SEED, EXAMPLES, EPOCHS = 15, 32, 3, 900, 12
+SPAN, SPELT_SPAN, SEED, EXAMPLES, EPOCHS = 15, 40, 3, 1800, 10
+#: Letters and digits of keys.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: Digits of an entity without letters, and the least of an address of four octets with points between them.
 LEAST, MOST, LEAST_IP = 7, 19, 4
 
@@ -43,15 +46,23 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
-#: A long run of letters and digits, which is one token.
-KEY = r"(?=[A-Za-z0-9]{16})(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]+"
+#: A long run of letters, digits and the signs of base 64, which is one token; whole runs only, so each is read once.
+KEY = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9][A-Za-z0-9_+/-]{15})(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]++={0,2}+(?!\x20?[@\[({<])"
+#: The words of spelt-out addresses in four languages, bare or in brackets.
+ATS, DOTS = ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
+AT, DOT = (rf"(?i:{'|'.join(words)})" for words in (ATS, DOTS))
+AT_IN, DOT_IN = (rf"[\[({{<]\x20?{word}\x20?[\])}}>]" for word in (AT, DOT))
 #: A stretch that may hold an entity: a key, numbers in groups, or words around "@", "(at)", or "at" with a "dot".
-STRETCH = re.compile(rf"(?<![A-Za-z0-9]){KEY}" + r"|[+(\[]?[0-9][0-9\x20()./\[\]+-]{5,}[0-9]|(?<![\w.+-])[\w.+-]+\x20?(?:(?:[\[(]at[\])]|@)\x20?[\w-]+(?:\.[\w-]+|\x20?[\[(]dot[\])]\x20?[\w-]+|\x20dot\x20[\w-]+)+|\bat\b\x20?[\w-]+(?:\.[\w-]+)*(?:\x20dot\x20[\w-]+)+)", re.ASCII)
+STRETCH = re.compile(KEY + r"|[+(\[]?[0-9][0-9\x20()./\[\]+-]{5,}[0-9]|(?<![\w.+-])[\w.+-]+\x20?" + rf"(?:(?:{AT_IN}|@)\x20?[\w-]+(?:\.[\w-]+|\x20?{DOT_IN}\x20?[\w-]+|\x20{DOT}\x20[\w-]+)+|\b{AT}\b\x20?[\w-]+(?:\.[\w-]+)*(?:\x20{DOT}\x20[\w-]+)+)", re.ASCII)
 #: Most groups of digits in an entity.
 GROUPS = 6
-SPELT = re.compile(r"\bdot\b|[\[(](?:at|dot)[\])]|@")
-TOKEN = re.compile(rf"(?<![A-Za-z0-9]){KEY}" + r"|[0-9]+|[^\W\d_]+|\s+|.", re.S)
-CUES = {"phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telefon", "dial"}, "card": {"card", "visa", "mastercard", "amex", "karte", "carte", "tarjeta", "payment"}, "ip": {"ip", "host", "server", "address", "ping"}, "email": {"mail", "email", "contact", "write", "reach"}, "secret": {"token", "secret", "key", "apikey", "password", "passwd", "pwd", "bearer", "auth"}, "other": {"order", "invoice", "ref", "no", "id", "version", "isbn", "date", "total", "item"}}
+SPELT = re.compile(rf"\b{DOT}\b|{AT_IN}|@")
+SPELT_AT = re.compile(rf"@|{AT_IN}|\x20{AT}\x20.*\x20{DOT}\x20")
+TOKEN = re.compile(KEY + r"|[0-9]+|[^\W\d_]+|\s+|.", re.S)
+#: How tokens of well-known services begin.
+ISSUED = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|sk[_-]|pk_|rk_|xox[a-z]-|AKIA|ASIA|AIza|npm_|hf_)")
+BRACKETS = str.maketrans("[{<]}>", "((()))")
+CUES = {"phone": {"phone", "ph", "tel", "tél", "tlf", "call", "mobile", "mob", "fax", "cell", "telefon", "telefono", "teléfono", "telephone", "téléphone", "handy", "móvil", "movil", "portable", "whatsapp", "sms", "hotline", "dial", "ring", "llame", "appelez"}, "card": {"card", "visa", "mastercard", "amex", "diners", "karte", "carte", "tarjeta", "payment"}, "ip": {"ip", "host", "server", "address", "ping"}, "email": {"mail", "email", "contact", "write", "reach"}, "secret": {"token", "secret", "key", "apikey", "password", "passwd", "pwd", "bearer", "auth"}, "other": {"order", "invoice", "ref", "no", "id", "version", "isbn", "date", "total", "item", "page", "pages", "section"}}
 
 
 def luhn(digits: str) -> bool:
@@ -112,7 +123,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segme
         b = tokens[i][1]
         if b - a >= 16 and not text[a:b].isdigit() and not text[a:b].isalpha():
             span, cued = text[a:b], f"cue={cue}"
-            form = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", span) else "mixed"
+            form = "issued" if ISSUED.match(span) else "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", span) else "mixed" if span.isalnum() else "words" if not re.search("[0-9][A-Za-z]|[a-z][A-Z]", span) else "signs"
             shared = [form, f"length={min(64, b - a) // 4}", cued, f"{cued}|{form}", f"before={_side(text[a - 1 : a])}", f"after={_side(text[b : b + 1])}", f"quoted={text[a - 1 : a] + text[b : b + 1] in (chr(34) * 2, chr(39) * 2)}|{cued}"]
             out.append(Segment(i, i + 1, SECRET, [f"{SECRET}|{f}" for f in shared]))
             continue
@@ -141,12 +152,14 @@ def candidates(text: str, tokens: list[tuple[int, int]], cue: str) -> list[Segme
                 marks = "".join(sorted(set(re.sub(r"[0-9]", "", span))))
                 shape = ",".join(str(len(g)) for g in groups[:6])
                 octets = len(groups) == 4 and all(int(g) <= 255 for g in groups)
-                shared = [f"digits={n}", f"shape={shape}", f"marks={marks}", f"groups={min(6, len(groups))}", f"plus={first == '+'}", f"paren={'(' in span}", f"octets={octets}{'.' in span}", f"luhn={luhn(digits)}{n}", f"zero={digits[0] == '0'}", f"whole={marks}|{shape}", f"cue={cue}|{marks}|{shape}", *around]
+                sure = f"{cue}|{'(' in span}|{digits[0] == '0'}"
+                shared = [f"cued={cue}|{n}", f"cued={cue}|{marks}|{min(6, len(groups))}", f"cued={sure}|{n // 3}", f"lead={digits[:2]}|{n}", f"last={len(groups[-1])}|{marks}", f"sizes={min(map(len, groups))}{max(map(len, groups))}|{cue}", f"uniform={len(set(between))}", f"digits={n}", f"shape={shape}", f"marks={marks}", f"groups={min(6, len(groups))}", f"plus={first == '+'}", f"paren={'(' in span}", f"octets={octets}{'.' in span}", f"luhn={luhn(digits)}{n}", f"zero={digits[0] == '0'}", f"whole={marks}|{shape}", f"cue={cue}|{marks}|{shape}", *around]
                 if octets:
                     shared.append(f"between={'|'.join(sorted(set(between)))}")
                 out += [Segment(i, j, k, [f"{k}|{f}" for f in shared]) for k in ((1, 2, 3) if n >= LEAST else (1,))]
-            elif first.isalnum() and ("@" in span or "at)" in span or "at]" in span or (" at " in span and " dot " in span)):
-                shape = re.sub(r"[0-9]+", "9", re.sub(r"(?<![^\W\d_])(?:at|dot)(?![^\W\d_])", lambda m: m[0].upper(), re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0] in ("at", "dot") else "w", span)))
+            elif first.isalnum() and SPELT_AT.search(span):
+                kinds = dict.fromkeys(ATS, "AT") | dict.fromkeys(DOTS, "DOT")
+                shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", lambda m: kinds.get(m[0].lower(), "w"), span)).translate(BRACKETS)
                 tail = span.rsplit(".", 1)[-1].rsplit(" ", 1)[-1]
                 shared = [f"shape={shape}", f"form={re.sub('[w9_.+-]+', 'x', shape)}", f"tail={min(6, len(tail))}", f"tail_letters={tail.isalpha()}", f"spaces={span.count(' ')}", *around]
                 out += [Segment(i, j, 0, [f"0|{f}" for f in shared])]
@@ -251,44 +264,61 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     word = lambda lo=2, hi=9: "".join(r.choice("aeinorstldhum") for _ in range(r.randint(lo, hi)))
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     nz = lambda n: r.choice("123456789") + num(n - 1)
+    grouped = lambda d, sizes, sep: sep.join(d[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
     text, spans = "", []
     for _ in range(r.randint(1, 3)):
         after = ""
         for _ in range(r.randint(0, 4)):
             text += word() + r.choice([" ", " ", ", ", ". ", " | "])
         kind = r.choice([0, 1, 2, 2, 3, 3, SECRET, NONE, NONE, NONE, NONE])
-        cue = kind == SECRET or r.random() < 0.3
+        issued = kind == SECRET and r.random() < 0.25
+        cue = kind == SECRET and not (issued and r.random() < 0.4) or kind != SECRET and r.random() < 0.45
         if cue:
-            text += r.choice(sorted(CUES[KINDS[kind] if kind < NONE else "other"])) + (r.choice([" ", ": ", " is "]) if kind != SECRET else r.choice([" = ", "=", ": ", " "]))
+            said = r.choice(sorted(CUES[KINDS[kind] if kind < NONE else "other"]))
+            text += r.choice([said, said.title()]) + (r.choice([" ", ": ", " is ", ". "]) if kind != SECRET else r.choice([" = ", "=", ": ", " "]))
         if kind == 0:
             host, tld = word(3, 8) + r.choice(["", num(1)]), r.choice(["com", "org", "net", "de", "fr", "edu"])
-            name = word() + r.choice(["", ".", "_"]) + r.choice(["", num(2), word()])
-            name = name.rstrip("._")
+            name = word() + r.choice(["", ".", "_", "-"]) + r.choice(["", num(2), word()])
+            name = name.rstrip("._-")
             labels = [host, tld] if r.random() < 0.6 else r.choice([[f"{word(3, 8)}.{host}", tld], [word(3, 8), host, tld], [host, "co", "uk"], [f"{word(3, 8)}.{host}", "co", "uk"]])
-            at, dot = r.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" [at] ", "."), (" @ ", "."), ("(at)", ".")])
+            at, dot = r.choice(ATS), r.choice(DOTS)
+            pad, inner, bracket = r.choice(["", " "]), r.choice(["", "", "", " "]), r.choice(["()", "[]", "{}", "<>"])
+            closed = lambda w: f"{pad}{bracket[0]}{inner}{w}{inner}{bracket[1]}{pad}"
+            at, dot = r.choice([(f" {at} ", f" {dot} "), (closed(at), closed(dot)), (closed(at), closed(dot)), (closed(at), "."), (" @ ", ".")])
             s = name + at + dot.join(labels)
+            s = s.upper() if r.random() < 0.1 else name + at.upper() + dot.upper().join(labels) if r.random() < 0.15 else s
         elif kind == 1:
             most = r.choice([9, 99, 255, 255, 255])
             o = [str(r.randint(0, r.choice([9, most]))) for _ in range(4)]
             s = r.choice([".", "[.]", " . ", "(.)"]).join(o)
         elif kind == 2:
-            d = nz(r.choice([16, 16, 16, 15]))
-            s = d if r.random() < 0.5 or len(d) != 16 else r.choice([" ", "-"]).join(d[i : i + 4] for i in range(0, 16, 4))
+            sizes = r.choice([[4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3]])
+            lead = r.choice(["34", "37"]) if sizes[1] == 6 and sizes[2] == 5 and cue else nz(2)
+            s = grouped(lead + num(sum(sizes) - 2), sizes, r.choice(["", "", " ", "-"]))
             if r.random() < 0.2:
                 s = "0" + s[1:]
         elif kind == 3:
             a, b, c = nz(3), nz(3), num(4)
-            s = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"0{nz(3)} {nz(7)}", f"0{nz(2)}/{nz(7)}", f"00{nz(2)} {nz(3)} {nz(7)}", f"+{nz(2)}/{nz(3)}/{nz(6)}", f"{a} {b} {c}", *([f"{a}{b}{c}", f"0{nz(9)}"] if cue else [])])
+            sign = r.choice(" -./")
+            s = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1{sign}{a}{sign}{b}{sign}{c}", f"0{nz(3)} {nz(7)}", f"0{nz(2)}/{nz(7)}", f"00{nz(2)} {nz(3)} {nz(7)}", f"+{nz(2)}/{nz(3)}/{nz(6)}", f"{a} {b} {c}"])
+            if cue and r.random() < 0.6:  # groups of any sizes, with or without a land's number
+                sizes = r.choice([[3, 4], [2, 3, 2, 2], [3, 2, 2, 2], [3, 3, 3], [5, 5], [4, 4], [2, 4, 4], [3, 5], [4, 6], [3, 7], [2, 2, 2, 2, 2], [4, 3, 3], [3, 3, 2, 2], [8], [9], [10], [11]])
+                s = grouped(r.choice(["0", nz(1), nz(1)]) + num(sum(sizes) - 1), sizes, sign if len(sizes) > 1 else "")
+                s = (r.choice([f"00{nz(2)} ", "(0)"]) if r.random() < 0.2 and sign == " " and len(sizes) < 6 else "") + s
         elif kind == SECRET:
-            s = "".join(r.choice(r.choice(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])) for _ in range(r.choice([20, 24, 32, 40, 40, 64])))
+            letters = r.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", PLAIN, PLAIN, PLAIN + "+/", PLAIN + "-_"])
+            s = "".join(r.choice(letters) for _ in range(r.choice([16, 20, 24, 32, 40, 40, 64])))
             s = s[:5] + "7e" + s[7:]  # holds a digit and a letter
+            s = s if s[0].isalnum() else "x" + s[1:]
+            s = r.choice(["ghp_", "glpat-", "sk-", "sk_live_", "xoxb-", "AKIA", "npm_"]) + s if issued else s + r.choice(["", "=", "=="]) if "+" in letters else s
             if r.random() < 0.6:
                 text, after = text + '"', '"'
         else:
             y, m, d = r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28)
             if cue and r.random() < 0.2:
                 text = text.rstrip() + " sha256 "
-            s = r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{y}-{y + 1}", nz(7), nz(8), nz(9), nz(10), nz(11), f"{r.randint(1, 9)}.{num(1)}.{num(2)}.{num(4)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{y}-{m:02d}-{d:02d} {num(2)}:{num(2)}", f"{nz(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", word(3, 6) + nz(16) + word(1, 3), f"{nz(2)} {nz(2)} {nz(2)} {nz(2)} {nz(1)}", f"{nz(1)}.{num(8)}", nz(20) + num(5), f"meet at {word()}.{word()}", f"{word()} at the dot {word()}", f"${nz(7)}.{num(2)}", *(r.choice([". ", " .", ".. ", " ", "-", "/"]).join(str(r.randint(0, most)) for _ in range(r.randint(3, 7))) for most in (9, 99))])
+            sizes = r.choice([[3, 3, 3], [2, 3, 3], [1, 3, 3], [3, 3, 4], [4, 4], [5, 5], [2, 2, 2, 2]])
+            s = r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{y}-{y + 1}", nz(7), nz(8), nz(9), nz(10), nz(11), f"{r.randint(1, 9)}.{num(1)}.{num(2)}.{num(4)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"{y}-{m:02d}-{d:02d} {num(2)}:{num(2)}", f"{nz(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", word(3, 6) + nz(16) + word(1, 3), grouped(nz(sum(sizes)), sizes, " "), *([grouped(nz(sum(sizes)), sizes, r.choice(" -.")), nz(10)] if cue else [f"{num(1)}-{num(3)}-{num(5)}-{num(1)}"]), "-".join([word(4), word(4), word(4), str(y)]), "/".join([word(), word(), word(), word() + num(1)]), "".join(r.choice(PLAIN) for _ in range(16)) + "4Z", f"{nz(2)} {nz(2)} {nz(2)} {nz(2)} {nz(1)}", f"{nz(1)}.{num(8)}", nz(20) + num(5), f"meet at {word()}.{word()}", f"{word()} at the dot {word()}", f"${nz(7)}.{num(2)}", *(r.choice([". ", " .", ".. ", " ", "-", "/"]).join(str(r.randint(0, most)) for _ in range(r.randint(3, 7))) for most in (9, 99) * 2)])
         if kind < NONE:
             spans.append((len(text), len(text) + len(s), kind))
         text += s + after + r.choice([" ", " ", ", ", ". ", "!! ", "### ", " | "])
