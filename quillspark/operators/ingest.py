@@ -40,22 +40,24 @@ def classify(type_: Column, text: Column, level: Column) -> Column:
 
 
 def section_paths(elements: DataFrame) -> DataFrame:
-    """elements with kind, section number in the document (from 0) and section path, a fold over the headings so far.
+    """elements with kind, section number in the document (from 0) and section path.
 
-    Headings alone are folded: a row a heading, at most as many a document as it has headings; the other elements take
-    the path of the heading before them by a running window.
+    A heading of level l keeps the first l - 1 names of the path before it and adds its own; a major one begins anew. So the
+    i-th heading's depth is the lesser of l and one more than the depth before, which is i plus the least l - i so far; and
+    the name at each depth up to its own is that of the last heading of that depth. Both are running windows, and rows are
+    as many as the names of all headings' paths. The other elements take the path of the heading before them.
     """
     e = elements.withColumn("kind", classify(F.col("type"), F.col("text"), F.col("text_level")))
     heading = F.col("kind").isin("MAJOR_HEADING", "HEADING")
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("section", F.sum(heading.cast("int")).over(so_far))
-    head = F.struct("pos", (F.col("kind") == "MAJOR_HEADING").alias("major"), F.when(F.coalesce("text_level", F.lit(0)) > 0, F.col("text_level")).otherwise(2).alias("level"), trim(F.col("text")).alias("text"))
-    # only headings since the last major one matter
-    heads = e.where(heading).withColumn("majors", F.sum((F.col("kind") == "MAJOR_HEADING").cast("int")).over(so_far))
-    since = Window.partitionBy("doc_id", "majors").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.select("doc_id", "section", F.collect_list(head).over(since).alias("all"))
-    step = lambda path, h: F.when(h["major"], F.array(h["text"])).otherwise(F.concat(F.slice(path, F.lit(1), F.greatest(h["level"] - 1, F.lit(0))), F.array(h["text"])))
-    paths = heads.select("doc_id", "section", F.aggregate("all", F.array().cast("array<string>"), step).alias("path"))
+    level = F.when(F.col("kind") == "MAJOR_HEADING", 1).when(F.coalesce("text_level", F.lit(0)) > 0, F.col("text_level")).otherwise(2)
+    heads = e.where(heading).select("doc_id", "section", "pos", level.alias("level"), trim(F.col("text")).alias("name"))
+    heads = heads.withColumn("depth", F.col("section") + F.least(F.lit(0), F.min(F.col("level") - F.col("section")).over(so_far)))
+    names = heads.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("depth"))))
+    alike = Window.partitionBy("doc_id", "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    names = names.withColumn("name", F.last(F.when(F.col("at") == F.col("depth"), F.col("name")), ignorenulls=True).over(alike))
+    paths = names.groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("path"))
     return e.join(paths, ["doc_id", "section"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 

@@ -265,3 +265,32 @@ def test_sections_hold_allowed_values_only():
     assert parse_response({"object": risks}, section="risk_assessment")[1] == ["risk_categories.market_risks[0].impact", "risk_matrix.overall_risk_profile"]
     with pytest.raises(ValueError, match="confidence_level"):
         parse_response({"object": {"confidence_level": "sure"}}, strict=True, section="valuation")
+
+
+def test_section_paths_fold_headings(spark):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for doc in range(12):
+        path: list[str] = []
+        for pos in range(60):
+            what = r.choice(["major", "level", "words", "body"], p=[0.08, 0.4, 0.12, 0.4])
+            level = int(r.integers(1, 7)) if what == "level" else None
+            text = {"major": "Risk Factors", "words": f"Revenue {pos}", "level": f" part {doc}.{pos} ", "body": "plain words"}[what]
+            rows.append((doc, pos, "text", text, level))
+            if what == "major":
+                path = ["Risk Factors"]
+            elif what != "body":
+                path = path[: (level or 2) - 1] + [text.strip()]
+            want[doc, pos] = list(path)
+    found = spark.createDataFrame(rows, "doc_id long, pos int, type string, text string, text_level int").repartition(5)
+    got = ingest.section_paths(found).collect()
+    kinds = {(x["doc_id"], x["pos"]): x["kind"] for x in got}
+    assert {"MAJOR_HEADING", "HEADING", "TEXT"} == set(kinds.values())
+    assert {(x["doc_id"], x["pos"]): x["path"] for x in got} == want
+
+
+def test_section_paths_of_many_headings_are_linear(spark):
+    n = 20_000
+    found = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.lit("text").alias("type"), F.format_string("part %d", "id").alias("text"), F.lit(3).alias("text_level"))
+    got = ingest.section_paths(found).where(F.col("pos") == n - 1).collect()
+    assert got[0]["path"] == ["part 0", "part 1", f"part {n - 1}"]
