@@ -31,6 +31,11 @@ def _word_hash(word: str) -> int:
     return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
 
 
+def lowered(text: str) -> str:
+    """Lower case letter by letter, as SQL has it: a sigma that ends a word and a dotted I become one plain letter."""
+    return text.replace("\u03a3", "\u03c3").replace("\u0130", "i").lower()
+
+
 class HashEmbedder:
     """Deterministic, offline: signed hashed words, of length one."""
 
@@ -41,7 +46,7 @@ class HashEmbedder:
         out = []
         for t in texts:
             v = [0.0] * self.dim
-            for w, n in Counter(re.findall(r"\w+", t.lower())).items():
+            for w, n in Counter(re.findall(r"\w+", lowered(t))).items():
                 h = _word_hash(w)
                 v[h % self.dim] += n if h >> 31 else -n
             length = math.sqrt(sum(x * x for x in v))
