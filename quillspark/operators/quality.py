@@ -169,7 +169,8 @@ def merged(answers: list[dict]) -> dict:
             if value is None or isinstance(value, str) and _SIGN.search(value):
                 continue
             have = out.get(key)
-            if isinstance(value, list) and isinstance(have, list):
+            if isinstance(value, list):
+                have = have if isinstance(have, list) else []
                 out[key] = have + [x for i, x in enumerate(value) if x not in have and x not in value[:i]]
             elif isinstance(value, dict) and isinstance(have, dict):
                 out[key] = merged([have, value])

@@ -6,6 +6,7 @@ from itertools import count
 import duckdb
 import pytest
 
+from quillspark.operators import quality
 from quillspark.operators.vector import _word_hash
 from quillspark.plans import queries as plain
 
@@ -52,3 +53,10 @@ def test_signs_of_zero_and_special_capitals(spark, tmp_path, name):
     got, want = as_sql(spark, tmp_path, name, documents=("doc_id long, text string", list(enumerate(texts))))
     assert got == want
     assert any("-0.0" in r for r in got) and any("nan" in r for r in got)
+
+
+def test_the_first_list_of_answers_is_without_repeats_too(spark, tmp_path):
+    rows = [(1, 1, 1000007, 7), (1, 2, 1000007, 8), (2, 1, 1000007, 7), (3, 1, 5, 17)]
+    got, want = as_sql(spark, tmp_path, "merge_responses", lineitem=("l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long", rows))
+    assert got == want and any("[1000007]" in x for r in got for x in r)
+    assert quality.merged([{"a": [1, 1], "b": {"x": [2, 2]}}, {"a": [1, 3], "b": {"x": [2]}}]) == {"a": [1, 3], "b": {"x": [2]}}
