@@ -5,8 +5,9 @@ statistics at random values; an odd document is cut off early, so its mean path
 good documents, with cuts over the span of all labelled rows; the score is 2^(-path / expected path), and the threshold is the score that parts the labelled rows best
 among those that keep at least KEEP of the good ones.
 
-Training reads at most SAMPLE labelled documents, chosen by a hash of their ids, and the statistics of these alone come to
-the driver; of rows of one id, one is read.
+Training reads all labelled documents; of rows of one id, one. Each tree grows on LEAVES rows drawn from all good ones, as
+the method has it; span, quantile and threshold are exact over all labelled rows. To the driver come the rows of the trees
+and sums of ranges of scores.
 Where no labelled rows exist, nothing is an anomaly and only the base rules decide; where only good ones do, the
 threshold is their KEEP quantile.
 
@@ -22,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filter_arrow, hashed_sample, map_arrow, scratch, stored, table
+from .common import filter_arrow, hashed_sample, map_arrow, partitions, scratch, small, stored, table
 
-SAMPLE, TREES, LEAVES, SEED, KEEP = 10_000, 150, 256, 7, 0.998
+TREES, LEAVES, SEED, KEEP = 150, 256, 7, 0.998
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics of the forest, made from counts.
@@ -112,13 +113,18 @@ def _rest(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = SEED) -> Forest:
-    """Trees of rows x; cuts are drawn from the whole span, so that rows unlike x are parted early."""
+def picks(n: int, trees: int = TREES, leaves: int = LEAVES, seed: int = SEED) -> list[np.ndarray]:
+    """The numbers of each tree's rows among n."""
+    r = np.random.default_rng([seed, 1])
+    return [r.choice(n, min(leaves, n), replace=False) for _ in range(trees)]
+
+
+def grow(rows_of: list[np.ndarray], span: np.ndarray, leaves: int = LEAVES, seed: int = SEED) -> Forest:
+    """A tree of each array of rows; cuts are drawn from the whole span, so that rows unlike these are parted early."""
     r = np.random.default_rng(seed)
     limit = int(np.ceil(np.log2(max(2, leaves))))
     out = []
-    for _ in range(trees):
-        own = x[r.choice(len(x), min(leaves, len(x)), replace=False)]
+    for own in rows_of:
         nodes: list[list[float]] = []
         todo = [(own, 0, span[0], span[1])]
         at = 0
@@ -127,7 +133,7 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, leaves: int = LEAV
             if depth >= limit or len(rows) <= 1 and depth > 0:
                 nodes.append([-1, 0.0, 0, depth + _rest(len(rows))])
             else:
-                j = int(r.integers(x.shape[1]))
+                j = int(r.integers(own.shape[1]))
                 c = float(r.uniform(low[j], high[j]))
                 nodes.append([j, c, len(todo), 0.0])
                 side = rows[:, j] < c
@@ -138,7 +144,7 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = TREES, leaves: int = LEAV
         out.append(np.array(nodes))
     size = max(map(len, out))
     flat = np.stack([np.vstack([n, np.tile([-1.0, 0, 0, 0], (size - len(n), 1))]) for n in out])
-    return Forest(flat[:, :, 0].astype(np.int64), flat[:, :, 1], flat[:, :, 2].astype(np.int64), flat[:, :, 3], np.inf, max(_rest(min(leaves, len(x))), 1e-9))
+    return Forest(flat[:, :, 0].astype(np.int64), flat[:, :, 1], flat[:, :, 2].astype(np.int64), flat[:, :, 3], np.inf, max(_rest(max(map(len, rows_of))), 1e-9))
 
 
 def fit(x: np.ndarray, good: np.ndarray, keep: float = KEEP) -> Forest | None:
@@ -146,7 +152,7 @@ def fit(x: np.ndarray, good: np.ndarray, keep: float = KEEP) -> Forest | None:
     if not len(x):
         return None
     base = x[good] if good.any() else x
-    forest = grow(base, np.stack([x.min(0) - 1e-6, x.max(0) + 1e-6]))
+    forest = grow([base[i] for i in picks(len(base))], np.stack([x.min(0) - 1e-6, x.max(0) + 1e-6]))
     score = forest.score(x)
     if good.all() or not good.any():
         forest.threshold = float(np.quantile(score, keep)) if good.all() else float("inf")
@@ -172,14 +178,71 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int, column: str = "qualit
     return first.select("doc_id", "r.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | None:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, x, y) of every labelled document: its statistics, and whether it is good; stored.
+
+    Only rows of repeated ids are shuffled with their texts, to find the first text.
+    """
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t)[1] for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], ["doc_id", "x", "y"])
 
-    with scratch(docs.sparkSession):
-        rows = sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, sample).select("doc_id", "text", F.col("y").cast("int").alias("y"))
-        got = sorted(map_arrow(rows, run, "doc_id long, x array<double>, y int").collect())
-    return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["y"] > 0 for r in got], bool))
+    one = stored(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y")))
+    one = small(one.select("doc_id", (F.col("y").cast("int") > 0).alias("y")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = small(stored(texts.groupBy("doc_id").count().where("count > 1").select("doc_id")))
+    first = texts.join(again, "doc_id", "left_semi").join(one, "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.join(again, "doc_id", "left_anti").join(one, "doc_id").unionByName(first.select("doc_id", "text", "y"))
+    return stored(map_arrow(rows.select("doc_id", "text", "y"), run, "doc_id long, x array<double>, y boolean"))
+
+
+def running(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """rows with the columns `sums` summed up to each row in the order of a key of distinct values.
+
+    Ranges of the key are summed apart; of each only its sums come to the driver.
+    """
+    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), key).withColumn("part", F.spark_partition_id()))
+    whole = sorted(dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).collect())
+    before = np.cumsum([[0] * len(sums), *([r[c] for c in sums] for r in whole)], axis=0)[:-1].tolist()
+    known = rows.sparkSession.createDataFrame([(r["part"], *b) for r, b in zip(whole, before, strict=True)], "part int" + "".join(f", before_{c} long" for c in sums))
+    upto = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.select("*", *(F.sum(c).over(upto).alias(f"upto_{c}") for c in sums)).join(F.broadcast(known), "part")
+    return held.select(*rows.columns, *((F.col(f"upto_{c}") + F.col(f"before_{c}")).alias(f"upto_{c}") for c in sums))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """fit() of the statistics of all labelled documents, in the order of their ids."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        rows = labelled(docs, labels)
+        x = [F.col("x")[i] for i in range(len(FEATURES))]
+        size = rows.agg(F.count("*").alias("n"), F.count_if("y").alias("good"), *(f(c).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i, c in enumerate(x))).collect()[0]
+        n, good = size["n"], size["good"]
+        if not n:
+            return None
+        span = np.array([[size[f"{side}{i}"] + by for i in range(len(FEATURES))] for side, by in (("low", -1e-6), ("high", 1e-6))])
+        chosen = picks(good or n)
+        wanted = spark.createDataFrame([(int(i) + 1,) for i in sorted(set(np.concatenate(chosen).tolist()))], "upto_one long")
+        base = running((rows.where("y") if good else rows).select("doc_id", "x", F.lit(1).alias("one")), "doc_id", ["one"])
+        held = {r["upto_one"] - 1: r["x"] for r in base.join(F.broadcast(wanted), "upto_one").select("upto_one", "x").collect()}
+        forest = grow([np.array([held[i] for i in own]) for own in chosen], span)
+        if not good:
+            return forest
+
+        def score(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(forest.score(b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)))), b.column("y")], ["score", "y"])
+
+        scored = map_arrow(rows.select("x", "y"), score, "score double, y boolean")
+        each = stored(running(scored.groupBy("score").agg(F.count_if("y").alias("good"), F.count_if(~F.col("y")).alias("bad")), "score", ["good", "bad"]))
+        # the quantile lies between two of the good rows' scores
+        at = (good - 1) * KEEP
+        a, b = each.agg(*(F.min(F.when(F.col("upto_good") >= i, F.col("score"))) for i in (int(at) + 1, min(int(at) + 2, good)))).collect()[0]
+        forest.threshold = floor = float(np.quantile([a, b], at - int(at)))
+        if good < n:
+            above = lambda c, all_: 1 - F.col(c) / F.lit(float(all_))
+            best = (above("upto_bad", n - good) - 4 * above("upto_good", good))
+            forest.threshold = each.where(F.col("score") >= floor).orderBy(best.desc(), "score").limit(1).collect()[0]["score"]
+    return forest
 
 
 def verdicts(texts: list[str | None], forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
