@@ -4,9 +4,11 @@ import os
 from itertools import count
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.operators import quality
+from quillspark.operators import lexical, postings, quality
 from quillspark.operators.vector import _word_hash
 from quillspark.plans import queries as plain
 
@@ -60,3 +62,40 @@ def test_the_first_list_of_answers_is_without_repeats_too(spark, tmp_path):
     got, want = as_sql(spark, tmp_path, "merge_responses", lineitem=("l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long", rows))
     assert got == want and any("[1000007]" in x for r in got for x in r)
     assert quality.merged([{"a": [1, 1], "b": {"x": [2, 2]}}, {"a": [1, 3], "b": {"x": [2]}}]) == {"a": [1, 3], "b": {"x": [2]}}
+
+
+def test_many_blocks_unpack_as_each_does():
+    r = np.random.default_rng(3)
+    no, term = np.nonzero(r.random((postings.WIDTH, 40)) < r.random(40) ** 4)
+    no, term = np.append(no, r.integers(0, postings.WIDTH, 9)), np.append(term, np.arange(40, 49))
+    tf = np.where((r.random(len(no)) < 0.5) | (term >= 40), 1, r.integers(1, 1 << r.integers(1, 20, len(no))))
+    made = list(postings.blocks_of(no, term, tf, np.full(postings.WIDTH, 100), 80.0))
+    packed, begin, n = [b[7] for b in made], np.array([b[1] for b in made]), np.array([b[3] for b in made])
+    each = [postings.unpacked(*x) for x in zip(packed, begin, n)]
+    got = postings.unpacked_all(pa.array(packed, pa.binary()), begin, n)
+    assert all(np.array_equal(g, np.concatenate([e[i] for e in each])) for i, g in enumerate(got))
+    assert sorted(zip(got[0], got[1])) == sorted(zip(no, tf)) and b"" in packed
+    assert all(len(x) == 0 for x in postings.unpacked_all(pa.array([], pa.binary()), begin[:0], n[:0]))
+
+
+@pytest.mark.parametrize("name", ["term_freq", "doc_freq", "term_idf"])
+def test_terms_of_repeated_and_missing_ids(spark, tmp_path, name):
+    rows = [(1, "one two two"), (1, "two three"), (None, "one one"), (None, "one four"), (2, None), (3, ""), (4, "Two Êone $five%"), (5, "two")]
+    got, want = as_sql(spark, tmp_path, name, documents=("doc_id long, text string", rows))
+    assert got == want
+
+
+def test_parts_of_an_index_are_bounded_by_postings(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lexical, "PART_POSTINGS", 2000)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("term"), (i * 7 + F.col("id") * 11) % 997)), " ").alias("text"))
+    index = lexical.Index.build(docs, str(tmp_path / "i"))
+    assert index.docs.select("stripe").distinct().count() >= 300 * 49 // 2000
+    assert index.postings.count() == lexical.term_freq(docs).count()
+
+
+def test_texts_are_counted_in_bounded_slices():
+    b = pa.record_batch({"id": list(range(3000)), "text": ["x" * 10_000] * 2999 + ["y" * (9 << 20)]})
+    got = [(p.num_rows, sum(map(len, p.column("text").to_pylist()))) for p in postings.slices(b)]
+    assert sum(n for n, _ in got) == 3000 and all(n <= postings.ROWS_AT_ONCE and (size <= postings.SLICE or n == 1) for n, size in got)
