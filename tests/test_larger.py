@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.operators import lexical, postings, quality
+from quillspark.operators import lexical, phrases, postings, quality
 from quillspark.operators.vector import _word_hash
 from quillspark.plans import queries as plain
 
@@ -99,3 +99,14 @@ def test_texts_are_counted_in_bounded_slices():
     b = pa.record_batch({"id": list(range(3000)), "text": ["x" * 10_000] * 2999 + ["y" * (9 << 20)]})
     got = [(p.num_rows, sum(map(len, p.column("text").to_pylist()))) for p in postings.slices(b)]
     assert sum(n for n, _ in got) == 3000 and all(n <= postings.ROWS_AT_ONCE and (size <= postings.SLICE or n == 1) for n, size in got)
+
+
+def test_equal_phrases_are_looked_for_once(spark, tmp_path, monkeypatch):
+    """Phrases that repeat under other numbers count each; the automaton gets each of them once."""
+    asked, found = [], phrases.found
+    monkeypatch.setattr(phrases, "found", lambda texts, known, **x: asked.append([r["words"] for r in known.collect()]) or found(texts, known, **x))
+    parts = [(i, ("Red Tin", "green box", "")[i % 3]) for i in range(60)] + [(1_000_000, "cat")]
+    pages = [(0, "-" * 199 + "a Gre")]  # of the same number as the cat
+    got, want = as_sql(spark, tmp_path, "phrase_hits", documents=("doc_id long, text string", [(1, "a RED tin and a Green box, cat"), (2, "red tins"), (3, None), (4, "box")]), benchmark=("item_id long, text string", []), pages=("page_id long, html string", pages), part=("p_partkey long, p_name string", parts))
+    assert got == want and len(got) == 2
+    assert sorted(asked[0]) == ["a gre", "cat", "green box", "red tin"]
