@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .postings import slices
+
 #: Characters looked back for a boundary, and the boundaries from best to worst; places of one don't overlap.
 LOOK_BACK = 200
 BOUNDARIES = [re.compile(x) for x in (r"\n\n", r"\. ", "; ", ", ", r"\s")]
@@ -144,7 +146,7 @@ def split(docs: DataFrame, size: int = 1800, overlap: int = 300, compat: bool =
     """(id, n, start, piece) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, text_col)):
             rows = [(i, n, a, p) for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for n, (a, p) in enumerate(pieces(t or "", size, overlap, compat))]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["id", "n", "start", "piece"])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.operators import lexical, phrases, postings, quality
+from quillspark.operators import lexical, phrases, postings, quality, split
 from quillspark.operators.vector import _word_hash
 from quillspark.plans import queries as plain
 
@@ -110,3 +110,14 @@ def test_equal_phrases_are_looked_for_once(spark, tmp_path, monkeypatch):
     got, want = as_sql(spark, tmp_path, "phrase_hits", documents=("doc_id long, text string", [(1, "a RED tin and a Green box, cat"), (2, "red tins"), (3, None), (4, "box")]), benchmark=("item_id long, text string", []), pages=("page_id long, html string", pages), part=("p_partkey long, p_name string", parts))
     assert got == want and len(got) == 2
     assert sorted(asked[0]) == ["a gre", "cat", "green box", "red tin"]
+
+
+def test_texts_are_split_in_bounded_slices(spark, monkeypatch):
+    asked, kept = [], split.slices
+    df = spark.createDataFrame([(i, "word. " * 500) for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, split.split(df, 512, 50).collect()))
+    monkeypatch.setattr(postings, "ROWS_AT_ONCE", 3)
+    batch = pa.record_batch({"doc_id": list(range(40)), "text": ["word. " * 500] * 40})
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: asked.extend(b.num_rows for b in run(iter([batch]))) or self)
+    split.split(df, 512, 50)
+    assert kept is postings.slices and len(asked) == 14 and sum(asked) == len(want)
