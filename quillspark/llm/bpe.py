@@ -9,7 +9,9 @@ two encodings stand if the pair of tokens at the join is what its own text encod
 only if all its neighbouring pairs are; otherwise a window of tokens, growing twofold, is encoded anew until the pairs at
 both of its ends agree. A pre-token longer than a leaf is such a tree of its own.
 
-Chunks between white space and fragments come from bounded caches of the library's own results. Texts that hold a special
+Chunks between white space and fragments come from bounded caches of the library's own results. Texts that need no cut are
+encoded by slices: Arrow finds a slice's distinct chunks, whose pre-tokens are merged side by side, a pair of each in a
+round, in numpy. Chunks with an apostrophe, a control character or a long pre-token come from the caches. Texts that hold a special
 token's string or characters outside a checked range are normalised by the library first, and their chunks split by it.
 For a tokenizer of another build the library encodes all but long pre-tokens.
 
@@ -28,6 +30,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +44,12 @@ CACHE, FEW = 300_000, 50_000
 #: Letters with one-character lower case that normalisation leaves alone; ASCII but for rare control characters.
 PLAIN = "\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-įı-ňŊ-ž"
 OTHER = re.compile(f"[^{PLAIN}]|<\\|")
-#: White space of ASCII that the tokenizer and str.split() may see differently; texts encoded side by side.
-ODD_SPACES, TOGETHER = "\x0b\x0c\x1c\x1d\x1e\x1f", 8
+#: White space of ASCII that the tokenizer and str.split() may see differently; texts with cuts encoded side by side, and characters of those without.
+ODD_SPACES, TOGETHER, UNCUT = "\x0b\x0c\x1c\x1d\x1e\x1f", 8, 1 << 22
+#: Bytes of a pre-token that is merged beside others; the rank of a pair that has none.
+SHORT, NO_RANK = 64, 1 << 30
+#: Of the bytes of a chunk in lower case: 0 a letter (all characters but ASCII that are let through), 1 a digit, 2 another, 3 one that the splitter may see differently.
+KIND = np.array([3 if b <= 32 or b in (39, 127) else 1 if 48 <= b < 58 else 0 if 97 <= b < 123 or b >= 128 else 2 for b in range(256)], np.uint8)
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-z0-9ß-öø-ž]+")
 #: Those letters in the byte-level alphabet, in which printable bytes stand for themselves and the others follow U+0100 in order.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -80,6 +87,83 @@ class Cut:
         self.fragments = [first]
 
 
+class Merges:
+    """Encodes many pre-tokens side by side. Pairs of tokens are found in a table by their hash and, if another pair is there, in the next places."""
+
+    #: Places of the table; pre-tokens at a time, so that arrays stay in a core's cache.
+    SLOTS, GROUP = 1 << 18, 16384
+
+    def __init__(self, tree: Tree):
+        vocab = tree.spec["vocab"]
+        letters = [ALPHABET[b] for b in range(256)]
+        self.inner, self.last = (np.array([vocab.get(x + end, -1) for x in letters], np.int64) for end in ("", tree.suffix))
+        pairs = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in tree.merges], np.int64).reshape(-1, 3)
+        self.made = pairs[:, 2]
+        self.keys, self.ranks = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, NO_RANK, np.int64)
+        keys, at = self.placed(pairs[:, 0], pairs[:, 1])
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.ranks[at[mine]] = left[mine]
+            left, keys, at = left[~mine], keys[~mine], (at[~mine] + 1) & (self.SLOTS - 1)
+
+    def placed(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of pairs and the places where the search for them begins."""
+        keys = left << 20 | right
+        return keys, (keys * 0x9E3779B97F4A7C1 >> 20) & (self.SLOTS - 1)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, at = self.placed(left, right)
+        there = self.keys[at]
+        out = np.where(there == keys, self.ranks[at], NO_RANK)
+        on = (there != keys) & (there >= 0)
+        other = np.flatnonzero(on)
+        while len(other):
+            at, keys = (at[on] + 1) & (self.SLOTS - 1), keys[on]
+            there = self.keys[at]
+            mine = there == keys
+            out[other[mine]] = self.ranks[at[mine]]
+            on = ~mine & (there >= 0)
+            other = other[on]
+        return out
+
+    def encode(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, places of their first bytes) of pre-tokens, given as the tokens of their bytes and where each begins."""
+        ends = np.append(starts[self.GROUP :: self.GROUP], len(tokens))
+        out = [self.merged(tokens[a:b], starts[i * self.GROUP : (i + 1) * self.GROUP] - a) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+        out = np.concatenate(out) if out else np.empty(0, np.int64)
+        places = np.flatnonzero(out >= 0)
+        return out[places].astype(np.int32), places
+
+    def merged(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Each token at the place of its first byte, else -1."""
+        out = np.full(len(tokens), -1, np.int64)
+        place, sizes = np.arange(len(tokens)), np.diff(starts, append=len(tokens))
+        rank = np.full(len(tokens), NO_RANK, np.int64)
+        rank[:-1] = self.rank(tokens[:-1], tokens[1:])
+        rank[starts + sizes - 1] = NO_RANK
+        while True:
+            # of equal ranks the first pair is the least
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+            goes = least >> 32 < NO_RANK
+            on = np.repeat(goes, sizes)
+            out[place[~on]] = tokens[~on]
+            if not goes.any():
+                return out
+            at, first, end = least[goes] & 0xFFFFFFFF, starts[goes], (starts + sizes)[goes]
+            tokens[at] = self.made[rank[at]]
+            on[at + 1] = False
+            after = at + 2 < end
+            rank[at] = NO_RANK
+            rank[at[after]] = self.rank(tokens[at[after]], tokens[at[after] + 2])
+            before = at[at > first]
+            rank[before - 1] = self.rank(tokens[before - 1], tokens[before])
+            tokens, rank, place, sizes = tokens[on], rank[on], place[on], sizes[goes] - 1
+            starts = np.cumsum(sizes) - sizes
+
+
 @dataclass
 class Fragment:
     """Pre-tokens and their ids; the last one has no suffix unless the chunk ends with it (`closed`)."""
@@ -196,6 +280,10 @@ class Encoder:
     def tree(self) -> Tree:
         return Tree(json.load(open(self.path, encoding="utf-8")))
 
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.tree)
+
     @cached_property
     def spaced(self):
         """The merges alone, over pieces between white space, each of which comes once."""
@@ -337,10 +425,14 @@ class Encoder:
                 out.append(cut)
         return out
 
+    def simple(self, text: str) -> bool:
+        """Whether lower case is all that normalisation does to a text, and white space of ASCII all that keeps its chunks apart."""
+        # of ASCII only what would split chunks is looked for here, the rest in unknown chunks
+        return "<|" not in text and (not any(c in text for c in ODD_SPACES) if text.isascii() else not OTHER.search(text))
+
     def parts(self, text: str, leaf: int) -> list:
         """Slots of a text, and special tokens as their ids."""
-        # of ASCII only what would split chunks is looked for here, the rest in unknown chunks
-        if "<|" not in text and (not any(c in text for c in ODD_SPACES) if text.isascii() else not OTHER.search(text)):
+        if self.simple(text):
             return self.slots(text.lower(), None, leaf)
         out: list = []
         for part in self.marks.split(text) if self.marks else [text]:
@@ -350,18 +442,73 @@ class Encoder:
                 out += self.slots(self.library.normalizer.normalize_str(part), " ", leaf)
         return out
 
+    def uncut(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of simple texts in lower case: those of each distinct chunk are found once and taken wherever it stands."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        chunks = words.flatten().dictionary_encode()
+        listed, n = chunks.dictionary, len(chunks.dictionary)
+        begins = np.frombuffer(listed.buffers()[1], np.int32, n + 1, 4 * listed.offset).astype(np.int64)
+        content = np.frombuffer(listed.buffers()[2] or b"", np.uint8)[begins[0] : begins[-1]]
+        begins -= begins[0]
+        kind = KIND[content]
+        start = kind == 1
+        start[1:] |= kind[1:] != kind[:-1]
+        start[begins[:-1][begins[:-1] < len(start)]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(start))[: len(starts)] - 1
+        tokens = self.merges.inner[content]
+        tokens[ends] = self.merges.last[content[ends]]
+        odd = (kind == 3) | (tokens < 0)
+        odd[starts[ends - starts >= SHORT]] = True
+        odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[begins]) > 0
+        kept = np.flatnonzero(~np.repeat(odd, np.diff(begins)))
+        flat, places = self.merges.encode(tokens[kept], np.flatnonzero(start[kept]))
+        of = np.searchsorted(kept[places], begins)
+        first, sizes = of[:-1], np.diff(of)
+        if odd.any():
+            which = np.flatnonzero(odd)
+            strange = listed.take(pa.array(which)).to_pylist()
+            self.learn([x for x in strange if x not in self.known])
+            ids = [np.frombuffer(self.known[x], np.int32) for x in strange]
+            sizes[which] = [len(x) for x in ids]
+            first[which] = len(flat) + np.cumsum(sizes[which]) - sizes[which]
+            flat = np.concatenate([flat, *ids])
+        at = chunks.indices.to_numpy()
+        counts = sizes[at]
+        to = np.concatenate([[0], np.cumsum(counts)])
+        out = flat[np.repeat(first[at] - to[:-1], counts) + np.arange(to[-1])]
+        return np.split(out, to[words.offsets.to_numpy()[1:-1]])
+
+    def encode_uncut(self, texts: list[str | None], leaf: int, out: list[np.ndarray]) -> list[int]:
+        """Fills in the ids of texts that need no cut; the places of the others."""
+        others, held, size = [], [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) > leaf or not self.simple(text):
+                others.append(i)
+                continue
+            held.append(i)
+            size += len(text)
+            if size >= UNCUT:
+                for j, ids in zip(held, self.uncut([texts[j].lower() for j in held]), strict=True):
+                    out[j] = ids
+                held, size = [], 0
+        if held:
+            for j, ids in zip(held, self.uncut([texts[j].lower() for j in held]), strict=True):
+                out[j] = ids
+        return others
+
     def encode_all(self, texts: list[str | None], leaf: int = LEAF) -> list[np.ndarray]:
         """Ids of each text; null is empty. What a few texts have in unknown chunks and fragments is learnt at once."""
         known, out = self.known, [np.empty(0, np.int32)] * len(texts)
-        for at in range(0, len(texts), TOGETHER):
+        if not self.plain:
+            return [self.whole(text) if text else x for text, x in zip(texts, out, strict=True)]
+        cut = self.encode_uncut(texts, leaf, out)
+        for at in range(0, len(cut), TOGETHER):
             held, missing, going = [], set(), set()
-            for i, text in enumerate(texts[at : at + TOGETHER], at):
-                if not text:
-                    continue
-                if not self.plain:
-                    out[i] = self.whole(text)
-                    continue
-                slots = self.parts(text, leaf)
+            for i in cut[at : at + TOGETHER]:
+                slots = self.parts(texts[i], leaf)
                 ids = list(map(known.get, slots))
                 places = [j for j, v in enumerate(ids) if v is None]
                 for j in places:
