@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from quillspark.llm import bpe
+from quillspark.llm import bpe, packing, token_files
 
 ODD = ["", " ", "\n\t ", " a", "a ", "a", "1", "?", "'", "''s", "it's don't we'll 'tis o'clock l'été.'s", "1984 3.14,15 x1y2 a.b..c...", "!!!??? --- ***word*** (x)", "é É ß straße ÇA ŽŠ œuvre", "naïve\x0bx\x1cy", "nul\x00byte \x7f del\x07.", "<|endoftext|> x <|y", "日本語 и русский ﬁ İ ŉ", "word " * 40, "a" * 63 + " " + "a" * 64 + " " + "a" * 65 + " " + "b" * 3000 + ".", "×÷ £5 50% $1,000.00 é"]
 
@@ -57,3 +58,12 @@ def test_pairs_in_a_crowded_table(tok, monkeypatch):
     known = set(map(tuple, pairs.tolist()))
     other = np.array([x for x in np.random.default_rng(2).integers(0, 40_000, (5000, 2)).tolist() if tuple(x) not in known])
     assert (merges.rank(other[:, 0], other[:, 1]) == bpe.NO_RANK).all()
+
+
+@pytest.mark.parametrize("leaf", [token_files.LEAF, packing.LEAF])
+def test_packing_and_token_files_keep_no_words_of_the_given_documents(tok, leaf):
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    before = len(tok.known)
+    same(tok, texts, leaf)
+    distinct = {w for x in texts if x for w in x.lower().split()}
+    assert len(tok.known) - before < len(distinct) / 20
