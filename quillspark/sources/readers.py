@@ -15,9 +15,9 @@ ELEMENT = "type string, text string, text_level int, img_path string, table_capt
 CHUNK = "id string, content string, metadata struct<section_path: array<string>, section_hierarchy: string, page_idx: int, chunk_type: string, chunk_size: int, timestamp: string>"
 
 
-def elements(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of JSON array files, a file a document: file, pos, and the fields."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"array<struct<{ELEMENT.replace(' array<', ': array<').replace(' string', ': string').replace(' int', ': int')}>>").alias("e"))
+def elements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Elements of JSON arrays: file, pos, and the fields. A file is a document's array; lines: a line is, so that a file holds many documents."""
+    whole = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"array<struct<{ELEMENT.replace(' array<', ': array<').replace(' string', ': string').replace(' int', ': int')}>>").alias("e"))
     return whole.select("file", F.posexplode("e").alias("pos", "e")).select("file", "pos", "e.*")
 
 

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import ann, memory, split, vector
+from quillspark.plans import queries
 from quillspark.session import scratch
+from quillspark.sources import readers
 
 BIG = "/root/testdata/sf0.1"
 
@@ -227,3 +229,23 @@ def test_hybrid_search_by_tree_finds_what_it_finds_by_all_vectors(spark):
     assert plain == [(r["id"], r["score"]) for r in hybrid.multiquery(e.chunks, e.index, variants, tree=e.tree, probes=64, keep=1000).orderBy("id").collect()]
     got = {r["id"] for r in e.enhanced_search("risk of the business").collect()}
     assert len(got & {r["id"] for r in hybrid.enhanced(e.chunks, e.index, e.variants("risk of the business")).collect()}) >= 9
+
+
+def test_arrays_of_many_documents_share_files(spark, tmp_path, monkeypatch):
+    """src_elements used to write a file for each document."""
+    monkeypatch.setattr(queries, "scratch", lambda _: str(tmp_path / "arrays"))
+    d = "/root/testdata/sf0.001"
+    got = queries.src_elements(spark, d)
+    rows = queries.ELEMENTS.df(spark, d)
+    documents = rows.select("doc_id").distinct().count()
+    assert len(list((tmp_path / "arrays").rglob("part-*"))) < documents / 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.select(got.columns).collect()))
+
+
+def test_lines_of_arrays_keep_every_character(spark, tmp_path):
+    texts = ["a\nb\r\nc\rd", "  \x85", '"q" \\ \\n', "", None, "é 日 😀"]
+    rows = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(texts)], "doc int, pos int, text string").repartition(1)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda e: F.struct(e["text"].alias("text")))
+    rows.groupBy("doc").agg(F.to_json(listed).alias("value")).select("value").coalesce(1).write.text(str(tmp_path / "x"))
+    found = readers.elements(spark, str(tmp_path / "x"), lines=True).select("pos", "text").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(i // 2, x) for i, x in enumerate(texts)], key=str)
