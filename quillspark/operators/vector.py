@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import time
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,29 +71,49 @@ def embed(docs: DataFrame, embedder: Embedder, text_col: str = "text", out: str
 def embed_into(docs: DataFrame, embedder: Embedder, path: str, text_col: str = "text", out: str = "embedding", batch: int = 50, round_rows: int = 10_000, per_minute: float | None = None) -> DataFrame:
     """docs with vectors of a text column, by way of a store below path that keeps what has been embedded.
 
-    The store holds a vector for each digest of a text. Texts that it lacks are dealt to rounds of about `round_rows` by
-    their digests; a round is committed as a whole before the next begins. If the embedder fails, a later call embeds only
-    what no committed round holds; equal texts are embedded once. per_minute: calls of the embedder, of `batch` texts at
-    most, that all tasks together may make in a minute; each of the tasks that run side by side has its share and waits.
+    The store holds a vector for each digest of a text. Texts that it lacks are written once below path, in files that are
+    dealt to rounds of at most `round_rows` and deleted at the end, so a round reads its own texts only; a round is committed
+    as a whole before the next begins. If the embedder fails, a later call embeds only what no committed round holds; equal
+    texts are embedded once. per_minute: calls of the embedder, of `batch` texts at most, that all tasks together may make
+    in a minute; each of the tasks that run side by side has its share and waits.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
     todo = texts.dropDuplicates(["digest"]).join(stored_vectors(spark, path).select("digest"), "digest", "left_anti")
-    digest = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    n = todo.count()
-    rounds = -(-n // round_rows)
     cores = spark.sparkContext.defaultParallelism
-    for i in range(rounds):
-        # at most as many tasks as share the budget
-        rows = todo.where(F.pmod(digest, F.lit(rounds)) == i).repartition(max(1, min(cores, -(-round_rows // batch))), "digest")
-        wait = 60 * min(cores, rows.rdd.getNumPartitions()) / per_minute if per_minute else 0.0
-        made = embed(rows, _Paced(embedder, wait) if wait else embedder, "text", "embedding", batch)
-        made.select("digest", "embedding").write.mode("append").parquet(f"{path}/vectors")
+    # at most as many tasks as share the budget
+    tasks = max(1, min(cores, -(-round_rows // batch)))
+    folder, schema = f"{path}/todo-{uuid.uuid4().hex}", "digest string, text string"
+    try:
+        todo.select("digest", "text").write.option("maxRecordsPerFile", max(1, round_rows // tasks)).parquet(folder)
+        files = spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("file")).count().orderBy("file").collect()
+        for names in _rounds([(r["file"], r["count"]) for r in files], round_rows):
+            rows = spark.read.schema(schema).parquet(*[f"{folder}/{x}" for x in names])
+            # any round but the last has a file for each task
+            rows = rows.coalesce(tasks) if len(names) >= tasks else rows.repartition(tasks, "digest")
+            wait = 60 * min(cores, rows.rdd.getNumPartitions()) / per_minute if per_minute else 0.0
+            made = embed(rows, _Paced(embedder, wait) if wait else embedder, "text", "embedding", batch)
+            made.select("digest", "embedding").write.mode("append").parquet(f"{path}/vectors")
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     found = stored_vectors(spark, path).select(F.col("digest").alias("_digest"), F.col("embedding").alias(out))
     named = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     return named.join(found, "_digest", "left").drop("_digest")
 
 
+def _rounds(files: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Files of some rows each, dealt in their order to rounds of at most `most` rows, or of one file."""
+    out, held = [], most
+    for name, n in files:
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(name)
+        held += n
+    return out
+
+
 def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(digest, embedding) that a store holds; none for a new one."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/vectors")

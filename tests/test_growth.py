@@ -1,5 +1,6 @@
 """Search by tree and by table of queries, filtered lists, hot conversations, resumed embedding, long texts cut in parallel, many phrases."""
 
+import os
 import random
 
 import numpy as np
@@ -160,6 +161,28 @@ def test_embedding_goes_on_where_it_failed(spark, tmp_path):
     assert vector.embed_into(df, failing(log), path).count() == 302 and not open(log).read()  # nothing is left
 
 
+def test_rounds_of_embedding_read_their_own_texts_only(spark, tmp_path):
+    """However many rounds there are, the documents are read twice: to deal and to join."""
+    path, read = f"{tmp_path}/store", spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, f"text number {i % 400}") for i in range(600)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    out = vector.embed_into(df, failing(str(tmp_path / "log")), f"file://{path}", batch=5, round_rows=20)
+    assert {r["doc_id"]: list(r["embedding"]) for r in out.collect()} == {i: [float(len(f"text number {i % 400}")), 1.0] for i in range(600)}
+    assert read.value <= 2 * 600
+    log = open(tmp_path / "log").read().split("\n")[:-1]
+    assert len(log) == len(set(log)) == 400  # each text once
+    assert os.listdir(path) == ["vectors"]  # the files of dealt texts are gone
+    with pytest.raises(Exception, match="no answer"):
+        vector.embed_into(df, failing(str(tmp_path / "log"), "text number 9"), f"file://{path}2", batch=5, round_rows=20)
+    assert not [x for x in os.listdir(f"{path}2") if x != "vectors"]
+    assert vector._rounds([("a", 3), ("b", 2), ("c", 6), ("d", 1), ("e", 4)], 5) == [["a", "b"], ["c"], ["d", "e"]] and vector._rounds([], 5) == []
+
+
 def test_a_budget_of_calls_is_shared_out(spark, tmp_path):
     import time
 
